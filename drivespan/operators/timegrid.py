@@ -130,7 +130,8 @@ def count_reversals(df: DataFrame, x: Column, block: str, t: str, amplitude: flo
     total = F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("__total", total)
     # changes in (t - window_s, t]: those up to t less those up to t - window_s
-    old = F.max("__total").over(Window.partitionBy(block).orderBy(t).rangeBetween(Window.unboundedPreceding, -window_s))
+    micros = F.round(F.col(t) * 1e6).cast("long")
+    old = F.max("__total").over(Window.partitionBy(block).orderBy(micros).rangeBetween(Window.unboundedPreceding, -round(window_s * 1e6)))
     return marked.withColumn(out, (F.col("__total") - F.coalesce(old, F.lit(0))).cast("double")).drop("__changed", "__total")
 
 

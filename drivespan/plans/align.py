@@ -95,7 +95,7 @@ def central_difference(spark, sf):
 
 @query(f"""WITH {TICKS}, big AS (SELECT drive, tick, t, sign(steer_deg) AS s FROM ticks WHERE abs(steer_deg) > 20),
 ch AS (SELECT drive, t FROM (SELECT *, lag(s) OVER (PARTITION BY drive ORDER BY tick) AS p FROM big) WHERE p <> s)
-SELECT k.drive, k.tick, CAST(count(ch.t) AS DOUBLE) AS reversals FROM ticks k LEFT JOIN ch ON ch.drive = k.drive AND ch.t <= k.t AND ch.t > k.t - 1.5 GROUP BY k.drive, k.tick""")
+SELECT k.drive, k.tick, CAST(count(ch.t) AS DOUBLE) AS reversals FROM ticks k LEFT JOIN ch ON ch.drive = k.drive AND round(ch.t * 1000) <= round(k.t * 1000) AND round(ch.t * 1000) > round(k.t * 1000) - 1500 GROUP BY k.drive, k.tick""")
 def steering_reversals(spark, sf):
     return tg.count_reversals(ticks(spark, sf), F.col("steer_deg"), "drive", "t", 20.0, 1.5).select("drive", "tick", "reversals")
 
@@ -243,10 +243,10 @@ def yaw_lobes(spark, sf):
     return islands.lobes(ticks(spark, sf), "yaw_dps", "drive", "t", 3.0, 0.15)
 
 
-@query(f"""WITH {TICKS}, h AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY tick) AS r FROM ticks WHERE ax_mps2 < -4), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY drive ORDER BY tick) > 0.3 THEN 1 ELSE 0 END AS n FROM h), i AS (SELECT *, sum(n) OVER (PARTITION BY drive ORDER BY tick) AS run FROM g)
+@query(f"""WITH {TICKS}, h AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY tick) AS r FROM ticks WHERE ax_mps2 < -3), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY drive ORDER BY tick) > 0.3 THEN 1 ELSE 0 END AS n FROM h), i AS (SELECT *, sum(n) OVER (PARTITION BY drive ORDER BY tick) AS run FROM g)
 SELECT drive, CAST(run AS BIGINT) AS run, min(t) AS t_start, max(t) AS t_end, count(*) AS n FROM i GROUP BY drive, run HAVING max(t) - min(t) >= 0.1""")
 def merged_runs(spark, sf):
-    return islands.intervals(ticks(spark, sf), F.col("ax_mps2") < -4, "drive", "t", DT, merge_gap=0.3, min_duration=0.1).withColumn("run", F.col("run").cast("long"))
+    return islands.intervals(ticks(spark, sf), F.col("ax_mps2") < -3, "drive", "t", DT, merge_gap=0.3, min_duration=0.1).withColumn("run", F.col("run").cast("long"))
 
 
 @query("""WITH e AS (SELECT user_id AS drive, ts, value, event_id FROM events), s AS (SELECT drive, event_id, row_number() OVER (PARTITION BY drive ORDER BY value DESC, event_id) AS rank FROM e) SELECT drive, event_id, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 3""")
