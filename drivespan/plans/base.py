@@ -58,10 +58,10 @@ _WAVE = {
     "brake_level": "CASE WHEN (tick * 4 + drive) % 80 BETWEEN 40 AND 60 THEN 0.5 ELSE 0.0 END",
     "lead_m": "CASE WHEN k % 29 = 0 THEN NULL ELSE abs((tick * 2 + drive * 13) % 100 - 50) * 0.8 + 5.0 END",
     "lead_id": "CAST((tick + drive) // 17 AS BIGINT)",
-    "ws_fl": "abs((tick * 2 + drive * 5) % 120 - 60) / 2.0 + (k * 37 % 100) / 80.0",
-    "ws_fr": "abs((tick * 2 + drive * 5) % 120 - 60) / 2.0 + (k * 41 % 100) / 80.0",
-    "ws_rl": "abs((tick * 2 + drive * 5) % 120 - 60) / 2.0 + (k * 43 % 100) / 90.0",
-    "ws_rr": "abs((tick * 2 + drive * 5) % 120 - 60) / 2.0 + (k * 47 % 100) / 60.0",
+    "ws_fl": "abs((tick * 2 + drive * 5) % 120 - 60) / 2.0 + (k * 37 % 100) / 100.0",
+    "ws_fr": "abs((tick * 2 + drive * 5) % 120 - 60) / 2.0 + (k * 41 % 100) / 100.0",
+    "ws_rl": "abs((tick * 2 + drive * 5) % 120 - 60) / 2.0 + (k * 43 % 100) / 50.0",
+    "ws_rr": "abs((tick * 2 + drive * 5) % 120 - 60) / 2.0 + (k * 47 % 100) / 40.0",
 }
 TICKS = (
     "base AS (SELECT user_id AS drive, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick, event_id AS k, event_type FROM events), ticks AS (SELECT drive, tick, tick * 0.05 :: DOUBLE AS t, k, "
