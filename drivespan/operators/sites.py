@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivespan.operators.joins import heading_difference, near_pairs
+from drivespan.sources.scratch import checkpointed
 
 
 def speed_baseline(df: DataFrame, v: str, x: str, width: float) -> DataFrame:
@@ -42,11 +43,11 @@ def assign_sites(points: DataFrame, x: str, y: str, heading: str, strength: str,
     """
     near = near_pairs(points, points, x, y, radius).filter(F.col("id") != F.col("b_id")).filter(heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn)
     before = (F.col(f"b_{strength}") > F.col(strength)) | ((F.col(f"b_{strength}") == F.col(strength)) & (F.col("b_id") < F.col("id")))
-    stronger = near.filter(before).select("id", F.col("b_id").alias("other"), F.col(f"b_{strength}").alias("s")).checkpoint()
-    state = points.select("id", F.lit(None).cast("boolean").alias("seed")).checkpoint()
+    stronger = checkpointed(near.filter(before).select("id", F.col("b_id").alias("other"), F.col(f"b_{strength}").alias("s")))
+    state = checkpointed(points.select("id", F.lit(None).cast("boolean").alias("seed")))
     for _ in range(most_rounds):
         met = stronger.join(state.select(F.col("id").alias("other"), F.col("seed").alias("o_seed")), "other").groupBy("id").agg(F.max(F.coalesce(F.col("o_seed"), F.lit(False)).cast("int")).alias("covered"), F.max(F.col("o_seed").isNull().cast("int")).alias("waits"))
-        state = state.join(met, "id", "left").select("id", F.coalesce("seed", F.when(F.col("covered") == 1, False).when(F.coalesce("waits", F.lit(0)) == 0, True)).alias("seed")).checkpoint()
+        state = checkpointed(state.join(met, "id", "left").select("id", F.coalesce("seed", F.when(F.col("covered") == 1, False).when(F.coalesce("waits", F.lit(0)) == 0, True)).alias("seed")))
         if state.filter("seed is null").isEmpty():
             break
     else:
@@ -69,13 +70,13 @@ def stretches(sites: DataFrame, x: str, y: str, heading: str, link: float, turn:
     Labels fall to the least neighbour's in rounds, each checkpointed, with a jump to the label's own label to halve the way.
     """
     near = near_pairs(sites, sites, x, y, link).filter(F.col("site") != F.col("b_site")).filter(heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn)
-    edges = near.select("site", F.col("b_site").alias("other")).checkpoint()
-    label = sites.select("site", F.col("site").alias("stretch")).checkpoint()
+    edges = checkpointed(near.select("site", F.col("b_site").alias("other")))
+    label = checkpointed(sites.select("site", F.col("site").alias("stretch")))
     for _ in range(most_rounds):
         got = edges.join(label.select(F.col("site").alias("other"), F.col("stretch").alias("s")), "other").groupBy("site").agg(F.min("s").alias("s"))
         new = label.join(got, "site", "left").select("site", "stretch", F.least("stretch", F.coalesce("s", "stretch")).alias("n"))
         jump = label.select(F.col("site").alias("n"), F.col("stretch").alias("j"))
-        new = new.join(jump, "n").select("site", "stretch", F.least("n", "j").alias("n")).checkpoint()
+        new = checkpointed(new.join(jump, "n").select("site", "stretch", F.least("n", "j").alias("n")))
         done = new.filter("n < stretch").isEmpty()
         label = new.select("site", F.col("n").alias("stretch"))
         if done:

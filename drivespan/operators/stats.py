@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from drivespan.sources.scratch import checkpointed
+
 
 def normal_equations(df: DataFrame, keys: list[str], xs: list[str], y: str, weight: Column | None = None) -> DataFrame:
     """keys with n and the moment sums of a least-squares fit of y on xs (two or three columns; a constant is a column too)."""
@@ -64,7 +66,7 @@ def two_way_slope(df: DataFrame, a: str, b: str, x: str, y: str, rounds: int = 1
     for k in range(rounds):
         d = demeaned(demeaned(d, [a], ["x", "y"]), [b], ["x", "y"])
         if k % 4 == 3:
-            d = d.checkpoint()
+            d = checkpointed(d)
     return d.agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0))).alias("slope"), F.count("*").alias("n"))
 
 
