@@ -7,6 +7,7 @@ the planes come the token at a place, the count of a token before a place, and t
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -130,42 +131,73 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library. The vocabulary's own splitting never joins anything over white space, so each distinct word of a batch is encoded once; KEPT words are remembered."""
+    """Ids of texts by the tokenizers library, each distinct word once; the last KEPT words are remembered.
 
-    KEPT = 300_000
+    The vocabulary's own splitting never joins anything over white space, and it parts a run of letters from the punctuation behind
+    it. So a word is encoded as its core and its tail, and many cores of letters alone go through the library as
+    one text, cut again at the tokens that end words; whatever is not that plain is encoded by itself.
+    """
+
+    KEPT, TOGETHER = 600_000, 500
+    TAIL = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        vocabulary = self.t.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.t.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Letters alone, none beyond the Latin ones with accents: certainly one run of letters for any version of Unicode."""
+        return word.isalpha() and (word.isascii() or len(word.encode("latin-1", "ignore")) == len(word))
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.KEPT:
-            self.known.clear()
-        for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
-            e = self.t.encode(part, is_pretokenized=True, add_special_tokens=False)
+        plain, parts = [], []
+        for w in words:
+            core = w.rstrip(self.TAIL)
+            if self._plain(core):
+                plain.append(core)
+                parts.append((w, core, w[len(core) :]))
+            else:
+                self.known[w] = self._one(w)
+        cores = list(dict.fromkeys(c for c in plain if c not in self.known))
+        groups = [cores[a : a + self.TOGETHER] for a in range(0, len(cores), self.TOGETHER)]
+        for group, e in zip(groups, self.t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint16)
-            owner = np.array(e.word_ids, np.int64)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
-            for w, x, y in zip(part, cuts, cuts[1:], strict=False):
-                self.known[w] = ids[x:y]
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 2
+            if len(ends) == len(group):
+                raw, ends = ids.tobytes(), ends.tolist()
+                self.known.update((c, raw[a:b]) for c, a, b in zip(group, [0, *ends], ends, strict=False))
+            else:
+                self.known.update((c, self._one(c)) for c in group)
+        for w, core, tail in parts:
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self._one(tail)
+                self.known[w] = self.known[core] + self.tails[tail]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's number of ids."""
         words, counts = word_lists(texts)  # A-Z are lower-cased by the vocabulary anyway
         kinds, at = coded(words)
         new = [w for w in kinds if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.KEPT:
-                self.known.clear()
-                new = kinds
-            self._learn(new)
+        if len(self.known) + len(new) > self.KEPT:
+            self.known.clear()
+            new = kinds
+        self._learn(new)
         got = [self.known[w] for w in kinds]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate(got) if got else np.empty(0, np.uint16)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
+        flat = np.frombuffer(b"".join(got), np.uint16)
         start = np.cumsum(size) - size
         total = np.concatenate([[0], np.cumsum(size[at])])
         ends = np.cumsum(counts)
