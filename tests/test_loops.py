@@ -228,3 +228,26 @@ def test_near_pairs_finds_all(spark):
     want = {(p[0], q[0]) for p in pts for q in pts if math.hypot(p[1] - q[1], p[2] - q[2]) <= 9}
     got = [(r.id, r.b_id) for r in near_pairs(df, df, "x", "y", 9.0).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_rebounds_and_ride_weighting(spark):
+    from drivespan.operators import drive_checks as ck
+
+    rng = np.random.default_rng(12)
+    rows = [(int(d), float(i), float(a)) for d in range(20) for i, a in enumerate(np.round(rng.normal(size=7), 3))]
+    want = {}
+    for d in range(20):
+        a = [r[2] for r in rows if r[0] == d]
+        k = max(range(7), key=lambda i: (abs(a[i]), -i))
+        n, last = 0, a[k]
+        for x in a[k + 1 :]:
+            if math.copysign(1, x) == math.copysign(1, last) or abs(x) >= abs(last):
+                break
+            n, last = n + 1, x
+        want[d] = (a[k], n)
+    got = ck.rebounds(spark.createDataFrame(rows, "drive long, t_start double, area double"), ["drive"]).collect()
+    assert {r.drive: (r.largest, r.rebounds) for r in got} == want
+    rate, taps = 100.0, ck.iso_weight_taps(100.0, 400)
+    gain = lambda f: abs(sum(t * complex(math.cos(2 * math.pi * f * i / rate), math.sin(2 * math.pi * f * i / rate)) for i, t in enumerate(taps)))
+    for f, g in ((1.0, 0.482), (2.0, 0.531), (5.0, 1.039), (8.0, 1.036), (16.0, 0.768), (31.5, 0.405)):
+        assert abs(gain(f) - g) < 0.03
