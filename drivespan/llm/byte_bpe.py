@@ -171,6 +171,18 @@ def _sums(values: np.ndarray, per: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - per]
 
 
+def _id_slices(batch: pa.RecordBatch, ids_col: str, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with about `most` ids, each with its ids one after another and their number by row."""
+    if not batch.num_rows:
+        return
+    n = batch.column(ids_col).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // most)) + 1
+    starts = [0, *cuts.tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:], strict=False):
+        part = batch.slice(a, b - a)
+        yield part, part.column(ids_col).flatten().to_numpy(zero_copy_only=False), n[a:b]
+
+
 _LOADED: dict[tuple, ByteBpe] = {}
 
 
@@ -180,19 +192,29 @@ def loaded(path: str, pattern: str) -> ByteBpe:
     return _LOADED[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids_col (array<int>) instead of text_col: the ids of each whole text; null texts have none. Other columns stay, one of the name ids_col is replaced."""
-    rest = [c for c in docs.columns if c not in (text_col, ids_col)]
+#: Text bytes that are encoded at once.
+SLICE = 2 << 20
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", digest_col: str | None = None) -> DataFrame:
+    """docs with ids_col (array<int>) instead of text_col: the ids of each whole text; null texts have none. Other columns stay, those of the new names are replaced.
+
+    With digest_col, the ids are decoded again in the same pass and the SHA-256 of the bytes is added.
+    """
+    rest = [c for c in docs.columns if c not in (text_col, ids_col, digest_col)]
     kept = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c) for c in rest))
-    schema = kept.drop("__text").withColumn(ids_col, F.lit(None).cast("array<int>")).schema
+    new = {ids_col: F.lit(None).cast("array<int>")} | ({digest_col: F.lit(None).cast("string")} if digest_col else {})
+    schema = kept.drop("__text").withColumns(new).schema
+    names = [*rest, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE):
                 ids, n = bpe.encode([t or "" for t in part.column("__text").to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists], [*rest, ids_col])
+                more = [pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decode(ids, n)], pa.string())] if digest_col else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists, *more], names)
 
     return kept.mapInArrow(run, schema)
 
@@ -206,32 +228,28 @@ def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids", byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            lists = batch.column(ids_col)
-            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            out = bpe.decode(lists.flatten().to_numpy(zero_copy_only=False), n)
-            known = lists.is_valid().to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x if k else None for x, k in zip(out, known, strict=True)], pa.binary())], [*batch.schema.names, bytes_col])
+            for part, flat, n in _id_slices(batch, ids_col):
+                known = part.column(ids_col).is_valid().to_pylist()
+                out = bpe.decode(flat, n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x if k else None for x, k in zip(out, known, strict=True)], pa.binary())], [*batch.schema.names, bytes_col])
 
     return kept.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each whole text, decodes the ids, and gives the digests of both."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each whole text, decodes the ids, and gives the digests of both, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
+        names = bpe.names
         for batch in batches:
-            ids = batch.column("ids")
-            n = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(n).tolist()
-            names = bpe.names
-            cuts = list(zip([0, *ends], ends, strict=False))
-            text = bpe.decode(flat, n)
-            told = flat.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array([hashlib.sha256(b" ".join([names[i] for i in told[a:b]])).hexdigest() for a, b in cuts], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in text], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, pattern).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for part in slices(batch, "text", SLICE):
+                ids, n = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                ends = np.cumsum(n).tolist()
+                told = ids.tolist()
+                spelt = [hashlib.sha256(b" ".join([names[i] for i in told[a:b]])).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
+                back = [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids, n)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(spelt, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
