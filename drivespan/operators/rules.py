@@ -173,22 +173,43 @@ def detect(df: DataFrame, rules: dict[str, dict], block: str = "drive", t: str =
     return events
 
 
-
-def shipped() -> dict[str, dict]:
-    """The rule set over the feature table's columns; thresholds may be replaced by the caller."""
-    moving = [{"feature": "v_mps", "op": "gt", "threshold": 5.0}]
-    thr = lambda feature, op, threshold, dur=0.0, gap=0.5, stage=1, weight=1.0, g=None: {"feature": feature, "op": op, "threshold": threshold, "min_duration_s": dur, "merge_gap_s": gap, "stage": stage, "weight": weight, "gate": g or []}
-    rising = lambda feature, weight: {"feature": feature, "op": "rising", "threshold": 0.5, "stage": 1, "weight": weight}
-    return {
-        "hard_brake": thr("ax_mps2", "lt", -3.5, 0.1, 0.5, g=moving), "hard_accel": thr("ax_mps2", "gt", 3.0, 0.1, 0.5), "lateral_accel": thr("ay_kin_mps2", "abs_gt", 4.0, 0.1, 0.5, g=moving),
-        "weaving": thr("weave_reversals", "gt", 2.5, 0.0, 1.0), "short_thw": thr("thw_s", "lt", 0.8, 0.2, 0.5, 2), "low_ttc": thr("ttc_s", "lt", 2.5, 0.1, 0.5, 2, 2.0),
-        "yaw_instability": thr("yaw_residual_dps", "abs_gt", 12.0, 0.1, 0.5, 2, 2.0), "s_evasion": thr("s_evasion_excursion_m", "abs_gt", 0.8, 0.0, 0.5, 2, 2.0), "panic_brake": thr("panic_brake", "gt", 0.5, 0.0, 1.0, 1, 2.0),
-        "closing_fast": thr("thw_rate_s_per_s", "lt", -0.4, 0.1, 0.5, 2), "cut_in_candidate": thr("cut_in_distance_drop_m", "gt", 5.0, 0.0, 1.0, 2), "lane_change_candidate": thr("lc_offset_m", "abs_gt", 1.5, 0.0, 1.0, 1, 0.5),
-        "slip_warn_active": thr("slip_warn", "gt", 3.5, 0.0, 0.5, 1, 2.0), "panic_brake_pedal": thr("panic_brake_pedal", "gt", 0.5, 0.0, 1.0, 1, 2.0), "counter_steer": thr("counter_steer", "gt", 0.5, 0.1, 0.3, 2, 2.0),
-        "wheel_speed_anomaly": thr("wheel_anomaly", "gt", 0.5, 0.1, 0.3, 2), "abs_active": rising("abs_flag", 2.0), "vsc_active": rising("vsc_flag", 2.0), "aeb_active": rising("aeb_flag", 3.0),
-        "hard_steer": {"feature": "steer_rate_dps", "op": "agreement", "tolerance_s": 0.2, "min_duration_s": 0.1, "merge_gap_s": 0.5, "stage": 1, "weight": 1.0, "gate": moving, "conditions": [{"feature": "steer_rate_dps", "op": "abs_gt", "threshold": 150.0}, {"feature": "lat_jerk_mps3", "op": "abs_gt", "threshold": 5.0}]},
-        "panic_brake_with_lead": {"op": "cooccurrence", "base": "panic_brake", "require_any": ["short_thw", "low_ttc", "closing_fast"], "window_s": 2.0, "min_count": 1, "stage": 2, "weight": 2.0},
-        "brake_and_steer": {"op": "cooccurrence", "base": "hard_brake", "require_any": ["hard_steer", "lateral_accel"], "window_s": 0.5, "min_count": 1, "stage": 2, "weight": 1.5},
-        "risky_lane_change": {"op": "cooccurrence", "base": "lane_change_candidate", "require_any": ["short_thw", "low_ttc", "closing_fast", "cut_in_candidate"], "window_s": 1.0, "min_count": 1, "stage": 2, "weight": 2.0},
-        "brake_after_evasion": {"op": "sequence", "first": ["s_evasion", "lane_change_candidate"], "then": ["hard_brake", "panic_brake"], "min_gap_s": 0.0, "max_gap_s": 3.0, "stage": 2, "weight": 2.0},
-    }
+def _gate(**least: float) -> list[dict]:
+    """Gate conditions: v_mps above its value, net_heading_win_deg below its."""
+    op = {"v_mps": "gt", "net_heading_win_deg": "lt"}
+    return [{"feature": f, "op": op[f], "threshold": x} for f, x in least.items()]
+
+
+_RISKY = ["short_thw", "cut_in_candidate", "closing_fast", "low_ttc"]
+#: The shipped rules over the feature table, in order of judgement.
+SHIPPED: dict[str, dict] = {
+    "hard_brake": {"feature": "ax_mps2", "op": "lt", "threshold": -2.5, "min_duration_s": 0.3, "merge_gap_s": 1.0, "stage": 1, "weight": 1.0},
+    "hard_accel": {"feature": "ax_mps2", "op": "gt", "threshold": 2.5, "min_duration_s": 0.3, "merge_gap_s": 1.0, "stage": 1, "weight": 0.4, "gate": _gate(v_mps=8.0)},
+    "hard_steer": {
+        "feature": "ay_kin_mps2", "op": "agreement", "tolerance_s": 0.3, "min_duration_s": 0.15, "merge_gap_s": 1.0, "stage": 2, "weight": 0.3, "gate": _gate(net_heading_win_deg=15.0, v_mps=5.0),
+        "conditions": [{"feature": "steer_rate_dps", "op": "abs_gt", "threshold": 25.0}, {"feature": "ay_kin_mps2", "op": "abs_gt", "threshold": 2.0}, {"feature": "ay_can_mps2", "op": "abs_gt", "threshold": 1.4}],
+    },
+    "lateral_accel": {"feature": "ay_kin_mps2", "op": "abs_gt", "threshold": 3.0, "min_duration_s": 0.2, "merge_gap_s": 1.0, "stage": 2, "weight": 0.3, "gate": _gate(net_heading_win_deg=15.0, v_mps=5.0)},
+    "weaving": {"feature": "weave_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.5, "merge_gap_s": 2.0, "stage": 2, "weight": 0.5},
+    "short_thw": {"feature": "thw_s", "op": "lt", "threshold": 0.6, "min_duration_s": 0.5, "merge_gap_s": 1.0, "stage": 1, "weight": 1.0},
+    "low_ttc": {"feature": "ttc_s", "op": "lt", "threshold": 2.0, "min_duration_s": 0.3, "merge_gap_s": 1.0, "stage": 1, "weight": 1.5},
+    "yaw_instability": {"feature": "yaw_residual_sigma", "op": "abs_gt", "threshold": 6.0, "min_duration_s": 0.3, "merge_gap_s": 1.0, "stage": 2, "weight": 1.5, "gate": _gate(v_mps=10.0, net_heading_win_deg=15.0)},
+    "s_evasion": {"feature": "s_evasion_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.3, "merge_gap_s": 1.0, "stage": 2, "weight": 2.0},
+    "panic_brake": {"feature": "panic_brake_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.2, "merge_gap_s": 1.0, "stage": 1, "weight": 0.4},
+    "panic_brake_with_lead": {"op": "cooccurrence", "base": "panic_brake", "require_any": _RISKY, "window_s": 2.0, "min_count": 1, "stage": 2, "weight": 2.0},
+    "closing_fast": {"feature": "closing_fast_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.5, "merge_gap_s": 1.0, "stage": 2, "weight": 1.2, "gate": _gate(v_mps=15.0)},
+    "brake_and_steer": {"op": "cooccurrence", "base": "hard_brake", "require_any": ["hard_steer", "s_evasion"], "window_s": 1.0, "min_count": 1, "stage": 2, "weight": 2.0},
+    "brake_after_evasion": {"op": "sequence", "first": ["s_evasion", "hard_steer"], "then": "hard_brake", "min_gap_s": 0.0, "max_gap_s": 3.0, "stage": 2, "weight": 2.0},
+    "cut_in_candidate": {"feature": "cut_in_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.3, "merge_gap_s": 1.0, "stage": 2, "weight": 1.5},
+    "lane_change_candidate": {"feature": "lc_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.5, "merge_gap_s": 0.5, "stage": 2, "weight": 0.0},
+    "risky_lane_change": {
+        "op": "cooccurrence", "base": "lane_change_candidate", "window_s": 2.0, "min_count": 1, "stage": 2, "weight": 2.0,
+        "require_any": [*_RISKY, "hard_steer", "lateral_accel", "hard_brake", "abs_active", "vsc_active", "aeb_active", "wheel_speed_anomaly"],
+    },
+    "abs_active": {"feature": "abs_active_flag", "op": "rising", "threshold": 0.5, "min_duration_s": 0.0, "merge_gap_s": 1.0, "stage": 2, "weight": 2.0},
+    "vsc_active": {"feature": "vsc_active_flag", "op": "rising", "threshold": 0.5, "min_duration_s": 0.0, "merge_gap_s": 1.0, "stage": 2, "weight": 2.5},
+    "slip_warn_active": {"feature": "slip_warn", "op": "gt", "threshold": 3.5, "min_duration_s": 0.0, "merge_gap_s": 1.0, "stage": 2, "weight": 2.0},
+    "aeb_active": {"feature": "precollision_active", "op": "rising", "threshold": 0.5, "min_duration_s": 0.0, "merge_gap_s": 1.0, "stage": 2, "weight": 2.5},
+    "panic_brake_pedal": {"feature": "panic_brake_pedal_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.2, "merge_gap_s": 1.0, "stage": 2, "weight": 1.0},
+    "counter_steer": {"feature": "counter_steer_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.2, "merge_gap_s": 1.0, "stage": 2, "weight": 0.3, "gate": _gate(v_mps=10.0, net_heading_win_deg=15.0)},
+    "wheel_speed_anomaly": {"feature": "ws_anomaly_active", "op": "gt", "threshold": 0.5, "min_duration_s": 0.2, "merge_gap_s": 0.3, "stage": 2, "weight": 1.5},
+}

@@ -229,3 +229,11 @@ def stage_funnel(spark, sf):
     s = signals(spark, sf).select(F.col("t").alias("t_start"), (F.col("t") + F.col("v")).alias("t_end"), "v", "channel", "event_id")
     out = cd.funnel(s, {"rules": F.col("v") > 100, "severity": F.col("v") > 250, "priority": F.col("channel") == "error"}, F.col("event_id") % 5 == 0)
     return out.select("stage", "n", F.round("hours", 4).alias("hours"), "positives")
+
+
+@query()
+def shipped_rules(spark, sf):
+    """The shipped rule set over the ticks, their columns renamed to the feature table's; rules whose features the ticks lack are skipped."""
+    t = ticks(spark, sf).withColumnsRenamed({"ay_mps2": "ay_can_mps2", "abs_flag": "abs_active_flag", "vsc_flag": "vsc_active_flag", "yaw_dps": "yaw_rate_dps"})
+    t = t.withColumns({"ay_kin_mps2": F.col("v_mps") * F.radians("yaw_rate_dps"), "net_heading_win_deg": F.abs("yaw_rate_dps") / 2, "steer_rate_dps": F.col("steer_deg"), "thw_s": F.col("lead_m") / F.greatest("v_mps", F.lit(1.0))})
+    return ru.detect(t, ru.SHIPPED).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.max("exceedance"), 6).alias("most"))
