@@ -10,8 +10,8 @@ from drivespan.operators import timegrid as tg
 from drivespan.operators.islands import runs
 from drivespan.operators.joins import overlap_join
 
-#: Confidence items with their weights.
-WEIGHTS = {"strong_beta": 1.0, "unexplained": 1.0, "lateral_force": 1.0, "transient": 1.0, "corroborated": 2.0}
+#: The confidence items' weights. The defaults of stage1, signal_sane, confidence, stage2 and sideslip_candidates are fixed values too.
+WEIGHTS = {"strong_beta": 1.0, "unexplained": 1.0, "lateral_force": 1.0, "transient": 1.0, "corroborated": 1.0}
 GRADES = ["multi", "high", "activation", "physics"]
 
 
@@ -19,7 +19,7 @@ def _held(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def stage1(df: DataFrame, v_min: float = 5.0, beta: float = 2.0, sigma: float = 4.0, ay_residual: float = 3.0, flags: tuple[str, ...] = ("abs_flag", "vsc_flag")) -> DataFrame:
+def stage1(df: DataFrame, v_min: float = 10.0, beta: float = 1.0, sigma: float = 6.0, ay_residual: float = 1.5, flags: tuple[str, ...] = ("abs_flag", "vsc_flag")) -> DataFrame:
     """df with why_beta, why_latdyn, why_flag and stage1: in range and large sideslip in degrees and in sigmas, or lateral dynamics, or a flag."""
     in_range = F.col("beta_model_deg").isNotNull() & _held(F.col("v_mps") >= v_min)
     out = {
@@ -30,14 +30,14 @@ def stage1(df: DataFrame, v_min: float = 5.0, beta: float = 2.0, sigma: float =
     return df.withColumns(out).withColumn("stage1", F.col("why_beta") | F.col("why_latdyn") | F.col("why_flag"))
 
 
-def signal_sane(ay: Column, ay_kin: Column, least: float = 1.0, low: float = 0.5, high: float = 2.0) -> Column:
+def signal_sane(ay: Column, ay_kin: Column, least: float = 0.5, low: float = 0.3, high: float = 2.0) -> Column:
     """Both lateral accelerations known, and small or of one sign and like size."""
     small = ~_held(F.abs(ay_kin) >= least)
     ok = _held((ay * ay_kin > 0) & (ay / F.nullif(ay_kin, F.lit(0.0))).between(low, high))
     return ay.isNotNull() & ay_kin.isNotNull() & (small | ok)
 
 
-def confidence(df: DataFrame, block: str, order: str, rows: int, beta: float = 4.0, excess: float = 3.0, ay: float = 3.0, rate: float = 20.0, flags: tuple[str, ...] = ("abs_flag", "vsc_flag")) -> DataFrame:
+def confidence(df: DataFrame, block: str, order: str, rows: int, beta: float = 3.0, excess: float = 0.5, ay: float = 1.5, rate: float = 8.0, flags: tuple[str, ...] = ("abs_flag", "vsc_flag")) -> DataFrame:
     """df with a mask for each confidence item, widened by `rows`."""
     items = {
         "strong_beta": F.abs("beta_model_deg") >= beta,
@@ -49,7 +49,7 @@ def confidence(df: DataFrame, block: str, order: str, rows: int, beta: float = 4
     return df.withColumns({f"c_{k}": tg.dilate(_held(m), block, order, rows) for k, m in items.items()})
 
 
-def stage2(df: DataFrame, block: str, t: str, dt: float, merge_gap: float, least_s: float, least_sane: float = 0.6, least_score: float = 2.0) -> DataFrame:
+def stage2(df: DataFrame, block: str, t: str, dt: float, merge_gap: float = 0.5, least_s: float = 0.25, least_sane: float = 0.6, least_score: float = 2.0) -> DataFrame:
     """Runs of stage 1, (block, t_start, t_end, score, items, sane_share, verdict): verdict is passed, or the reason for rejection (duration, signal_sane, duration+signal_sane or confidence).
 
     Rows in a gap that a run bridges count for its share of sane rows and its items.
@@ -73,8 +73,8 @@ def reject_counts(judged: DataFrame) -> DataFrame:
     return judged.filter("verdict <> 'passed'").select(F.explode(F.split("verdict", "\\+")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def sideslip_candidates(judged: DataFrame, df: DataFrame, block: str, t: str, pad: float, merge_gap: float, bucket: float = 60.0) -> DataFrame:
-    """Passed runs padded and merged: (block, group, t_start, t_end, score, beta_peak, t_peak, grade). The peak is taken from the cores only, not from the padding."""
+def sideslip_candidates(judged: DataFrame, df: DataFrame, block: str, t: str, pad: float = 2.0, merge_gap: float = 2.0, bucket: float = 60.0, high: float = 5.0, review: float = 3.0) -> DataFrame:
+    """Passed runs padded and merged: (block, group, t_start, t_end, score, beta_peak, t_peak, grade); the grade follows the peak in degrees. The peak is taken from the cores only, not from the padding."""
     from drivespan.operators.islands import merge_intervals
 
     cores = judged.filter("verdict = 'passed'").withColumns({"p0": F.col("t_start") - pad, "p1": F.col("t_end") + pad})
@@ -85,7 +85,7 @@ def sideslip_candidates(judged: DataFrame, df: DataFrame, block: str, t: str, pa
     key = F.when(F.col("beta_model_deg").isNotNull(), F.struct(F.abs("beta_model_deg"), -F.col("t")))
     peaks = rows.groupBy(block, "group").agg(F.max_by("beta_model_deg", key).alias("beta_peak"), F.max_by("t", key).alias("t_peak"))
     out = g.groupBy(block, "group").agg(F.min("p0").alias("t_start"), F.max("p1").alias("t_end"), F.max("score").alias("score"))
-    grade = F.when(F.col("score") >= 4, "high").when(F.col("score") >= 3, "middle").otherwise("low")
+    grade = F.when(F.abs("beta_peak") >= high, "high").when(F.abs("beta_peak") >= review, "review").otherwise("low")
     return out.join(peaks, [block, "group"], "left").withColumn("grade", grade)
 
 

@@ -129,7 +129,7 @@ def feature_profile(spark, sf):
     return ft.profile(ticks(spark, sf), ["v_mps", "ax_mps2", "lead_m"]).withColumn("coverage", F.round("coverage", 6))
 
 
-_S1 = "s1 AS (SELECT *, beta IS NOT NULL AND v_mps >= 5 AND coalesce(abs(beta) >= 2 AND abs(sigma) >= 4, false) AS why_beta, beta IS NOT NULL AND v_mps >= 5 AND coalesce(abs(ay_res) >= 3, false) AS why_latdyn, beta IS NOT NULL AND v_mps >= 5 AND (abs_flag > 0.5 OR vsc_flag > 0.5) AS why_flag FROM f)"
+_S1 = "s1 AS (SELECT *, beta IS NOT NULL AND v_mps >= 10 AND coalesce(abs(beta) >= 1 AND abs(sigma) >= 6, false) AS why_beta, beta IS NOT NULL AND v_mps >= 10 AND coalesce(abs(ay_res) >= 1.5, false) AS why_latdyn, beta IS NOT NULL AND v_mps >= 10 AND (abs_flag > 0.5 OR vsc_flag > 0.5) AS why_flag FROM f)"
 
 
 def _stage1(spark, sf):
@@ -141,10 +141,10 @@ def slip_stage1(spark, sf):
     return _stage1(spark, sf).select("drive", "tick", "why_beta", "why_latdyn", "why_flag", "stage1")
 
 
-_CONF = """cf AS (SELECT *, why_beta OR why_latdyn OR why_flag AS m, ay_mps2 IS NOT NULL AND ay_kin IS NOT NULL AND (NOT coalesce(abs(ay_kin) >= 1, false) OR coalesce(ay_mps2 * ay_kin > 0 AND ay_mps2 / ay_kin BETWEEN 0.5 AND 2, false)) AS sane, coalesce(bool_or(coalesce(abs(beta) >= 4, false)) OVER x, false) AS c1, coalesce(bool_or(coalesce(abs(excess) >= 3, false)) OVER x, false) AS c2,
-coalesce(bool_or(coalesce(abs(ay_kin) >= 3, false)) OVER x, false) AS c3, coalesce(bool_or(coalesce(abs(beta_rate) >= 20, false)) OVER x, false) AS c4, coalesce(bool_or(abs_flag > 0.5 OR vsc_flag > 0.5) OVER x, false) AS c5 FROM s1 WINDOW x AS (PARTITION BY drive ORDER BY tick ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+_CONF = """cf AS (SELECT *, why_beta OR why_latdyn OR why_flag AS m, ay_mps2 IS NOT NULL AND ay_kin IS NOT NULL AND (NOT coalesce(abs(ay_kin) >= 0.5, false) OR coalesce(ay_mps2 * ay_kin > 0 AND ay_mps2 / ay_kin BETWEEN 0.3 AND 2, false)) AS sane, coalesce(bool_or(coalesce(abs(beta) >= 3, false)) OVER x, false) AS c1, coalesce(bool_or(coalesce(abs(excess) >= 0.5, false)) OVER x, false) AS c2,
+coalesce(bool_or(coalesce(abs(ay_kin) >= 1.5, false)) OVER x, false) AS c3, coalesce(bool_or(coalesce(abs(beta_rate) >= 8, false)) OVER x, false) AS c4, coalesce(bool_or(abs_flag > 0.5 OR vsc_flag > 0.5) OVER x, false) AS c5 FROM s1 WINDOW x AS (PARTITION BY drive ORDER BY tick ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
 rh AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY drive ORDER BY tick) > 0.15 THEN 1 ELSE 0 END AS nw FROM cf WHERE m), ri AS (SELECT *, sum(nw) OVER (PARTITION BY drive ORDER BY tick) AS run FROM rh), sp AS (SELECT drive, run, min(t) AS t_start, max(t) AS t_end FROM ri GROUP BY drive, run),
-jd AS (SELECT s.drive, s.run, s.t_start, s.t_end, avg(c.sane::INT) AS share, max(c1::INT) + max(c2::INT) + max(c3::INT) + max(c4::INT) + 2 * max(c5::INT) AS score FROM sp s JOIN cf c ON c.drive = s.drive AND c.t BETWEEN s.t_start AND s.t_end GROUP BY ALL)"""
+jd AS (SELECT s.drive, s.run, s.t_start, s.t_end, avg(c.sane::INT) AS share, max(c1::INT) + max(c2::INT) + max(c3::INT) + max(c4::INT) + max(c5::INT) AS score FROM sp s JOIN cf c ON c.drive = s.drive AND c.t BETWEEN s.t_start AND s.t_end GROUP BY ALL)"""
 
 
 def _judged(spark, sf):
