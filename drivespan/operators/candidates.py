@@ -8,7 +8,7 @@ from drivespan.operators.islands import merge_intervals
 from drivespan.operators.joins import overlap_join, points_in
 
 #: Padding, merge gap, cap and bonus of the scoring.
-SCORING = {"window_pad_s": 2.0, "merge_gap_s": 1.0, "max_severity_per_event": 3.0, "cooccurrence_bonus": 0.5}
+SCORING = {"window_pad_s": 2.0, "merge_gap_s": 2.0, "max_severity_per_event": 3.0, "cooccurrence_bonus": 0.5}
 
 
 def event_severity(cap: float | None) -> Column:
