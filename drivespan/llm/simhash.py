@@ -20,6 +20,8 @@ from drivespan.llm.components import connected_components
 from drivespan.llm.shared import slices, word_lists, written
 
 SEED = 42
+#: Text bytes that are fingerprinted at once.
+SLICE = 2 << 20
 #: A bucket with more fingerprints than this is cut into slots of about SLOT fingerprints.
 SMALL_BUCKET, SLOT = 64, 1024
 
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words, counts = word_lists(part.column("text"))
                 fp = majority(*shingle_hashes(words, counts, width))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64)), pa.array(counts)], ["id", "fp", "n_words"])
