@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-A window of `size` words has a 64-bit fingerprint: the signs of the summed +-weights of its words. Documents
+A window of `size` words has a 64-bit fingerprint: the signs of its words' summed hash bits, weighted by length. Documents
 are read in windows that start at every stride-th word; an item of W words gets a size and stride from its own length,
 such that wherever a copy of it starts, one of the document's windows lies wholly inside the copy and equals one of
 the item's own windows of that size. Fingerprints are cut into three blocks; two within RADIUS bits have a block
@@ -45,27 +45,39 @@ def window_of(words: int) -> tuple[int, int]:
     return best, max(1, best // 7)
 
 
-def _signs(kinds: list[str]) -> np.ndarray:
-    """For each distinct word its row of 64 signed weights."""
+def _weights(kinds: list[str], lane: type) -> np.ndarray:
+    """For each distinct word 64 lanes of lane's width, packed into 64-bit words: its weight where its hash has a bit set; and a last column, the weight itself."""
     h = np.fromiter((xxhash.xxh64_intdigest(w) for w in kinds), np.uint64, len(kinds))
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
-    weight = np.fromiter((1 if len(w) <= SHORT else LONG for w in kinds), np.int8, len(kinds))
-    return (2 * bits - 1) * weight[:, None]
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(lane)
+    weight = np.fromiter((1 if len(w) <= SHORT else LONG for w in kinds), lane, len(kinds))
+    return np.concatenate([(bits * weight[:, None]).view(np.uint64), weight.astype(np.uint64)[:, None]], axis=1)
 
 
-def _running(signs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Running sums over the words, first row zero. They wrap around; differences over a window don't matter by that, as windows are short."""
-    out = np.zeros((len(at) + 1, 64), np.int16)
-    np.cumsum(signs[at], axis=0, dtype=np.int16, out=out[1:])
-    return out
+class _Running:
+    """Running sums of a text's word weights, first row zero.
 
+    Lanes overflow into each other and sums wrap around, yet the difference over a window is exact as long as the window's own
+    sums fit their lanes; windows too long for 8-bit lanes get 16-bit ones.
+    """
 
-def _prints(running: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    out = np.empty(len(starts), np.uint64)
-    for a in range(0, len(starts), 1 << 16):
-        s = starts[a : a + (1 << 16)]
-        out[a : a + len(s)] = np.packbits(running[s + size] - running[s] > 0, axis=1).view(">u8").ravel()
-    return out
+    def __init__(self, kinds: list[str], at: np.ndarray):
+        self.kinds, self.at, self.sums = kinds, at, {}
+
+    def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the windows of `size` words from each start: a bit is set where words with it hold over half the weight."""
+        lane = np.uint8 if size * LONG < 256 else np.uint16
+        if lane not in self.sums:
+            rows = _weights(self.kinds, lane)[self.at]
+            self.sums[lane] = np.zeros((len(self.at) + 1, rows.shape[1]), np.uint64)
+            np.cumsum(rows, axis=0, out=self.sums[lane][1:])
+        sums = self.sums[lane]
+        out = np.empty(len(starts), np.uint64)
+        for a in range(0, len(starts), 1 << 14):
+            s = starts[a : a + (1 << 14)]
+            own = sums[s + size] - sums[s]
+            half = (own[:, -1:] // np.uint64(2)).astype(lane)
+            out[a : a + len(s)] = np.packbits(np.ascontiguousarray(own[:, :-1]).view(lane) > half, axis=1).view(">u8").ravel()
+        return out
 
 
 def _shingles(words: list[str]) -> Counter:
@@ -91,7 +103,7 @@ class Index:
             size, _ = window_of(len(words))
             kinds, at = coded(pa.array(words, pa.large_string()))
             offsets = np.arange(len(words) - size + 1)
-            by_size.setdefault(size, []).append((_prints(_running(_signs(kinds), at), offsets, size), np.full(len(offsets), k), offsets))
+            by_size.setdefault(size, []).append((_Running(kinds, at).prints(offsets, size), np.full(len(offsets), k), offsets))
         self.sizes = {}
         for size, parts in by_size.items():
             fp, item, offset = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -123,7 +135,7 @@ class Index:
         """(text, item_id, first word, similarity): for each text and item the most similar passage, if it is similar enough."""
         words, counts = word_lists(texts)
         kinds, at = coded(words)
-        running = _running(_signs(kinds), at)
+        running = _Running(kinds, at)
         first = np.cumsum(counts) - counts
         best: dict[tuple[int, int], tuple[float, int]] = {}
         seen: set[tuple[int, int, int]] = set()
@@ -133,7 +145,7 @@ class Index:
             n[counts < size] = 0
             text = np.repeat(np.arange(len(counts)), n)
             starts = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
-            window, entry = self.near(size, _prints(running, starts, size))
+            window, entry = self.near(size, running.prints(starts, size))
             for t, s, e in zip(text[window].tolist(), starts[window].tolist(), entry.tolist(), strict=True):
                 k = int(item[e])
                 begin = max(s - int(offset[e]), int(first[t]))
