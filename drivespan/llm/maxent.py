@@ -34,6 +34,7 @@ RATE, BATCH = 0.3, 1 << 14
 #: Shards in which the changes of the weights are averaged.
 SHARDS = 32
 END = b"\n"
+SIGNS = frozenset(b"$%&*#|!")
 LOG10 = 1 / math.log(10)
 
 
@@ -44,7 +45,7 @@ def hashes(kinds: list[bytes]) -> np.ndarray:
 def form_class(word: bytes) -> int:
     """A class from a word's letters: its group from rare letters or signs or else its last two letters, its member from its last three."""
     bare = word.rstrip(b".,;:!?")
-    if any(c in b"$%&*#|!" for c in word[-3:]):
+    if not SIGNS.isdisjoint(word[-3:]):
         group = 4
     elif not bare.isascii():
         text = bare.decode()
@@ -108,7 +109,16 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    head = [tuple(r) for r in counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()]
+    # the head is what reaches a count that at most HEAD words reach; a histogram of counts, a few hundred rows, tells which
+    level = F.floor(F.log2("c") * 32)
+    hist = sorted(((r.k, r["count"]) for r in counts.groupBy(level.alias("k")).count().collect()), reverse=True)
+    least, words = math.inf, 0
+    for k, n in hist:
+        words += n
+        if words > HEAD:
+            break
+        least = k
+    head = sorted((tuple(r) for r in counts.filter(level >= F.lit(float(least))).collect()), key=lambda x: (-x[2], x[0]))
     classes = [tuple(r) for r in counts.groupBy("cls").agg(F.sum("c"), F.count("*")).collect()]
     return Vocabulary(total.n or 0, total.v, head, classes)
 
@@ -133,7 +143,7 @@ class Tokens:
         back = lambda x, k: np.where(place >= k, np.roll(x, k), -1)
         w1, w2 = back(word, 1), back(word, 2)
         groups = (back(group, 1) + 1) * 289 + (back(group, 2) + 1) * 17 + back(group, 3) + 1
-        mix = lambda x, k: ((x * 0x5851F42D4C957F2D + k * 0x14057B7EF767814F) >> 33) % (BUCKETS - 1) + 1
+        mix = lambda x, k: ((x * 0x5851F42D4C957F2D + k * 0x14057B7EF767814F) >> 33) & (BUCKETS - 1)
         with np.errstate(over="ignore"):
             self.features = np.stack([np.zeros(n, np.int64), mix(w1, 1), mix(w2, 2), mix(w1 * 31 + w2, 3), mix(groups, 4)], axis=1)
 
@@ -177,10 +187,12 @@ class Weights:
             p[i, cls // MEMBERS] -= 1
             q[i, cls % MEMBERS] -= 1
             for table, sums, grad, at in ((self.group, seen.group, p, f), (self.member, seen.member, q, rows)):
-                own, back = np.unique(at, return_inverse=True)
-                back = back.reshape(at.shape)
-                order = np.argsort(back.ravel(), kind="stable")
-                total = np.add.reduceat(grad[order // FEATURES], np.searchsorted(back.ravel()[order], np.arange(len(own))), axis=0) / math.sqrt(len(cls))
+                flat = at.ravel().astype(np.uint16)  # both tables have at most 2**16 rows, and 16-bit keys are radix-sorted
+                order = np.argsort(flat, kind="stable")
+                held = flat[order]
+                first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+                own = held[first].astype(np.int64)
+                total = np.add.reduceat(grad[order // FEATURES], first, axis=0) / math.sqrt(len(cls))
                 sums[own] += total * total
                 table[own] -= RATE * total / np.sqrt(sums[own] + 1e-6)
 
@@ -268,7 +280,7 @@ def scored(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights:
     v = vocabulary
     whole = v.total + 0.5 * (v.distinct + 1)
     of_class = F.array(*(F.lit(float(x)) for x in v.class_total + 0.5 * (v.class_words + 1)))
-    rare = counts.select("h", "c").filter(F.col("c") <= (int(v.c.min()) if len(v.h) else 0))
+    rare = counts.select("h", "c").filter(F.col("c") <= int(v.c.min())) if len(v.h) else counts.select("h", "c")
     c = F.coalesce("c", F.lit(0))
     met = tail.join(rare.hint("shuffle_hash"), "h", "left").select("row", (F.col("tf") * F.log10((c + 0.5) / whole)).alias("base"), (F.col("tf") * F.log10((c + 0.5) / F.get(of_class, F.col("cls").cast("int")))).alias("own"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
     sums = met.groupBy("row").agg(F.sum("base").alias("t_base"), F.sum("own").alias("t_own"), F.sum("known").alias("t_known"))
