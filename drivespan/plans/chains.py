@@ -95,9 +95,9 @@ def behaviour_after(spark, sf):
     return rp.before_after(_brakes(spark, sf), ticks(spark, sf), "drive", "t", "yaw_dps", 0.5, 0.5, 1.0).select("id", F.round("rms_before", 5).alias("rms_before"), F.round("rms_after", 5).alias("rms_after"))
 
 
-@query(f"""WITH {TICKS}, r AS (SELECT * FROM ticks WHERE ay_mps2 IS NOT NULL), p AS (SELECT drive, arg_max(t, (abs(ay_mps2), -t)) AS tp, max(abs(ay_mps2)) AS m FROM r GROUP BY drive), o AS (SELECT r.drive, max(t) FILTER (WHERE abs(ay_mps2) < 0.5 * m) AS t0 FROM r JOIN p ON p.drive = r.drive WHERE t < tp GROUP BY r.drive) SELECT p.drive, round(tp, 5) AS t_peak, round(t0, 5) AS t_onset, t0 IS NULL AS censored FROM p LEFT JOIN o ON o.drive = p.drive""")
+@query(f"""WITH {TICKS}, r AS (SELECT * FROM ticks WHERE ay_mps2 IS NOT NULL), p AS (SELECT drive, arg_max(t, (abs(ay_mps2), -t)) AS tp, max(abs(ay_mps2)) AS m FROM r GROUP BY drive), o AS (SELECT r.drive, max(t) FILTER (WHERE abs(ay_mps2) < 0.4737 * m) AS t0 FROM r JOIN p ON p.drive = r.drive WHERE t < tp GROUP BY r.drive) SELECT p.drive, round(tp, 5) AS t_peak, round(t0, 5) AS t_onset, t0 IS NULL AS censored FROM p LEFT JOIN o ON o.drive = p.drive""")
 def event_onsets(spark, sf):
-    return rp.onset(ticks(spark, sf).filter("ay_mps2 is not null"), "drive", "t", "ay_mps2").select("drive", F.round("t_peak", 5).alias("t_peak"), F.round("t_onset", 5).alias("t_onset"), "censored")
+    return rp.onset(ticks(spark, sf).filter("ay_mps2 is not null"), "drive", "t", "ay_mps2", 0.4737).select("drive", F.round("t_peak", 5).alias("t_peak"), F.round("t_onset", 5).alias("t_onset"), "censored")
 
 
 @query(f"""WITH {TICKS}, p AS (SELECT drive, arg_max(t, (v_mps, -t)) AS tp, max(v_mps) AS m FROM ticks GROUP BY drive), e AS (SELECT k.drive, max(t) FILTER (WHERE v_mps <= 0.5 * m AND t < tp) AS a, min(t) FILTER (WHERE v_mps <= 0.5 * m AND t > tp) AS b FROM ticks k JOIN p ON p.drive = k.drive GROUP BY k.drive) SELECT k.drive, round(min(t), 5) AS t_start, round(max(t), 5) AS t_end FROM ticks k JOIN e ON e.drive = k.drive WHERE (a IS NULL OR t > a) AND (b IS NULL OR t < b) GROUP BY k.drive""")
