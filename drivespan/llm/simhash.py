@@ -3,6 +3,10 @@
 A 64-bit fingerprint is split into blocks. Two fingerprints that differ in at most `radius`
 bits agree on all but `radius` of the blocks, so a key for every choice of `agree` =
 blocks - radius blocks puts each such pair under at least one common key.
+
+similar_dedup() finds texts by the similarity of their five-word shingles instead. At 0.8 two fingerprints of 64 bits
+differ in 9.7 bits on average, too many for blocks of their bits, so its blocks are bands of least shingle hashes; the
+Hamming radius only sorts out chance meetings, and every link is verified by exact similarity.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drivespan.llm.components import connected_components
-from drivespan.llm.shared import slices, word_lists, written
+from drivespan.llm.shared import ragged, slices, word_lists, written
 
 SEED = 42
 #: Text bytes that are fingerprinted at once.
@@ -25,6 +29,15 @@ SLICE = 2 << 20
 #: A bucket with more fingerprints than this is cut into slots of about SLOT fingerprints.
 SMALL_BUCKET, SLOT = 64, 1024
 
+#: Shingle width and Jaccard similarity from which two texts are near copies.
+WIDTH, SIMILAR = 5, 0.8
+#: Bands of ROWS least hashes each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996.
+BANDS, ROWS = 20, 5
+#: At similarity 0.8 a bit differs with probability acos(1.6 / 1.8) / pi = 0.15, so more than 24 of 64 do in a few of a million pairs.
+RADIUS = 24
+#: A bucket with more texts than SMALL_BAND is cut into slots of about SLOT texts and SLOT_SHINGLES shingles.
+SMALL_BAND, SLOT_SHINGLES = 8, 1 << 20
+
 
 def shingle_hashes(words: pa.Array, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every shingle of the texts, and the number of shingles of each text."""
@@ -157,3 +170,145 @@ def near_dedup(docs: DataFrame, width: int = 3, radius: int = 3, agree: int = 2)
     prints = written(fingerprints(docs, width), "simhash-prints")
     gone = groups(prints, radius, agree).filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def distinct_shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in ascending order, their number, and a signature: equal for equal sets, 0 for no words."""
+    hashes, per = shingle_hashes(*word_lists(texts), width)
+    owner = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    kept = np.ones(len(hashes), bool)
+    kept[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, per = hashes[kept], np.bincount(owner[kept], minlength=len(per))
+    bounds = np.concatenate([[0], np.cumsum(per)])
+    flat = hashes.tobytes()
+    own = (xxhash.xxh64_intdigest(flat[8 * a : 8 * b], SEED) if b > a else 0 for a, b in zip(bounds, bounds[1:], strict=False))
+    return hashes, per, np.fromiter(own, np.uint64, len(per))
+
+
+def band_keys(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """BANDS keys for each run of hashes, from ROWS least hashes each; runs must not be empty."""
+    starts = np.cumsum(per) - per
+    rng = np.random.default_rng(SEED)
+    top = np.iinfo(np.uint64).max
+    out = np.empty((len(per), BANDS), np.uint64)
+    for k in range(BANDS):
+        key = np.full(len(per), k, np.uint64)
+        for _ in range(ROWS):
+            mask, odd = rng.integers(0, top, 2, np.uint64, endpoint=True)
+            key = (key ^ np.minimum.reduceat((hashes ^ mask) * (odd | np.uint64(1)), starts)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, k] = key
+    return out
+
+
+def shingle_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, sig, fp, n, keys): of each text's distinct shingles the signature, SimHash, number and band keys (none without words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                hashes, per, sig = distinct_shingles(part.column("text"), width)
+                some = per > 0
+                keys = band_keys(hashes, per[some]).ravel() if some.any() else np.empty(0, np.uint64)
+                offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sig.view(np.int64)), pa.array(majority(hashes, per).view(np.int64)), pa.array(per.astype(np.int64)), keys], ["id", "sig", "fp", "n", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, sig long, fp long, n long, keys array<long>")
+
+
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(sig, shingles) of the texts of docs (text): one row for each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                hashes, per, sig = distinct_shingles(part.column("text"), width)
+                offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["sig", "shingles"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+
+
+def _similar_forest(ids: np.ndarray, fp: np.ndarray, flat: np.ndarray, per: np.ndarray, radius: int, similar: float) -> tuple[list, list]:
+    """Links that connect whatever hangs together by exact Jaccard similarity of the shingle sets (flat, per)."""
+    kinds, codes = np.unique(flat, return_inverse=True)
+    starts = np.cumsum(per) - per
+    held = np.zeros(len(kinds), bool)
+    left = np.arange(len(ids))
+    a, b = [], []
+    stack: list[int] = []
+    while len(left):
+        if not stack:
+            stack, left = [int(left[0])], left[1:]
+            continue
+        i = stack.pop()
+        own = codes[starts[i] : starts[i] + per[i]]
+        held[own] = True
+        near = np.bitwise_count(fp[left] ^ fp[i]) <= radius
+        met = left[near]
+        if len(met):
+            both = np.add.reduceat(held[codes[ragged(starts[met], per[met])]], np.cumsum(per[met]) - per[met], dtype=np.int64)
+            near[near] = both >= similar * (per[met] + per[i] - both)
+        held[own] = False
+        found, left = left[near], left[~near]
+        stack.extend(found.tolist())
+        a.extend([int(ids[i])] * len(found))
+        b.extend(ids[found].tolist())
+    return a, b
+
+
+def similar_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(u, v): links between ids that connect the texts of reps (sig, id, fp, n, keys) whose shingle sets are similar enough.
+
+    Of buckets with the same members one is kept. The members of small ones are paired, each pair is met once and verified;
+    in larger ones every two slots meet in a task of bounded size that gives a spanning forest of the verified links.
+    """
+    keyed = reps.select("sig", "n", F.explode("keys").alias("key"))
+    same = F.struct(F.min("sig"), F.max("sig"), F.bit_xor(F.xxhash64("sig")), F.count("*"))
+    sizes = keyed.groupBy("key").agg(same.alias("same"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+    buckets = sizes.groupBy("same").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("shingles").alias("shingles")).drop("same")
+    members = reps.select("sig", "id", "fp", F.explode("keys").alias("key")).join(buckets.hint("merge"), "key")
+    members = written(members, "similar-buckets")
+    texts = docs.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sets = written(_shingle_sets(texts, width), "similar-sets")
+
+    small = members.filter(f"size <= {SMALL_BAND}")
+    a, b = (small.select("key", F.col("sig").alias(f"sig_{x}"), F.col("fp").alias(f"fp_{x}"), F.col("id").alias(x)) for x in "uv")
+    pairs = a.join(b, "key").filter("u < v").filter(F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= radius).select("sig_u", "sig_v", "u", "v").distinct()
+    for x in "uv":
+        pairs = pairs.join(sets.select(F.col("sig").alias(f"sig_{x}"), F.col("shingles").alias(f"shingles_{x}")).hint("merge"), f"sig_{x}")
+    pairs = pairs.select("u", "v", F.size(F.array_intersect("shingles_u", "shingles_v")).alias("both"), (F.size("shingles_u") + F.size("shingles_v")).alias("all"))
+    pairs = pairs.filter(F.col("both") >= similar * (F.col("all") - F.col("both"))).select("u", "v")
+
+    slots = F.greatest(F.ceil(F.col("size") / SLOT), F.ceil(F.col("shingles") / SLOT_SHINGLES))
+    own = F.pmod(F.xxhash64("sig"), slots)
+    large = members.filter(f"size > {SMALL_BAND}").select("key", "sig", "fp", "id", own.alias("s"), slots.alias("m"))
+    met = large.select("key", "sig", "fp", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("o"), "s").select("key", "sig", "fp", "id", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
+
+    def forest(table: pa.Table) -> pa.Table:
+        col = lambda c: table.column(c).to_numpy()
+        shingles = table.column("shingles").combine_chunks()
+        per = pc.list_value_length(shingles).to_numpy(zero_copy_only=False).astype(np.int64)
+        u, v = _similar_forest(col("id"), col("fp").view(np.uint64), shingles.flatten().to_numpy(zero_copy_only=False), per, radius, similar)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    forests = met.join(sets.hint("merge"), "sig").groupBy("key", "i", "j").applyInArrow(forest, "u long, v long")
+    return pairs.unionByName(forests)
+
+
+def similar_dedup(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """docs without all but the least doc_id of each group that links of exact shingle similarity, from `similar` up, connect.
+
+    Texts are compared as sets of shingles of `width` words; fewer words are one shingle, texts without words are copies of each other.
+    Rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
+    """
+    prints = written(shingle_prints(docs.filter("doc_id is not null"), width), "similar-prints")
+    first = prints.groupBy("sig").agg(F.min_by(F.struct("id", "fp", "n", "keys"), "id").alias("r")).select("sig", "r.*")
+    reps = written(first, "similar-distinct")
+    nodes = connected_components(similar_links(docs, reps, width, similar, radius))
+    named = reps.join(nodes.withColumnRenamed("node", "id"), "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
+    gone = prints.select("id", "sig").join(named.hint("merge"), "sig").filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from drivespan.llm import decontam, line_dedup, registry, shared, simhash
 from drivespan.llm.components import connected_components
 
@@ -165,3 +166,28 @@ def test_op10_rows(spark, sf_dir):
     assert len(got) == len(docs)
     for r in docs.itertuples():
         assert got.loc[r.doc_id, "fingerprint"] == f"{brute_print(r.text):016x}"
+
+
+def test_similar_dedup_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    say = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    rows = []
+    for k in range(60):  # pairs and chains with one word in about 80 replaced, inserted or deleted: similarity about 0.8
+        base = say(int(rng.integers(45, 300)))
+        for _ in range(3 if k else 30):
+            copy = base.copy()
+            for at in rng.choice(len(base), max(1, len(base) // 80), replace=False):
+                copy[at] = [f"x{rng.integers(9**6)}", f"{copy[at]} y{rng.integers(9**6)}", ""][int(rng.integers(3))]
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), ""), (len(rows) + 1, "too short"), (len(rows) + 2, "Too  short")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for _, t in rows)]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    comp = union_find(len(rows), near)
+    assert len(near) > 150
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").withColumn("sig", F.lit("clash"))
+    want = {i for i in range(len(rows)) if comp[i] == i} | {None}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()} == want
+    monkeypatch.setattr(simhash, "SMALL_BAND", 2)
+    monkeypatch.setattr(simhash, "SLOT_SHINGLES", 3000)
+    assert {r.doc_id for r in simhash.similar_dedup(docs).collect()} == want
+    assert simhash.similar_dedup(docs.limit(0)).count() == 0
