@@ -5,7 +5,12 @@ are read in windows that start at every stride-th word; an item of W words gets
 such that wherever a copy of it starts, one of the document's windows lies wholly inside the copy and equals one of
 the item's own windows of that size. Fingerprints are cut into three blocks; two within RADIUS bits have a block
 within RADIUS // 3 bits, so tables of all such block values pass every fingerprint within the radius.
-What passes is compared bit by bit, and at last by exact weighted-shingle similarity.
+What passes is compared bit by bit.
+
+At similarity 0.8 about a quarter of the bits may differ, as a copy may have words inserted, deleted or replaced; no block is
+of use at that radius. So a second sieve, which misses nothing, looks for an item's rarest shingles of over a fifth of its weight: a
+passage as similar as that holds one of them. Either sieve's pairs of text and item are verified by exact weighted-shingle
+similarity, over all passages of the text whatever their length.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from drivespan.llm.shared import coded, slices, word_lists
+from drivespan.llm.shared import coded, ragged, slices, word_lists
 
 RADIUS = 8
 SHINGLE, SIMILAR = 5, 0.8
@@ -92,8 +97,19 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+def _hashes(kinds: list[str], at: np.ndarray) -> np.ndarray:
+    """A hash of the SHINGLE words from each place on."""
+    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in kinds), np.uint64, len(kinds))[at]
+    n = max(len(own) - SHINGLE + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        out = (out ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Index:
-    """The items of one pass: their window fingerprints by size, and for each size the block tables."""
+    """The items of one pass: their window fingerprints by size, for each size the block tables, and their rarest shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words = [(i, w) for i, t in items if (w := word_lists(pa.array([t]))[0].to_pylist())]
@@ -108,6 +124,78 @@ class Index:
         for size, parts in by_size.items():
             fp, item, offset = (np.concatenate([p[i] for p in parts]) for i in range(3))
             self.sizes[size] = (fp, item, offset, [self._table(fp, low, width) for low, width in BLOCKS])
+        self._anchor()
+
+    def _anchor(self) -> None:
+        """own: each item's shingle hashes in order, their weights and repeats; anchors: hashes of the rarest ones in order, and who has them."""
+        self.own = []
+        for _, words in self.words:
+            kinds, at = coded(pa.array(words, pa.large_string()))
+            letters = np.cumsum([0, *map(len, words)])
+            h, where, n = np.unique(_hashes(kinds, at), return_index=True, return_counts=True)
+            self.own.append((h, n * (letters[where + SHINGLE] - letters[where]), n))
+        seen, held = np.unique(np.concatenate([np.empty(0, np.uint64), *(h for h, _, _ in self.own)]), return_counts=True)
+        parts = []
+        for k, (h, weight, _) in enumerate(self.own):
+            order = np.lexsort((-weight, held[np.searchsorted(seen, h)]))
+            total = np.cumsum(weight[order])
+            most = int((total <= (1 - SIMILAR) * weight.sum() + 1e-6).sum()) + 1
+            parts.append((h[order[:most]], np.full(len(order[:most]), k)))
+        anchors, item = (np.concatenate([np.empty(0, t), *(p[i] for p in parts)]).astype(t) for i, t in enumerate((np.uint64, np.int64)))
+        order = np.argsort(anchors, kind="stable")
+        self.anchors, self.anchored = anchors[order], item[order]
+        self.held = np.zeros(1 << 22, bool)
+        self.held[self.anchors >> np.uint64(42)] = True
+
+    def anchored_pairs(self, hashes: np.ndarray, text: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) of all texts that hold one of an item's rarest shingles."""
+        open_ = np.flatnonzero(self.held[hashes >> np.uint64(42)])
+        low, high = (np.searchsorted(self.anchors, hashes[open_], side) for side in ("left", "right"))
+        open_, low, n = open_[high > low], low[high > low], (high - low)[high > low]
+        out: set[tuple[int, int]] = set()
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(open_):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
+            code = np.unique(np.repeat(text[open_[a:b]], n[a:b]) * len(self.words) + self.anchored[ragged(low[a:b], n[a:b])])
+            out.update(zip((code // len(self.words)).tolist(), (code % len(self.words)).tolist(), strict=True))
+            a = b
+        return out
+
+    def passage(self, k: int, hashes: np.ndarray, letters: np.ndarray, words) -> tuple[float, int] | None:
+        """(similarity, first word) of a text's passage most similar to item k, if it is similar enough.
+
+        hashes: of the text's shingles; letters: running sums over its words; words: gives the words of a range. A best
+        passage begins and ends with shingles of the item, and where the item's shingles go on, so does it, unless there are more of a kind than the item has.
+        """
+        own, weight, n = self.own[k]
+        at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        match = own[at] == hashes
+        all_ = int(weight.sum())
+        found = np.bincount(at[match], minlength=len(own))
+        if weight[found > 0].sum() < SIMILAR * all_ - 1e-6:
+            return None
+        inner = match & (found <= n)[at]
+        begins = np.flatnonzero(match & ~np.concatenate([[False], inner[:-1]]))
+        ends = np.flatnonzero(match & ~np.concatenate([inner[1:], [False]])) + 1
+        each = letters[SHINGLE:] - letters[:-SHINGLE]
+        whole, met = (np.concatenate([[0], np.cumsum(x)]) for x in (each, each * match))
+        low = np.searchsorted(whole[ends], whole[begins] + SIMILAR * all_ - 1e-6)
+        high = np.searchsorted(whole[ends], whole[begins] + all_ / SIMILAR + 1e-6, "right")
+        b, e = np.repeat(begins, np.maximum(high - low, 0)), ends[ragged(low, np.maximum(high - low, 0))]
+        both = np.minimum(met[e] - met[b], all_)
+        bound = both / (all_ + whole[e] - whole[b] - both)
+        kept = np.flatnonzero(bound >= SIMILAR)
+        best = None
+        for i in kept[np.lexsort((e[kept], b[kept], -bound[kept]))].tolist():
+            if best and bound[i] < best[0]:
+                break
+            if best and bound[i] == best[0] and b[i] >= -best[1]:
+                continue
+            sim = similarity(self.shingles[k], _shingles(words(int(b[i]), int(e[i]) + SHINGLE - 1)))
+            if sim >= SIMILAR and (best is None or (sim, -int(b[i])) > best):
+                best = sim, -int(b[i])
+        return best and (best[0], -best[1])
 
     @staticmethod
     def _table(fp: np.ndarray, low: int, width: int) -> np.ndarray:
@@ -139,6 +227,7 @@ class Index:
         first = np.cumsum(counts) - counts
         best: dict[tuple[int, int], tuple[float, int]] = {}
         seen: set[tuple[int, int, int]] = set()
+        pairs: set[tuple[int, int]] = set()
         for size, (_, item, offset, _) in self.sizes.items():
             stride = max(1, size // 7)
             n = np.maximum((counts - size) // stride + 1, 0)
@@ -148,6 +237,9 @@ class Index:
             window, entry = self.near(size, running.prints(starts, size))
             for t, s, e in zip(text[window].tolist(), starts[window].tolist(), entry.tolist(), strict=True):
                 k = int(item[e])
+                if len(self.words[k][1]) >= SHINGLE:
+                    pairs.add((t, k))
+                    continue
                 begin = max(s - int(offset[e]), int(first[t]))
                 if (t, k, begin) in seen:
                     continue
@@ -156,13 +248,25 @@ class Index:
                 sim = similarity(self.shingles[k], _shingles([kinds[i] for i in at[begin:end].tolist()]))
                 if sim >= SIMILAR and (sim, -begin) > best.get((t, k), (0.0, 0)):
                     best[t, k] = (sim, -begin)
+        hashes = _hashes(kinds, at)
+        last = first + counts - SHINGLE + 1
+        text = np.repeat(np.arange(len(counts)), counts)[: len(hashes)]
+        inside = np.flatnonzero(np.arange(len(hashes)) < last[text])
+        pairs |= self.anchored_pairs(hashes[inside], text[inside])
+        letters = np.concatenate([[0], np.cumsum(np.fromiter(map(len, kinds), np.int64, len(kinds))[at])])
+        for t, k in sorted(pairs):
+            a, b = int(first[t]), int(last[t])
+            if b > a:
+                found = self.passage(k, hashes[a:b], letters[a : b + SHINGLE], lambda i, j, a=a: [kinds[x] for x in at[a + i : a + j].tolist()])
+                if found:
+                    best[t, k] = (found[0], -found[1] - a)
         return [(t, self.words[k][0], -b - int(first[t]), sim) for (t, k), (sim, b) in sorted(best.items())]
 
 
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, similarity): for each document and benchmark item the most similar passage, from SIMILAR up.
 
-    start is the passage's first word, counted from 0. Letters A-Z are lower-cased, words are what white space parts.
+    start is the passage's first word, counted from 0; a passage may have more or fewer words than the item. Letters A-Z are lower-cased, words are what white space parts.
     Null texts and texts or items without words match nothing; items of fewer than SHINGLE words must match whole; rows that repeat a doc_id give
     rows of their own; an empty table on either side gives none. Items with a null item_id are read like any other.
     """

@@ -191,3 +191,37 @@ def test_similar_dedup_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SLOT_SHINGLES", 3000)
     assert {r.doc_id for r in simhash.similar_dedup(docs).collect()} == want
     assert simhash.similar_dedup(docs.limit(0)).count() == 0
+
+
+def test_decontamination_finds_altered_passages():
+    rng = np.random.default_rng(6)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfghk" for b in "aeiou" for c in ("lin", "tor", "mas", "ped", "x", "rent")]
+    say = lambda n: rng.choice(vocabulary, n).tolist()
+    items, texts, want = [], [], []
+    for k in range(240):
+        w = say(int(rng.choice([12, 45, 47, 59, 120, 250])))
+        at, copy = int(rng.integers(1, len(w))), list(w)
+        run = max(1, int(len(w) * rng.choice([0.01, 0.05, 0.07, 0.1, 0.15])))
+        copy[at : at + [0, run, run][k % 3]] = [say(run), say(run), []][k % 3]  # inserted, replaced, deleted
+        before = say(int(rng.integers(0, 40)))
+        items.append((k, " ".join(w)))
+        texts.append(" ".join([*before, *copy, *say(int(rng.integers(0, 40)))]))
+        want.append(decontam.similarity(decontam._shingles(w), decontam._shingles(copy)))
+    got = {(t, i): (start, sim) for t, i, start, sim in decontam.Index(items).hits(pa.array(texts))}
+    assert sum(x >= 0.8 for x in want) > 100 and sum(x < 0.75 for x in want) > 20
+    for k, x in enumerate(want):
+        if x >= 0.8:
+            assert got[k, k][1] >= x
+    for (t, i), (start, sim) in got.items():  # all passages by brute force, for the shorter ones
+        words_, own = texts[t].split(), decontam._shingles(items[i][1].split())
+        n = len(items[i][1].split())
+        if n <= 60:
+            all_ = [(decontam.similarity(own, decontam._shingles(words_[b : b + m])), -b) for b in range(len(words_)) for m in range(max(5, n - n // 3), n + n // 3 + 1) if b + m <= len(words_)]
+            assert (sim, -start) == max(all_)
+
+
+def test_decontamination_with_repeated_shingles():
+    item = ("one two three four five six " * 4 + "seven eight nine ten eleven twelve").split()
+    text = ["x"] * 9 + ("one two three four five six " * 9 + "seven eight nine ten eleven twelve").split() + ["y"] * 9
+    got = decontam.Index([(7, " ".join(item)), (8, "a b c d e f"), (9, "tiny")]).hits(pa.array([" ".join(text), "", "a b c d e g", None, "A b c d e f tiny"]))
+    assert got == [(0, 7, 9 + 30, 1.0), (4, 8, 0, 1.0), (4, 9, 6, 1.0)]
