@@ -225,3 +225,14 @@ def test_decontamination_with_repeated_shingles():
     text = ["x"] * 9 + ("one two three four five six " * 9 + "seven eight nine ten eleven twelve").split() + ["y"] * 9
     got = decontam.Index([(7, " ".join(item)), (8, "a b c d e f"), (9, "tiny")]).hits(pa.array([" ".join(text), "", "a b c d e g", None, "A b c d e f tiny"]))
     assert got == [(0, 7, 9 + 30, 1.0), (4, 8, 0, 1.0), (4, 9, 6, 1.0)]
+
+
+def test_long_lines_recur_from_two_documents_on_in_the_pipeline(spark):
+    long, other = " ".join(f"word{chr(97 + i % 26) * (1 + i // 26)}" for i in range(51)), " ".join(f"tok{chr(97 + i % 26) * (1 + i // 26)}" for i in range(60))
+    near = " ".join("changed" if i in (20, 30, 40) else w for i, w in enumerate(other.split()))
+    unlike = " ".join(w if i < 4 or i % 3 else f"{w}q" for i, w in enumerate(other.split()[:-1]))
+    texts = [f"first alone\n{long}\n{other}", f"second by itself\n{long}\nthe same short line", f"third one\nthe same short line\n{near}", f"fourth\n{unlike}", "fifth\n" + " ".join(other.split()[:-1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, None).collect()}
+    assert got == {0: texts[0], 1: "second by itself\nthe same short line", 2: "third one\nthe same short line", 3: texts[3], 4: texts[4]}
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()} == dict(enumerate(texts))  # op8 keeps its three documents
