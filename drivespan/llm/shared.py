@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +16,47 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that every executor sees: spark.checkpoint.dir, or one in the warehouse where that is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = kept.get() if kept.isDefined() else None
     if not at:
-        at = tempfile.mkdtemp(prefix="drivespan-")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/drivespan-scratch"
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+#: Paths of the tables written inside each open removed_after(), innermost last.
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """The tables that written() makes inside go at the end; what is to stay of them must have been written elsewhere by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about `most` bytes."""
     if not batch.num_rows:
@@ -65,13 +87,13 @@ def coded(words: pa.Array) -> tuple[list[str], np.ndarray]:
     d = words.dictionary_encode()
     if isinstance(d, pa.ChunkedArray):
         d = d.combine_chunks()
-    return d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return d.dictionary.to_numpy(zero_copy_only=False).tolist(), d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def coded_bytes(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """As coded(), with the distinct words as UTF-8 bytes."""
     d = words.dictionary_encode()
-    return d.dictionary.cast(pa.large_binary()).to_pylist(), d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return d.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

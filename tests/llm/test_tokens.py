@@ -69,8 +69,7 @@ def test_wavelet_against_a_list(ids):
 def test_wavelet_files(spark, docs):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(WORD)  # as it is: the strings of special tokens are special tokens
     want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in TEXTS]
     files = wavelet.shards(docs, WORD, file_tokens=20, partitions=3).cache()
     got = sorted(wavelet.read_back(files).collect(), key=lambda r: r.doc_id)
@@ -81,6 +80,48 @@ def test_wavelet_files(spark, docs):
     token = want[0][0]
     assert sum(r["count"] for r in wavelet.occurrences(files, token).collect()) == sum(ids.count(token) for ids in want)
     assert wavelet.read_back(wavelet.shards(docs.limit(0), WORD)).count() == 0
+    # null, repeated and extreme ids, many of them in one range
+    rows = [(None, "null one"), (None, "null two"), (-(2**63), "least"), (2**63 - 1, "most"), (5, "five a"), (5, "five b"), (5, None)]
+    back = wavelet.read_back(wavelet.shards(spark.createDataFrame(rows, "doc_id long, text string"), WORD, partitions=4)).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None, None, -(2**63), 5, 5, 5, 2**63 - 1]
+    assert [r.start for r in back] == np.cumsum([0, *(r.n_tokens for r in back[:-1])]).tolist()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.lists(st.sampled_from(["Don't", "<|endoftext|>", "<|ENDOFTEXT|>", "x.", "É***", "ß$'s", "a1b", " ", "\u0301", "fooİ", "###", "'ll", "hello,", "wörld!?"]), max_size=8).map(" ".join), max_size=5))
+def test_word_encoder_on_any_text(texts):
+    from tokenizers import Tokenizer
+
+    if "t" not in _KEPT:
+        _KEPT["t"], _KEPT["e"] = Tokenizer.from_file(WORD), wavelet.WordEncoder(WORD)
+    ids, n = _KEPT["e"].encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(texts)] == [_KEPT["t"].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+_KEPT = {}
+
+
+def test_word_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(wavelet.WordEncoder, "KEPT", 3)
+    e = wavelet.WordEncoder(WORD)
+    want = wavelet.WordEncoder(WORD).encode(pa.array(["a b c d e f g, h. i"]))[0].tolist()
+    for _ in range(4):
+        assert e.encode(pa.array(["a b c d e f g, h. i"]))[0].tolist() == want
+
+
+def test_wavelet_file_opens_few_blocks(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 1 << 10)
+    ids = np.random.default_rng(0).integers(0, 50000, 40000)
+    blob = wavelet.pack(np.arange(2), np.ones(2, bool), np.array([30000, 10000]), ids, 16)
+    who, known, n, m = wavelet.unpack(blob)
+    opened, inner = [], m.block
+    m.block = lambda level, b: opened.append((level, b)) or inner(level, b)
+    assert m.access(777) == ids[777] and len(set(opened)) <= 16
+    opened.clear()
+    token = int(ids[20000])
+    places = np.flatnonzero(ids == token)
+    assert m.count(token) == len(places) and m.select(token, len(places) - 1) == places[-1] and len(set(opened)) <= 6 * 16
+    assert m.all().tolist() == ids.tolist() and known.all() and n.tolist() == [30000, 10000] and who.tolist() == [0, 1]
 
 
 def test_media_payloads(spark, docs):
