@@ -235,4 +235,20 @@ def test_long_lines_recur_from_two_documents_on_in_the_pipeline(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, None).collect()}
     assert got == {0: texts[0], 1: "second by itself\nthe same short line", 2: "third one\nthe same short line", 3: texts[3], 4: texts[4]}
-    assert {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()} == dict(enumerate(texts))  # op8 keeps its three documents
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs, long_words=10**6).collect()} == dict(enumerate(texts))
+
+
+def test_line_dedup_on_repeated_ids_and_long_lines(spark):
+    rows = [(1, "shared line here\nmine"), (2, "shared line here\nother"), (7, "first\nshared line here"), (7, "alpha unique\nbeta only here"), (7, "alpha unique\nbeta only here"), (8, "a " * 20000 + "b\nx"), (9, "a " * 20000 + "b\ny")]
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, rows[0][1], 0), (2, "other", 1), (7, "first", 1), (7, rows[3][1], 0), (7, rows[3][1], 0), (8, rows[5][1], 0), (9, "y", 1)])
+
+
+def test_several_templates_in_one_leaf(spark):
+    one = "dear reader of this page {} thank you for coming back again soon friend"
+    two = "dear reader of this shop {} we hope that your parcel came in good"
+    three = "dear reader of this list {} click below to leave it at any time"
+    names = "anna bert carl dora emil fred gina".split()
+    rows = [(k * 10 + i, t.format(n)) for k, t in enumerate((one, two, three)) for i, n in enumerate(names)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k * 10 + i: int(i > 0) for k in range(3) for i in range(len(names))}
