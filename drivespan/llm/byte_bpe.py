@@ -2,7 +2,9 @@
 
 Every distinct piece of a batch is a row of byte tokens in a matrix for its length. In each round all
 neighbouring pairs are looked up in a hash table of mergeable pairs, every row merges its leftmost pair of
-least rank, and rows close up; rows without a mergeable pair are done.
+least rank, and rows close up; rows without a mergeable pair are done. Pieces are cut first between bytes that
+stand side by side in no token, as nothing merges there. A row of over LONG bytes is a matrix of its own and merges in each round the leftmost pair of least rank
+together with all its repeats up to the first whose merge makes a pair of lesser rank: what the single merges would come to one after another.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from drivespan.llm.shared import ragged, slices
 #: The characters with Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = np.int32(1 << 30)
+#: Rows of more bytes than this merge a pair's repeats together.
+LONG = 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,6 +85,10 @@ class ByteBpe:
         by_rank = [b""] * size
         for token, rank in self.ranks.items():
             by_rank[rank] = token
+        self.joined = np.zeros((256, 256), bool)
+        for token in self.ranks:
+            own = np.frombuffer(token, np.uint8)
+            self.joined[own[:-1], own[1:]] = True
         self.token_len = np.array([len(x) for x in by_rank], np.int64)
         self.names = [b"%d" % i for i in range(size)]
         self.token_start = np.cumsum(self.token_len) - self.token_len
@@ -114,16 +122,66 @@ class ByteBpe:
             m = m[:, : max(2, int(lengths[live].max()))]
         return rows, lengths
 
+    def _merge_long(self, row: np.ndarray) -> np.ndarray:
+        """All merges of one row of token ids."""
+        found = self.pairs.get(row[:-1], row[1:])
+        while len(found):
+            best = found.min()
+            if best == NONE:
+                break
+            at = np.flatnonzero(found == best)
+            first = np.flatnonzero(np.append(True, np.diff(at) > 1))  # of a run of overlapping pairs every other one
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            before, after = np.full(len(at), NONE), np.full(len(at), NONE)
+            some = at > 0
+            left = np.where(np.append(False, np.diff(at) == 2), best, row[at - 1])  # the repeat before has been merged by then
+            before[some] = self.pairs.get(left[some], np.full(int(some.sum()), best))
+            some = at + 2 < len(row)
+            after[some] = self.pairs.get(np.full(int(some.sum()), best), row[at[some] + 2])
+            lesser = np.flatnonzero((before < best) | (after < best))
+            if len(lesser):
+                at = at[: lesser[0] + 1]
+            row[at] = best
+            row, found = np.delete(row, at + 1), np.delete(found, at)
+            new = at - np.arange(len(at))
+            near = np.concatenate([new[new > 0] - 1, new[new < len(found)]])
+            found[near] = self.pairs.get(row[near], row[near + 1])
+        return row
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and each piece's number of ids."""
+        whole = np.fromiter((x in self.ranks for x in pieces), bool, len(pieces))
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        if whole.all() or not len(flat):
+            return self._encode_parts(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        cut = np.zeros(len(flat), bool)  # before a byte that nothing joins to the one before, but not inside whole pieces
+        cut[1:] = ~self.joined[flat[:-1], flat[1:]]
+        cut &= ~np.repeat(whole, sizes)
+        starts = np.cumsum(sizes) - sizes
+        cut[starts[sizes > 0]] = True
+        at = np.flatnonzero(cut)
+        raw, ends = flat.tobytes(), np.append(at[1:], len(flat)).tolist()
+        parts = pa.array([raw[a:b] for a, b in zip(at.tolist(), ends, strict=True)], pa.large_binary()).dictionary_encode()
+        ids, count = self._encode_parts(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        of = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(count) - count
+        per = np.searchsorted(at, starts + sizes) - np.searchsorted(at, starts)
+        return ids[ragged(start[of], count[of])], _sums(count[of], per)
+
+    def _encode_parts(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         count = np.zeros(len(pieces), np.int64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         whole = np.fromiter((self.ranks.get(x, -1) for x in pieces), np.int64, len(pieces))
         count[whole >= 0] = 1
         parts = []
         bucket = np.frexp(np.maximum(sizes - 1, 0).astype(float))[1]  # 2**(k-1) < size <= 2**k
-        for k in np.unique(bucket[whole < 0]):
-            ix = np.flatnonzero((whole < 0) & (bucket == k))
+        for i in np.flatnonzero((whole < 0) & (sizes > LONG)):
+            flat = self._merge_long(self.of_byte[np.frombuffer(pieces[i], np.uint8)])
+            count[i] = len(flat)
+            parts.append((np.array([i]), flat, count[[i]]))
+        for k in np.unique(bucket[(whole < 0) & (sizes <= LONG)]):
+            ix = np.flatnonzero((whole < 0) & (sizes <= LONG) & (bucket == k))
             cells = max(1, (1 << 22) >> int(k))
             for a in range(0, len(ix), cells):
                 own = ix[a : a + cells]
@@ -145,11 +203,11 @@ class ByteBpe:
         found = [self.chunks(t) for t in texts]
         per_text = np.fromiter(map(len, found), np.int64, len(found))
         coded = pa.array([c for x in found for c in x], pa.large_string()).dictionary_encode()
-        at, kinds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        at, kinds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         split = [self.pieces(x) for x in kinds]
         per_kind = np.fromiter(map(len, split), np.int64, len(split))
         pieces = pa.array([p for x in split for p in x], pa.large_string()).dictionary_encode()
-        ids, count = self.encode_pieces([p.encode() for p in pieces.dictionary.to_pylist()])
+        ids, count = self.encode_pieces(pieces.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
         start = np.cumsum(count) - count
         of = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         kind_ids, kind_count = ids[ragged(start[of], count[of])], _sums(count[of], per_kind)
@@ -211,7 +269,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         bpe = loaded(path, pattern)
         for batch in batches:
             for part in slices(batch, "__text", SLICE):
-                ids, n = bpe.encode([t or "" for t in part.column("__text").to_pylist()])
+                ids, n = bpe.encode([t or "" for t in part.column("__text").to_numpy(zero_copy_only=False)])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
                 more = [pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decode(ids, n)], pa.string())] if digest_col else []
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists, *more], names)
@@ -244,7 +302,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         names = bpe.names
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                ids, n = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                ids, n = bpe.encode([t or "" for t in part.column("text").to_numpy(zero_copy_only=False)])
                 ends = np.cumsum(n).tolist()
                 told = ids.tolist()
                 spelt = [hashlib.sha256(b" ".join([names[i] for i in told[a:b]])).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]

@@ -51,6 +51,45 @@ def test_bpe_on_any_text(texts):
     assert bpe.decode(ids, n) == [t.encode() for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abehinst", min_size=1, max_size=400) | st.text(st.characters(min_codepoint=0x3040, max_codepoint=0x30FF), min_size=1, max_size=60) | st.integers(2, 300).map(lambda n: "ab" * n) | st.integers(2, 300).map(lambda n: "a" * n), max_size=4))
+def test_long_rows_merge_repeats_together(texts):
+    e, bpe = oracle(), byte_bpe.loaded(BYTE, P.PATTERN)
+    old, byte_bpe.LONG = byte_bpe.LONG, 8
+    try:
+        ids, n = bpe.encode(texts)
+    finally:
+        byte_bpe.LONG = old
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(texts)] == [e.encode_ordinary(t) for t in texts]
+
+
+def test_words_of_a_megabyte():
+    import time
+
+    rng = np.random.default_rng(4)
+    e, bpe = oracle(), byte_bpe.loaded(BYTE, P.PATTERN)
+    for letters in ("etaoinshrdlu", "a", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        text = "".join(rng.choice(list(letters), 1 << 20))
+        began = time.time()
+        ids, _ = bpe.encode([text])
+        assert time.time() - began < 120
+        if letters != "a":  # the library needs quadratic time for that one
+            assert ids[:20000].tolist() == e.encode_ordinary(text[:200000])[:20000]
+        assert bpe.decode(ids, np.array([len(ids)])) == [text.encode()]
+
+
+def test_op6_digests_against_the_library(spark, sf_dir):
+    e = oracle()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
+    got = registry.QUERIES["op6_byte_bpe"](spark, sf_dir).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    for r in docs.itertuples():
+        ids = e.encode_ordinary(r.text or "")
+        own = got.loc[r.doc_id]
+        assert own.n_tokens == len(ids) and own.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert own.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=1500))
 def test_wavelet_against_a_list(ids):
