@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drivespan.llm.shared import coded, ragged, slices, word_lists
 
@@ -34,8 +34,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Words of up to SHORT letters weigh 1, longer ones LONG.
 SHORT, LONG = 3, 3
-#: Items that one pass holds on every executor; a larger benchmark takes several passes.
-PASS_ITEMS = 4096
+#: Items, and bytes of their texts, that one pass holds on every executor; a larger benchmark takes several passes.
+PASS_ITEMS, PASS_BYTES = 4096, 64 << 20
 
 
 def window_of(words: int) -> tuple[int, int]:
@@ -62,7 +62,7 @@ class _Running:
     """Running sums of a text's word weights, first row zero.
 
     Lanes overflow into each other and sums wrap around, yet the difference over a window is exact as long as the window's own
-    sums fit their lanes; windows too long for 8-bit lanes get 16-bit ones.
+    sums fit their lanes; windows too long for 8-bit lanes get 16-bit or 32-bit ones.
     """
 
     def __init__(self, kinds: list[str], at: np.ndarray):
@@ -70,7 +70,7 @@ class _Running:
 
     def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
         """Fingerprints of the windows of `size` words from each start: a bit is set where words with it hold over half the weight."""
-        lane = np.uint8 if size * LONG < 256 else np.uint16
+        lane = np.uint8 if size * LONG < 1 << 8 else np.uint16 if size * LONG < 1 << 16 else np.uint32
         if lane not in self.sums:
             rows = _weights(self.kinds, lane)[self.at]
             self.sums[lane] = np.zeros((len(self.at) + 1, rows.shape[1]), np.uint64)
@@ -199,19 +199,22 @@ class Index:
 
     @staticmethod
     def _table(fp: np.ndarray, low: int, width: int) -> np.ndarray:
-        """True at every block value within RADIUS // 3 bits of an item's."""
+        """A bit for every block value, set within RADIUS // 3 bits of an item's."""
         table = np.zeros(1 << width, bool)
         own = np.unique(fp >> np.uint64(low) & np.uint64((1 << width) - 1))
         for n in range(RADIUS // len(BLOCKS) + 1):
             for flips in itertools.combinations(range(width), n):
                 table[own ^ np.uint64(sum(1 << f for f in flips))] = True
-        return table
+        return np.packbits(table, bitorder="little")
 
     def near(self, size: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, entry) of all fingerprints within RADIUS bits of an entry of that size."""
         items, _, _, tables = self.sizes[size]
-        passed = reduce(np.logical_or, (t[(fp >> np.uint64(low)) & np.uint64((1 << width) - 1)] for t, (low, width) in zip(tables, BLOCKS, strict=True)))
-        open_, got = np.flatnonzero(passed), []
+        passed = np.zeros(len(fp), np.uint8)
+        for t, (low, width) in zip(tables, BLOCKS, strict=True):
+            value = ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+            passed |= t[value >> 3] >> (value & 7).astype(np.uint8)
+        open_, got = np.flatnonzero(passed & 1), []
         step = max(1, (1 << 21) // len(items))
         for a in range(0, len(open_), step):
             w = open_[a : a + step]
@@ -271,20 +274,13 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows of their own; an empty table on either side gives none. Items with a null item_id are read like any other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    passes = max(1, -(-items.count() // PASS_ITEMS))
     out = []
-    for k in range(passes):
-        held = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(held, key=lambda x: (x[1], x[0] or 0)))
-        loaded: list[Index] = []
+    for index in _passes(docs.sparkSession, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, loaded=loaded) -> Iterator[pa.RecordBatch]:
-            index = loaded[0] if loaded else Index(shared.value)
-            loaded[:] = [index]
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    found = index.hits(part.column("text"))
+                    found = index().hits(part.column("text"))
                     who = part.column("doc_id")
                     yield pa.RecordBatch.from_arrays(
                         [pc.take(who, pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.float64())],
@@ -295,7 +291,38 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _passes(spark: SparkSession, benchmark: DataFrame) -> list[Callable[[], Index]]:
+    """For each pass a function that gives its index, built once in a task; what is broadcast is the items of one pass."""
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // PASS_ITEMS), -(-size // PASS_BYTES))
+
+    def one(k: int) -> Callable[[], Index]:
+        held = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).collect()]
+        shared = spark.sparkContext.broadcast(sorted(held, key=lambda x: (x[1], x[0] or 0)))
+        loaded: list[Index] = []
+
+        def index() -> Index:
+            if not loaded:
+                loaded.append(Index(shared.value))
+            return loaded[0]
+
+        return index
+
+    return [one(k) for k in range(passes)]
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a passage of the benchmark. Rows with a null doc_id stay; rows that repeat a doc_id go together."""
-    gone = passages(docs.filter("doc_id is not null"), benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that hold a passage of the benchmark: each is judged by its own text, whatever its doc_id, in one pass over docs for each pass over the items."""
+    out = docs
+    for index in _passes(docs.sparkSession, benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    kept = np.ones(part.num_rows, bool)
+                    kept[[f[0] for f in index().hits(part.column("text"))]] = False
+                    yield part.filter(pa.array(kept))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

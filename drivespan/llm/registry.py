@@ -58,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from drivespan.llm.shared import written
 
     prints = written(simhash.fingerprints(_read(spark, sf_dir, "documents"), width=3), "simhash-prints")
-    out = simhash.groups(prints, radius=3, agree=2)
+    out = simhash.groups(prints, radius=3)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_words")
 
 

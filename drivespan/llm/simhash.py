@@ -28,6 +28,8 @@ SEED = 42
 SLICE = 2 << 20
 #: A bucket with more fingerprints than this is cut into slots of about SLOT fingerprints.
 SMALL_BUCKET, SLOT = 64, 1024
+#: Blocks agree such that a bucket of keys spread evenly holds about so many distinct fingerprints at most.
+BUCKET = 8
 
 #: Shingle width and Jaccard similarity from which two texts are near copies.
 WIDTH, SIMILAR = 5, 0.8
@@ -48,7 +50,7 @@ def shingle_hashes(words: pa.Array, counts: np.ndarray, width: int) -> tuple[np.
     if n >= width:
         joined = pc.binary_join_element_wise(*(binary.slice(i, n - width + 1) for i in range(width)), pa.scalar(b" ", pa.large_binary()))
         joined = joined.filter(pa.array(owner[: n - width + 1] == owner[width - 1 :]))
-        full = np.fromiter((digest(x, SEED) for x in joined.to_pylist()), np.uint64, len(joined))
+        full = np.fromiter((digest(x, SEED) for x in joined.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(joined))
     else:
         full = np.empty(0, np.uint64)
     per = np.maximum(counts - width + 1, 0)
@@ -80,9 +82,9 @@ def majority(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, n_words): the SimHash of each whole text over shingles of `width` words, repeats counted.
+    """(id, fp long, n_words, text_hash): the SimHash of each whole text over shingles of `width` words, repeats counted.
 
-    A text of fewer words is one shingle; an empty or null text has fingerprint 0. Other columns are not read.
+    A text of fewer words is one shingle; an empty or null text has fingerprint 0. text_hash tells texts of one id apart. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +92,17 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             for part in slices(batch, "text", SLICE):
                 words, counts = word_lists(part.column("text"))
                 fp = majority(*shingle_hashes(words, counts, width))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64)), pa.array(counts)], ["id", "fp", "n_words"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64)), pa.array(counts), part.column("text_hash")], ["id", "fp", "n_words", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long, n_words long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, "id long, fp long, n_words long, text_hash long")
+
+
+def agreeing(n: int, radius: int) -> int:
+    """The number of blocks that must agree for n distinct fingerprints, two at least: more bits in a key, and more keys, for more fingerprints."""
+    agree = 2
+    while n > BUCKET * 2.0 ** (64 * agree / (radius + agree)) and agree < 16:
+        agree += 1
+    return agree
 
 
 def _block_keys(fp: Column, radius: int, agree: int) -> list[Column]:
@@ -106,7 +116,7 @@ def _block_keys(fp: Column, radius: int, agree: int) -> list[Column]:
     return keys
 
 
-def _forest(fp: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list]:
+def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
     """Links that connect whatever hangs together within the radius: one less than the members of each piece."""
     left = np.arange(len(fp))
     a, b = [], []
@@ -120,56 +130,78 @@ def _forest(fp: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list]:
         found = left[near]
         left = left[~near]
         stack.extend(found.tolist())
-        a.extend([int(ids[i])] * len(found))
-        b.extend(ids[found].tolist())
+        a.extend([int(fp[i])] * len(found))
+        b.extend(fp[found].tolist())
     return a, b
 
 
 def links(reps: DataFrame, radius: int = 3, agree: int = 2) -> DataFrame:
-    """(u, v): links between ids of distinct fingerprints (fp, id) that connect all pairs within `radius` bits.
+    """(u, v): links between distinct fingerprints (fp) that connect all pairs within `radius` bits.
 
     Buckets of up to SMALL_BUCKET fingerprints are joined with themselves and each pair is verified.
     A larger bucket is cut into slots of about SLOT fingerprints; every two slots meet in a task of
     bounded size that verifies all their pairs and gives a spanning forest of the links, not the pairs.
     """
-    keyed = reps.select("fp", "id", F.explode(F.array(*_block_keys(F.col("fp"), radius, agree))).alias("key"))
+    keyed = reps.select("fp", F.explode(F.array(*_block_keys(F.col("fp"), radius, agree))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(keyed.join(sizes.hint("merge"), "key"), "simhash-buckets")
     small = members.filter(f"n <= {SMALL_BUCKET}")
-    a, b = (small.select("key", F.col("fp").alias(f"fp_{x}"), F.col("id").alias(x)) for x in "uv")
-    pairs = a.join(b, "key").filter("u < v").filter(F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= radius).select("u", "v")
+    a, b = (small.select("key", F.col("fp").alias(x)) for x in "uv")
+    pairs = a.join(b, "key").filter("u < v").filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v")
 
     slots = F.ceil(F.col("n") / SLOT)
     own = F.pmod(F.xxhash64("fp"), slots)
-    large = members.filter(f"n > {SMALL_BUCKET}").select("key", "fp", "id", own.alias("s"), slots.alias("m"))
-    met = large.select("key", "fp", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("o"), "s").select("key", "fp", "id", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
+    large = members.filter(f"n > {SMALL_BUCKET}").select("key", "fp", own.alias("s"), slots.alias("m"))
+    met = large.select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("o"), "s").select("key", "fp", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
+
+    def forest(table: pa.Table) -> pa.Table:
+        u, v = _forest(table.column("fp").to_numpy(), radius)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    def forest(pdf):
-        import pandas as pd
+    return pairs.unionByName(met.groupBy("key", "i", "j").applyInArrow(forest, "u long, v long"))
 
-        u, v = _forest(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(), radius)
-        return pd.DataFrame({"u": pd.array(u, "int64"), "v": pd.array(v, "int64")})
 
-    return pairs.unionByName(met.groupBy("key", "i", "j").applyInPandas(forest, "u long, v long"))
+def _labelled(reps: DataFrame, node: str, value: str, edges: DataFrame) -> DataFrame:
+    """(node, value): for each of the distinct nodes of reps the least value of its component."""
+    nodes = connected_components(edges).withColumnRenamed("node", node)
+    least = nodes.join(reps.select(node, value).hint("merge"), node).groupBy("component").agg(F.min(value).alias("__least"))
+    linked = written(nodes.join(least.hint("merge"), "component").select(node, "__least"), "simhash-labels")
+    return reps.join(linked.hint("merge"), node, "left").select(node, F.coalesce("__least", value).alias(value))
 
 
-def groups(prints: DataFrame, radius: int = 3, agree: int = 2) -> DataFrame:
+def groups(prints: DataFrame, radius: int = 3, agree: int | None = None) -> DataFrame:
     """prints (id, fp, ...) with component_id: the least id that links of up to `radius` differing bits reach, itself included.
 
-    Rows with a null id take part in nothing and get a null component. Rows that repeat an id count as one
-    document if their texts are equal, and link as any others if not. An empty table gives an empty table.
+    Rows with a null id take part in nothing and get a null component. Rows that repeat an id are told apart by their fingerprints,
+    each in its own group. agree: how many blocks must agree, by default from the number of distinct fingerprints; the links are the
+    same for any. An empty table gives an empty table.
     """
-    reps = written(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
-    nodes = connected_components(links(reps, radius, agree))
-    named = reps.join(nodes.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    reps = written(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("component_id")), "simhash-distinct")
+    named = _labelled(reps, "fp", "component_id", links(reps, radius, agree or agreeing(reps.count(), radius)))
     return prints.join(named.hint("merge"), "fp", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
 
 
-def near_dedup(docs: DataFrame, width: int = 3, radius: int = 3, agree: int = 2) -> DataFrame:
-    """docs without all but the least doc_id of each group. Rows with a null doc_id stay; rows that repeat a doc_id stay or go together."""
-    prints = written(fingerprints(docs, width), "simhash-prints")
-    gone = groups(prints, radius, agree).filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows that are not the first of their group. rows: (id, text_hash, first) of all rows of docs with an id, first being the (id, text_hash) that stays."""
+    gone = rows.filter(F.struct("id", "text_hash") != F.col("first")).select(F.col("id").alias("doc_id"), F.col("text_hash").alias("__hash")).distinct()
+    marked = docs.withColumn("__hash", F.xxhash64("text"))
+    left = marked.join(gone, ["doc_id", "__hash"], "left_anti")
+    again = rows.filter(F.struct("id", "text_hash") == F.col("first")).groupBy(F.col("id").alias("doc_id"), F.col("text_hash").alias("__hash")).count().filter("count > 1").drop("count")
+    again = written(again, "simhash-repeated")
+    if again.head(1):  # rows that are equal in id and text: one of them stays
+        left = left.join(again, ["doc_id", "__hash"], "left_anti").unionByName(left.join(again, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"]))
+    return left.select(*docs.columns)
+
+
+def near_dedup(docs: DataFrame, width: int = 3, radius: int = 3, agree: int | None = None) -> DataFrame:
+    """docs with one row of each group of linked fingerprints, the one with the least doc_id. Rows with a null doc_id stay.
+
+    Rows that repeat a doc_id are told apart by their texts; of those equal in both one stays.
+    """
+    prints = written(fingerprints(docs.filter("doc_id is not null"), width), "simhash-prints")
+    reps = written(prints.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first")), "simhash-distinct")
+    named = _labelled(reps, "fp", "first", links(reps, radius, agree or agreeing(reps.count(), radius)))
+    return _first_of_each(docs, prints.join(named.hint("merge"), "fp"))
 
 
 def distinct_shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +236,7 @@ def band_keys(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 
 def shingle_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, sig, fp, n, keys): of each text's distinct shingles the signature, SimHash, number and band keys (none without words)."""
+    """(id, text_hash, sig, fp, n, keys): of each text's distinct shingles the signature, SimHash, number and band keys (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,9 +246,9 @@ def shingle_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 keys = band_keys(hashes, per[some]).ravel() if some.any() else np.empty(0, np.uint64)
                 offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sig.view(np.int64)), pa.array(majority(hashes, per).view(np.int64)), pa.array(per.astype(np.int64)), keys], ["id", "sig", "fp", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(sig.view(np.int64)), pa.array(majority(hashes, per).view(np.int64)), pa.array(per.astype(np.int64)), keys], ["id", "text_hash", "sig", "fp", "n", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, sig long, fp long, n long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(run, "id long, text_hash long, sig long, fp long, n long, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -232,12 +264,12 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
 
 
-def _similar_forest(ids: np.ndarray, fp: np.ndarray, flat: np.ndarray, per: np.ndarray, radius: int, similar: float) -> tuple[list, list]:
+def _similar_forest(sig: np.ndarray, fp: np.ndarray, flat: np.ndarray, per: np.ndarray, radius: int, similar: float) -> tuple[list, list]:
     """Links that connect whatever hangs together by exact Jaccard similarity of the shingle sets (flat, per)."""
     kinds, codes = np.unique(flat, return_inverse=True)
     starts = np.cumsum(per) - per
     held = np.zeros(len(kinds), bool)
-    left = np.arange(len(ids))
+    left = np.arange(len(sig))
     a, b = [], []
     stack: list[int] = []
     while len(left):
@@ -255,13 +287,13 @@ def _similar_forest(ids: np.ndarray, fp: np.ndarray, flat: np.ndarray, per: np.n
         held[own] = False
         found, left = left[near], left[~near]
         stack.extend(found.tolist())
-        a.extend([int(ids[i])] * len(found))
-        b.extend(ids[found].tolist())
+        a.extend([int(sig[i])] * len(found))
+        b.extend(sig[found].tolist())
     return a, b
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """(u, v): links between ids that connect the texts of reps (sig, id, fp, n, keys) whose shingle sets are similar enough.
+    """(u, v): links between the signatures of reps (sig, first, fp, n, keys) that connect the texts whose shingle sets are similar enough.
 
     Of buckets with the same members one is kept. The members of small ones are paired, each pair is met once and verified;
     in larger ones every two slots meet in a task of bounded size that gives a spanning forest of the verified links.
@@ -270,29 +302,29 @@ def similar_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, similar:
     same = F.struct(F.min("sig"), F.max("sig"), F.bit_xor(F.xxhash64("sig")), F.count("*"))
     sizes = keyed.groupBy("key").agg(same.alias("same"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
     buckets = sizes.groupBy("same").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("shingles").alias("shingles")).drop("same")
-    members = reps.select("sig", "id", "fp", F.explode("keys").alias("key")).join(buckets.hint("merge"), "key")
+    members = reps.select("sig", "first", "fp", F.explode("keys").alias("key")).join(written(buckets, "similar-sizes").hint("merge"), "key")
     members = written(members, "similar-buckets")
-    texts = docs.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    sets = written(_shingle_sets(texts, width), "similar-sets")
+    firsts = members.select(F.col("first.id").alias("doc_id"), F.col("first.text_hash").alias("__hash")).distinct()
+    sets = written(_shingle_sets(docs.withColumn("__hash", F.xxhash64("text")).join(firsts.hint("merge"), ["doc_id", "__hash"], "left_semi"), width), "similar-sets")
 
     small = members.filter(f"size <= {SMALL_BAND}")
-    a, b = (small.select("key", F.col("sig").alias(f"sig_{x}"), F.col("fp").alias(f"fp_{x}"), F.col("id").alias(x)) for x in "uv")
-    pairs = a.join(b, "key").filter("u < v").filter(F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= radius).select("sig_u", "sig_v", "u", "v").distinct()
+    a, b = (small.select("key", F.col("sig").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "uv")
+    pairs = a.join(b, "key").filter("u < v").filter(F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= radius).select("u", "v").distinct()
     for x in "uv":
-        pairs = pairs.join(sets.select(F.col("sig").alias(f"sig_{x}"), F.col("shingles").alias(f"shingles_{x}")).hint("merge"), f"sig_{x}")
+        pairs = pairs.join(sets.select(F.col("sig").alias(x), F.col("shingles").alias(f"shingles_{x}")).hint("merge"), x)
     pairs = pairs.select("u", "v", F.size(F.array_intersect("shingles_u", "shingles_v")).alias("both"), (F.size("shingles_u") + F.size("shingles_v")).alias("all"))
     pairs = pairs.filter(F.col("both") >= similar * (F.col("all") - F.col("both"))).select("u", "v")
 
     slots = F.greatest(F.ceil(F.col("size") / SLOT), F.ceil(F.col("shingles") / SLOT_SHINGLES))
     own = F.pmod(F.xxhash64("sig"), slots)
-    large = members.filter(f"size > {SMALL_BAND}").select("key", "sig", "fp", "id", own.alias("s"), slots.alias("m"))
-    met = large.select("key", "sig", "fp", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("o"), "s").select("key", "sig", "fp", "id", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
+    large = members.filter(f"size > {SMALL_BAND}").select("key", "sig", "fp", own.alias("s"), slots.alias("m"))
+    met = large.select("key", "sig", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("o"), "s").select("key", "sig", "fp", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
 
     def forest(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
         shingles = table.column("shingles").combine_chunks()
         per = pc.list_value_length(shingles).to_numpy(zero_copy_only=False).astype(np.int64)
-        u, v = _similar_forest(col("id"), col("fp").view(np.uint64), shingles.flatten().to_numpy(zero_copy_only=False), per, radius, similar)
+        u, v = _similar_forest(col("sig"), col("fp").view(np.uint64), shingles.flatten().to_numpy(zero_copy_only=False), per, radius, similar)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     forests = met.join(sets.hint("merge"), "sig").groupBy("key", "i", "j").applyInArrow(forest, "u long, v long")
@@ -300,15 +332,13 @@ def similar_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, similar:
 
 
 def similar_dedup(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """docs without all but the least doc_id of each group that links of exact shingle similarity, from `similar` up, connect.
+    """docs with one row, the one with the least doc_id, of each group that links of exact shingle similarity, from `similar` up, connect.
 
     Texts are compared as sets of shingles of `width` words; fewer words are one shingle, texts without words are copies of each other.
-    Rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
+    Rows with a null doc_id stay. Rows that repeat a doc_id are told apart by their texts; of those equal in both one stays.
     """
     prints = written(shingle_prints(docs.filter("doc_id is not null"), width), "similar-prints")
-    first = prints.groupBy("sig").agg(F.min_by(F.struct("id", "fp", "n", "keys"), "id").alias("r")).select("sig", "r.*")
-    reps = written(first, "similar-distinct")
-    nodes = connected_components(similar_links(docs, reps, width, similar, radius))
-    named = reps.join(nodes.withColumnRenamed("node", "id"), "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
-    gone = prints.select("id", "sig").join(named.hint("merge"), "sig").filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    place = F.struct("id", "text_hash")
+    reps = written(prints.groupBy("sig").agg(F.min(place).alias("first"), F.min_by(F.struct("fp", "n", "keys"), place).alias("r")).select("sig", "first", "r.*"), "similar-distinct")
+    named = _labelled(reps, "sig", "first", similar_links(docs, reps, width, similar, radius))
+    return _first_of_each(docs, prints.select("id", "text_hash", "sig").join(named.hint("merge"), "sig"))

@@ -104,6 +104,26 @@ def test_near_dedup_keeps_columns_and_one_of_each(spark):
     assert simhash.near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_on_repeated_ids(spark):
+    one, two = "one two three four five", "entirely other words stand here"
+    rows = [(1, one, None, None, 1), (2, one, None, None, 2), (2, two, None, None, 3), (3, two, None, None, 4), (4, "a row of its own", "x", None, 5), (4, "a row of its own", "x", None, 5), (5, None, None, None, 6), (5, "", None, None, 7)]
+    for of in (simhash.near_dedup, simhash.similar_dedup):
+        got = sorted((r.doc_id, r.text) for r in of(spark.createDataFrame(rows, DOCS)).collect() if r.doc_id < 5)
+        assert got == [(1, one), (2, two), (4, "a row of its own")]
+    assert simhash.agreeing(10**6, 3) == 2 and simhash.agreeing(10**10, 3) == 3
+
+
+def test_links_do_not_depend_on_the_number_of_agreeing_blocks(spark):
+    rng = np.random.default_rng(8)
+    fps = set()
+    for _ in range(60):
+        x = int(rng.integers(1 << 63))
+        fps |= {x, *(x ^ (1 << int(b)) ^ (1 << int(c)) for b, c in rng.integers(0, 63, (4, 2)))}
+    prints = spark.createDataFrame(list(enumerate(sorted(fps))), "id long, fp long")
+    got = [{r.id: r.component_id for r in simhash.groups(prints, agree=k).collect()} for k in (1, 2, 3)]
+    assert got[0] == got[1] == got[2] and len(set(got[0].values())) < len(fps)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 300), (300, 200), (300, 300), (None, 5), (1000, 1001)] + [(5000, k) for k in range(5001, 5200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -128,12 +148,29 @@ def test_decontamination_finds_planted_passages(spark):
     assert set(planted) <= set(pairs)
     assert not [p for p in pairs if p[0] is not None and p[0] < 100]
     assert pairs.count((902, 3)) == 2 and (None, 3) in pairs and (903, 102) in pairs
-    kept = {r.doc_id for r in decontam.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert kept >= set(range(30)) | {900, 901, None} and not kept & {p[0] for p in planted}
+    more = [*docs, (901, "another text of this id"), (902, "and a clean one of that")]
+    kept = [r.doc_id for r in decontam.clean(spark.createDataFrame(more, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert set(kept) >= set(range(30)) | {900, 901, 902} and not set(kept) & {p[0] for p in planted}
+    assert kept.count(901) == 2 and kept.count(902) == 1 and None not in kept
+    decontam.PASS_ITEMS, old = 7, decontam.PASS_ITEMS
+    try:
+        again = decontam.clean(spark.createDataFrame(more, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted(r.doc_id for r in again) == sorted(kept)
+    finally:
+        decontam.PASS_ITEMS = old
     assert decontam.passages(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontam.passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_items_of_thirty_thousand_words():
+    rng = np.random.default_rng(9)
+    long = [f"w{i}" for i in rng.integers(0, 5000, 30000)]
+    copy = list(long)
+    copy[15000:15010] = ["new"] * 12
+    got = decontam.Index([(1, " ".join(long))]).hits(pa.array([" ".join(["before", *copy, "after"]), " ".join(long[:20000])]))
+    assert [g[:3] for g in got] == [(0, 1, 1)] and got[0][3] > 0.99
+
+
 def test_every_offset_of_an_item_is_seen():
     for n in range(1, 120):
         size, stride = decontam.window_of(n)
