@@ -6,6 +6,9 @@ from pyspark.sql import Column, functions as F
 
 G = 9.80665
 
+#: Mean radius of the earth in metres.
+EARTH_M = 6371008.8
+
 
 def bicycle_yaw_rate(v: Column, steer_deg: Column, wheelbase: float, ratio: float, understeer: float, offset_deg: float = 0.0, v_min: float = 3.0) -> Column:
     """Steady single-track yaw rate in deg/s: v * delta / (ratio * (L + K v^2)); null below v_min."""
@@ -68,7 +71,7 @@ def wrap_degrees(x: Column) -> Column:
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371008.8 * F.asin(F.sqrt(a))
+    return 2 * EARTH_M * F.asin(F.sqrt(a))
 
 
 def unit_scale(value: Column, unit_in: str, unit_out: str) -> Column:

@@ -3,7 +3,7 @@
 P(word | before) = P(group | before) P(class | group, before) P(word | class). The two softmaxes have a weight for each
 hashed feature of what stands before: the last word, the one before it (skip), both together (n-gram), and the last
 three words' groups. Weights are learned by distributed gradient updates: every task takes Adagrad steps over its own
-documents from the shared weights, and the changes are averaged by shards of the weight table. Within a class, words
+documents from the shared weights, and the tasks' weights are averaged by shards of the weight table, first within SLOTS groups of tasks. Within a class, words
 have smoothed relative frequencies, one share being kept for unknown words, so that all probabilities sum to one.
 
 The commonest words are classes of their own; the others' classes follow from their letters. Counts of the HEAD commonest words are broadcast;
@@ -13,7 +13,6 @@ all other words meet their counts in a join.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from drivespan.llm.shared import coded_bytes, slices, word_lists, written
+from drivespan.llm.shared import slices, word_lists, written
 
 GROUPS, MEMBERS = 16, 16
 #: Commonest words with classes of their own; they fill the first groups.
@@ -32,9 +31,8 @@ BUCKETS = 1 << 12
 FEATURES = 5
 RATE, BATCH = 0.3, 1 << 14
 #: Shards in which the changes of the weights are averaged.
-SHARDS = 32
+SHARDS, SLOTS = 32, 32
 END = b"\n"
-SIGNS = frozenset(b"$%&*#|!")
 LOG10 = 1 / math.log(10)
 
 
@@ -42,17 +40,56 @@ def hashes(kinds: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, kinds), np.uint64, len(kinds)).view(np.int64)
 
 
-def form_class(word: bytes) -> int:
-    """A class from a word's letters: its group from rare letters or signs or else its last two letters, its member from its last three."""
-    bare = word.rstrip(b".,;:!?")
-    if not SIGNS.isdisjoint(word[-3:]):
-        group = 4
-    elif not bare.isascii():
-        text = bare.decode()
-        group = 5 if set(text) & set("äöüß") else 6 if set(text) & set("ñíóáú") else 7
-    else:
-        group = 8 + zlib.crc32(bare[-2:]) % 8
-    return group * MEMBERS + (zlib.crc32(bare[-3:]) + 7 * (len(word) - len(bare))) % MEMBERS
+def _among(values: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+SIGNS, PUNCTUATION = _among(b"$%&*#|!"), _among(b".,;:!?")
+#: Second bytes of letters, all with a first byte of 0xC3 in UTF-8: the umlauts and sharp s, and Spanish letters.
+UMLAUTS, TILDES = _among("äöüß".encode()[1::2]), _among("ñíóáú".encode()[1::2])
+
+
+def form_classes(words: pa.Array) -> np.ndarray:
+    """A class for each word from its letters: its group from rare letters or signs or else its last two letters, its member from its last three."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.concatenate([np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.zeros(1, np.uint8)])
+    starts, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+    tail = np.zeros(len(words), np.int64)
+    open_ = np.arange(len(words))
+    while len(open_):  # one more sign of punctuation at the end
+        at = ends[open_] - tail[open_] - 1
+        open_ = open_[(at >= starts[open_]) & PUNCTUATION[data[at]]]
+        tail[open_] += 1
+    bare = ends - tail
+    last = lambda end, k: np.where(end - k >= starts, data[end - k], 0).astype(np.uint64)
+    mixed = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    two = last(bare, 1) | last(bare, 2) << np.uint64(8)
+    three = two | last(bare, 3) << np.uint64(16)
+    group = 8 + (mixed(two) % np.uint64(8)).astype(np.int64)
+
+    def holds(flags: np.ndarray) -> np.ndarray:
+        """Words with a flagged byte before their tail."""
+        at = np.flatnonzero(flags)
+        return np.searchsorted(at, bare) > np.searchsorted(at, starts)
+
+    second = np.append(False, data[:-1] == 0xC3)
+    group[holds(data >= 0x80)] = 7
+    group[holds(second & TILDES[data])] = 6
+    group[holds(second & UMLAUTS[data])] = 5
+    group[SIGNS[last(ends, 1).astype(np.uint8)] | SIGNS[last(ends, 2).astype(np.uint8)] | SIGNS[last(ends, 3).astype(np.uint8)]] = 4
+    return group * MEMBERS + ((mixed(three) % np.uint64(MEMBERS)).astype(np.int64) + 7 * tail) % MEMBERS
+
+
+def kinds_of(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words and END after them, their hashes, and each word's place among them."""
+    coded = words.dictionary_encode()
+    kinds = pa.concat_arrays([coded.dictionary.cast(pa.large_binary()), pa.array([END], pa.large_binary())])
+    return kinds, hashes(kinds.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -60,12 +97,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
-                words, _ = word_lists(part.column("text"))
-                kinds, at = coded_bytes(words)
-                kinds.append(END)
+            for part in slices(batch, "text", 8 << 20):
+                kinds, h, at = kinds_of(word_lists(part.column("text"))[0])
                 c = np.append(np.bincount(at, minlength=len(kinds) - 1), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(kinds)), pa.array([form_class(w) for w in kinds], pa.int16()), pa.array(c.astype(np.int64))], ["h", "cls", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(form_classes(kinds).astype(np.int16)), pa.array(c.astype(np.int64))], ["h", "cls", "c"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, cls short, c long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("c").alias("c"))
 
@@ -75,7 +110,8 @@ class Vocabulary:
 
     def __init__(self, total: int, distinct: int, head: list[tuple[int, int, int]], classes: list[tuple[int, int, int]]):
         self.total, self.distinct = total, distinct
-        self.single = {h: k for k, (h, _, _) in enumerate(head[:SINGLES])}
+        single = sorted((h, k) for k, (h, _, _) in enumerate(head[:SINGLES]))
+        self.single, self.place = (np.array([x[i] for x in single], np.int64) for i in range(2))
         order = sorted(head)
         self.h = np.array([x[0] for x in order], np.int64)
         self.c = np.array([x[2] for x in order], np.int64)
@@ -94,9 +130,12 @@ class Vocabulary:
         found = self.h[at] == h
         return np.where(found, self.c[at], 0), found
 
-    def classes(self, kinds: list[bytes], h: np.ndarray) -> np.ndarray:
-        single = self.single
-        return np.fromiter((single[x] if x in single else form_class(w) for w, x in zip(kinds, h.tolist(), strict=True)), np.int64, len(kinds))
+    def classes(self, kinds: pa.Array, h: np.ndarray) -> np.ndarray:
+        own = form_classes(kinds)
+        if len(self.single):
+            at = np.minimum(np.searchsorted(self.single, h), len(self.single) - 1)
+            own = np.where(self.single[at] == h, self.place[at], own)
+        return own
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -128,9 +167,7 @@ class Tokens:
 
     def __init__(self, texts: pa.Array, vocabulary: Vocabulary):
         words, counts = word_lists(texts)
-        self.kinds, at = coded_bytes(words)
-        self.kinds.append(END)
-        self.h = hashes(self.kinds)
+        self.kinds, self.h, at = kinds_of(words)
         self.kind_class = vocabulary.classes(self.kinds, self.h)
         self.counts = counts + 1
         self.at = np.insert(at, np.cumsum(counts), len(self.kinds) - 1)
@@ -149,23 +186,29 @@ class Tokens:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 class Weights:
-    """Two tables: features to groups, and features and group to members."""
+    """Two tables: features to groups, and features and group to members. Feature 0 is always on."""
 
     def __init__(self):
         self.group = np.zeros((BUCKETS, GROUPS), np.float32)
         self.member = np.zeros((BUCKETS * GROUPS, MEMBERS), np.float32)
 
     def forward(self, f: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = f * GROUPS + (cls // MEMBERS)[:, None]
-        a, b = self.group[f[:, 0]], self.member[rows[:, 0]]
-        for k in range(1, FEATURES):
-            a = a + self.group[f[:, k]]
-            b = b + self.member[rows[:, k]]
+        """Probabilities of the groups and of the group's members, and the rows of the features but the first in the second table."""
+        own = cls // MEMBERS
+        rows = f[:, 1:] * GROUPS + own[:, None]
+        a, b = self.group[f[:, 1]], self.member[rows[:, 0]]
+        for k in range(2, FEATURES):
+            a += self.group[f[:, k]]
+            b += self.member[rows[:, k - 1]]
+        a += self.group[0]
+        b += self.member[own]
         return _softmax(a), _softmax(b), rows
 
     def log10(self, t: Tokens) -> np.ndarray:
@@ -175,26 +218,36 @@ class Weights:
             f, cls = t.features[x : x + BATCH], t.cls[x : x + BATCH]
             p, q, _ = self.forward(f, cls)
             i = np.arange(len(cls))
-            out[x : x + len(cls)] = np.log10(np.maximum(p[i, cls // MEMBERS], 1e-30)) + np.log10(np.maximum(q[i, cls % MEMBERS], 1e-30))
+            out[x : x + len(cls)] = np.log10(np.maximum(p[i, cls // MEMBERS], 1e-30).astype(float) * np.maximum(q[i, cls % MEMBERS], 1e-30))
         return out
 
+    @staticmethod
+    def _step(table: np.ndarray, sums: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+        sums[own] += total * total
+        table[own] -= RATE * total / np.sqrt(sums[own] + 1e-6)
+
     def steps(self, t: Tokens, seen: Weights) -> None:
         """Adagrad steps over a batch; seen holds the squared gradients so far."""
+        each = FEATURES - 1
         for x in range(0, len(t.cls), BATCH):
             f, cls = t.features[x : x + BATCH], t.cls[x : x + BATCH]
             p, q, rows = self.forward(f, cls)
-            i = np.arange(len(cls))
-            p[i, cls // MEMBERS] -= 1
+            i, own, scale = np.arange(len(cls)), cls // MEMBERS, np.float32(1 / math.sqrt(len(cls)))
+            p[i, own] -= 1
             q[i, cls % MEMBERS] -= 1
-            for table, sums, grad, at in ((self.group, seen.group, p, f), (self.member, seen.member, q, rows)):
+            p *= scale
+            q *= scale
+            for table, sums, grad, at in ((self.group, seen.group, p, f[:, 1:]), (self.member, seen.member, q, rows)):
                 flat = at.ravel().astype(np.uint16)  # both tables have at most 2**16 rows, and 16-bit keys are radix-sorted
                 order = np.argsort(flat, kind="stable")
                 held = flat[order]
                 first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-                own = held[first].astype(np.int64)
-                total = np.add.reduceat(grad[order // FEATURES], first, axis=0) / math.sqrt(len(cls))
-                sums[own] += total * total
-                table[own] -= RATE * total / np.sqrt(sums[own] + 1e-6)
+                self._step(table, sums, held[first].astype(np.int64), np.add.reduceat(grad[order // each], first, axis=0))
+            of_group = np.argsort(own.astype(np.uint16), kind="stable")
+            held = own[of_group]
+            first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+            self._step(self.member, seen.member, held[first], np.add.reduceat(q[of_group], first, axis=0))
+            self._step(self.group, seen.group, np.zeros(1, np.int64), p.sum(axis=0, keepdims=True))
 
     def parts(self) -> list[bytes]:
         g = np.array_split(self.group, SHARDS)
@@ -222,12 +275,15 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, epochs: int = 1) -> Weights
                 got = sums.setdefault(shard, [0, np.zeros(len(x))])
                 got[0] += n
                 got[1] += x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([(v[1] / max(1, v[0])).astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["shard", "n", "change"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([(v[1] / max(1, v[0])).astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["shard", "slot", "n", "change"])
 
     for _ in range(epochs):
         start = sc.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            slot = TaskContext.get().partitionId() % SLOTS
             own, seen, n = Weights(), Weights(), 0
             own.group[:], own.member[:] = start.value.group, start.value.member
             for batch in batches:
@@ -237,10 +293,10 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, epochs: int = 1) -> Weights
                     n += len(t.cls)
             if n:
                 for k, p in enumerate(own.parts()):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([p], pa.binary())], ["shard", "n", "change"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([slot], pa.int32()), pa.array([n], pa.int64()), pa.array([p], pa.binary())], ["shard", "slot", "n", "change"])
 
-        schema = "shard int, n long, change binary"
-        got = rows.mapInArrow(learn, schema).repartition(SHARDS, "shard").mapInArrow(total, schema)
+        schema = "shard int, slot int, n long, change binary"
+        got = rows.mapInArrow(learn, schema).repartition("shard", "slot").mapInArrow(total, schema).repartition("shard").mapInArrow(total, schema)
         for r in got.collect():
             weights.put(r.shard, np.frombuffer(r.change, np.float32))
     return weights
@@ -282,7 +338,7 @@ def scored(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights:
     of_class = F.array(*(F.lit(float(x)) for x in v.class_total + 0.5 * (v.class_words + 1)))
     rare = counts.select("h", "c").filter(F.col("c") <= int(v.c.min())) if len(v.h) else counts.select("h", "c")
     c = F.coalesce("c", F.lit(0))
-    met = tail.join(rare.hint("shuffle_hash"), "h", "left").select("row", (F.col("tf") * F.log10((c + 0.5) / whole)).alias("base"), (F.col("tf") * F.log10((c + 0.5) / F.get(of_class, F.col("cls").cast("int")))).alias("own"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
+    met = tail.join(rare.hint("merge"), "h", "left").select("row", (F.col("tf") * F.log10((c + 0.5) / whole)).alias("base"), (F.col("tf") * F.log10((c + 0.5) / F.get(of_class, F.col("cls").cast("int")))).alias("own"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
     sums = met.groupBy("row").agg(F.sum("base").alias("t_base"), F.sum("own").alias("t_own"), F.sum("known").alias("t_known"))
     zero = lambda k: F.coalesce(k, F.lit(0))
     return got.drop("tail").join(sums, "row", "left").select(

@@ -118,11 +118,10 @@ def focus_points(events: DataFrame, candidates: DataFrame, block: str, bucket: f
 def review_sheet(candidates: DataFrame, block: str, segment_s: float) -> DataFrame:
     """The candidates by falling severity, with rank, blank verdict columns, and whether one reaches over a segment's end.
 
-    The rank is a total order; it comes from a range-sorted table's partition offsets only where a report needs it, so the whole list goes through one window here.
+    The rank is a place in ranges of the order, plus what stands in the ranges before.
     """
-    w = Window.orderBy(F.desc("severity"), block, "t_start")
     crosses = F.floor(F.col("t_start") / segment_s) != F.floor(F.col("t_end") / segment_s)
-    return candidates.select(F.row_number().over(w).alias("rank"), block, "t_start", "t_end", "severity", F.array_join("event_types", "|").alias("event_types"), crosses.alias("crosses_segment"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("note"))
+    return numbered(candidates, [F.desc("severity"), F.asc(block), F.asc("t_start")], "rank").select("rank", block, "t_start", "t_end", "severity", F.array_join("event_types", "|").alias("event_types"), crosses.alias("crosses_segment"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("note"))
 
 
 def run_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,10 +139,10 @@ def round_robin(df: DataFrame, kind: str, groups: list[str], n: int, order: list
 
 
 def funnel(df: DataFrame, stages: dict[str, Column], positive: Column) -> DataFrame:
-    """(stage, n, hours, positives): rows that pass all stages up to each."""
-    held, rows = F.lit(True), []
-    for name, c in stages.items():
+    """(stage, n, hours, positives): rows that pass all stages up to each; a stage that no row passes has 0 and nulls."""
+    held, sums, rows = F.lit(True), [], []
+    for i, (name, c) in enumerate(stages.items()):
         held = held & F.coalesce(c, F.lit(False))
-        rows.append(F.struct(F.lit(name).alias("stage"), held.alias("in")))
-    long = df.withColumn("__p", positive.cast("int")).select("__p", (F.col("t_end") - F.col("t_start")).alias("__s"), F.inline(F.array(*rows)))
-    return long.filter("in").groupBy("stage").agg(F.count("*").alias("n"), (F.sum("__s") / 3600).alias("hours"), F.sum("__p").alias("positives"))
+        sums += [F.count(F.when(held, 1)).alias(f"n{i}"), (F.sum(F.when(held, F.col("t_end") - F.col("t_start"))) / 3600).alias(f"h{i}"), F.sum(F.when(held, positive.cast("int"))).alias(f"p{i}")]
+        rows.append(F.struct(F.lit(name).alias("stage"), F.col(f"n{i}").alias("n"), F.col(f"h{i}").alias("hours"), F.col(f"p{i}").alias("positives")))
+    return df.agg(*sums).select(F.inline(F.array(*rows)))

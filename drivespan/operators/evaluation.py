@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -93,14 +94,22 @@ def rejection_breakdown(df: DataFrame, conditions: dict[str, Column], seconds: s
     return df.select(F.col(seconds).alias("s"), F.inline(F.array(*rows))).groupBy("condition").agg(sec("alone").alias("alone_s"), sec("sole").alias("sole_s"))
 
 
+#: Chances that a Poisson draw of mean 1 is at most 0, 1, 2, ...; beyond the last one it counts as one more.
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+
+
+def draw(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) that follows from the seed and the keys: the first 32 bits of the MD5 of both as text."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def bootstrap(df: DataFrame, cluster: str, x: str, replicates: int, seed: int, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
-    """(mean, low, high) of x by resampling whole clusters: draw d of replicate r takes the cluster whose number is hash(seed, r, d) mod n. Clusters enter as sums, so the replicate table is clusters times replicates."""
+    """(mean, low, high) of x by resampling whole clusters: in each replicate a cluster counts a Poisson number of times, drawn by hash. Clusters enter as sums, and a replicate is a conditional sum over them."""
     per = df.groupBy(cluster).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
-    numbered = per.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    size = per.agg(F.count("*").alias("m"))
-    draws = numbered.select("i").crossJoin(F.broadcast(df.sparkSession.range(replicates).withColumnRenamed("id", "r"))).crossJoin(F.broadcast(size))
-    draws = draws.select("r", F.pmod(F.xxhash64(F.lit(seed), "r", "i"), "m").alias("i"))
-    means = draws.join(numbered, "i").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    times = per.select("s", "n", cluster, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("u", draw(seed, F.col("r"), F.col(cluster)))
+    weight = sum(((F.col("u") >= p).cast("int") for p in _POISSON), F.lit(0))
+    means = times.withColumn("w", weight).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
     ends = means.agg(F.percentile("mean", levels[0]).alias("low"), F.percentile("mean", levels[1]).alias("high"))
     return per.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(ends)
 

@@ -21,8 +21,9 @@ FIELDS = ["event_type", "label", "feature", "op", "threshold", "t_start", "t_end
 
 
 def condition(x: Column, op: str, threshold: float) -> Column:
-    """lt, gt, le, ge, abs_gt or abs_ge; null and NaN never hold."""
-    x = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    """lt, gt, le, ge, abs_gt or abs_ge; null, NaN and infinities never hold."""
+    x = x.cast("double")
+    x = F.when(F.abs(x) < float("inf"), x)  # NaN is above every number
     held = {"lt": x < threshold, "gt": x > threshold, "le": x <= threshold, "ge": x >= threshold, "abs_gt": F.abs(x) > threshold, "abs_ge": F.abs(x) >= threshold}[op]
     return F.coalesce(held, F.lit(False))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivespan.operators.joins import heading_difference, near_pairs
@@ -124,13 +126,19 @@ def uniqueness(events: DataFrame, passes: DataFrame, x: str, y: str, drive: str,
 
 
 def weather_near(points: DataFrame, stations: DataFrame, radius_m: float, k: int) -> DataFrame:
-    """(id, station, dist_m, rank): up to k stations within the radius, nearest first. The station list is a small reference table of checked size."""
-    from drivespan.functions.vehicle import haversine_m
+    """(id, station, dist_m, rank): up to k stations within the radius, nearest first.
 
-    if stations.limit(100_001).count() > 100_000:
-        raise ValueError("more stations than a broadcast should hold; join on grid cells first")
-    s = stations.select("station", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    met = points.join(F.broadcast(s), (F.abs(F.col("lat") - F.col("s_lat")) <= radius_m / 111_000.0)).withColumn("dist_m", haversine_m(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))).filter(F.col("dist_m") <= radius_m)
+    Places on the sphere meet on cubes as wide as the radius: stations are dealt to their own cube and its neighbours, so poles and
+    the date line need no care and no list is too long.
+    """
+    from drivespan.functions.vehicle import EARTH_M, haversine_m
+
+    lat, lon = F.radians("lat"), F.radians("lon")
+    cube = [F.floor(c * (EARTH_M / radius_m)).cast("int") for c in (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))]
+    names = ["__cx", "__cy", "__cz"]
+    near = F.array(*(F.struct(*((c + i).alias(n) for c, i, n in zip(cube, move, names, strict=True))) for move in itertools.product((-1, 0, 1), repeat=3)))
+    s = stations.select("station", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.inline(near))
+    met = points.withColumns(dict(zip(names, cube, strict=True))).join(s, names).withColumn("dist_m", haversine_m(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))).filter(F.col("dist_m") <= radius_m)
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist_m", "station"))).filter(F.col("rank") <= k).select("id", "station", "dist_m", "rank")
 
 

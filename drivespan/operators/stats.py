@@ -89,8 +89,7 @@ def pooled_permutation(df: DataFrame, site: str, drive: str, x: str, y: str, rep
     w = Window.partitionBy(site)
     per = per.withColumn("k", F.row_number().over(w.orderBy(drive)) - 1).withColumn("m", F.count(F.lit(1)).over(w))
     own = per.agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0))).alias("slope"))
-    reps = df.sparkSession.range(replicates).withColumnRenamed("id", "r")
-    moved = per.select(site, "k", "m", "y").crossJoin(F.broadcast(reps)).withColumn("k", F.pmod(F.col("k") + F.pmod(F.xxhash64(F.lit(seed), "r", site), F.col("m")), F.col("m")))
+    moved = per.select(site, "k", "m", "y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("k", F.pmod(F.col("k") + F.pmod(F.xxhash64(F.lit(seed), "r", site), F.col("m")), F.col("m")))
     slopes = moved.join(per.select(site, "k", "x"), [site, "k"]).groupBy("r").agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0))).alias("s"))
     return slopes.join(F.broadcast(own), F.lit(True)).agg(F.first("slope").alias("slope"), ((F.sum((F.abs("s") >= F.abs("slope")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
 
@@ -103,19 +102,38 @@ def reversal(df: DataFrame, drive: str, sign: str, y: str) -> DataFrame:
     return g.select(drive, "n", "diff", "se", (F.col("diff") / F.nullif("se", F.lit(0.0))).alias("k"))
 
 
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df dealt to ranges of the order, with `__range` as each row's range; cut from its lineage, so that ranges stay as they are."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def before_range(rows: DataFrame, value: Column) -> DataFrame:
+    """(__range, __before): the sum of value over all ranges before each; one row a range goes through one window."""
+    per = rows.groupBy("__range").agg(value.alias("__n"))
+    return per.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with `out`: each row's place, from 1, in the order. Rows are numbered inside ranges of the order, and the ranges before are added."""
+    rows = ranged(df, order)
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return rows.join(F.broadcast(before_range(rows, F.count("*"))), "__range").withColumn(out, own + F.col("__before")).drop("__range", "__before")
+
+
 def surprise(df: DataFrame, null: DataFrame, x: str) -> DataFrame:
-    """df with -log10((null values at or above + 1) / (null values + 1)); one sort of both.
+    """df with -log10((null values at or above + 1) / (null values + 1)).
 
-    Values are first counted by 4096 ranges of the null's quantiles, so that the running counts go through few rows in one place
-    while the exact ones run inside a range.
+    Distinct values are dealt to ranges; the null values at or above one are a running count inside its range and the counts of the
+    ranges above. A null x has a null surprise.
     """
-    both = df.withColumn("__null", F.lit(0)).unionByName(null.select(F.col(x), F.lit(1).alias("__null")), allowMissingColumns=True)
-    cuts = null.agg(F.percentile_approx(x, F.array(*(F.lit(i / 64) for i in range(1, 64)))).alias("__cuts"))
-    both = both.join(F.broadcast(cuts), F.lit(True)).withColumn("__bin", F.aggregate(F.coalesce("__cuts", F.array().cast("array<double>")), F.lit(0), lambda n, c: n + F.when(F.col(x) >= c, 1).otherwise(0)))
-    totals = both.groupBy("__bin").agg(F.sum("__null").alias("n")).select("__bin", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"), F.sum("n").over(Window.partitionBy()).alias("__all"))
-    inside = F.sum("__null").over(Window.partitionBy("__bin").orderBy(F.desc(x)).rangeBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__in", inside).join(F.broadcast(totals), "__bin").filter("__null = 0")
-    return out.select(*df.columns, (-F.log10((F.col("__above") + F.col("__in") + 1) / (F.col("__all") + 1))).alias("surprise"))
+    both = df.select(x, F.lit(0).alias("n")).unionByName(null.select(x, F.lit(1).alias("n"))).filter(F.col(x).isNotNull())
+    values = ranged(both.groupBy(x).agg(F.sum("n").alias("n")), [F.desc(x)])
+    own = F.sum("n").over(Window.partitionBy("__range").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, 0))
+    above = values.join(F.broadcast(before_range(values, F.sum("n"))), "__range").select(x, (own + F.col("__before")).alias("__above"))
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__all"))
+    out = df.join(above, x, "left").crossJoin(F.broadcast(total))
+    return out.select(*df.columns, (-F.log10((F.col("__above") + 1) / (F.col("__all") + 1))).alias("surprise"))
 
 
 def average_rank(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
@@ -132,11 +150,16 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def leave_own_out_median(cells: DataFrame, cell: str, drive: str, x: str, least: int = 3) -> DataFrame:
-    """(cell, drive, baseline): the median of the other drives' medians in the cell, if there are `least` of them. A cell keeps one number a drive."""
-    per = cells.groupBy(cell, drive).agg(F.percentile(x, 0.5).alias("m"))
-    all_ = per.groupBy(cell).agg(F.collect_list(F.struct(F.col(drive).alias("d"), F.col("m").alias("m"))).alias("ms"))
-    rest = F.array_sort(F.transform(F.filter("ms", lambda s: s["d"] != F.col(drive)), lambda s: s["m"]))
-    out = per.join(all_, cell).withColumn("r", rest).filter(F.size("r") >= least)
-    n = F.size("r")
-    mid = (F.element_at("r", F.floor((n - 1) / 2).cast("int") + 1) + F.element_at("r", F.floor(n / 2).cast("int") + 1)) / 2
-    return out.select(cell, drive, mid.alias("baseline"))
+    """(cell, drive, baseline): the median of the other drives' medians in the cell, if there are `least` of them.
+
+    A cell's drives are ranked once. The median without a drive stands at one of the places around the middle, which one
+    follows from the drive's own rank; so a cell passes on four values, whatever the number of its drives.
+    """
+    per = cells.groupBy(cell, drive).agg(F.percentile(x, 0.5).alias("m")).filter("m is not null")
+    w = Window.partitionBy(cell)
+    per = per.withColumn("i", F.row_number().over(w.orderBy("m", drive)) - 1).withColumn("n", F.count("*").over(w) - 1).filter(F.col("n") >= least)
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    at = {"l0": low, "l1": low + 1, "h0": high, "h1": high + 1}
+    middle = per.groupBy(cell).agg(*(F.max(F.when(F.col("i") == k, F.col("m"))).alias(n) for n, k in at.items()))
+    pick = lambda k, a, b: F.when(k < F.col("i"), F.col(a)).otherwise(F.col(b))
+    return per.join(middle, cell).select(cell, drive, ((pick(low, "l0", "l1") + pick(high, "h0", "h1")) / 2).alias("baseline"))

@@ -141,10 +141,15 @@ def rejection_breakdown(spark, sf):
     return out.select("condition", F.round("alone_s", 4).alias("alone_s"), F.round("sole_s", 4).alias("sole_s"))
 
 
-@query()
+_DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"""WITH p AS (SELECT user_id AS drive, sum(value) AS s, count(value) AS n FROM events GROUP BY 1), u AS (SELECT p.*, r, {_DRAW.format("'1:' || r || ':' || drive")} AS u FROM p, range(200) x(r)),
+m AS (SELECT r, sum(w * s) / sum(w * n) AS mean FROM (SELECT *, {" + ".join(f"(u >= {p!r})::INT" for p in ev._POISSON)} AS w FROM u) GROUP BY r) SELECT (SELECT round(sum(s) / sum(n), 6) FROM p) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def cluster_bootstrap(spark, sf):
     """Mean value with an interval from resampled drives; tests check coverage and that equal seeds agree."""
-    return ev.bootstrap(signals(spark, sf), "drive", "v", 200, 1)
+    out = ev.bootstrap(signals(spark, sf), "drive", "v", 200, 1)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
 @query("""WITH t AS (SELECT user_id, count(*) AS n, sum((value > 250)::INT) AS k, sum((event_type = 'error')::INT) AS e, sum((value > 250 AND event_type = 'error')::INT) AS b FROM events GROUP BY 1)

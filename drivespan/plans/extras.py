@@ -57,10 +57,10 @@ def event_physics(spark, sf):
     return out.select("id", "column", F.round("during", 5).alias("during"), F.round("before", 5).alias("before"))
 
 
-@query(f"WITH {TICKS} SELECT drive, count(*) AS n, round(max(t) - min(t), 5) AS seconds, round(avg((v_mps > 15)::INT), 6) AS share_fast, round(count(ax_mps2) / count(*), 6) AS known_ax_mps2, round(avg(ax_mps2), 5) AS mean_ax_mps2, round(stddev_samp(ax_mps2), 5) AS sd_ax_mps2 FROM ticks GROUP BY drive")
+@query(f"WITH {TICKS} SELECT drive, count(*) AS n, round(max(t) - min(t), 9) AS seconds, round(avg((v_mps > 15)::INT), 9) AS share_fast, round(count(ax_mps2) / count(*), 9) AS known_ax_mps2, round(avg(ax_mps2), 9) AS mean_ax_mps2, round(stddev_samp(ax_mps2), 9) AS sd_ax_mps2 FROM ticks GROUP BY drive")
 def drive_quality(spark, sf):
     out = ck.quality_row(ticks(spark, sf), ["drive"], "t", {"fast": F.col("v_mps") > 15}, ["ax_mps2"])
-    return out.select("drive", "n", F.round("seconds", 5).alias("seconds"), F.round("share_fast", 6).alias("share_fast"), F.round("known_ax_mps2", 6).alias("known_ax_mps2"), F.round("mean_ax_mps2", 5).alias("mean_ax_mps2"), F.round("sd_ax_mps2", 5).alias("sd_ax_mps2"))
+    return out.select("drive", "n", F.round("seconds", 9).alias("seconds"), F.round("share_fast", 9).alias("share_fast"), F.round("known_ax_mps2", 9).alias("known_ax_mps2"), F.round("mean_ax_mps2", 9).alias("mean_ax_mps2"), F.round("sd_ax_mps2", 9).alias("sd_ax_mps2"))
 
 
 @query(f"WITH {TICKS} SELECT drive, tick, round(CASE WHEN v_mps >= 1 THEN t - 31.5 / v_mps END, 6) AS t_frame FROM ticks")

@@ -1,9 +1,7 @@
-"""The folder in which lineage is cut: what spark.checkpoint.dir names, or an own one where it is unset."""
+"""The folder in which lineage is cut: what spark.checkpoint.dir names, or one in the warehouse where it is unset."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,7 +11,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not at and kept.isDefined():
         at = kept.get()
     if not at:
-        at = tempfile.mkdtemp(prefix="drivespan-")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/drivespan-scratch"
     if not kept.isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
