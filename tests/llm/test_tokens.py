@@ -229,6 +229,36 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(p.sum(axis=1), 1) and np.allclose(q.sum(axis=1), 1)
 
 
+def test_scores_against_a_plain_recomputation(spark):
+    """Each token's P(group) P(class) P(word) from the trained tables, one token after another."""
+    say = ["the cat sat on the mat again", "der hund läuft über", "x1 ### the cat", "", "qqq zzz"]
+    df = spark.createDataFrame([(i, say[i % 5]) for i in range(60)], "doc_id long, text string")
+    counts = maxent.counted(df).cache()
+    v = maxent.vocabulary(counts)
+    w = maxent.trained(df, v)
+    got = {r.doc_id: r.score for r in maxent.scored(df.withColumn("held_out", F.lit(False)), counts, v, w).collect()}
+    c = {r.h: r.c for r in counts.collect()}
+    for i in range(5):
+        t = maxent.Tokens(pa.array([say[i]]), v)
+        total = 0.0
+        for k, cls in enumerate(t.cls.tolist()):
+            g, f = cls // maxent.MEMBERS, t.features[k]
+            a = np.exp(sum(w.group[x].astype(float) for x in f))
+            b = np.exp(sum(w.member[x * maxent.GROUPS + g].astype(float) for x in f))
+            total += math.log10(a[g] / a.sum()) + math.log10(b[cls % maxent.MEMBERS] / b.sum())
+            if cls >= maxent.SINGLES:
+                total += math.log10((c.get(int(t.h[t.at[k]]), 0) + 0.5) / (v.class_total[cls] + 0.5 * (v.class_words[cls] + 1)))
+        assert math.isclose(got[i], total, rel_tol=1e-4), i
+
+
+def test_form_classes_do_not_depend_on_the_batch():
+    words = ["straße.", "ñu", "éa", "漢字", "abc!?", "...", "a", "ab", "x###", "*", "word", "ñ$"]
+    whole = maxent.form_classes(pa.array(words, pa.large_string()))
+    assert [int(maxent.form_classes(pa.array([w], pa.large_string()))[0]) for w in words] == whole.tolist()
+    assert (maxent.form_classes(pa.array(["xx", *words], pa.large_string())[1:]) == whole).all()
+    assert [x // maxent.MEMBERS for x in whole.tolist()][:4] == [5, 6, 7, 7] and whole[8] // maxent.MEMBERS == 4 and whole[10] // maxent.MEMBERS >= 8 and not len(maxent.form_classes(pa.array([], pa.large_string())))
+
+
 def test_op1_op6_on_the_smallest_tables(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert registry.QUERIES["op1_wavelet"](spark, sf_dir).count() == n
