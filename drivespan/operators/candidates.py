@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivespan.operators.islands import merge_intervals
+from drivespan.operators.stats import numbered
 from drivespan.operators.joins import overlap_join, points_in
 
 #: Padding, merge gap, cap and bonus of the scoring.
