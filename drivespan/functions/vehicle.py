@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 G = 9.80665
@@ -106,7 +108,10 @@ def log_binomial_tail(k: Column, n: Column, p: Column) -> Column:
 
 
 def _log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
+    """Summed up to 15, Stirling's series beyond."""
+    x = F.greatest(n.cast("double"), F.lit(1.0))
+    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n.cast("int"), F.lit(15)), F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
+    return F.when(n <= 15, small).otherwise(x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x))
 
 
 def _log_choose(n: Column, k: Column) -> Column:

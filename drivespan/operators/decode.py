@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from drivespan.functions.draws import draw
+
 TX = 0x80
 
 
@@ -118,7 +120,7 @@ def work_list(segments: DataFrame, drive: str, index: str, routes: int, per_rout
 def stratified(df: DataFrame, strata: list[str], key: str, share: float, seed: int) -> DataFrame:
     """About `share` of each stratum, at least one row, by the hash of (seed, key): the same rows every time."""
     w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    rank = F.row_number().over(w.orderBy(draw(seed, F.col(key)), key))
     return df.withColumn("__r", rank).withColumn("__n", F.count(F.lit(1)).over(w)).filter(F.col("__r") <= F.greatest(F.lit(1), F.ceil(F.col("__n") * share))).drop("__r", "__n")
 
 

@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from drivespan.functions.draws import draw
 from drivespan.operators.joins import overlap_join
 
 
@@ -98,12 +99,6 @@ def rejection_breakdown(df: DataFrame, conditions: dict[str, Column], seconds: s
 _POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
 
 
-def draw(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that follows from the seed and the keys: the first 32 bits of the MD5 of both as text."""
-    text = F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
-
-
 def bootstrap(df: DataFrame, cluster: str, x: str, replicates: int, seed: int, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
     """(mean, low, high) of x by resampling whole clusters: in each replicate a cluster counts a Poisson number of times, drawn by hash. Clusters enter as sums, and a replicate is a conditional sum over them."""
     per = df.groupBy(cluster).agg(F.sum(x).alias("s"), F.count(x).alias("n"))

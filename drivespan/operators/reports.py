@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from drivespan.functions.draws import draw
 from drivespan.operators.joins import points_in
 
 
@@ -171,7 +172,7 @@ def matched_controls(cases: DataFrame, pool: DataFrame, car: str, v: str, width:
     a = cases.select("id", car, F.floor(F.col(v) / width).alias("bin"))
     b = pool.select(F.col("id").alias("control"), car, F.floor(F.col(v) / width).alias("bin"))
     # a pool is first thinned to what can be picked at all, so a hot bin does not meet itself whole
-    b = b.withColumn("__r", F.row_number().over(Window.partitionBy(car, "bin").orderBy(F.xxhash64(F.lit(seed), "control"), "control"))).filter(F.col("__r") <= k + 1)
+    b = b.withColumn("__r", F.row_number().over(Window.partitionBy(car, "bin").orderBy(draw(seed, F.col("control")), "control"))).filter(F.col("__r") <= k + 1)
     m = a.join(b, [car, "bin"]).filter("id <> control")
     return m.withColumn("pick", F.row_number().over(Window.partitionBy("id").orderBy("__r"))).filter(F.col("pick") <= k).select("id", "control", "pick")
 

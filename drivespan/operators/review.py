@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from drivespan.functions.draws import draw
 from drivespan.operators.joins import asof, overlap_join
 
 
@@ -113,7 +114,7 @@ def controls_away(times: DataFrame, events: DataFrame, key: str, margin: float,
     """Up to n times of each key that are at least margin from every event (key, b_start, b_end), picked by hash."""
     points = times.withColumns({"a_start": F.col("t"), "a_end": F.col("t")})
     free = overlap_join(points, events, key, bucket, "left_anti", pad=margin).drop("a_start", "a_end")
-    return free.withColumn("pick", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), key, "t"), "t"))).filter(F.col("pick") <= n)
+    return free.withColumn("pick", F.row_number().over(Window.partitionBy(key).orderBy(draw(seed, F.col(key), F.round(F.col("t") * 1e6).cast("long")), "t"))).filter(F.col("pick") <= n)
 
 
 VERDICTS = {"yes": True, "risky": True, "no": False, "fine": False, "unclear": None}

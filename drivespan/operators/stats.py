@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from drivespan.functions.draws import draw
 from drivespan.sources.scratch import checkpointed
 
 
@@ -89,7 +90,7 @@ def pooled_permutation(df: DataFrame, site: str, drive: str, x: str, y: str, rep
     w = Window.partitionBy(site)
     per = per.withColumn("k", F.row_number().over(w.orderBy(drive)) - 1).withColumn("m", F.count(F.lit(1)).over(w))
     own = per.agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0))).alias("slope"))
-    moved = per.select(site, "k", "m", "y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("k", F.pmod(F.col("k") + F.pmod(F.xxhash64(F.lit(seed), "r", site), F.col("m")), F.col("m")))
+    moved = per.select(site, "k", "m", "y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("k", F.pmod(F.col("k") + F.floor(draw(seed, F.col("r"), F.col(site)) * F.col("m")), F.col("m")))
     slopes = moved.join(per.select(site, "k", "x"), [site, "k"]).groupBy("r").agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0))).alias("s"))
     return slopes.join(F.broadcast(own), F.lit(True)).agg(F.first("slope").alias("slope"), ((F.sum((F.abs("s") >= F.abs("slope")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from drivespan.operators import islands, joins, timegrid as tg
-from drivespan.plans.base import DT, RATE, SIG, TICKS, query, signals, table, ticks
+from drivespan.plans.base import DT, RATE, SIG, TICKS, fir_sql, query, signals, table, ticks
 
 STEP, GAP = 21600.0, 172800.0
 _SPANS = "spans AS (SELECT drive, max(a) AS t0, min(b) AS t1 FROM (SELECT drive, channel, min(t) AS a, max(t) AS b FROM sig GROUP BY ALL) GROUP BY drive)"
@@ -140,17 +142,20 @@ def fir_and_rms(spark, sf):
     return ticks(spark, sf).select("drive", "tick", F.round(tg.fir(F.col("ax_mps2"), "drive", "tick", [0.25, 0.5, 0.25]), 6).alias("smooth"), F.round(tg.moving_rms(F.col("yaw_dps"), "drive", "tick", 11), 6).alias("rms"))
 
 
-@query()
+@query(f"WITH {TICKS}, b AS (SELECT drive, tick, {fir_sql('yaw_dps', tg.bandpass_taps(1.0, 3.0, RATE, 10))} AS band FROM ticks WINDOW w AS (PARTITION BY drive ORDER BY tick)) SELECT drive, tick, round(band, 8) AS band, round(sqrt(avg(band * band) OVER (PARTITION BY drive ORDER BY tick ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)), 8) AS envelope FROM b")
 def band_envelopes(spark, sf):
-    """Band-passed yaw and its moving RMS: windowed-sinc taps, so compared by tests with a direct convolution."""
+    """Band-passed yaw and its moving RMS, by windowed-sinc taps."""
     t = ticks(spark, sf).withColumn("band", tg.fir(F.col("yaw_dps"), "drive", "tick", tg.bandpass_taps(1.0, 3.0, RATE, 10)))
-    return t.select("drive", "tick", "band", tg.moving_rms(F.col("band"), "drive", "tick", 11).alias("envelope"))
+    return t.select("drive", "tick", F.round("band", 8).alias("band"), F.round(tg.moving_rms(F.col("band"), "drive", "tick", 11), 8).alias("envelope"))
+
+
+_DECAY = [math.exp(-k / 4.0) for k in range(20)]
 
 
-@query()
+@query(f"WITH {TICKS} SELECT drive, tick, round({fir_sql('steer_deg', [a / sum(_DECAY) for a in _DECAY], lag_only=True)}, 8) AS lagged FROM ticks WINDOW w AS (PARTITION BY drive ORDER BY tick)")
 def first_order_lag(spark, sf):
     """Steering through a lag of 0.2 s; taps are exponentials, compared by tests with the recursion."""
-    return ticks(spark, sf).select("drive", "tick", tg.first_order_lag(F.col("steer_deg"), "drive", "tick", 4.0, 20).alias("lagged"))
+    return ticks(spark, sf).select("drive", "tick", F.round(tg.first_order_lag(F.col("steer_deg"), "drive", "tick", 4.0, 20), 8).alias("lagged"))
 
 
 @query(f"""WITH {TICKS}, w AS (SELECT a.drive, a.tick, a.yaw_dps AS y, count(*) AS n, sum(b.yaw_dps) AS sy, sum(b.yaw_dps * power((b.tick - a.tick) * 0.05, 2)) AS y2 FROM ticks a JOIN ticks b ON b.drive = a.drive AND b.tick BETWEEN a.tick - 6 AND a.tick + 6 GROUP BY ALL),
@@ -230,17 +235,22 @@ def spatial_join(spark, sf):
     return near.select("vec_id", "b_vec_id", F.round("dist", 4).alias("dist"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIG}, o AS (SELECT drive, t, v, row_number() OVER (PARTITION BY drive ORDER BY v DESC, t) AS i FROM sig WHERE v > 100), k AS (SELECT drive, 0 :: BIGINT AS i, [] :: DOUBLE[] AS kept FROM (SELECT DISTINCT drive FROM o)
+UNION ALL SELECT o.drive, o.i, CASE WHEN len(list_filter(k.kept, lambda x: abs(x - o.t) <= 172800.0)) > 0 THEN k.kept ELSE list_append(k.kept, o.t) END FROM k JOIN o ON o.drive = k.drive AND o.i = k.i + 1), l AS (SELECT drive, unnest(arg_max(kept, i)) AS t FROM k GROUP BY drive) SELECT o.drive, round(o.t, 4) AS t, o.v FROM l JOIN o ON o.drive = l.drive AND o.t = l.t""")
 def spaced_peaks(spark, sf):
     """Strongest events of a drive, none within two days of a stronger one kept. The greedy fold is compared by tests with a loop."""
-    s = signals(spark, sf).filter("v > 300")
-    return islands.spaced_peaks(s, "drive", "t", "v", 172800.0).select("drive", "t", "v")
+    s = signals(spark, sf).filter("v > 100")
+    return islands.spaced_peaks(s, "drive", "t", "v", 172800.0).select("drive", F.round("t", 4).alias("t"), "v")
 
 
-@query()
+@query(f"""WITH {TICKS}, r AS (SELECT drive, tick, t, round(yaw_dps, 4) AS x FROM ticks), c AS (SELECT *, sum(coalesce((x + px) / 2 * (t - pt), 0)) OVER w AS cum FROM (SELECT *, lag(x) OVER w AS px, lag(t) OVER w AS pt FROM r WINDOW w AS (PARTITION BY drive ORDER BY tick)) WINDOW w AS (PARTITION BY drive ORDER BY tick)),
+b AS (SELECT *, sign(x) AS s FROM c WHERE abs(x) > 3), n AS (SELECT *, CASE WHEN lag(s) OVER w = s AND CASE WHEN tick - lag(tick) OVER w > 1 THEN pt - lag(t) OVER w ELSE 0 END <= 0.15 THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY drive ORDER BY tick)),
+l AS (SELECT *, sum(new) OVER (PARTITION BY drive ORDER BY tick) AS lobe FROM n) SELECT drive, CAST(lobe AS BIGINT) AS lobe, any_value(s) :: DOUBLE AS sign, round(min(t), 4) AS t_start, round(max(t), 4) AS t_end, round(arg_max(cum, t) - arg_min(cum, t), 6) AS area FROM l GROUP BY drive, lobe""")
 def yaw_lobes(spark, sf):
     """Lobes of the yaw rate, compared by tests with a loop over the samples."""
-    return islands.lobes(ticks(spark, sf), "yaw_dps", "drive", "t", 3.0, 0.15)
+    t = ticks(spark, sf).select("drive", "t", F.round("yaw_dps", 4).alias("yaw_dps"))  # limits are then met alike in both engines
+    out = islands.lobes(t, "yaw_dps", "drive", "t", 3.0, 0.15)
+    return out.select("drive", F.col("lobe").cast("long").alias("lobe"), "sign", F.round("t_start", 4).alias("t_start"), F.round("t_end", 4).alias("t_end"), F.round("area", 6).alias("area"))
 
 
 @query(f"""WITH {TICKS}, h AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY tick) AS r FROM ticks WHERE ax_mps2 < -3), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY drive ORDER BY tick) > 0.3 THEN 1 ELSE 0 END AS n FROM h), i AS (SELECT *, sum(n) OVER (PARTITION BY drive ORDER BY tick) AS run FROM g)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from drivespan.functions import vehicle as vf
 from drivespan.operators import decode as dc, evaluation as ev, export as ex, quality as ql
-from drivespan.plans.base import SIG, TICKS, query, signals, table, ticks
+from drivespan.plans.base import DRAW, SIG, TICKS, query, signals, table, ticks
 from drivespan.plans.detect import RULES
 
 _FRAMES = "fr AS (SELECT doc_id AS drive, len(text) * 0.01 AS t, doc_id % 3 + 100 AS address, CASE WHEN doc_id % 10 = 0 THEN 129 ELSE 1 END AS src, substr(sha256(CAST(doc_id AS VARCHAR)), 1, CASE WHEN doc_id % 17 = 0 THEN 10 ELSE 16 END) AS h FROM documents)"
@@ -81,9 +81,9 @@ def remaining_work(spark, sf):
     return dc.remaining(d, d.filter("doc_id % 4 = 0"), ["doc_id"])
 
 
-@query()
+@query(f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {DRAW.format("'7:' || doc_id")}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang FROM r WHERE r <= greatest(1, ceil(n * 0.1))""")
 def stratified_sample(spark, sf):
-    """A tenth of each language's documents by hash; Spark's hash has no SQL twin, so tests count the strata."""
+    """A tenth of each language's documents by hash."""
     return dc.stratified(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 0.1, 7)
 
 
@@ -141,10 +141,7 @@ def rejection_breakdown(spark, sf):
     return out.select("condition", F.round("alone_s", 4).alias("alone_s"), F.round("sole_s", 4).alias("sole_s"))
 
 
-_DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0"
-
-
-@query(f"""WITH p AS (SELECT user_id AS drive, sum(value) AS s, count(value) AS n FROM events GROUP BY 1), u AS (SELECT p.*, r, {_DRAW.format("'1:' || r || ':' || drive")} AS u FROM p, range(200) x(r)),
+@query(f"""WITH p AS (SELECT user_id AS drive, sum(value) AS s, count(value) AS n FROM events GROUP BY 1), u AS (SELECT p.*, r, {DRAW.format("'1:' || r || ':' || drive")} AS u FROM p, range(200) x(r)),
 m AS (SELECT r, sum(w * s) / sum(w * n) AS mean FROM (SELECT *, {" + ".join(f"(u >= {p!r})::INT" for p in ev._POISSON)} AS w FROM u) GROUP BY r) SELECT (SELECT round(sum(s) / sum(n), 6) FROM p) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def cluster_bootstrap(spark, sf):
     """Mean value with an interval from resampled drives; tests check coverage and that equal seeds agree."""
@@ -162,10 +159,16 @@ def binomial_helpers(spark, sf):
     return t.select("drive", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(vf.cohen_kappa(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 6).alias("kappa"))
 
 
-@query()
+_LOG_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+
+
+@query(f"""WITH t AS (SELECT sum((value > 250 AND event_type = 'error')::INT) :: BIGINT AS a, sum((value > 250 AND event_type <> 'error')::INT) :: BIGINT AS b, sum((NOT value > 250 AND event_type = 'error')::INT) :: BIGINT AS c, sum((NOT value > 250 AND event_type <> 'error')::INT) :: BIGINT AS d FROM events),
+x AS (SELECT t.*, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS x FROM t), p AS (SELECT *, {_LOG_CHOOSE.format("(a + b)", "x")} + {_LOG_CHOOSE.format("(c + d)", "(a + c - x)")} - {_LOG_CHOOSE.format("(a + b + c + d)", "(a + c)")} AS lp FROM x)
+SELECT a, b, c, d, round(any_value(a / (a + b)), 8) AS rate_with, round(any_value(c / (c + d)), 8) AS rate_without, round(least(sum(CASE WHEN lp <= own + 1e-7 THEN exp(lp) ELSE 0 END), 1), 5) AS p FROM p, (SELECT lp AS own FROM p WHERE x = a) GROUP BY a, b, c, d""")
 def presence_comparison(spark, sf):
-    """Outcome rates with Fisher's p of one drive's rows; tests sum the hypergeometric terms."""
-    return ev.compare_presence(signals(spark, sf).filter("drive < 3"), F.col("v") > 250, F.col("channel") == "error")
+    """Outcome rates with Fisher's p; tests sum the hypergeometric terms."""
+    out = ev.compare_presence(signals(spark, sf), F.col("v") > 250, F.col("channel") == "error")
+    return out.select("a", "b", "c", "d", F.round("rate_with", 8).alias("rate_with"), F.round("rate_without", 8).alias("rate_without"), F.round("p", 5).alias("p"))
 
 
 @query(f"""WITH {TICKS}, u AS (SELECT drive, tick, 'ax_mps2' AS name, ax_mps2 AS x FROM ticks UNION ALL SELECT drive, tick, 'abs_flag', abs_flag FROM ticks), g AS (SELECT *, CASE WHEN x > 0.5 AND NOT coalesce(lag(x) OVER (PARTITION BY drive, name ORDER BY tick) > 0.5, true) THEN 1 ELSE 0 END AS edge FROM u)
@@ -245,10 +248,10 @@ def threshold_margins(spark, sf):
     return ql.threshold_margins(ticks(spark, sf), RULES)
 
 
-@query()
+@query("""WITH h AS (SELECT CAST('0x' || substr(md5(event_type || '|' || user_id || '|' || event_id), 1, 13) AS BIGINT) AS h FROM events) SELECT count(*) AS n, CAST(CAST(sum(h) AS HUGEINT) AS VARCHAR) AS total, bit_xor(h) AS mixed FROM h""")
 def table_fingerprint(spark, sf):
     """A digest of a table that doesn't depend on row order; tests shuffle the rows."""
-    return ql.fingerprint(signals(spark, sf))
+    return ql.fingerprint(signals(spark, sf).select(F.col("channel").alias("a"), F.col("drive").alias("b"), F.col("event_id").alias("c"))).withColumn("total", F.col("total").cast("string"))
 
 
 @query("SELECT CASE WHEN u IS NULL THEN 'none' WHEN u % 2 = 0 THEN 'found' ELSE 'missing' END AS state, count(*) AS n FROM (SELECT CASE WHEN event_id % 9 <> 0 THEN event_id END AS u FROM events) GROUP BY 1")

@@ -42,6 +42,18 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIG = "sig AS (SELECT user_id AS drive, event_type AS channel, epoch_us(ts) / 1e6 AS t, value AS v, event_id FROM events)"
 
+
+
+def fir_sql(x: str, taps: list[float], lag_only: bool = False) -> str:
+    """The sum of taps times the rows around (or up to) each row of a window named w."""
+    half = 0 if lag_only else len(taps) // 2
+    at = lambda k: f"lag({x}, {k}) OVER w" if k > 0 else f"lead({x}, {-k}) OVER w" if k < 0 else x
+    return " + ".join(f"{a!r} * {at(k if lag_only else half - k)}" for k, a in enumerate(taps))
+
+
+#: A draw in [0, 1) as in functions.draws, of a text.
+DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0"
+
 DT = 0.05
 RATE = 20.0
 

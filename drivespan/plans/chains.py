@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from drivespan.operators import reports as rp
 from drivespan.plans.align import _PLACES, places
-from drivespan.plans.base import DT, SIG, TICKS, query, signals, table, ticks
+from drivespan.plans.base import DRAW, DT, SIG, TICKS, query, signals, table, ticks
 from drivespan.plans.detect import _BRAKE, _events
 
 
@@ -115,11 +115,12 @@ def first_movers(spark, sf):
     return rp.first_mover(ticks(spark, sf), "drive", "t", {"steer_deg": 100.0, "yaw_dps": 18.5}).withColumn("t_first", F.round("t_first", 5))
 
 
-@query()
+@query(f"""WITH {SIG}, a AS (SELECT event_id AS id, drive, floor(v / 100) AS b FROM sig WHERE channel = 'error'), p AS (SELECT event_id AS control, drive, floor(v / 100) AS b, row_number() OVER (PARTITION BY drive, floor(v / 100) ORDER BY {DRAW.format("'5:' || event_id")}, event_id) AS r FROM sig WHERE channel <> 'error'),
+m AS (SELECT a.id, p.control, row_number() OVER (PARTITION BY a.id ORDER BY p.r) AS pick FROM a JOIN p ON p.drive = a.drive AND p.b = a.b AND p.r <= 3 AND p.control <> a.id) SELECT * FROM m WHERE pick <= 2""")
 def matched_controls(spark, sf):
     """Controls of the same drive and value bin by hash; tests check the matching."""
     s = signals(spark, sf).withColumnRenamed("event_id", "id")
-    return rp.matched_controls(s.filter("channel = 'error'"), s.filter("channel <> 'error'"), "drive", "v", 100.0, 2, 5)
+    return rp.matched_controls(s.filter("channel = 'error'"), s.filter("channel <> 'error'"), "drive", "v", 100.0, 2, 5).withColumn("pick", F.col("pick").cast("long"))
 
 
 @query("WITH c AS (SELECT event_type AS channel, avg(value) AS m, count(*) AS n FROM events GROUP BY 1) SELECT channel, 'mean' AS gate, m > 50 AS passed FROM c UNION ALL SELECT channel, 'size', n > 2000 FROM c")

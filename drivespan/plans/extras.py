@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivespan.operators import drive_checks as ck, islands, timegrid as tg
-from drivespan.plans.base import DT, RATE, SIG, TICKS, query, signals, ticks
+from drivespan.plans.base import DT, RATE, SIG, TICKS, fir_sql, query, signals, ticks
 from drivespan.plans.chains import _EVENTS, _brakes
 
 
-@query()
+@query(f"WITH {TICKS} SELECT drive, tick, round({fir_sql('ax_mps2', ck.iso_weight_taps(RATE, 12))}, 8) AS weighted FROM ticks WINDOW w AS (PARTITION BY drive ORDER BY tick)")
 def ride_weighting(spark, sf):
     """Weighted vertical acceleration; taps by frequency sampling, whose gains tests compare with the standard's."""
-    return ticks(spark, sf).select("drive", "tick", tg.fir(F.col("ax_mps2"), "drive", "tick", ck.iso_weight_taps(RATE, 12)).alias("weighted"))
+    return ticks(spark, sf).select("drive", "tick", F.round(tg.fir(F.col("ax_mps2"), "drive", "tick", ck.iso_weight_taps(RATE, 12)), 8).alias("weighted"))
 
 
 @query(f"""WITH {TICKS}, l AS (SELECT unnest(range(-3, 4)) AS lag), m AS (SELECT a.drive, l.lag, corr(a.yaw_dps, b.steer_deg) AS r FROM ticks a CROSS JOIN l JOIN ticks b ON b.drive = a.drive AND b.tick = a.tick + l.lag GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY r DESC, abs(lag), lag DESC) AS n FROM m) SELECT drive, CAST(lag AS INTEGER) AS lag, round(r, 5) AS r FROM k WHERE n = 1""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from drivespan.functions import vehicle as vf
 from drivespan.operators import sites as st, stats as ss
 from drivespan.plans.align import _PLACES, places
-from drivespan.plans.base import RATE, SIG, TICKS, query, signals, table, ticks
+from drivespan.plans.base import DRAW, RATE, SIG, TICKS, query, signals, table, ticks
 
 
 @query(f"WITH {TICKS} SELECT CAST(floor(v_mps / 5) AS BIGINT) AS bin, round(median(abs(ax_mps2)), 6) AS base, count(*) AS n FROM ticks WHERE ax_mps2 IS NOT NULL GROUP BY 1")
@@ -176,11 +176,13 @@ def within_site_slope(spark, sf):
     return out.select("site", "n", F.round("slope", 3).alias("slope"), F.round("t", 3).alias("t"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT event_id % 40 AS site, user_id AS drive, avg(value) AS x, avg(value * 0.5 + user_id) AS y FROM events GROUP BY ALL), d AS (SELECT site, drive, x - avg(x) OVER (PARTITION BY site) AS x, y - avg(y) OVER (PARTITION BY site) AS y, row_number() OVER (PARTITION BY site ORDER BY drive) - 1 AS k, count(*) OVER (PARTITION BY site) AS m FROM p),
+o AS (SELECT sum(x * y) / sum(x * x) AS slope FROM d), s AS (SELECT r, sum(b.x * a.y) / sum(b.x * b.x) AS s FROM d a, range(99) q(r), d b WHERE b.site = a.site AND b.k = (a.k + floor({DRAW.format("'3:' || r || ':' || a.site")} * a.m)) % a.m GROUP BY r)
+SELECT round(any_value(slope), 8) AS slope, round((sum((abs(s) >= abs(slope))::INT) + 1) / (count(*) + 1), 8) AS p FROM s, o""")
 def pooled_permutation(spark, sf):
     """Pooled slope with a permutation p by drive; tests check a planted and a null effect."""
     df = signals(spark, sf).select((F.col("event_id") % 40).alias("site"), "drive", F.col("v").alias("x"), (F.col("v") * 0.5 + F.col("drive")).alias("y"))
-    return ss.pooled_permutation(df, "site", "drive", "x", "y", 99, 3)
+    return ss.pooled_permutation(df, "site", "drive", "x", "y", 99, 3).select(F.round("slope", 8).alias("slope"), F.round("p", 8).alias("p"))
 
 
 @query("""WITH g AS (SELECT user_id AS drive, count(*) AS n, avg(value) FILTER (WHERE event_id % 2 = 0) AS a, avg(value) FILTER (WHERE event_id % 2 = 1) AS b, var_samp(value) FILTER (WHERE event_id % 2 = 0) / count(*) FILTER (WHERE event_id % 2 = 0) + var_samp(value) FILTER (WHERE event_id % 2 = 1) / count(*) FILTER (WHERE event_id % 2 = 1) AS s FROM events GROUP BY 1) SELECT drive, n, round(a - b, 4) AS diff, round(sqrt(s), 4) AS se, round((a - b) / sqrt(s), 4) AS k FROM g""")

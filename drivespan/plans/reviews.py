@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivespan.operators import review as rv
-from drivespan.plans.base import SIG, TICKS, query, signals, table, ticks
+from drivespan.plans.base import DRAW, SIG, TICKS, query, signals, table, ticks
 from drivespan.streaming import jobs
 
 _EP = "ep AS (SELECT *, CASE WHEN risky THEN 'P' ELSE 'N' END || CASE WHEN n < 10 THEN '0' || n ELSE '' || n END AS eid FROM (SELECT *, row_number() OVER (PARTITION BY risky ORDER BY drive, t) AS n FROM (SELECT drive, t, v > 250 AS risky FROM sig WHERE channel = 'error' AND event_id % 3 <> 0)))"
@@ -96,12 +96,13 @@ def detection_delay(spark, sf):
     return rv.detection_delay(first, s.filter("v > 350").groupBy("drive").agg(F.min("t").alias("onset")), "drive")
 
 
-@query()
+@query(f"""WITH {SIG}, e AS (SELECT drive, t AS a, t + 600 AS b FROM sig WHERE channel = 'error'), f AS (SELECT drive, t FROM sig s WHERE channel <> 'error' AND NOT EXISTS (SELECT 1 FROM e WHERE e.drive = s.drive AND e.a <= s.t + 20000 AND e.b >= s.t - 20000)),
+r AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY {DRAW.format("'11:' || drive || ':' || CAST(round(t * 1e6) AS BIGINT)")}, t) AS pick FROM f) SELECT drive, round(t, 4) AS t, pick FROM r WHERE pick <= 5""")
 def control_times(spark, sf):
     """Control times away from every error, picked by hash; tests check the distances."""
     s = signals(spark, sf)
     ev = s.filter("channel = 'error'").select("drive", F.col("t").alias("b_start"), (F.col("t") + 600).alias("b_end"))
-    return rv.controls_away(s.filter("channel <> 'error'").select("drive", "t"), ev, "drive", 20000.0, 40000.0, 5, 11)
+    return rv.controls_away(s.filter("channel <> 'error'").select("drive", "t"), ev, "drive", 20000.0, 40000.0, 5, 11).select("drive", F.round("t", 4).alias("t"), F.col("pick").cast("long").alias("pick"))
 
 
 _SHEET = "s AS (SELECT event_id AS id, user_id AS drive, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + 5000 AS b, CASE event_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'unclear' ELSE 'what' END AS w FROM events WHERE event_type = 'click'), l AS (SELECT user_id AS drive, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + 5000 AS b FROM events WHERE event_type = 'view')"

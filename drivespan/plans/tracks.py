@@ -59,11 +59,13 @@ def pass_metrics(spark, sf):
     return geo.pass_metrics(r, ["drive"], "o", "ay_mps2", 5.0, 20.0).withColumn("contrast", F.round("contrast", 5))
 
 
-@query()
+@query("""WITH r AS (SELECT event_type || ':' || user_id AS site, (value > 100)::INT AS h, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC) AS r FROM events), g AS (SELECT site, count(*) :: INT AS n, sum(h) :: INT AS hits FROM r WHERE r > 1 GROUP BY site), t AS (SELECT g.*, unnest(range(hits, n + 1)) AS i FROM g),
+s AS (SELECT site, n, hits, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.2) + (n - i) * ln(0.8))) AS p FROM t GROUP BY ALL) SELECT site, n, hits, CASE WHEN hits = 0 THEN 0.0 ELSE round(-log10(least(p, 1)), 6) END AS surprise FROM s""")
 def repeat_surprise(spark, sf):
     """Binomial surprise of drives' hits without the strongest; the tail sum is compared by tests with exact binomials."""
-    s = signals(spark, sf).withColumnRenamed("channel", "site").filter("drive < 4")
-    return geo.repeat_surprise(s.withColumn("site", F.concat_ws(":", "site", "drive")), "site", F.col("v") > 100, "v", 0.2)
+    s = signals(spark, sf).withColumnRenamed("channel", "site")
+    out = geo.repeat_surprise(s.withColumn("site", F.concat_ws(":", "site", "drive")), "site", F.col("v") > 100, "v", 0.2)
+    return out.withColumn("surprise", F.round("surprise", 6))
 
 
 @query(f"WITH {TICKS}, w AS (SELECT drive, tick, avg((v_mps > 8)::INT) OVER x AS e, avg(ay_mps2) OVER x AS m, count(*) OVER x AS n FROM ticks WINDOW x AS (PARTITION BY drive ORDER BY tick ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)), k AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY m DESC, tick) AS r FROM w WHERE n = 8 AND e = 1 AND m IS NOT NULL) SELECT drive, tick, e :: DOUBLE AS exposed_share, round(m, 5) AS mean FROM k WHERE r = 1")
