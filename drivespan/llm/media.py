@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drivespan.llm.shared import written
+from drivespan.llm.shared import slices, written
 
 ROW = 576
 PAD = 255
 SCHEME = "digest:"
 PNG = b"\x89PNG\r\n\x1a\n"
+#: Bytes of texts or images that a task holds at once; a longer single one is taken whole.
+SLICE = 8 << 20
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
 
 
@@ -140,8 +142,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for part in slices(batch, "text", SLICE):
                 data = [(t or "").encode() for t in part.column("text").to_pylist()]
                 full = [padded(x) for x in data]
                 yield pa.RecordBatch.from_arrays(
@@ -157,14 +158,18 @@ def store(docs: DataFrame) -> DataFrame:
 def features(media: DataFrame) -> DataFrame:
     """(digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), one row a digest, from the stored images.
 
-    feature: rows, mean and deviation of the samples, and the share of each eighth of their range. Spark keeps one
-    of the rows that a digest may have; they are equal.
+    feature: rows, mean and deviation of the samples, and the share of each eighth of their range. A task gives a digest's
+    row once, and Spark keeps one of the tasks'; they are equal.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[bytes] = set()  # digests of the task's images; a hot one's features are computed once
+        for part in (p for batch in batches for p in slices(batch, "image", SLICE)):
             out = []
-            for digest, n, image in zip(*(batch.column(c).to_pylist() for c in ("digest", "n_bytes", "image")), strict=True):
+            for digest, n, image in zip(*(part.column(c).to_pylist() for c in ("digest", "n_bytes", "image")), strict=True):
+                if (key := bytes.fromhex(digest)) in seen:
+                    continue
+                seen.add(key)
                 data = samples(image)
                 x = np.frombuffer(data, np.uint8)
                 hist = np.bincount(x >> 5, minlength=8)
@@ -181,25 +186,37 @@ def features(media: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")))
 
 
-def resolve(items: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """items (id_col, items) with each media reference joined to found (digest, ...): one row a reference, with pos and caption; a digest that nothing has gives nulls."""
-    refs = items.select(id_col, F.explode("items").alias("x")).filter("x.kind = 'media'").select(id_col, F.col("x.pos").alias("pos"), F.col("x.caption").alias("caption"), F.expr(f"substring(x.ref, {len(SCHEME) + 1})").alias("digest"))
-    return refs.join(found.hint("merge"), "digest", "left")
+def interleaved(items: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, sequence): each page's items in order, text and media alike, with what found (digest, ...) knows of a media item's payload as `payload`.
+
+    References of the digest scheme meet found in a join; others, and digests that nothing has, have a null payload. Positions and captions are those of the page. found must be
+    a written table, so that a digest that very many pages show meets it straight from a shuffle. Pages without items have an empty sequence; rows of one id are one page.
+    """
+    flat = items.select(id_col, F.inline("items")).withColumn("digest", F.when((F.col("kind") == "media") & F.col("ref").startswith(SCHEME), F.expr(f"substring(ref, {len(SCHEME) + 1})")))
+    known = found.select("digest", F.struct(*(c for c in found.columns if c != "digest")).alias("payload"))
+    media = flat.filter("digest is not null").join(known.hint("merge"), "digest", "left")
+    rows = media.unionByName(flat.filter("digest is null").withColumn("payload", F.lit(None).cast(known.schema["payload"].dataType)))
+    item = F.struct("pos", "kind", "text", "ref", "caption", "digest", "payload")
+    kind = rows.select(F.array(item).alias("x")).schema["x"].dataType
+    sequence = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("item")))).alias("s")).select(id_col, F.col("s.item").alias("sequence"))
+    return items.select(id_col).distinct().join(sequence.hint("merge"), id_col, "left").withColumn("sequence", F.coalesce("sequence", F.array().cast(kind)))
 
 
 def document_pages(media: DataFrame) -> DataFrame:
-    """(row, html): a page for each stored document, its caption as text and its payload as a captioned figure."""
+    """(row, html): a page for each stored document: its caption as a heading, its payload as a captioned figure, and a closing line with its size."""
 
     def safe(c):
         return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     caption = safe(F.col("caption"))
-    return media.select("row", F.concat(F.lit("<article><p>"), caption, F.lit(f'</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure></article>")).alias("html"))
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.col("digest"), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return media.select("row", F.concat(F.lit("<article><h1>"), caption, F.lit("</h1>"), figure, F.lit("<p>"), F.col("n_bytes").cast("string"), F.lit(" bytes</p></article>")).alias("html"))
 
 
 def stored_features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the stored payload's features of every document: stored, referred to from a page, parsed, and resolved by digest."""
+    """doc_id, n_bytes and the stored payload's features of every document: stored, shown on a page, parsed into an ordered sequence, resolved by digest, and read from the sequence's media item."""
     media = written(store(docs), "media")
-    items = sequences(document_pages(media), "row")
-    found = resolve(items, features(media), "row")
-    return media.select("row", "doc_id", "n_bytes").join(found, "row").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    pages = sequences(document_pages(media), "row")
+    found = interleaved(pages, written(features(media), "media-features"), "row")
+    shown = found.select("row", F.size("sequence").alias("n_items"), F.filter("sequence", lambda x: x["kind"] == "media")[0].alias("m"))
+    return media.select("row", "doc_id", "n_bytes").join(shown, "row").select("doc_id", "n_bytes", "m.payload.*", "m.pos", "m.caption", "n_items")

@@ -183,11 +183,28 @@ def test_html_sequence_order_and_captions():
     assert media.parse(None) == [] and media.parse("<p>  </p>") == []
 
 
-def test_unresolved_reference_is_null(spark):
-    items = media.sequences(spark.createDataFrame([(1, '<p>x</p><img src="digest:none">'), (2, None)], "row long, html string"), "row")
-    found = spark.createDataFrame([("other", "f")], "digest string, feature string")
-    rows = media.resolve(items, found, "row").collect()
-    assert len(rows) == 1 and rows[0].pos == 1 and rows[0].feature is None
+def test_interleaved_sequences(spark):
+    html = '<h1>top</h1><img src="digest:aa" alt="one">between<figure><img src="digest:none"><figcaption>two</figcaption></figure><img src="http://x/y.png"><p>end</p>'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>only text</p>"), (None, '<img src="digest:aa">')], "page_id long, html string").withColumn("items", F.lit("clash"))
+    found = spark.createDataFrame([("aa", 7, "f")], "digest string, media_bytes long, feature string")
+    got = {r.page_id: r.sequence for r in media.interleaved(media.sequences(pages, "page_id"), found, "page_id").collect()}
+    assert [(x.pos, x.kind, x.text, x.ref, x.caption, x.payload and x.payload.media_bytes) for x in got[1]] == [
+        (0, "text", "top", None, None, None), (1, "media", None, "digest:aa", "one", 7), (2, "text", "between", None, None, None),
+        (3, "media", None, "digest:none", "two", None), (4, "media", None, "http://x/y.png", None, None), (5, "text", "end", None, None, None),
+    ]
+    assert got[2] == [] and [x.text for x in got[3]] == ["only text"] and set(got) == {1, 2, 3, None}
+    assert media.interleaved(media.sequences(pages.limit(0), "page_id"), found, "page_id").count() == 0
+
+
+def test_interleaved_pages_of_the_table(spark, sf_dir):
+    """Real pages: the order of the text items is the order in the HTML."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    none = spark.createDataFrame([], "digest string, media_bytes long")
+    got = {r.page_id: r.sequence for r in media.interleaved(media.sequences(pages, "page_id"), none, "page_id").collect()}
+    assert len(got) == pages.select("page_id").distinct().count()
+    for r in pages.limit(20).collect():
+        want = [x["text"] for x in media.parse(r.html)]
+        assert [x.text for x in got[r.page_id]] == want and [x.pos for x in got[r.page_id]] == list(range(len(want)))
 
 
 def test_language_model(spark):
