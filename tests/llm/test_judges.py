@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pyarrow as pa
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -85,17 +86,43 @@ def test_votes_against_brute_force():
 
 def test_toxicity_transducers():
     g = toxicity.Grammar({"fool": 4.0, "blarg*": 4.0}, (-4.0, 3.0))
-    total = lambda t: g.sums(pa.array([t]))[0][0]
-    assert total("a fool walks") == 4.0 and total("blarghens walk") == 4.0
-    assert total("you fool") == 4.0 * toxicity.TARGET_GAIN
-    assert total("not a fool") == 4.0 * toxicity.NEGATION_LOSS
-    assert total("he said fool") < total("you fool")
-    assert total("never. fool") == 4.0  # the clause has ended
+    total = lambda t: round(g.sums(pa.array([t]))[0][0], 9)
+    alone, met = 4.0 * toxicity.ALONE, 4.0 * toxicity.TARGET_GAIN
+    assert total("a fool walks") == alone and total("blarghens walk") == alone
+    assert total("you fool") == met and total("fool, you") == met and total("fool a b c d you") == alone
+    assert total("not a fool") == round(alone * toxicity.NEGATION_LOSS, 9)
+    said = round(met * toxicity.REPORT_LOSS, 9)
+    assert total("he said fool") == said and total("fool, he said") == said and total("a b c fool d e f g h said") == round(alone * toxicity.REPORT_LOSS, 9)
+    assert total("never. fool") == alone  # the clause has ended
     assert total("i will kill you") == toxicity.THREAT_WEIGHT and total("i will kill time") == 0
+    assert total("she was killing them") == toxicity.THREAT_WEIGHT and total("er zerstörte dich") == toxicity.THREAT_WEIGHT and total("killjoys you") == 0
     assert total("") == 0 and g.sums(pa.array([None], pa.string()))[0][0] == 0
+    assert total("you fool. " * 5000) == round(5000 * met, 9)
     assert g.scores(pa.array(["clean text"]))[0] < 0.1 < 0.7 < g.scores(pa.array(["you fool"]))[0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=14))
+def test_composed_transducers_against_their_meaning(symbols):
+    """Each arc by looking left and right in the clause."""
+    weights = [2.0 if s == toxicity.INSULT else 0.0 for s in symbols]
+    total = 0.0
+    for i, s in enumerate(symbols):
+        left, right = symbols[max(0, i - toxicity.REACH) : i], symbols[i + 1 : i + 1 + toxicity.REACH]
+        tamed = (toxicity.NEGATION_LOSS if toxicity.NEGATION in left else 1.0) * (toxicity.REPORT_LOSS if toxicity.REPORT in symbols[:i] + symbols[i + 1 :] else 1.0)
+        if s == toxicity.INSULT:
+            total += 2.0 * tamed * (toxicity.TARGET_GAIN if toxicity.TARGET in left + right else toxicity.ALONE)
+        if s == toxicity.TARGET and toxicity.THREAT in left:
+            total += toxicity.THREAT_WEIGHT * tamed
+    assert abs(toxicity.clause_score(symbols, weights) - total) < 1e-9
+
+
+def test_toxicity_on_held_out(spark, sf_dir):
+    got = registry.QUERIES["op7_toxicity"](spark, sf_dir).toPandas().merge(spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.predicted == held.toxic).mean() > 0.85 and not held[held.toxic == 0].predicted.any()
+
+
 def test_toxicity_learns_terms(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
