@@ -27,8 +27,11 @@ GROUPS, MEMBERS = 16, 16
 SINGLES = 64
 #: Commonest words whose counts every executor holds: 12 bytes each.
 HEAD = 1 << 16
-BUCKETS = 1 << 12
+#: Rows of the hashed table: one for every WORDS_A_ROW distinct words, a power of two within these bounds; the upper one keeps a task's tables within 18 MB each.
+BUCKETS, WORDS_A_ROW = (1 << 12, 1 << 14), 64
 FEATURES = 5
+#: Text bytes that a task turns into tokens at once.
+SLICE = 2 << 20
 RATE, BATCH = 0.3, 1 << 14
 #: Shards in which the changes of the weights are averaged.
 SHARDS, SLOTS = 32, 32
@@ -70,7 +73,8 @@ def form_classes(words: pa.Array) -> np.ndarray:
     mixed = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     two = last(bare, 1) | last(bare, 2) << np.uint64(8)
     three = two | last(bare, 3) << np.uint64(16)
-    group = 8 + (mixed(two) % np.uint64(8)).astype(np.int64)
+    first = SINGLES // MEMBERS
+    group = first + 4 + (mixed(two) % np.uint64(GROUPS - first - 4)).astype(np.int64)
 
     def holds(flags: np.ndarray) -> np.ndarray:
         """Words with a flagged byte before their tail."""
@@ -78,10 +82,10 @@ def form_classes(words: pa.Array) -> np.ndarray:
         return np.searchsorted(at, bare) > np.searchsorted(at, starts)
 
     second = np.append(False, data[:-1] == 0xC3)
-    group[holds(data >= 0x80)] = 7
-    group[holds(second & TILDES[data])] = 6
-    group[holds(second & UMLAUTS[data])] = 5
-    group[SIGNS[last(ends, 1).astype(np.uint8)] | SIGNS[last(ends, 2).astype(np.uint8)] | SIGNS[last(ends, 3).astype(np.uint8)]] = 4
+    group[holds(data >= 0x80)] = first + 3
+    group[holds(second & TILDES[data])] = first + 2
+    group[holds(second & UMLAUTS[data])] = first + 1
+    group[SIGNS[last(ends, 1).astype(np.uint8)] | SIGNS[last(ends, 2).astype(np.uint8)] | SIGNS[last(ends, 3).astype(np.uint8)]] = first
     return group * MEMBERS + ((mixed(three) % np.uint64(MEMBERS)).astype(np.int64) + 7 * tail) % MEMBERS
 
 
@@ -110,6 +114,7 @@ class Vocabulary:
 
     def __init__(self, total: int, distinct: int, head: list[tuple[int, int, int]], classes: list[tuple[int, int, int]]):
         self.total, self.distinct = total, distinct
+        self.buckets = min(max(1 << max(0, distinct // WORDS_A_ROW - 1).bit_length(), BUCKETS[0]), BUCKETS[1])
         single = sorted((h, k) for k, (h, _, _) in enumerate(head[:SINGLES]))
         self.single, self.place = (np.array([x[i] for x in single], np.int64) for i in range(2))
         order = sorted(head)
@@ -179,10 +184,10 @@ class Tokens:
         place = np.arange(n) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         back = lambda x, k: np.where(place >= k, np.roll(x, k), -1)
         w1, w2 = back(word, 1), back(word, 2)
-        groups = (back(group, 1) + 1) * 289 + (back(group, 2) + 1) * 17 + back(group, 3) + 1
-        mix = lambda x, k: ((x * 0x5851F42D4C957F2D + k * 0x14057B7EF767814F) >> 33) & (BUCKETS - 1)
+        groups = ((back(group, 1) + 1) * (GROUPS + 1) + back(group, 2) + 1) * (GROUPS + 1) + back(group, 3) + 1
+        mix = lambda x, k: ((x * 0x5851F42D4C957F2D + k * 0x14057B7EF767814F) >> 33) & (vocabulary.buckets - 1)
         with np.errstate(over="ignore"):
-            self.features = np.stack([np.zeros(n, np.int64), mix(w1, 1), mix(w2, 2), mix(w1 * 31 + w2, 3), mix(groups, 4)], axis=1)
+            self.features = np.stack([x.astype(np.int32) for x in (np.zeros(n), mix(w1, 1), mix(w2, 2), mix(w1 * 31 + w2, 3), mix(groups, 4))], axis=1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -192,12 +197,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """A stable order of keys below 2**32, by their 16-bit halves, which are radix-sorted."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    if len(keys) and keys.max() >> 16:
+        order = order[np.argsort((keys[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 class Weights:
     """Two tables: features to groups, and features and group to members. Feature 0 is always on."""
 
-    def __init__(self):
-        self.group = np.zeros((BUCKETS, GROUPS), np.float32)
-        self.member = np.zeros((BUCKETS * GROUPS, MEMBERS), np.float32)
+    def __init__(self, buckets: int):
+        self.group = np.zeros((buckets, GROUPS), np.float32)
+        self.member = np.zeros((buckets * GROUPS, MEMBERS), np.float32)
 
     def forward(self, f: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of the groups and of the group's members, and the rows of the features but the first in the second table."""
@@ -238,12 +251,12 @@ class Weights:
             p *= scale
             q *= scale
             for table, sums, grad, at in ((self.group, seen.group, p, f[:, 1:]), (self.member, seen.member, q, rows)):
-                flat = at.ravel().astype(np.uint16)  # both tables have at most 2**16 rows, and 16-bit keys are radix-sorted
-                order = np.argsort(flat, kind="stable")
+                flat = at.ravel()
+                order = _order(flat)
                 held = flat[order]
                 first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-                self._step(table, sums, held[first].astype(np.int64), np.add.reduceat(grad[order // each], first, axis=0))
-            of_group = np.argsort(own.astype(np.uint16), kind="stable")
+                self._step(table, sums, held[first], np.add.reduceat(grad[order // each], first, axis=0))
+            of_group = _order(own)
             held = own[of_group]
             first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
             self._step(self.member, seen.member, held[first], np.add.reduceat(q[of_group], first, axis=0))
@@ -263,7 +276,7 @@ class Weights:
 def trained(docs: DataFrame, vocabulary: Vocabulary, epochs: int = 1) -> Weights:
     """Weights after `epochs` rounds over all rows of docs. In each, every task learns from its own rows, and the tasks' weights are averaged by the number of their tokens."""
     sc = docs.sparkSession.sparkContext
-    weights, shared = Weights(), sc.broadcast(vocabulary)
+    weights, shared = Weights(vocabulary.buckets), sc.broadcast(vocabulary)
     rows = docs.select(F.col("text").cast("string").alias("text"))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +297,10 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, epochs: int = 1) -> Weights
             from pyspark import TaskContext
 
             slot = TaskContext.get().partitionId() % SLOTS
-            own, seen, n = Weights(), Weights(), 0
+            own, seen, n = Weights(vocabulary.buckets), Weights(vocabulary.buckets), 0
             own.group[:], own.member[:] = start.value.group, start.value.member
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     t = Tokens(part.column("text"), shared.value)
                     own.steps(t, seen)
                     n += len(t.cls)
@@ -310,7 +323,7 @@ def scored(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail_type = pa.list_(pa.struct([("h", pa.int64()), ("cls", pa.int16()), ("tf", pa.int32())]))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 v, w = shared.value
                 t = Tokens(part.column("text"), v)
                 n = len(t.counts)

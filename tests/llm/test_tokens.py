@@ -239,7 +239,7 @@ def test_tail_words_take_their_counts_from_the_join(spark, monkeypatch):
 
 def test_class_probabilities_sum_to_one():
     v = maxent.Vocabulary(10, 3, [(1, 70, 6), (2, 71, 3), (3, 70, 1)], [(70, 7, 2), (71, 3, 1)])
-    w = maxent.Weights()
+    w = maxent.Weights(v.buckets)
     w.group[:] = np.random.default_rng(0).normal(size=w.group.shape)
     t = maxent.Tokens(pa.array(["a b c a"]), v)
     p, q, _ = w.forward(t.features, t.cls)
@@ -268,6 +268,16 @@ def test_scores_against_a_plain_recomputation(spark):
         assert math.isclose(got[i], total, rel_tol=1e-4), i
 
 
+def test_the_table_grows_with_the_counted_words():
+    size = lambda n: maxent.Vocabulary(n, n, [], []).buckets
+    assert [size(n) for n in (0, 1000, 64 * 4096, 64 * 5000, 64 * 10**4, 10**9)] == [4096, 4096, 4096, 8192, 16384, 16384]
+
+
+def test_orders_of_wide_keys():
+    x = np.random.default_rng(3).integers(0, 1 << 18, 5000)
+    assert maxent._order(x).tolist() == np.argsort(x, kind="stable").tolist() and maxent._order(x[:0]).tolist() == []
+
+
 def test_form_classes_do_not_depend_on_the_batch():
     words = ["straße.", "ñu", "éa", "漢字", "abc!?", "...", "a", "ab", "x###", "*", "word", "ñ$"]
     whole = maxent.form_classes(pa.array(words, pa.large_string()))
