@@ -268,10 +268,17 @@ def test_long_lines_recur_from_two_documents_on_in_the_pipeline(spark):
     long, other = " ".join(f"word{chr(97 + i % 26) * (1 + i // 26)}" for i in range(51)), " ".join(f"tok{chr(97 + i % 26) * (1 + i // 26)}" for i in range(60))
     near = " ".join("changed" if i in (20, 30, 40) else w for i, w in enumerate(other.split()))
     unlike = " ".join(w if i < 4 or i % 3 else f"{w}q" for i, w in enumerate(other.split()[:-1]))
+    alone = [" ".join(f"own{chr(97 + k)}{chr(97 + i)}" for i in range(26)) for k in range(5)]
     texts = [f"first alone\n{long}\n{other}", f"second by itself\n{long}\nthe same short line", f"third one\nthe same short line\n{near}", f"fourth\n{unlike}", "fifth\n" + " ".join(other.split()[:-1])]
+    texts = [f"{t}\n{a}" for t, a in zip(texts, alone, strict=True)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, None).collect()}
-    assert got == {0: texts[0], 1: "second by itself\nthe same short line", 2: "third one\nthe same short line", 3: texts[3], 4: texts[4]}
+    assert got == {0: texts[0], 1: f"second by itself\nthe same short line\n{alone[1]}", 2: f"third one\nthe same short line\n{alone[2]}", 3: texts[3], 4: texts[4]}
+    # copies as a whole stay whole for near-dedup, which keeps one of them; line dedup by itself takes their lines
+    copies = [f"{long}\n{other}", f"{long}\n{other}\nmore", f"{long}\n{other}"]
+    more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(copies)], DOCS)
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, more, None).collect()} == dict(enumerate(copies))
+    assert {r.doc_id: r.text for r in line_dedup.dedup(more).collect()} == {0: copies[0], 1: "more", 2: ""}
     assert {r.doc_id: r.text for r in line_dedup.dedup(docs, long_words=10**6).collect()} == dict(enumerate(texts))
 
 
