@@ -251,3 +251,68 @@ def test_rebounds_and_ride_weighting(spark):
     gain = lambda f: abs(sum(t * complex(math.cos(2 * math.pi * f * i / rate), math.sin(2 * math.pi * f * i / rate)) for i, t in enumerate(taps)))
     for f, g in ((1.0, 0.482), (2.0, 0.531), (5.0, 1.039), (8.0, 1.036), (16.0, 0.768), (31.5, 0.405)):
         assert abs(gain(f) - g) < 0.03
+
+
+def test_conditions_never_hold_for_infinities(spark):
+    rows = [(0, float("inf")), (1, float("-inf")), (2, float("nan")), (3, None), (4, 5.0), (5, -5.0)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    for op, want in {"gt": {4}, "ge": {4}, "lt": {5}, "le": {5}, "abs_gt": {4, 5}, "abs_ge": {4, 5}}.items():
+        limit = -1.0 if op in ("lt", "le") else 1.0
+        assert {r.id for r in df.filter(ru.condition(F.col("x"), op, limit)).collect()} == want
+
+
+def test_funnel_keeps_stages_that_no_row_passes(spark):
+    from drivespan.operators import candidates as cd
+
+    df = spark.createDataFrame([(0.0, 3600.0, 1), (0.0, 7200.0, 2)], "t_start double, t_end double, k int")
+    stages = {"all": F.lit(True), "one": F.col("k") == 1, "none": F.col("k") == 9}
+    got = {r.stage: (r.n, r.hours, r.positives) for r in cd.funnel(df, stages, F.col("k") > 0).collect()}
+    assert got == {"all": (2, 3.0, 2), "one": (1, 1.0, 1), "none": (0, None, None)}
+    assert {r.stage: r.n for r in cd.funnel(df.limit(0), stages, F.col("k") > 0).collect()} == {"all": 0, "one": 0, "none": 0}
+
+
+def test_ranges_number_like_one_window(spark):
+    from drivespan.operators import stats as ss
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x)) for i, x in enumerate(rng.integers(0, 50, 500))]
+    df = spark.createDataFrame(rows, "id long, x double")
+    got = {r.id: r.place for r in ss.numbered(df, [F.desc("x"), F.asc("id")], "place").collect()}
+    want = {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert got == want
+    null = spark.createDataFrame([(float(x),) for x in rng.integers(0, 60, 300)], "x double")
+    values = [r.x for r in null.collect()]
+    for r in ss.surprise(df.unionByName(spark.createDataFrame([(900, None)], "id long, x double")), null, "x").collect():
+        assert r.surprise is None if r.x is None else math.isclose(r.surprise, -math.log10((sum(v >= r.x for v in values) + 1) / 301))
+
+
+def test_leave_one_out_medians_against_a_loop(spark):
+    from drivespan.operators import stats as ss
+
+    rng = np.random.default_rng(4)
+    rows = [(c, d, float(rng.integers(0, 9))) for c, n in enumerate([1, 3, 4, 5, 8, 9]) for d in range(n) for _ in range(3)]
+    got = {(r.cell, r.drive): r.baseline for r in ss.leave_own_out_median(spark.createDataFrame(rows, "cell int, drive int, x double"), "cell", "drive", "x").collect()}
+    want = {}
+    for c in range(6):
+        own = {d: float(np.median([x for a, b, x in rows if (a, b) == (c, d)])) for d in {b for a, b, _ in rows if a == c}}
+        for d in own:
+            rest = [m for k, m in own.items() if k != d]
+            if len(rest) >= 3:
+                want[c, d] = float(np.median(rest))
+    assert got == want
+
+
+def test_stations_over_poles_and_the_date_line(spark):
+    from drivespan.operators import sites as st
+
+    points = spark.createDataFrame([(1, 89.99, 10.0), (2, 0.0, 179.99), (3, 50.0, 8.0)], "id long, lat double, lon double")
+    stations = spark.createDataFrame([(1, 89.99, -170.0), (2, 0.0, -179.99), (3, 50.01, 8.0), (4, 50.0, 8.0)], "station long, lat double, lon double")
+    got = [(r.id, r.station, r.rank) for r in st.weather_near(points, stations, 5000.0, 5).collect()]
+    assert sorted(got) == [(1, 1, 1), (2, 2, 1), (3, 3, 2), (3, 4, 1)]
+
+
+def test_draws_are_uniform_and_repeat(spark):
+    from drivespan.functions.draws import draw
+
+    u = [r.u for r in spark.range(4000).select(draw(5, F.col("id")).alias("u")).collect()]
+    assert 0 <= min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.02 and abs(np.std(u) - 12**-0.5) < 0.02 and len(set(u)) == 4000
