@@ -296,3 +296,105 @@ def test_several_templates_in_one_leaf(spark):
     rows = [(k * 10 + i, t.format(n)) for k, t in enumerate((one, two, three)) for i, n in enumerate(names)]
     got = {r.doc_id: r.n_dropped for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k * 10 + i: int(i > 0) for k in range(3) for i in range(len(names))}
+
+
+def test_op10_components_on_the_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().sort_values("doc_id").reset_index(drop=True)
+    prints = [brute_print(t) for t in docs.text]
+    comp = union_find(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    got = registry.QUERIES["op10_simhash"](spark, sf_dir).toPandas().set_index("doc_id").component_id
+    assert [got[d] for d in docs.doc_id] == [docs.doc_id[c] for c in comp]
+
+
+def brute_lines(docs, min_docs=3, long_words=50, leaders=3, whole=None):
+    """Line dedup of (doc_id, text) pairs in plain Python."""
+    rows, leaves = [], {}
+    for d, text in docs:
+        for at, line in enumerate((text or "").split("\n")):
+            tokens = [t for t in re.split("[ \t]+", re.sub(r"[^ \t]*[0-9@/=][^ \t]*", "<*>", line)) if t]
+            if tokens:
+                leaf = (len(tokens), tuple(tokens[:4]))
+                rows.append((d, at, leaf, " ".join(tokens)))
+                leaves.setdefault(leaf, []).append((d, " ".join(tokens)))
+    template = {}
+    for leaf, found in leaves.items():
+        n = {}
+        for _, own in found:
+            n[own] = n.get(own, 0) + 1
+        least = min(2, min_docs) if leaf[0] > long_words else min_docs
+        if len(n) < 2 or len({d for d, _ in found}) < 2 or len(found) < least:
+            continue
+        left = dict(n)
+        for turn in range(leaders + 1):
+            if not left:
+                break
+            shape = []
+            if turn:
+                k, top = max((v, k) for k, v in left.items())
+                if len(left) < 2 and k < 2:
+                    break
+                shape = top.split(" ")
+            else:
+                for pos in range(leaf[0]):
+                    votes = {}
+                    for own, v in left.items():
+                        votes[own.split(" ")[pos]] = votes.get(own.split(" ")[pos], 0) + v
+                    v, token = max((v, t) for t, v in votes.items())
+                    all_ = sum(votes.values())
+                    shape.append(token if v >= (0.5 * all_ if leaf[0] <= long_words or all_ > 2 else 2) else None)
+            for own in [o for o in left if sum(a == b for a, b in zip(o.split(" "), shape, strict=True)) >= 0.8 * leaf[0]]:
+                template[leaf, own] = turn
+                del left[own]
+    groups = {}
+    for d, at, leaf, own in rows:
+        groups.setdefault((leaf, template[leaf, own]) if (leaf, own) in template else (leaf, own), []).append((d, at))
+    gone = {p for (leaf, _), places in groups.items() if len({d for d, _ in places}) >= (min(2, min_docs) if leaf[0] > long_words else min_docs) for p in places if p != min(places)}
+    out = {}
+    for d, text in docs:
+        new = text and "\n".join(x for at, x in enumerate(text.split("\n")) if (d, at) not in gone)
+        out[d] = text if whole is not None and text and len(text) - len(new) >= whole * len(text) else new
+    return out
+
+
+def test_line_dedup_against_plain_python(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == brute_lines(docs)
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df, whole=0.8).collect()} == brute_lines(docs, whole=0.8)
+
+
+def test_pipeline_run_against_brute_force(spark, sf_dir, tmp_path):
+    """The whole run over the smallest table: quality by the model's scores, then plain Python."""
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from drivespan.llm import knn_quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = knn_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    left = sorted((r.doc_id, r.text) for r in docs.collect() if model.scores(pa.array([r.text], pa.string()))[0] >= knn_quality.THRESHOLD)
+    left = sorted(brute_lines(left, whole=line_dedup.WHOLE).items())
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for _, t in left)]
+    comp = union_find(len(left), [(i, j) for i in range(len(left)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    left = [d for i, d in enumerate(left) if comp[i] == i]
+    items = [[w.decode() for w in words(r.text)] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    own = [(len(w), decontam._shingles(w)) for w in items if w]
+
+    def leaked(text):
+        w = [x.decode() for x in words(text)]
+        kinds = set(decontam._shingles(w))
+        for n, item in own:
+            if sum(v for k, v in item.items() if k in kinds) < 0.8 * sum(item.values()):
+                continue
+            for m in range(max(1, n - n // 3), n + n // 3 + 1):
+                if any(decontam.similarity(item, decontam._shingles(w[b : b + m])) >= 0.8 for b in range(len(w) - m + 1)):
+                    return True
+        return False
+
+    left = [(d, t) for d, t in left if not leaked(t)]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == {d: e.encode_ordinary(t or "") for d, t in left} and 0 < len(got) < docs.count()
