@@ -154,8 +154,8 @@ def mount_levelling(spark, sf):
     return rp.levelling(u, "drive", "x", "y", "z").select("drive", "tick", F.round("x_level", 5).alias("x_level"), F.round("z_level", 5).alias("z_level"))
 
 
-@query(f"""WITH {_PLACES}, s AS (SELECT vec_id % 3 AS kind, x AS x1, y AS y1, x + 12 AS x2, y - 9 AS y2 FROM p WHERE vec_id % 6 = 0), d AS (SELECT a.vec_id AS id, s.kind, a.x - x1 AS px, a.y - y1 AS py, least(greatest(((a.x - x1) * 12.0 - (a.y - y1) * 9.0) / 225.0, 0), 1) AS u FROM p a, s), e AS (SELECT id, kind, sqrt((px - u * 12) ** 2 + (py + u * 9) ** 2) AS dist FROM d) SELECT id, kind, round(min(dist), 4) AS dist FROM e WHERE dist <= 40 GROUP BY id, kind""")
+@query(f"""WITH {_PLACES}, s AS (SELECT vec_id % 3 AS kind, x AS x1, y AS y1, x + 12 AS x2, y - 9 AS y2 FROM p), d AS (SELECT a.vec_id AS id, s.kind, a.x - x1 AS px, a.y - y1 AS py, least(greatest(((a.x - x1) * 12.0 - (a.y - y1) * 9.0) / 225.0, 0), 1) AS u FROM p a, s), e AS (SELECT id, kind, sqrt((px - u * 12) ** 2 + (py + u * 9) ** 2) AS dist FROM d) SELECT id, kind, round(min(dist), 4) AS dist FROM e WHERE dist <= 40 GROUP BY id, kind""")
 def structure_distance(spark, sf):
     p = places(spark, sf).withColumnRenamed("vec_id", "id")
-    s = p.filter("id % 6 = 0").select((F.col("id") % 3).alias("kind"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 12).alias("x2"), (F.col("y") - 9).alias("y2"))
+    s = p.select((F.col("id") % 3).alias("kind"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 12).alias("x2"), (F.col("y") - 9).alias("y2"))
     return rp.segment_distance(p.select("id", "x", "y"), s, 40.0).withColumn("dist", F.round("dist", 4))

@@ -54,12 +54,12 @@ def opposite_sites(spark, sf):
     return st.opposite_links(_points(spark, sf).withColumnRenamed("id", "site"), "x", "y", "hdg", 30.0)
 
 
-@query(f"""WITH {_PLACES}, s AS (SELECT * FROM p WHERE vec_id % 10 = 0), n AS (SELECT b.vec_id AS site, a.label AS drive, a.vec_id * 60.0 AS t, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist FROM p a JOIN s b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 30),
+@query(f"""WITH {_PLACES}, s AS (SELECT * FROM p), n AS (SELECT b.vec_id AS site, a.label AS drive, a.vec_id * 60.0 AS t, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist FROM p a JOIN s b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 30),
 g AS (SELECT *, sum(CASE WHEN t - l > 6000 THEN 1 ELSE 0 END) OVER (PARTITION BY site, drive ORDER BY t) AS pass FROM (SELECT *, lag(t) OVER (PARTITION BY site, drive ORDER BY t) AS l FROM n))
 SELECT site, drive, CAST(pass AS BIGINT) AS pass, min(t) :: DOUBLE AS t_start, max(t) :: DOUBLE AS t_end, arg_min(t, (dist, t)) :: DOUBLE AS t_near, round(min(dist), 5) AS dist FROM g GROUP BY site, drive, pass""")
 def site_passes(spark, sf):
     p = _points(spark, sf).withColumn("t", F.col("id") * 60.0)
-    s = p.filter("id % 10 = 0").select(F.col("id").alias("site"), "x", "y")
+    s = p.select(F.col("id").alias("site"), "x", "y")
     return st.site_passes(s, p.select("drive", "t", "x", "y"), "x", "y", 30.0, "drive", "t", 6000.0).withColumn("dist", F.round("dist", 5))
 
 
@@ -74,11 +74,11 @@ def priority_classes(spark, sf):
     return signals(spark, sf).select("event_id", st.priority_class([F.col("v") > 450, F.col("channel") == "error", F.col("drive") % 2 == 0]).alias("class"))
 
 
-@query(f"""WITH {_PLACES}, d AS (SELECT a.vec_id AS id, b.vec_id AS way, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist, least((((a.hdg - b.hdg) % 360 + 360) % 360), 360 - (((a.hdg - b.hdg) % 360 + 360) % 360)) AS h, b.label % 2 = 0 AS oneway FROM p a JOIN p b ON b.vec_id % 5 = 0 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 40)
+@query(f"""WITH {_PLACES}, d AS (SELECT a.vec_id AS id, b.vec_id AS way, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist, least((((a.hdg - b.hdg) % 360 + 360) % 360), 360 - (((a.hdg - b.hdg) % 360 + 360) % 360)) AS h, b.label % 2 = 0 AS oneway FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 40)
 SELECT id, arg_min(way, (dist, way)) AS way, round(min(dist), 5) AS dist FROM d WHERE h <= 25 OR (NOT oneway AND 180 - h <= 25) GROUP BY id""")
 def road_match(spark, sf):
     p = _points(spark, sf)
-    w = p.filter("id % 5 = 0").select(F.col("id").alias("way"), "x", "y", F.col("hdg").alias("bearing"), (F.col("drive") % 2 == 0).alias("oneway"))
+    w = p.select(F.col("id").alias("way"), "x", "y", F.col("hdg").alias("bearing"), (F.col("drive") % 2 == 0).alias("oneway"))
     return st.road_match(p, w, "x", "y", "hdg", 40.0, 25.0).withColumn("dist", F.round("dist", 5))
 
 
@@ -88,13 +88,13 @@ def place_uniqueness(spark, sf):
     return st.uniqueness(p, p, "x", "y", "drive", "strength", 40.0).withColumn("share", F.round("share", 6))
 
 
-_GEO = "pt AS (SELECT vec_id AS id, embedding[1] * 10 + 50 :: DOUBLE AS lat, embedding[2] * 10 + 10 :: DOUBLE AS lon FROM embeddings), sta AS (SELECT id AS station, lat, lon FROM pt WHERE id % 25 = 0), nb AS (SELECT p.id, s.station, 2 * 6371008.8 * asin(sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2))) AS d FROM pt p, sta s), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, station) AS rank FROM nb WHERE d <= 60000)"
+_GEO = "pt AS (SELECT vec_id AS id, embedding[1] * 10 + 50 :: DOUBLE AS lat, embedding[2] * 10 + 10 :: DOUBLE AS lon FROM embeddings), sta AS (SELECT id AS station, lat, lon FROM pt), nb AS (SELECT p.id, s.station, 2 * 6371008.8 * asin(sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2))) AS d FROM pt p, sta s), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, station) AS rank FROM nb WHERE d <= 60000)"
 
 
 def _near_stations(spark, sf):
     e = table(spark, sf, "embeddings")
     p = e.select(F.col("vec_id").alias("id"), (F.get("embedding", 0).cast("double") * 10 + 50).alias("lat"), (F.get("embedding", 1).cast("double") * 10 + 10).alias("lon"))
-    return st.weather_near(p, p.filter("id % 25 = 0").withColumnRenamed("id", "station"), 60000.0, 3)
+    return st.weather_near(p, p.withColumnRenamed("id", "station"), 60000.0, 3)
 
 
 @query(f"WITH {_GEO.replace('embedding[1] *', 'embedding[1]::DOUBLE *').replace('embedding[2] *', 'embedding[2]::DOUBLE *')} SELECT id, station, round(d, 1) AS dist_m, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3")
