@@ -150,3 +150,86 @@ def even_calm_segments(segments: DataFrame, windy: DataFrame, x: str, y: str, dr
     """(drive, id, rank): calm segments (drive, id, x, y) with a windy point (x, y) within the radius, at most `cap` a drive, by id."""
     near = near_pairs(segments, windy, x, y, radius).select(drive, "id").distinct()
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(drive).orderBy("id"))).filter(F.col("rank") <= cap)
+
+
+def smoothed_resample(grid: DataFrame, samples: DataFrame, key: str, t: str, x: str, rows: int, max_gap: float) -> DataFrame:
+    """grid with x, the samples' centred mean over `rows` of them, linear between neighbours, and valid: whether these are at most max_gap apart. Outside the samples x is null and not valid."""
+    from drivespan.operators.surveys import interpolated
+
+    half = rows // 2
+    s = samples.select(key, t, F.avg(x).over(tg.by(key, t).rowsBetween(-half, half)).alias(x), F.col(t).alias("__at"))
+    w = tg.by(key, t)
+    s = s.withColumns({"__next": F.coalesce(F.lead("__at").over(w), F.col("__at"))})
+    near = asof(grid, s.withColumn("__gap", F.col("__next") - F.col("__at")), key, t, "__gap", out="__gap")
+    out = interpolated(near, s, key, t, [x])
+    exact = F.col("__gap_t") == F.col(t)
+    return out.withColumn("valid", F.coalesce(F.col(x).isNotNull() & (exact | (F.col("__gap") <= max_gap)), F.lit(False))).select(*grid.columns, x, "valid")
+
+
+def bin_modes(samples: DataFrame, key: str, t: str, width: float, over: Column, window: int, pad: int) -> DataFrame:
+    """(key, bins, kept_window, kept_event): shares of the bins that are kept if any bin of their window of `window` bins is over, and if any bin within `pad` of them is."""
+    b = samples.groupBy(key, F.floor(F.col(t) / width).alias("bin")).agg(F.bool_or(F.coalesce(over, F.lit(False))).alias("over"))
+    near = Window.partitionBy(key).orderBy("bin").rangeBetween(-pad, pad)
+    b = b.withColumns({"__w": F.bool_or("over").over(Window.partitionBy(key, F.floor(F.col("bin") / window))), "__e": F.bool_or("over").over(near)})
+    return b.groupBy(key).agg(F.count("*").alias("bins"), F.avg(F.col("__w").cast("int")).alias("kept_window"), F.avg(F.col("__e").cast("int")).alias("kept_event"))
+
+
+def with_fallbacks(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """df with each wanted column as the first of its sources that df has and that is not null; null where there is none."""
+    have = lambda names: [F.col(n) for n in names if n in df.columns]
+    return df.withColumns({out: F.coalesce(*have(names)) if have(names) else F.lit(None).cast("double") for out, names in wanted.items()})
+
+
+def condition_losses(df: DataFrame, conditions: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(condition, kept, kept_loosely, lost) for each (strict, loose) condition: rows that pass, that pass with the margin, and the difference. Null passes nothing."""
+    n = lambda c: F.count(F.when(F.coalesce(c, F.lit(False)), 1))
+    g = df.agg(*(n(c).alias(f"{k}{i}") for i, both in enumerate(conditions.values()) for k, c in zip("ab", both, strict=True)))
+    return g.select(F.inline(F.array(*(F.struct(F.lit(name).alias("condition"), F.col(f"a{i}").alias("kept"), F.col(f"b{i}").alias("kept_loosely"), (F.col(f"b{i}") - F.col(f"a{i}")).alias("lost")) for i, name in enumerate(conditions)))))
+
+
+def behaviour_ratio(rows: DataFrame, events: DataFrame, key: str, t: str, columns: list[str], v: str, yaw_dps: str, span: float, dt: float, bucket: float) -> DataFrame:
+    """(id, ratio_..., offset) of each event (key, id, t_start, t_end): each column's effective value in the `span` seconds after it over that in those before, and the lateral offset after it, the integral of speed times the heading turned since its end."""
+    s = events.select(key, "id", "t_start", "t_end", (F.col("t_start") - span).alias("b_start"), (F.col("t_end") + span).alias("b_end"))
+    m = points_in(rows.select(key, t, v, yaw_dps, *(c for c in columns if c not in (v, yaw_dps))), s, key, t, bucket)
+    before, after = F.col(t) < F.col("t_start"), F.col(t) > F.col("t_end")
+    rms = lambda c, part: F.sqrt(F.avg(F.when(part, F.col(c) ** 2)))
+    turned = F.sum(F.when(after, F.coalesce(yaw_dps, F.lit(0.0)) * dt)).over(Window.partitionBy("id").orderBy(t))
+    m = m.withColumn("__y", F.when(after, F.col(v) * F.sin(F.radians(turned)) * dt))
+    return m.groupBy("id").agg(*(F.try_divide(rms(c, after), rms(c, before)).alias(f"ratio_{c}") for c in columns), F.sum("__y").alias("offset"))
+
+
+def jerk_feasibility(df: DataFrame, block: str, order: str, ax: str, filters: dict[str, list[float]], cruising: Column, braking: Column, dt: float) -> DataFrame:
+    """(filter, noise, signal, separation): of the jerk of each filtered acceleration the 95th percentile of its size while cruising, its median while braking, and their ratio."""
+    d = df.withColumns({f"__f{i}": tg.fir(F.col(ax), block, order, taps) for i, taps in enumerate(filters.values())})
+    d = d.withColumns({f"__j{i}": F.abs(tg.derivative(F.col(f"__f{i}"), block, order, dt)) for i in range(len(filters))})
+    long = d.select(cruising.alias("__c"), braking.alias("__b"), F.inline(F.array(*(F.struct(F.lit(n).alias("filter"), F.col(f"__j{i}").alias("j")) for i, n in enumerate(filters)))))
+    g = long.groupBy("filter").agg(F.percentile(F.when(F.col("__c"), F.col("j")), 0.95).alias("noise"), F.percentile(F.when(F.col("__b"), F.col("j")), 0.5).alias("signal"))
+    return g.withColumn("separation", F.try_divide("signal", "noise"))
+
+
+def first_by_priority(tables: list[DataFrame], key: str, value: str) -> DataFrame:
+    """(key, value, source, conflicts) over tables (key, value) in order of priority: the first known value, its table's place, and how many later tables know another one."""
+    both = None
+    for i, df in enumerate(tables):
+        own = df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.max(value).alias(value)).withColumn("source", F.lit(i))
+        both = own if both is None else both.unionByName(own)
+    w = Window.partitionBy(key).orderBy("source")
+    return both.withColumn("__first", F.first(value).over(w)).groupBy(key).agg(F.min_by(value, "source").alias(value), F.min("source").alias("source"), F.count(F.when(F.col(value) != F.col("__first"), 1)).alias("conflicts"))
+
+
+def review_rates(reviews: DataFrame, kind: str, light: str, hit: Column, control: Column) -> DataFrame:
+    """(kind, light, n, rate, control_rate, lift): how often the reviewed rows of each kind and light show a feature, how often the control rows of that light do, and the ratio."""
+    own, c = F.coalesce(hit, F.lit(False)).cast("int"), F.coalesce(control, F.lit(False))
+    base = reviews.groupBy(light).agg(F.avg(F.when(c, own)).alias("control_rate"))
+    g = reviews.filter(~c).groupBy(kind, light).agg(F.count("*").alias("n"), F.avg(own).alias("rate"))
+    return g.join(base, light).select(kind, light, "n", "rate", "control_rate", F.try_divide("rate", "control_rate").alias("lift"))
+
+
+def raw_flag_runs(samples: DataFrame, speed: DataFrame, drive: str, channel: str, t: str, v: str, limit: float, gap: float) -> DataFrame:
+    """(drive, channel, run, t_start, t_end, n, speed): runs of a channel's raw samples above the limit, at most `gap` apart, with the speed (drive, t, v) nearest to their start."""
+    w = Window.partitionBy(drive, channel).orderBy(t)
+    s = samples.withColumn("__on", F.coalesce(F.col(v) > limit, F.lit(False)))
+    new = F.col("__on") & (~F.coalesce(F.lag("__on").over(w), F.lit(False)) | (F.col(t) - F.lag(t).over(w) > gap))
+    s = s.withColumn("__new", new.cast("int")).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("__on")
+    g = s.groupBy(drive, channel, "run").agg(F.min(t).alias("t_start"), F.max(t).alias("t_end"), F.count("*").alias("n"))
+    return asof(g.withColumn(t, F.col("t_start")), speed, drive, t, v, "nearest", out="speed").select(drive, channel, "run", "t_start", "t_end", "n", "speed")

@@ -138,3 +138,65 @@ def calm_controls(spark, sf):
 def even_calm_segments(spark, sf):
     p = _points(spark, sf)
     return vw.even_calm_segments(p.filter("hdg < 0").select("drive", "id", "x", "y"), p.filter("hdg > 90").select("x", "y"), "x", "y", "drive", 30.0, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {SIG}, s AS (SELECT drive, t, avg(v) OVER w AS v, coalesce(lead(t) OVER w2, t) - t AS gap FROM sig WHERE channel <> 'view' WINDOW w AS (PARTITION BY drive ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), w2 AS (PARTITION BY drive ORDER BY t)), g AS (SELECT event_id, drive, t FROM sig WHERE channel = 'view'),
+m AS (SELECT g.*, a.t AS at_, a.v AS av, a.gap, b.t AS bt, b.v AS bv FROM g ASOF LEFT JOIN s a ON a.drive = g.drive AND g.t >= a.t ASOF LEFT JOIN s b ON b.drive = g.drive AND g.t <= b.t), x AS (SELECT *, av + CASE WHEN bt > at_ THEN (t - at_) / (bt - at_) ELSE 0 END * (bv - av) AS x FROM m)
+SELECT event_id, round(x, 5) AS v, coalesce(x IS NOT NULL AND (at_ = t OR gap <= 7200), false) AS valid FROM x""")
+def smoothed_resample(spark, sf):
+    s = signals(spark, sf)
+    out = vw.smoothed_resample(s.filter("channel = 'view'").select("event_id", "drive", "t"), s.filter("channel <> 'view'").select("drive", "t", "v"), "drive", "t", "v", 3, 7200.0)
+    return out.select("event_id", F.round("v", 5).alias("v"), "valid")
+
+
+@query(f"""WITH {SIG}, b AS (SELECT drive, CAST(floor(t / 3600) AS BIGINT) AS bin, bool_or(v > 120) AS o FROM sig GROUP BY 1, 2), m AS (SELECT *, bool_or(o) OVER (PARTITION BY drive, bin // 6) AS w, bool_or(o) OVER (PARTITION BY drive ORDER BY bin RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS e FROM b)
+SELECT drive, count(*) AS bins, round(avg(w::INT), 8) AS kept_window, round(avg(e::INT), 8) AS kept_event FROM m GROUP BY drive""")
+def bin_modes(spark, sf):
+    out = vw.bin_modes(signals(spark, sf), "drive", "t", 3600.0, F.col("v") > 120, 6, 2)
+    return out.select("drive", "bins", F.round("kept_window", 8).alias("kept_window"), F.round("kept_event", 8).alias("kept_event"))
+
+
+@query(f"WITH {TICKS}, f AS (SELECT coalesce(ax_mps2, ay_mps2) AS a, lead_m AS d FROM ticks) SELECT 'hard' AS condition, count(*) FILTER (WHERE a < -3) AS kept, count(*) FILTER (WHERE a < -2) AS kept_loosely, count(*) FILTER (WHERE a < -2) - count(*) FILTER (WHERE a < -3) AS lost FROM f UNION ALL SELECT 'near', count(*) FILTER (WHERE d < 15), count(*) FILTER (WHERE d < 20), count(*) FILTER (WHERE d < 20) - count(*) FILTER (WHERE d < 15) FROM f")
+def condition_losses(spark, sf):
+    t = vw.with_fallbacks(ticks(spark, sf), {"a": ["ax_lost", "ax_mps2", "ay_mps2"], "d": ["lead_m"], "none": ["lost"]})
+    a, d = F.col("a"), F.col("d")
+    return vw.condition_losses(t, {"hard": (a < -3, a < -2), "near": (d < 15, d < 20)})
+
+
+@query(f"""WITH {TICKS}, {_EVENTS}, m AS (SELECT e.id, k.t, k.v_mps AS v, k.yaw_dps AS y, k.steer_deg AS s, k.t < e.t_start AS b, k.t > e.t_end AS a FROM ev e JOIN ticks k ON k.drive = e.drive AND k.t BETWEEN e.t_start - 1 AND e.t_end + 1), h AS (SELECT *, sum(CASE WHEN a THEN y * 0.05 END) OVER (PARTITION BY id ORDER BY t) AS turned FROM m)
+SELECT id, round(sqrt(avg(y * y) FILTER (WHERE a)) / sqrt(avg(y * y) FILTER (WHERE b)), 6) AS ratio_yaw_dps, round(sqrt(avg(s * s) FILTER (WHERE a)) / sqrt(avg(s * s) FILTER (WHERE b)), 6) AS ratio_steer_deg, round(sum(CASE WHEN a THEN v * sin(radians(turned)) * 0.05 END), 6) AS "offset" FROM h GROUP BY id""")
+def behaviour_ratio(spark, sf):
+    out = vw.behaviour_ratio(ticks(spark, sf), _brakes(spark, sf), "drive", "t", ["yaw_dps", "steer_deg"], "v_mps", "yaw_dps", 1.0, DT, 2.0)
+    return out.select("id", *(F.round(c, 6).alias(c) for c in out.columns if c != "id"))
+
+
+_CUTS = {"light": [0.25, 0.5, 0.25], "strong": [0.1, 0.2, 0.4, 0.2, 0.1]}
+
+
+@query(f"""WITH {TICKS}, f AS (SELECT *, {fir_sql('ax_mps2', _CUTS['light'])} AS f0, {fir_sql('ax_mps2', _CUTS['strong'])} AS f1 FROM ticks WINDOW w AS (PARTITION BY drive ORDER BY tick)), j AS (SELECT *, abs((lead(f0) OVER w - lag(f0) OVER w) / 0.1) AS j0, abs((lead(f1) OVER w - lag(f1) OVER w) / 0.1) AS j1 FROM f WINDOW w AS (PARTITION BY drive ORDER BY tick)),
+u AS (SELECT 'light' AS filter, j0 AS j, v_mps > 15 AS c, brake_level > 0 AS b FROM j UNION ALL SELECT 'strong', j1, v_mps > 15, brake_level > 0 FROM j), g AS (SELECT filter, quantile_cont(j, 0.95) FILTER (WHERE c) AS noise, quantile_cont(j, 0.5) FILTER (WHERE b) AS signal FROM u GROUP BY filter) SELECT filter, round(noise, 5) AS noise, round(signal, 5) AS signal, round(signal / noise, 6) AS separation FROM g""")
+def jerk_feasibility(spark, sf):
+    out = vw.jerk_feasibility(ticks(spark, sf), "drive", "tick", "ax_mps2", _CUTS, F.col("v_mps") > 15, F.col("brake_level") > 0, DT)
+    return out.select("filter", F.round("noise", 5).alias("noise"), F.round("signal", 5).alias("signal"), F.round("separation", 6).alias("separation"))
+
+
+@query("""WITH u AS (SELECT user_id AS drive, max(value) AS v, 0 AS s FROM events WHERE event_type = 'error' AND value > 100 GROUP BY 1 UNION ALL SELECT user_id, max(value), 1 FROM events WHERE event_type = 'click' GROUP BY 1 UNION ALL SELECT user_id, max(value), 2 FROM events GROUP BY 1), f AS (SELECT *, first_value(v) OVER (PARTITION BY drive ORDER BY s) AS f FROM u) SELECT drive, any_value(f) AS v, min(s) AS source, count(*) FILTER (WHERE v <> f) AS conflicts FROM f GROUP BY drive""")
+def first_by_priority(spark, sf):
+    s = signals(spark, sf).select("drive", "channel", "v")
+    return vw.first_by_priority([s.filter("channel = 'error' and v > 100"), s.filter("channel = 'click'"), s], "drive", "v")
+
+
+@query(f"WITH {SIG}, r AS (SELECT channel AS kind, floor((t / 3600) % 24) BETWEEN 6 AND 17 AS light, v > 60 AS hit, channel = 'view' AS control FROM sig), b AS (SELECT light, avg(hit::INT) FILTER (WHERE control) AS c FROM r GROUP BY light) SELECT kind, r.light, count(*) AS n, round(avg(hit::INT), 8) AS rate, round(any_value(c), 8) AS control_rate, round(avg(hit::INT) / any_value(c), 6) AS lift FROM r JOIN b ON b.light = r.light WHERE NOT control GROUP BY kind, r.light")
+def review_rates(spark, sf):
+    s = signals(spark, sf).select(F.col("channel").alias("kind"), F.floor(F.pmod(F.col("t") / 3600, F.lit(24.0))).between(6, 17).alias("light"), "v")
+    out = vw.review_rates(s, "kind", "light", F.col("v") > 60, F.col("kind") == "view")
+    return out.select("kind", "light", "n", F.round("rate", 8).alias("rate"), F.round("control_rate", 8).alias("control_rate"), F.round("lift", 6).alias("lift"))
+
+
+@query(f"""WITH {SIG}, s AS (SELECT *, v > 40 AS o FROM sig WHERE channel <> 'view'), n AS (SELECT *, CASE WHEN o AND (NOT coalesce(lag(o) OVER w, false) OR t - lag(t) OVER w > 20000) THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY drive, channel ORDER BY t)), r AS (SELECT *, sum(new) OVER (PARTITION BY drive, channel ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM n),
+g AS (SELECT drive, channel, CAST(run AS BIGINT) AS run, min(t) AS a, max(t) AS b, count(*) AS n FROM r WHERE o GROUP BY 1, 2, 3), v AS (SELECT drive, t, v FROM sig WHERE channel = 'view'), m AS (SELECT g.*, x.t AS xt, x.v AS xv, y.t AS yt, y.v AS yv FROM g ASOF LEFT JOIN v x ON x.drive = g.drive AND g.a >= x.t ASOF LEFT JOIN v y ON y.drive = g.drive AND g.a <= y.t)
+SELECT drive, channel, run, round(a, 4) AS t_start, round(b, 4) AS t_end, n, CASE WHEN yt IS NOT NULL AND (xt IS NULL OR yt - a < a - xt) THEN yv ELSE xv END AS speed FROM m""")
+def raw_flag_runs(spark, sf):
+    s = signals(spark, sf)
+    out = vw.raw_flag_runs(s.filter("channel <> 'view'"), s.filter("channel = 'view'"), "drive", "channel", "t", "v", 40.0, 20000.0)
+    return out.select("drive", "channel", F.col("run").cast("long").alias("run"), F.round("t_start", 4).alias("t_start"), F.round("t_end", 4).alias("t_end"), "n", "speed")
