@@ -94,15 +94,18 @@ class Model:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """The share of label 1 among the K nearest labelled vectors, weighted by similarity to the power POWER; 0.5 without labels."""
+        """The share of label 1 among the K nearest labelled vectors, weighted by similarity to the power POWER; 0.5 without labels. Of vectors equally near (to six digits) at the last place those that stand first count."""
         if not len(self.y):
             return np.full(len(texts), 0.5)
         own = self._unit((vectors(texts) - self.mean) @ self.directions)
         out = np.empty(len(own))
         k = min(K, len(self.y))
         for a in range(0, len(own), 512):
-            cos = own[a : a + 512] @ self.points.T
+            cos = np.round(own[a : a + 512] @ self.points.T, 6)
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            last = np.take_along_axis(cos, near, axis=1).min(axis=1)
+            for i in np.flatnonzero((cos >= last[:, None]).sum(axis=1) > k):
+                near[i] = np.argsort(-cos[i], kind="stable")[:k]
             weight = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-3).astype(float) ** POWER
             out[a : a + 512] = (weight * self.y[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
@@ -118,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: st
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), part.column("y")], ["x", "y"])
 
     got = sample(docs, labels, label, held_out, rows).select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "x binary, y int").collect()
-    got.sort(key=lambda r: bytes(r.x))  # whatever order the tasks ended in
+    got.sort(key=lambda r: (bytes(r.x), r.y))  # whatever order the tasks ended in
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(len(got), DIMS)
     return Model(x, np.array([r.y for r in got]))
 

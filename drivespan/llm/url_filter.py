@@ -42,7 +42,7 @@ def canonical(host: Column, path: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
-    """The longest rule (host and path together) that fits, written host/path, and its verdict; nulls if none fits."""
+    """The longest rule (host and path together) that fits, written host/path, and its verdict; nulls if none fits. Of rules equally long the last one counts."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
@@ -88,12 +88,14 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules: list[tuple[s
     host and path and are allowed; repeated rows are judged each; other columns are not read.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parts = parts.select("*", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))).alias("u"))
+    # a URL without host gets a key of its own that no list holds, so that such pages do not meet in one task
+    own = F.concat(F.lit("\0"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    parts = parts.select("*", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))).otherwise(own).alias("u"))
     if listed is None:
         words = "|".join(LISTED_HOST_WORDS)
-        names = parts.filter(F.col("host").rlike(rf"(^|[.-])({words})[.-]")).select("u")
+        names = parts.filter(F.col("host") != "").filter(F.col("host").rlike(rf"(^|[.-])({words})[.-]")).select("u")
     else:
-        names = listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("u"))
+        names = listed.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> ''").select(canonical(F.col("host"), F.col("path")).alias("u"))
     hits = listed_hits(parts.select("u").distinct(), names).select("u", F.lit(True).alias("hit"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return parts.join(hits, "u", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"), F.coalesce("hit", F.lit(False)).alias("listed"))

@@ -44,6 +44,11 @@ def test_url_parts_and_rules(spark):
     assert got[5][:3] == ("", "", None) and got[6] == ("", "", None, "allow") and got[7][0] == ""
     assert got[8][:2] == ("example.org", "") and got[9][3] == "block" and got[10][2] == "com/en/" and got[11][:2] == ("h", "")
     assert url_filter.judge(df.limit(0)).count() == 0
+    long = "http://a.example.com/en/7" + "x" * 200000
+    more = spark.createDataFrame([(1, long), (1, long), (2, "HTTP://www.Bad.net/x.html?y"), (3, None), (None, None), (4, "m.bad.net/x")], "page_id long, url string")
+    listed = spark.createDataFrame([("http://bad.net/x/",), (None,), ("no host",)], "url string")
+    out = sorted((str(r.page_id), r.verdict, r.listed, len(r.path)) for r in url_filter.judge(more, listed).collect())
+    assert out == [("1", "allow", False, 200005), ("1", "allow", False, 200005), ("2", "block", True, 7), ("3", "allow", False, 0), ("4", "allow", False, 0), ("None", "allow", False, 0)]
 
 
 def test_listed_urls_by_filter_and_join(spark):
@@ -84,6 +89,14 @@ def test_votes_against_brute_force():
         assert abs(got - (w * m.y[near]).sum() / w.sum()) < 1e-4
 
 
+def test_votes_of_equally_near_neighbours():
+    x = np.random.default_rng(1).normal(size=(3, knn_quality.DIMS)).astype(np.float32)
+    x = np.concatenate([x, np.repeat(knn_quality.vectors(pa.array(["the same text"])), 60, axis=0)])
+    y = np.r_[np.zeros(3), np.ones(30), np.zeros(30)]
+    m = knn_quality.Model(x, y)
+    assert m.scores(pa.array(["the same text", "the same text"])).tolist() == [1.0, 1.0]  # the first 25 of sixty equals
+
+
 def test_toxicity_transducers():
     g = toxicity.Grammar({"fool": 4.0, "blarg*": 4.0}, (-4.0, 3.0))
     total = lambda t: round(g.sums(pa.array([t]))[0][0], 9)
