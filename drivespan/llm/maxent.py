@@ -27,11 +27,11 @@ GROUPS, MEMBERS = 16, 16
 SINGLES = 64
 #: Commonest words whose counts every executor holds: 12 bytes each.
 HEAD = 1 << 16
-#: Rows of the hashed table: one for every WORDS_A_ROW distinct words, a power of two within these bounds; the upper one keeps a task's tables within 18 MB each.
-BUCKETS, WORDS_A_ROW = (1 << 12, 1 << 14), 64
+#: Rows of the hashed table: one for every WORDS_A_ROW distinct words, a power of two within these bounds; the upper one keeps a task's tables within 9 MB each.
+BUCKETS, WORDS_A_ROW = (1 << 12, 1 << 13), 64
 FEATURES = 5
 #: Text bytes that a task turns into tokens at once.
-SLICE = 2 << 20
+SLICE = 3 << 20
 RATE, BATCH = 0.3, 1 << 14
 #: Shards in which the changes of the weights are averaged.
 SHARDS, SLOTS = 32, 32
