@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drivespan.llm import byte_bpe, decontam, knn_quality, line_dedup, maxent, media, simhash, toxicity, url_filter, wavelet
+from drivespan.llm import byte_bpe, decontam, knn_quality, langid, line_dedup, maxent, media, simhash, toxicity, url_filter, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet, op2_maxent, op3_media, op4_url_filter, op5_decontam, op6_byte_bpe, op7_toxicity, op8_line_dedup, op9_knn_quality, op10_simhash)}
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.expr(langid.HELD_OUT)
+    return langid.predict(docs.select("doc_id", "text"), langid.fit(docs)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet, op2_maxent, op3_media, op4_url_filter, op5_decontam, op6_byte_bpe, op7_toxicity, op8_line_dedup, op9_knn_quality, op10_simhash, op11_langid)}
 ORACLES = {"op4_url_filter": url_filter.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}

@@ -57,6 +57,18 @@ def removed_after(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about `most` bytes."""
     if not batch.num_rows:
