@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drivespan.llm import byte_bpe, decontam, knn_quality, langid, line_dedup, maxent, media, simhash, toxicity, turns, url_filter, wavelet
+from drivespan.llm import byte_bpe, decontam, knn_quality, langid, line_dedup, maxent, media, simhash, toxicity, turns, url_filter, variants, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +68,13 @@ def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), langid.fit(docs)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_read(spark, sf_dir, "documents"))
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damage(_read(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet, op2_maxent, op3_media, op4_url_filter, op5_decontam, op6_byte_bpe, op7_toxicity, op8_line_dedup, op9_knn_quality, op10_simhash, op11_langid, op13_turns)}
+QUERIES = {f.__name__: f for f in (op1_wavelet, op2_maxent, op3_media, op4_url_filter, op5_decontam, op6_byte_bpe, op7_toxicity, op8_line_dedup, op9_knn_quality, op10_simhash, op11_langid, op12_variants, op13_turns)}
 ORACLES = {"op4_url_filter": url_filter.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
