@@ -89,8 +89,12 @@ def fit(docs: DataFrame, held_out: str = HELD_OUT, rows: int = SAMPLE_ROWS, most
     """
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and lang is not null and text is not null").filter(f"not ({held_out})")
     top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    picked = known.filter(F.col("lang").isin([r.lang for r in top])).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows).select("lang", "text")
+    # a share of each language's rows a little larger than what is needed comes to the exact choice, so that no task ranks a language as a whole
+    share = F.coalesce(*(F.when(F.col("lang") == r.lang, min(1.0, 1.2 * rows / r.n + 1e-6)) for r in top), F.lit(0.0))
+    place = F.xxhash64("doc_id", "text")
+    near = known.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), place, "doc_id")
+    picked = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that hold a word, by language."""
