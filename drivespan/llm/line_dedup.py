@@ -3,11 +3,14 @@
 Lines are parsed by a tree of fixed depth: the first level is the token count, the next ones the leading
 tokens; tokens with digits, @, / or = are variable from the start and read <*>. A leaf's first template is what its lines
 agree on: at a position whose most frequent token is held by at least CONSENSUS of them, that token, else <*>. A line
-that agrees with it on at least SIMILAR of the tokens takes it. LEADERS more templates follow in each leaf, each the most frequent kind
-of line that is left, with the kinds that agree with it; what is left after them is its own template. A template found in at least MIN_DOCS
+that agrees with it on at least SIMILAR of the tokens takes it. More templates follow in each leaf, each the most frequent kind
+of line that is left, with the kinds that agree with it, until no two kinds are left that might agree. A template found in at least MIN_DOCS
 documents recurs: its first line (least doc_id, then least line number) stays, every other is dropped. Lines of more than long_words words
 recur from two documents on; of two lines in a leaf, a token must then be in both to be the template's.
 
+Kinds that agree differ in few places, so cut into one block more than that, they share one: kinds that share no block with another
+of their leaf are their own templates at once, and the rounds that follow are as many as a leaf has groups among the others.
+
 Leaves and lines are known by 64-bit hashes beside their number of words; a line's own template by both hashes.
 """
 
@@ -17,17 +20,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from drivespan.llm.shared import written
+from drivespan.llm.shared import free, written
 
 #: Leading tokens on the way to a leaf.
 DEPTH = 4
 MIN_DOCS = 3
-#: Templates of a leaf after the first.
-LEADERS = 3
 #: Lines of more words than this do not repeat by chance.
 LONG_WORDS = 50
-#: Share of a text from which, with near-dedup to follow, it counts as a copy as a whole.
-WHOLE = 0.8
 SIMILAR, CONSENSUS = 0.8, 0.5
 VARIABLE = r"[^ \t]*[0-9@/=][^ \t]*"
 LEAF = ["words", "leaf"]
@@ -55,85 +54,102 @@ def _least(min_docs: int, long_words: int) -> Column:
     return F.when(F.col("words") > long_words, min(2, min_docs)).otherwise(min_docs)
 
 
-def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, leaders: int = LEADERS) -> DataFrame:
-    """(words, leaf, own, turn) of the lines that take one of their leaf's templates, by its number. lines: (doc_id, at, words, leaf, own) of all lines of docs.
+def _allowed(words: Column, similar: float) -> Column:
+    """Places in which two kinds that agree may differ."""
+    return F.floor((1 - similar) * words + 1e-9)
+
+
+def _meeting(kinds: DataFrame, depth: int, similar: float) -> DataFrame:
+    """The kinds (words, leaf, own, masked, ...) that share a block of their tokens behind the leading ones with another kind of their leaf. No others can agree with one."""
+    rest = F.slice(F.split("masked", " "), depth + 1, F.greatest(F.col("words") - depth, F.lit(0)).cast("int"))
+    parts = (_allowed(F.col("words"), similar) + 1).cast("int")
+    cut = kinds.select(*LEAF, "own", rest.alias("rest"), parts.alias("parts"))
+    edge = lambda j: F.floor(j * F.size("rest") / F.col("parts")).cast("int")
+    block = lambda j: F.xxhash64(j, F.array_join(F.slice("rest", edge(j) + 1, edge(j + 1) - edge(j)), " "))
+    blocks = cut.select(*LEAF, "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), block)).alias("block"))
+    met = blocks.groupBy(*LEAF, "block").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select(*LEAF, "block")
+    some = blocks.join(met.hint("merge"), [*LEAF, "block"], "left_semi").select(*LEAF, "own").distinct()
+    return kinds.join(some.hint("merge"), [*LEAF, "own"], "left_semi")
+
+
+def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS) -> DataFrame:
+    """(words, leaf, own, turn) of the lines that take one of their leaf's templates, by its number. lines: (doc, at, words, leaf, own) of all lines of docs.
 
     All joins are merge joins, as leaves with several kinds grow with the lines. What stands on the far side is a written table, so that a leaf with very
     many lines meets it straight from a shuffle, which the skew join can split.
     """
     # a leaf with one kind of line, or in too few documents, has nothing to generalise
-    wide = lines.groupBy(*LEAF).agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d"), F.count("*").alias("n")).filter("a <> b and c <> d").filter(F.col("n") >= _least(min_docs, long_words)).select(*LEAF)
+    wide = lines.groupBy(*LEAF).agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d"), F.count("*").alias("n")).filter("a <> b and c <> d").filter(F.col("n") >= _least(min_docs, long_words)).select(*LEAF)
     wide = written(wide, "line-leaves")
     kinds = _lines(docs, depth).select(*LEAF, "own", "masked").join(wide.hint("merge"), LEAF, "left_semi").groupBy(*LEAF, "own").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
     left = written(kinds.select(*LEAF, "own", "n", "masked"), "line-kinds")
-    found = []
-    for turn in range(leaders + 1):
-        if turn:
-            shape = left.groupBy(*LEAF).agg(F.max(F.struct("n", "masked")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1 or top.n > 1").select(*LEAF, F.split("top.masked", " ").alias("shape"))
-        else:
-            votes = left.select(*LEAF, "n", F.posexplode(F.split("masked", " ")).alias("pos", "token")).groupBy(*LEAF, "pos", "token").agg(F.sum("n").alias("n"))
-            top = votes.groupBy(*LEAF, "pos").agg(F.max(F.struct(F.col("n"), F.col("token"))).alias("top"), F.sum("n").alias("all"))
-            enough = F.when((F.col("words") <= long_words) | (F.col("all") > 2), consensus * F.col("all")).otherwise(2)
-            shape = top.groupBy(*LEAF).agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("top.n") >= enough, F.col("top.token")).alias("token")))).alias("s")).select(*LEAF, F.col("s.token").alias("shape"))
+    votes = left.select(*LEAF, "n", F.posexplode(F.split("masked", " ")).alias("pos", "token")).groupBy(*LEAF, "pos", "token").agg(F.sum("n").alias("n"))
+    top = votes.groupBy(*LEAF, "pos").agg(F.max(F.struct(F.col("n"), F.col("token"))).alias("top"), F.sum("n").alias("all"))
+    enough = F.when((F.col("words") <= long_words) | (F.col("all") > 2), consensus * F.col("all")).otherwise(2)
+    shape = top.groupBy(*LEAF).agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("top.n") >= enough, F.col("top.token")).alias("token")))).alias("s")).select(*LEAF, F.col("s.token").alias("shape"))
+    found, turn = [], 0
+    while True:
         shape = written(shape, "line-shapes")
         same = F.size(F.filter(F.zip_with(F.split("masked", " "), "shape", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-        met = written(left.join(shape.hint("merge"), LEAF).withColumn("fits", same >= similar * F.col("words")).drop("shape"), "line-met")
+        met = written(left.join(shape.hint("merge"), LEAF).withColumn("fits", F.col("words") - same <= _allowed(F.col("words"), similar)).drop("shape"), "line-met")
         found.append(met.filter("fits").select(*LEAF, "own", F.lit(turn).alias("turn")))
         left = met.filter("not fits").drop("fits")
-    return reduce(DataFrame.unionByName, found)
+        if not turn:
+            left = written(_meeting(left, depth, similar), "line-left")
+        shape = left.groupBy(*LEAF).agg(F.max(F.struct("n", "masked")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").select(*LEAF, F.split("top.masked", " ").alias("shape"))
+        turn += 1
+        if not shape.head(1):
+            return reduce(DataFrame.unionByName, found)
 
 
-def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, leaders: int = LEADERS) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, same: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_hash, at): the lines of recurring templates but for each template's first."""
-    parsed = written(_lines(docs, depth).drop("masked"), "lines")
-    general = written(templates(docs, parsed, depth, min_docs, similar, consensus, long_words, leaders), "line-general")
+    parsed = _lines(docs, depth).drop("masked").withColumn("doc", F.col("doc_id"))
+    if same is not None:
+        named = same.select(F.col("id").alias("doc_id"), "text_hash", F.col("first.id").alias("first")).filter("doc_id <> first").distinct()
+        parsed = written(parsed, "lines-read").join(written(named, "lines-same").hint("merge"), ["doc_id", "text_hash"], "left").withColumn("doc", F.coalesce("first", "doc_id")).drop("first")
+    parsed = written(parsed, "lines")
+    general = written(templates(docs, parsed, depth, min_docs, similar, consensus, long_words), "line-general")
     lines = parsed.join(general.hint("merge"), [*LEAF, "own"], "left")
-    lines = lines.select("doc_id", "text_hash", "at", *LEAF, F.coalesce("turn", F.lit(-1)).alias("turn"), F.when(F.col("turn").isNull(), F.col("own")).otherwise(0).alias("own"))
+    lines = lines.select("doc", "doc_id", "text_hash", "at", *LEAF, F.coalesce("turn", F.lit(-1)).alias("turn"), F.when(F.col("turn").isNull(), F.col("own")).otherwise(0).alias("own"))
     lines = written(lines, "line-templates")
-    place = F.struct("doc_id", "text_hash", "at")
-    recurring = lines.groupBy(*TEMPLATE).agg(F.countDistinct("doc_id").alias("docs"), F.min(place).alias("first")).filter(F.col("docs") >= _least(min_docs, long_words)).select(*TEMPLATE, "first")
+    text, first = F.struct("doc_id", "text_hash"), F.struct("doc", "doc_id", "text_hash", "at")
+    recurring = lines.groupBy(*TEMPLATE).agg(F.countDistinct("doc").alias("docs"), F.min(first).alias("first")).filter(F.col("docs") >= _least(min_docs, long_words)).select(*TEMPLATE, "first")
     recurring = written(recurring, "line-recurring")
-    return lines.join(recurring.hint("merge"), TEMPLATE).filter(place != F.col("first")).select("doc_id", "text_hash", "at").distinct()
+    other = (F.col("doc") != F.col("first.doc")) if same is not None else (text != F.struct("first.doc_id", "first.text_hash"))
+    again = (text == F.struct("first.doc_id", "first.text_hash")) & (F.col("at") != F.col("first.at"))
+    return lines.join(recurring.hint("merge"), TEMPLATE).filter(other | again).select("doc_id", "text_hash", "at").distinct()
 
 
-def dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, leaders: int = LEADERS, whole: float | None = None) -> DataFrame:
+def dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, same: DataFrame | None = None) -> DataFrame:
     """docs with the lines of recurring templates taken out of text, and n_lines and n_dropped.
 
-    With `whole`, a text that would lose that share of its characters or more is left as it is: it is a copy as a whole, for
-    near-dedup to judge, and what little would be left of it could no longer be known as one.
+    same: (id, text_hash, first struct(id, ...)) of near copies, as simhash.similar_groups() gives them. Copies then count as one document, their first: what recurs only among
+    them stays in all of them, for near-dedup to judge, and what recurs beyond them goes from all of them alike.
 
     Columns of those two names are replaced. Null texts stay null with no lines, a text whose lines all go becomes
     empty, no row is dropped. Lines without words are never dropped. Rows with a null doc_id are left as they are; rows that repeat a doc_id
     count as one document for a template's documents, but each text loses its own lines; rows equal in both lose the same lines. Ties for the first line
     go to the least line number; the most frequent token of a position, or kind of a leaf, to the greatest.
     """
-    gone = dropped_lines(docs, depth, min_docs, similar, consensus, long_words, leaders).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone")
     own = docs.drop("n_lines", "n_dropped")
-    kept = own.join(gone.hint("merge"), (own["doc_id"] == gone["__id"]) & (F.xxhash64(own["text"]) == gone["__hash"]), "left")
+    gone_at, id_, hash_, left_, n_lines, n_dropped = free([*own.columns, "n_lines", "n_dropped"], "gone", "id", "hash", "left", "lines_read", "lines_gone")
+    gone = dropped_lines(docs.select("doc_id", "text"), depth, min_docs, similar, consensus, long_words, same).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias(gone_at))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), gone_at)
+    kept = own.join(gone.hint("merge"), (own["doc_id"] == gone[id_]) & (F.xxhash64(own["text"]) == gone[hash_]), "left")
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = kept.withColumn("__left", F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")))
-    if whole is not None:
-        spared = F.length("text") - F.length("__left") >= whole * F.length("text")
-        kept = kept.withColumns({"__left": F.when(~spared, F.col("__left")), "__gone": F.when(~spared, F.col("__gone"))})
-    text = F.coalesce("__left", "text")
-    n = F.coalesce(F.size(lines), F.lit(0))
-    return kept.select(*(text.alias(c) if c == "text" else F.col(c) for c in own.columns), F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.coalesce(F.array_size("__gone"), F.lit(0)).alias("n_dropped"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_at))
+    kept = kept.withColumn(left_, F.when(F.col(gone_at).isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(lines), F.lit(0)))
+    kept = kept.withColumns({n_lines: n, n_dropped: F.coalesce(F.array_size(gone_at), F.lit(0))})
+    return kept.select(*(F.coalesce(left_, "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in own.columns), F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"))
 
 
 _TOKENS = r"list_filter(string_split_regex(regexp_replace(line, '[^ \t]*[0-9@/=][^ \t]*', '<*>', 'g'), '[ \t]+'), lambda x: x <> '')"
 _LEAST = f"CASE WHEN max(len(tokens)) > {LONG_WORDS} THEN {min(2, MIN_DOCS)} ELSE {MIN_DOCS} END"
-_LED = ",".join(
-    f"""
-left{k} AS (SELECT * FROM {"kinds" if k == 1 else f"left{k - 1}"} ANTI JOIN fits{k - 1} USING (leaf, own)),
-lead{k} AS (SELECT leaf, max(ROW(n, own)) AS top FROM left{k} GROUP BY leaf),
-fits{k} AS (SELECT c.leaf, c.own, {k} AS turn FROM left{k} c JOIN (SELECT l.leaf, l.tokens FROM left{k} l JOIN lead{k} t ON t.leaf = l.leaf AND t.top = ROW(l.n, l.own)) s ON s.leaf = c.leaf
-          WHERE len(list_filter(range(1, len(c.tokens) + 1), lambda i: c.tokens[i] = s.tokens[i])) >= {SIMILAR} * len(c.tokens))"""
-    for k in range(1, LEADERS + 1)
-)
+_AGREES = f"len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = lead[i])) >= {SIMILAR} * len(tokens)"
 ORACLE_SQL = rf"""
-WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 tok AS (SELECT doc_id, ln, {_TOKENS} AS tokens FROM raw),
 lines AS (SELECT doc_id, ln, tokens, len(tokens) || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf, array_to_string(tokens, ' ') AS own FROM tok WHERE len(tokens) > 0),
 wide AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT own) > 1 AND count(DISTINCT doc_id) > 1 AND count(*) >= {_LEAST}),
@@ -145,8 +161,13 @@ fixed AS (SELECT leaf, pos, token FROM tops WHERE r = 1 AND n >= CASE WHEN words
 sim AS (SELECT c.leaf, c.own, count(f.token) AS same, count(*) AS total
         FROM (SELECT leaf, own, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM kinds) c
         LEFT JOIN fixed f ON f.leaf = c.leaf AND f.pos = c.pos AND f.token = c.token GROUP BY c.leaf, c.own),
-fits0 AS (SELECT leaf, own, 0 AS turn FROM sim WHERE same >= {SIMILAR} * total),{_LED},
-general AS ({" UNION ALL ".join(f"SELECT * FROM fits{k}" for k in range(LEADERS + 1))}),
+fits0 AS (SELECT leaf, own, 0 AS turn FROM sim WHERE same >= {SIMILAR} * total),
+led(leaf, own, n, tokens, turn, fits) AS (
+  SELECT leaf, own, n, tokens, 0, false FROM kinds ANTI JOIN fits0 USING (leaf, own)
+  UNION ALL
+  SELECT leaf, own, n, tokens, turn, {_AGREES}
+  FROM (SELECT leaf, own, n, tokens, turn + 1 AS turn, first_value(tokens) OVER (PARTITION BY leaf ORDER BY n DESC, own DESC) AS lead FROM led WHERE NOT fits)),
+general AS (FROM fits0 UNION ALL SELECT leaf, own, turn FROM led WHERE fits),
 named AS (SELECT l.doc_id, l.ln, l.tokens, CASE WHEN s.own IS NOT NULL THEN 'leaf ' || s.turn || ' ' || l.leaf ELSE 'own ' || l.leaf || chr(10) || l.own END AS template
           FROM lines l LEFT JOIN general s ON s.leaf = l.leaf AND s.own = l.own),
 firsts AS (SELECT template, min(ROW(doc_id, ln)) AS first FROM named GROUP BY template HAVING count(DISTINCT doc_id) >= {_LEAST}),

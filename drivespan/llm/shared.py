@@ -16,13 +16,15 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """The folder that every executor sees: spark.checkpoint.dir, or one in the warehouse where that is unset; on a cluster that must not be a machine's own."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = kept.get() if kept.isDefined() else None
     if not at:
         at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/drivespan-scratch"
+        if not spark.sparkContext.master.startswith("local") and at.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of one machine")
         spark.sparkContext.setCheckpointDir(at)
     return at
 

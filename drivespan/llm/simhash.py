@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drivespan.llm.components import connected_components
-from drivespan.llm.shared import ragged, slices, word_lists, written
+from drivespan.llm.shared import free, ragged, slices, word_lists, written
 
 SEED = 42
 #: Text bytes that are fingerprinted at once.
@@ -183,14 +183,15 @@ def groups(prints: DataFrame, radius: int = 3, agree: int | None = None) -> Data
 
 def _first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs without the rows that are not the first of their group. rows: (id, text_hash, first) of all rows of docs with an id, first being the (id, text_hash) that stays."""
-    gone = rows.filter(F.struct("id", "text_hash") != F.col("first")).select(F.col("id").alias("doc_id"), F.col("text_hash").alias("__hash")).distinct()
-    marked = docs.withColumn("__hash", F.xxhash64("text"))
-    left = marked.join(gone, ["doc_id", "__hash"], "left_anti")
-    again = rows.filter(F.struct("id", "text_hash") == F.col("first")).groupBy(F.col("id").alias("doc_id"), F.col("text_hash").alias("__hash")).count().filter("count > 1").drop("count")
-    again = written(again, "simhash-repeated")
+    (text_hash,) = free(docs.columns, "text_hash")
+    keys = ["doc_id", text_hash]
+    named = rows.select(F.col("id").alias("doc_id"), F.col("text_hash").alias(text_hash), (F.struct("id", "text_hash") == F.col("first")).alias("stays"))
+    gone = named.filter("not stays").select(*keys).distinct()
+    left = docs.withColumn(text_hash, F.xxhash64("text")).join(gone, keys, "left_anti")
+    again = written(named.filter("stays").groupBy(*keys).count().filter("count > 1").drop("count"), "simhash-repeated")
     if again.head(1):  # rows that are equal in id and text: one of them stays
-        left = left.join(again, ["doc_id", "__hash"], "left_anti").unionByName(left.join(again, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"]))
-    return left.select(*docs.columns)
+        left = left.join(again, keys, "left_anti").unionByName(left.join(again, keys, "left_semi").dropDuplicates(keys))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(docs: DataFrame, width: int = 3, radius: int = 3, agree: int | None = None) -> DataFrame:
@@ -305,7 +306,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, similar:
     members = reps.select("sig", "first", "fp", F.explode("keys").alias("key")).join(written(buckets, "similar-sizes").hint("merge"), "key")
     members = written(members, "similar-buckets")
     firsts = members.select(F.col("first.id").alias("doc_id"), F.col("first.text_hash").alias("__hash")).distinct()
-    sets = written(_shingle_sets(docs.withColumn("__hash", F.xxhash64("text")).join(firsts.hint("merge"), ["doc_id", "__hash"], "left_semi"), width), "similar-sets")
+    sets = written(_shingle_sets(docs.select("doc_id", "text", F.xxhash64("text").alias("__hash")).join(firsts.hint("merge"), ["doc_id", "__hash"], "left_semi"), width), "similar-sets")
 
     small = members.filter(f"size <= {SMALL_BAND}")
     a, b = (small.select("key", F.col("sig").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "uv")
@@ -331,14 +332,21 @@ def similar_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, similar:
     return pairs.unionByName(forests)
 
 
-def similar_dedup(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """docs with one row, the one with the least doc_id, of each group that links of exact shingle similarity, from `similar` up, connect.
+def similar_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(id, text_hash, first) of every row with a doc_id: first is the least (id, text_hash) that links of exact shingle similarity, from `similar` up, reach.
 
     Texts are compared as sets of shingles of `width` words; fewer words are one shingle, texts without words are copies of each other.
-    Rows with a null doc_id stay. Rows that repeat a doc_id are told apart by their texts; of those equal in both one stays.
     """
     prints = written(shingle_prints(docs.filter("doc_id is not null"), width), "similar-prints")
     place = F.struct("id", "text_hash")
     reps = written(prints.groupBy("sig").agg(F.min(place).alias("first"), F.min_by(F.struct("fp", "n", "keys"), place).alias("r")).select("sig", "first", "r.*"), "similar-distinct")
-    named = _labelled(reps, "sig", "first", similar_links(docs, reps, width, similar, radius))
-    return _first_of_each(docs, prints.select("id", "text_hash", "sig").join(named.hint("merge"), "sig"))
+    named = _labelled(reps, "sig", "first", similar_links(docs.select("doc_id", "text"), reps, width, similar, radius))
+    return prints.select("id", "text_hash", "sig").join(named.hint("merge"), "sig").select("id", "text_hash", "first")
+
+
+def similar_dedup(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """docs with one row, the one with the least doc_id, of each group of similar_groups().
+
+    Rows with a null doc_id stay. Rows that repeat a doc_id are told apart by their texts; of those equal in both one stays.
+    """
+    return _first_of_each(docs, similar_groups(docs, width, similar, radius))

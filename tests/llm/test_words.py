@@ -274,11 +274,16 @@ def test_long_lines_recur_from_two_documents_on_in_the_pipeline(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, None).collect()}
     assert got == {0: texts[0], 1: f"second by itself\nthe same short line\n{alone[1]}", 2: f"third one\nthe same short line\n{alone[2]}", 3: texts[3], 4: texts[4]}
-    # copies as a whole stay whole for near-dedup, which keeps one of them; line dedup by itself takes their lines
+    # near copies count as one document; line dedup by itself takes their lines
     copies = [f"{long}\n{other}", f"{long}\n{other}\nmore", f"{long}\n{other}"]
     more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(copies)], DOCS)
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, more, None).collect()} == dict(enumerate(copies))
     assert {r.doc_id: r.text for r in line_dedup.dedup(more).collect()} == {0: copies[0], 1: "more", 2: ""}
+    # what recurs beyond a group of copies goes from all of them, and a text of nothing but lines of others becomes empty
+    parts = [" ".join(f"{a}{chr(97 + i)}{k}" for i in range(20)).replace("1", "x").replace("2", "y").replace("3", "z") for k in (1, 2, 3) for a in ("p", "q", "r", "s")]
+    own = [f"{parts[0]}\n{parts[3]} {parts[4]} {parts[5]}", f"{parts[1]}\n{parts[6]}", f"{parts[2]}\n{parts[7]}", "\n".join(parts[:3]), "\n".join(parts[2::-1]), *[f"{parts[8]} {parts[9]} {parts[10]} {parts[11]}\n{parts[0]}\n" + "tail " * k for k in (1, 2)]]
+    mixed = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(own)], DOCS)
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, mixed, None).collect()} == {**dict(enumerate(own[:3])), 3: "", 4: "", 5: own[5].replace(f"\n{parts[0]}", ""), 6: own[6].replace(f"\n{parts[0]}", "")}
     assert {r.doc_id: r.text for r in line_dedup.dedup(docs, long_words=10**6).collect()} == dict(enumerate(texts))
 
 
@@ -298,6 +303,17 @@ def test_several_templates_in_one_leaf(spark):
     assert got == {k * 10 + i: int(i > 0) for k in range(3) for i in range(len(names))}
 
 
+def test_many_templates_in_one_leaf(spark):
+    """Eight groups of four alike lines, in as many documents; no group is left out, and lines that only start alike stay."""
+    say = lambda k, i: f"dear reader of this {' '.join(f'w{chr(97 + k)}{chr(97 + j)}' for j in range(9))} {chr(97 + k)}{chr(97 + i)}x"
+    rows = [(10 * i + k, say(k, i)) for k in range(8) for i in range(4)] + [(100 + k, "dear reader of this " + " ".join(f"{chr(97 + k)}{chr(97 + j)}y" for j in range(10))) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as __gone", "2 as gone", "3 as id", "4 as hash", "5 as __left", "6 as left")
+    out = line_dedup.dedup(df)
+    assert {r.doc_id: r.n_dropped for r in out.collect()} == {d: int(10 <= d < 100) for d, _ in rows}
+    assert out.select("__gone", "gone", "id", "hash", "__left", "left").distinct().collect() == [(1, 2, 3, 4, 5, 6)]
+    assert {r.doc_id: r.text for r in out.collect()} == brute_lines(rows)
+
+
 def test_op10_components_on_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().sort_values("doc_id").reset_index(drop=True)
     prints = [brute_print(t) for t in docs.text]
@@ -306,8 +322,9 @@ def test_op10_components_on_the_table(spark, sf_dir):
     assert [got[d] for d in docs.doc_id] == [docs.doc_id[c] for c in comp]
 
 
-def brute_lines(docs, min_docs=3, long_words=50, leaders=3, whole=None):
-    """Line dedup of (doc_id, text) pairs in plain Python."""
+def brute_lines(docs, min_docs=3, long_words=50, same=None):
+    """Line dedup of (doc_id, text) pairs in plain Python. same: the first of each document's near copies, by doc_id."""
+    as_one = (lambda d: same[d]) if same else (lambda d: d)
     rows, leaves = [], {}
     for d, text in docs:
         for at, line in enumerate((text or "").split("\n")):
@@ -315,7 +332,7 @@ def brute_lines(docs, min_docs=3, long_words=50, leaders=3, whole=None):
             if tokens:
                 leaf = (len(tokens), tuple(tokens[:4]))
                 rows.append((d, at, leaf, " ".join(tokens)))
-                leaves.setdefault(leaf, []).append((d, " ".join(tokens)))
+                leaves.setdefault(leaf, []).append((as_one(d), " ".join(tokens)))
     template = {}
     for leaf, found in leaves.items():
         n = {}
@@ -325,7 +342,7 @@ def brute_lines(docs, min_docs=3, long_words=50, leaders=3, whole=None):
         if len(n) < 2 or len({d for d, _ in found}) < 2 or len(found) < least:
             continue
         left = dict(n)
-        for turn in range(leaders + 1):
+        for turn in range(len(n) + 1):
             if not left:
                 break
             shape = []
@@ -348,19 +365,26 @@ def brute_lines(docs, min_docs=3, long_words=50, leaders=3, whole=None):
     groups = {}
     for d, at, leaf, own in rows:
         groups.setdefault((leaf, template[leaf, own]) if (leaf, own) in template else (leaf, own), []).append((d, at))
-    gone = {p for (leaf, _), places in groups.items() if len({d for d, _ in places}) >= (min(2, min_docs) if leaf[0] > long_words else min_docs) for p in places if p != min(places)}
-    out = {}
-    for d, text in docs:
-        new = text and "\n".join(x for at, x in enumerate(text.split("\n")) if (d, at) not in gone)
-        out[d] = text if whole is not None and text and len(text) - len(new) >= whole * len(text) else new
-    return out
+    gone = set()
+    for (leaf, _), places in groups.items():
+        if len({as_one(d) for d, _ in places}) >= (min(2, min_docs) if leaf[0] > long_words else min_docs):
+            first = min((as_one(d), d, at) for d, at in places)
+            gone |= {(d, at) for d, at in places if as_one(d) != first[0] or d == first[1] and at != first[2]}
+    return {d: text and "\n".join(x for at, x in enumerate(text.split("\n")) if (d, at) not in gone) for d, text in docs}
+
+
+def near_copies(docs):
+    """The first of each document's near copies, by doc_id, from all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for _, t in docs)]
+    comp = union_find(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    return {d: docs[c][0] for (d, _), c in zip(docs, comp, strict=True)}
 
 
 def test_line_dedup_against_plain_python(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == brute_lines(docs)
-    assert {r.doc_id: r.text for r in line_dedup.dedup(df, whole=0.8).collect()} == brute_lines(docs, whole=0.8)
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df, same=simhash.similar_groups(df)).collect()} == brute_lines(docs, same=near_copies(sorted(docs)))
 
 
 def test_pipeline_run_against_brute_force(spark, sf_dir, tmp_path):
@@ -375,10 +399,9 @@ def test_pipeline_run_against_brute_force(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = knn_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     left = sorted((r.doc_id, r.text) for r in docs.collect() if model.scores(pa.array([r.text], pa.string()))[0] >= knn_quality.THRESHOLD)
-    left = sorted(brute_lines(left, whole=line_dedup.WHOLE).items())
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for _, t in left)]
-    comp = union_find(len(left), [(i, j) for i in range(len(left)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
-    left = [d for i, d in enumerate(left) if comp[i] == i]
+    left = sorted(brute_lines(left, same=near_copies(left)).items())
+    first = near_copies(left)
+    left = [(d, t) for d, t in left if first[d] == d]
     items = [[w.decode() for w in words(r.text)] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     own = [(len(w), decontam._shingles(w)) for w in items if w]
 
