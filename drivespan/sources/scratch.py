@@ -1,4 +1,4 @@
-"""The folder in which lineage is cut: what spark.checkpoint.dir names, or one in the warehouse where it is unset."""
+"""The folder in which lineage is cut: what spark.checkpoint.dir names, or one in the warehouse where it is unset; on a cluster that must not be a machine's own."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ def scratch_dir(spark: SparkSession) -> str:
         at = kept.get()
     if not at:
         at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/drivespan-scratch"
+        if not spark.sparkContext.master.startswith("local") and at.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of one machine")
     if not kept.isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
