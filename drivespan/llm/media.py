@@ -64,56 +64,110 @@ def samples(image: bytes) -> bytes:
 
 
 class _Sequence(HTMLParser):
-    """Collects text runs and media references in order. An image inside a figure takes the figure's caption, else its alt text."""
+    """Collects text runs and media references in order. An image inside a figure takes the figure's caption, else its alt text.
 
-    SKIPPED = {"script", "style", "head", "nav"}
-    BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "li", "ul", "ol", "br", "table", "tr", "figure", "figcaption", "body", "html"}
+    What stands in scripts, styles, the head and navigation is left out. Tags that are never closed don't swallow the rest of a page: the head ends at the first
+    tag or text that may not stand in it; navigation ends with its parent, and counts as content if nothing closes it before the body does; a caption ends with its figure, and
+    where nothing closes it only its first run is the caption.
+    """
+
+    MEDIA = {"img", "video", "audio", "source"}
+    VOID = {"img", "source", "br", "hr", "meta", "link", "base", "input", "wbr", "area", "col", "embed", "track", "param"}
+    IN_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
+    BLOCKS = {"p", "div", "article", "section", "main", "header", "footer", "aside", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "br", "table", "tr", "figure", "figcaption", "body", "html"}
+    #: End tags of these close what is open inside them.
+    HOLDERS = {"div", "article", "section", "main", "header", "footer", "aside", "nav", "form", "ul", "ol", "table", "figure"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.skip = 0
+        self.open: list[str] = []
+        self.raw = self.head = False
+        self.nav: tuple[int, int] | None = None  # what was open, and how many items there were, where it began
         self.figure: int | None = None
-        self.caption: list[str] | None = None
+        self.caption: int | None = None
 
     def _flush(self) -> None:
         run = " ".join("".join(self.text).split())
         self.text = []
         if run:
-            self.items.append({"pos": len(self.items), "kind": "text", "text": run, "ref": None, "caption": None})
+            self.items.append({"kind": "text", "text": run, "ref": None, "caption": None})
+
+    def _close_caption(self, whole: bool) -> None:
+        """The text since the caption began goes to the figure's media; if it was not closed, only the first run of it does."""
+        if self.caption is None:
+            return
+        self._flush()
+        runs = [x for x in self.items[self.caption :] if x["kind"] == "text"]
+        runs, start = runs if whole else runs[:1], self.figure if self.figure is not None else self.caption
+        said = " ".join(x["text"] for x in runs)
+        self.items = [x for x in self.items if not any(x is r for r in runs)]
+        for x in self.items[start:]:
+            if x["kind"] == "media" and said:
+                x["caption"] = said
+        self.caption = None
+
+    def _close_nav(self) -> None:
+        self._flush()
+        del self.items[self.nav[1] :]
+        self.nav = None
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SKIPPED:
-            self.skip += 1
-        if tag in self.BLOCKS or tag in ("img", "video", "audio", "source"):
+        if self.head and tag not in self.IN_HEAD:
+            self.head = False
+        if tag in ("script", "style"):
+            self.raw = True
+        if tag == "head":
+            self.head = True
+        if tag in self.BLOCKS or tag in self.MEDIA:
             self._flush()
+        if tag not in self.VOID:
+            self.open.append(tag)
+        if tag == "nav" and self.nav is None:
+            self.nav = len(self.open) - 1, len(self.items)
         if tag == "figure":
+            self._close_caption(whole=True)
             self.figure = len(self.items)
         if tag == "figcaption":
-            self.caption = []
+            self._close_caption(whole=True)
+            self.caption = len(self.items)
         own = dict(attrs)
-        if tag in ("img", "video", "audio", "source") and own.get("src") and not self.skip:
-            self.items.append({"pos": len(self.items), "kind": "media", "text": None, "ref": own["src"], "caption": own.get("alt")})
+        if tag in self.MEDIA and own.get("src") and not self.raw and not self.head:
+            self.items.append({"kind": "media", "text": None, "ref": own["src"], "caption": own.get("alt")})
 
-    handle_startendtag = handle_starttag
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in self.VOID and self.open and tag not in ("script", "style", "nav", "head", "figure", "figcaption"):
+            self.open.pop()
 
     def handle_endtag(self, tag):
-        if tag in self.SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        if tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for x in self.items[self.figure or 0 :]:
-                if x["kind"] == "media" and said:
-                    x["caption"] = said
+        if tag in ("script", "style"):
+            self.raw = False
+        if tag == "head":
+            self.head = False
+        if tag in ("figcaption", "figure"):
+            self._close_caption(whole=True)
         if tag == "figure":
             self.figure = None
         if tag in self.BLOCKS:
             self._flush()
+        last = next((i for i in reversed(range(len(self.open))) if self.open[i] == tag), None)
+        if last is not None and (tag in self.HOLDERS or self.nav is None or last > self.nav[0]):
+            del self.open[last:]
+            if self.nav and len(self.open) <= self.nav[0] and tag in self.HOLDERS:
+                self._close_nav()
 
     def handle_data(self, data):
-        if not self.skip:
-            (self.text if self.caption is None else self.caption).append(data)
+        if self.head and data.strip() and "title" not in self.open[-1:] and not self.raw:
+            self.head = False
+        if not self.raw and not self.head:
+            self.text.append(data)
+
+    def sequence(self) -> list[dict]:
+        self._close_caption(whole=False)
+        self._flush()
+        return [{"pos": i, **x} for i, x in enumerate(self.items)]
 
 
 def parse(html: str | None) -> list[dict]:
@@ -121,8 +175,7 @@ def parse(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
-    p._flush()
-    return p.items
+    return p.sequence()
 
 
 def sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
