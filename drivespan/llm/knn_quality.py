@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drivespan.llm.shared import coded, slices, word_lists
+from drivespan.llm.shared import coded, free, slices, word_lists
 
 #: The classifier's bound: at most so many labelled rows are learned from, the ones of least hash.
 SAMPLE_ROWS = 4096
@@ -25,7 +25,6 @@ DIMS = SHAPES + ENDS + WORDS + STATS
 GROUP_WEIGHTS = ((SHAPES, 1.0), (ENDS, 0.4), (WORDS, 0.4), (STATS, 1.0))
 LATENT, K, POWER = 48, 25, 8
 THRESHOLD = 0.3
-_RUNS = re.compile(r"([^\W\d_])\1*|\d+|(\W|_)\2*")
 
 
 def _shape(word: str) -> str:
@@ -72,10 +71,16 @@ def vectors(texts: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: str, rows: int) -> DataFrame:
-    """(text, y) of at most `rows` labelled documents that are not held out, those of least hash of their id."""
+    """(text, y) of at most `rows` labelled documents that are not held out, those of least hash of their id. Of rows that repeat an id one is taken, that of least hash of its text."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(f"not ({held_out})").groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y")
+    return one_each(docs, picked)
+
+
+def one_each(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(text, y): of picked (doc_id, y; few rows) and docs one row for each doc_id, so that what comes of it is no more than picked."""
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("m")).select("m.text", F.col("m.y").cast("int").alias("y"))
 
 
 class Model:
@@ -129,12 +134,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: st
 def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
     """docs with score_col (double, 0 to 1). Null texts are empty texts; a column of that name is replaced, all others stay."""
     rest = [c for c in docs.columns if c != score_col]
-    kept = docs.select(*rest, F.col("text").cast("string").alias("__text"))
+    (text,) = free(rest, "text_read")
+    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.col("text").cast("string").alias(text))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(shared.value.scores(part.column("__text")))], [*rest, score_col])
+            for part in slices(batch, text):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(shared.value.scores(part.column(text)))], [*rest, score_col])
 
     return kept.mapInArrow(run, docs.select(*rest).withColumn(score_col, F.lit(0.5)).schema)

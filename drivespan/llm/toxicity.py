@@ -19,7 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from drivespan.llm.shared import coded, slices, word_lists
+from drivespan.llm.knn_quality import one_each
+from drivespan.llm.shared import coded, free, slices, word_lists
 
 #: The classifier's bounds: labelled rows of each class, and learned terms.
 SAMPLE_ROWS, MOST_TERMS = 3000, 2000
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: str
     if not n.get(0) or not n.get(1):
         return Grammar({}, (-5.0, 0.0))
     each = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(each[0].unionByName(each[1])), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    picked = one_each(docs, each[0].unionByName(each[1]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of each class that hold a term."""
@@ -207,14 +208,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: str
 def score(docs: DataFrame, grammar: Grammar, score_col: str = "score") -> DataFrame:
     """docs with score_col (double, 0 to 1) and matched_clauses (long). Null texts are empty texts; columns of those names are replaced, all others stay."""
     rest = [c for c in docs.columns if c not in (score_col, "matched_clauses")]
-    kept = docs.select(*rest, F.col("text").cast("string").alias("__text"))
+    (text,) = free(rest, "text_read")
+    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.col("text").cast("string").alias(text))
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, text):
                 g = shared.value
-                total, hits = g.sums(part.column("__text"))
+                total, hits = g.sums(part.column(text))
                 p = 1 / (1 + np.exp(-np.clip(g.curve[0] + g.curve[1] * np.log1p(total), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(p), pa.array(hits)], [*rest, score_col, "matched_clauses"])
 
