@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drivespan.llm.shared import coded, ragged, slices, word_lists
+from drivespan.llm.shared import coded, free, ragged, slices, word_lists, written
 
 RADIUS = 8
 SHINGLE, SIMILAR = 5, 0.8
@@ -36,6 +36,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 SHORT, LONG = 3, 3
 #: Items, and bytes of their texts, that one pass holds on every executor; a larger benchmark takes several passes.
 PASS_ITEMS, PASS_BYTES = 4096, 64 << 20
+#: Begins and ends of passages that are paired at once.
+PAIRS = 1 << 20
 
 
 def window_of(words: int) -> tuple[int, int]:
@@ -182,19 +184,23 @@ class Index:
         whole, met = (np.concatenate([[0], np.cumsum(x)]) for x in (each, each * match))
         low = np.searchsorted(whole[ends], whole[begins] + SIMILAR * all_ - 1e-6)
         high = np.searchsorted(whole[ends], whole[begins] + all_ / SIMILAR + 1e-6, "right")
-        b, e = np.repeat(begins, np.maximum(high - low, 0)), ends[ragged(low, np.maximum(high - low, 0))]
-        both = np.minimum(met[e] - met[b], all_)
-        bound = both / (all_ + whole[e] - whole[b] - both)
-        kept = np.flatnonzero(bound >= SIMILAR)
+        n_ends = np.maximum(high - low, 0)
+        turn = (np.cumsum(n_ends) - n_ends) // PAIRS  # so many begins and ends are paired at once
         best = None
-        for i in kept[np.lexsort((e[kept], b[kept], -bound[kept]))].tolist():
-            if best and bound[i] < best[0]:
-                break
-            if best and bound[i] == best[0] and b[i] >= -best[1]:
-                continue
-            sim = similarity(self.shingles[k], _shingles(words(int(b[i]), int(e[i]) + SHINGLE - 1)))
-            if sim >= SIMILAR and (best is None or (sim, -int(b[i])) > best):
-                best = sim, -int(b[i])
+        for a in np.unique(turn).tolist():
+            i, j = np.searchsorted(turn, [a, a + 1])
+            b, e = np.repeat(begins[i:j], n_ends[i:j]), ends[ragged(low[i:j], n_ends[i:j])]
+            both = np.minimum(met[e] - met[b], all_)
+            bound = both / (all_ + whole[e] - whole[b] - both)
+            kept = np.flatnonzero(bound >= (best[0] if best else SIMILAR))
+            for x in kept[np.lexsort((e[kept], b[kept], -bound[kept]))].tolist():
+                if best and bound[x] < best[0]:
+                    break
+                if best and bound[x] == best[0] and b[x] >= -best[1]:
+                    continue
+                sim = similarity(self.shingles[k], _shingles(words(int(b[x]), int(e[x]) + SHINGLE - 1)))
+                if sim >= SIMILAR and (best is None or (sim, -int(b[x])) > best):
+                    best = sim, -int(b[x])
         return best and (best[0], -best[1])
 
     @staticmethod
@@ -274,10 +280,9 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows of their own; an empty table on either side gives none. Items with a null item_id are read like any other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = []
-    for index in _passes(docs.sparkSession, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def hits(index: Callable[[], Index]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
                     found = index().hits(part.column("text"))
@@ -287,42 +292,65 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         ["doc_id", "item_id", "start", "similarity"],
                     )
 
-        out.append(rows.mapInArrow(run, "doc_id long, item_id long, start long, similarity double"))
-    return reduce(DataFrame.unionByName, out)
+        return rows.mapInArrow(run, "doc_id long, item_id long, start long, similarity double")
+
+    return reduce(DataFrame.unionByName, _passes(docs.sparkSession, benchmark, hits))
+
 
+def _passes(spark: SparkSession, benchmark: DataFrame, made: Callable[[Callable[[], Index]], DataFrame], alone: Callable[[Callable[[], Index]], DataFrame] | None = None) -> list[DataFrame]:
+    """What `made` makes in each pass of a function that gives the pass's index, built once in a task; `alone`, if given, where there is one pass only.
 
-def _passes(spark: SparkSession, benchmark: DataFrame) -> list[Callable[[], Index]]:
-    """For each pass a function that gives its index, built once in a task; what is broadcast is the items of one pass."""
+    Of several passes each is written, and its items go before the next one's come.
+    """
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, -(-n // PASS_ITEMS), -(-size // PASS_BYTES))
-
-    def one(k: int) -> Callable[[], Index]:
+    out = []
+    for k in range(passes):
         held = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).collect()]
         shared = spark.sparkContext.broadcast(sorted(held, key=lambda x: (x[1], x[0] or 0)))
         loaded: list[Index] = []
 
-        def index() -> Index:
+        def index(shared=shared, loaded=loaded) -> Index:
             if not loaded:
                 loaded.append(Index(shared.value))
             return loaded[0]
 
-        return index
-
-    return [one(k) for k in range(passes)]
+        if passes == 1:
+            return [(alone or made)(index)]
+        out.append(written(made(index), "decontam-pass"))
+        shared.destroy()
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a passage of the benchmark: each is judged by its own text, whatever its doc_id, in one pass over docs for each pass over the items."""
-    out = docs
-    for index in _passes(docs.sparkSession, benchmark):
+    """docs without the rows that hold a passage of the benchmark: each is judged by its own text, whatever its doc_id.
+
+    Where the items fit one pass, rows go as they are read; else each pass writes the digests of the texts that go, and a join takes these out.
+    """
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def judged(index: Callable[[], Index], column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, column):
                     kept = np.ones(part.num_rows, bool)
-                    kept[[f[0] for f in index().hits(part.column("text"))]] = False
-                    yield part.filter(pa.array(kept))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+                    kept[[f[0] for f in index().hits(part.column(column))]] = False
+                    yield part, kept
+
+        return run
+
+    def stay(index: Callable[[], Index]) -> DataFrame:
+        run = judged(index, "text")
+        return docs.mapInArrow(lambda batches: (part.filter(pa.array(kept)) for part, kept in run(batches)), docs.schema)
+
+    def go(index: Callable[[], Index]) -> DataFrame:
+        run = judged(index, "text")
+        return rows.mapInArrow(lambda batches: (part.select(["digest"]).filter(pa.array(~kept)) for part, kept in run(batches)), "digest string")
+
+    (digest,) = free(docs.columns, "digest")
+    rows = docs.select(F.sha2("text", 256).alias("digest"), F.col("text").cast("string").alias("text"))
+    passes = _passes(docs.sparkSession, benchmark, go, stay)
+    if len(passes) == 1:
+        return passes[0]
+    gone = written(reduce(DataFrame.unionByName, passes).distinct().withColumnRenamed("digest", digest), "decontam-gone")
+    return docs.withColumn(digest, F.sha2("text", 256)).join(gone, digest, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
