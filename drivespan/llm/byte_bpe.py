@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from drivespan.llm.shared import ragged, slices
+from drivespan.llm.shared import free, ragged, slices
 
 #: The characters with Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -260,16 +260,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     With digest_col, the ids are decoded again in the same pass and the SHA-256 of the bytes is added.
     """
     rest = [c for c in docs.columns if c not in (text_col, ids_col, digest_col)]
-    kept = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c) for c in rest))
+    (text,) = free(rest, "text_read")
+    kept = docs.select(F.col(f"`{text_col}`").cast("string").alias(text), *(F.col(f"`{c}`") for c in rest))
     new = {ids_col: F.lit(None).cast("array<int>")} | ({digest_col: F.lit(None).cast("string")} if digest_col else {})
-    schema = kept.drop("__text").withColumns(new).schema
+    schema = kept.drop(text).withColumns(new).schema
     names = [*rest, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", SLICE):
-                ids, n = bpe.encode([t or "" for t in part.column("__text").to_numpy(zero_copy_only=False)])
+            for part in slices(batch, text, SLICE):
+                ids, n = bpe.encode([t or "" for t in part.column(text).to_numpy(zero_copy_only=False)])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
                 more = [pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decode(ids, n)], pa.string())] if digest_col else []
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists, *more], names)
