@@ -99,12 +99,16 @@ def rejection_breakdown(df: DataFrame, conditions: dict[str, Column], seconds: s
 _POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
 
 
+def poisson(u: Column) -> Column:
+    """A Poisson number of mean 1 from a draw in [0, 1)."""
+    return sum(((u >= p).cast("int") for p in _POISSON), F.lit(0))
+
+
 def bootstrap(df: DataFrame, cluster: str, x: str, replicates: int, seed: int, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
     """(mean, low, high) of x by resampling whole clusters: in each replicate a cluster counts a Poisson number of times, drawn by hash. Clusters enter as sums, and a replicate is a conditional sum over them."""
     per = df.groupBy(cluster).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
-    times = per.select("s", "n", cluster, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("u", draw(seed, F.col("r"), F.col(cluster)))
-    weight = sum(((F.col("u") >= p).cast("int") for p in _POISSON), F.lit(0))
-    means = times.withColumn("w", weight).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    times = per.select("s", "n", cluster, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    means = times.withColumn("w", poisson(draw(seed, F.col("r"), F.col(cluster)))).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
     ends = means.agg(F.percentile("mean", levels[0]).alias("low"), F.percentile("mean", levels[1]).alias("high"))
     return per.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(ends)
 

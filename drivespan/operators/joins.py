@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -35,7 +37,8 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: float, how: str =
     """a's rows (key, a_start, a_end, ...) with b's (key, b_start, b_end, ...) that overlap them, ends included, a widened by pad on both sides.
 
     Both sides are dealt to time buckets that they touch and joined on (key, bucket); a pair counts in the first bucket that it shares,
-    so none is given twice. Inner and left joins, and left_semi and left_anti, are known; a row of a needs distinct contents for left and anti.
+    so none is given twice. Inner and left joins, and left_semi and left_anti, are known. Rows of a are told by all their columns, nulls included; equal
+    rows have equal answers. A row without start or end, or with a null key, overlaps nothing.
     """
     lo, hi = F.col("a_start") - pad, F.col("a_end") + pad
     floor = lambda c: F.floor(c / bucket)
@@ -45,10 +48,11 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: float, how: str =
     both = x.join(y, [key, "__bucket"]).filter(met).drop("__bucket")
     if how == "inner":
         return both
-    hit = both.select(*a.columns).distinct()
+    hit = both.select(*(F.col(c).alias(f"__hit{i}") for i, c in enumerate(a.columns))).distinct()
+    alike = reduce(Column.__and__, (a[c].eqNullSafe(hit[f"__hit{i}"]) for i, c in enumerate(a.columns)))
     if how == "left_semi":
-        return a.join(hit, [*a.columns], "left_semi")
-    missing = a.join(hit, [*a.columns], "left_anti")
+        return a.join(hit, alike, "left_semi")
+    missing = a.join(hit, alike, "left_anti")
     return missing if how == "left_anti" else both.unionByName(missing, allowMissingColumns=True)
 
 

@@ -61,16 +61,6 @@ def demeaned(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
 
 
-def two_way_slope(df: DataFrame, a: str, b: str, x: str, y: str, rounds: int = 12) -> DataFrame:
-    """(slope, n): slope of y on x with fixed effects of a and b, by taking group means off in turn; every second round is checkpointed."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(a, b, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    for k in range(rounds):
-        d = demeaned(demeaned(d, [a], ["x", "y"]), [b], ["x", "y"])
-        if k % 4 == 3:
-            d = checkpointed(d)
-    return d.agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0))).alias("slope"), F.count("*").alias("n"))
-
-
 def within_slope(df: DataFrame, site: str, x: str, y: str) -> DataFrame:
     """(site, n, slope, t): the within-site regression slope and its t statistic, from moment sums."""
     m = df.groupBy(site).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) ** 2).alias("sxx"), F.sum(F.col(y) ** 2).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy"))

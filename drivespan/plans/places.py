@@ -164,12 +164,6 @@ def cross_validated_fit(spark, sf):
     return ss.cross_validated(df, "fold", ["one", "x"], "y").withColumn("rmse", F.round("rmse", 2))
 
 
-@query()
-def two_way_effects(spark, sf):
-    """Price on quantity with supplier and part effects; tests compare with dummy-variable least squares."""
-    return ss.two_way_slope(table(spark, sf, "lineitem"), "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice")
-
-
 @query("""WITH m AS (SELECT l_suppkey AS site, count(*) AS n, sum(l_quantity ** 2) - sum(l_quantity) ** 2 / count(*) AS cxx, sum(l_extendedprice ** 2) - sum(l_extendedprice) ** 2 / count(*) AS cyy, sum(l_quantity * l_extendedprice) - sum(l_quantity) * sum(l_extendedprice) / count(*) AS cxy FROM lineitem GROUP BY 1) SELECT site, n, round(cxy / cxx, 3) AS slope, round(cxy / cxx / sqrt((cyy - cxy / cxx * cxy) / (n - 2) / cxx), 3) AS t FROM m""")
 def within_site_slope(spark, sf):
     out = ss.within_slope(table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "site"), "site", "l_quantity", "l_extendedprice")

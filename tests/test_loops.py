@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drivespan.functions import vehicle as vf
-from drivespan.operators import decode as dc, evaluation as ev, features as ft, islands, quality as ql, rules as ru, sites as st, stats as ss, timegrid as tg
+from drivespan.operators import decode as dc, evaluation as ev, features as ft, islands, quality as ql, rules as ru, sites as st, stats as ss, timegrid as tg, panels as pn
 from drivespan.operators.joins import near_pairs
 
 DT = 0.05
@@ -157,7 +157,7 @@ def test_two_way_effects_against_dummies(spark):
     m = np.column_stack([x, *[(a == i) * 1.0 for i in range(6)], *[(b == i) * 1.0 for i in range(1, 5)]])
     want = np.linalg.lstsq(m, y, rcond=None)[0][0]
     df = spark.createDataFrame([(int(p), int(q), float(u), float(v)) for p, q, u, v in zip(a, b, x, y)], "a long, b long, x double, y double")
-    assert abs(ss.two_way_slope(df, "a", "b", "x", "y").first().slope - want) < 1e-6
+    assert abs(pn.two_way_slope(df, "a", "b", "x", "y").first().slope - want) < 1e-6
     three = ss.fit_with_r2(df.withColumn("one", F.lit(1.0)).withColumn("k", F.lit(0)), ["k"], ["one", "x", "a"], "y").first()
     assert np.allclose([three.b_0, three.b_1, three.b_2], np.linalg.lstsq(np.column_stack([np.ones(300), x, a]), y, rcond=None)[0])
 
