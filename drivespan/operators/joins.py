@@ -33,8 +33,8 @@ def asof(left: DataFrame, right: DataFrame, key: str, t: str, value: str, direct
     return got.select(*cols, F.col("__p.v").alias(out), F.col("__p.t").alias(f"{out}_t"))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: float, how: str = "inner", pad: float = 0.0) -> DataFrame:
-    """a's rows (key, a_start, a_end, ...) with b's (key, b_start, b_end, ...) that overlap them, ends included, a widened by pad on both sides.
+def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: float, how: str = "inner", pad: float | Column = 0.0) -> DataFrame:
+    """a's rows (key, a_start, a_end, ...) with b's (key, b_start, b_end, ...) that overlap them, ends included, a widened by pad (a number, or a column of a) on both sides.
 
     Both sides are dealt to time buckets that they touch and joined on (key, bucket); a pair counts in the first bucket that it shares,
     so none is given twice. Inner and left joins, and left_semi and left_anti, are known. Rows of a are told by all their columns, nulls included; equal

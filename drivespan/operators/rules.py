@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivespan.operators.joins import overlap_join
 from drivespan.operators.timegrid import by, dilate
+from drivespan.sources.scratch import checkpointed
 
 DEFERRED = ("cooccurrence", "sequence")
 FIELDS = ["event_type", "label", "feature", "op", "threshold", "t_start", "t_end", "duration_s", "peak_value", "exceedance", "stage", "weight", "gate", "rule"]
@@ -46,8 +47,7 @@ def skipped(columns: list[str], rules: dict[str, dict], max_stage: int = 2) -> l
         if int(r.get("stage", 1)) > max_stage:
             out.append((name, "stage"))
         elif r["op"] in DEFERRED:
-            named = [r["base"], *r.get("require_any", [])] if r["op"] == "cooccurrence" else [*_list(r["first"]), *_list(r["then"])]
-            if lost := sorted({n for n in named if n not in rules}):
+            if lost := sorted({n for n in _named(r) if n not in rules}):
                 out.append((name, "unknown_event:" + ",".join(lost)))
         elif lost := sorted({f for f in [r["feature"], *(c["feature"] for c in r.get("conditions", []))] if f not in columns}):
             out.append((name, "missing_feature:" + ",".join(lost)))
@@ -117,60 +117,86 @@ def _immediate(df: DataFrame, rules: dict[str, dict], block: str, t: str, step:
     return spans.select(block, *(peak.alias("peak_value") if c == "peak_value" else over.alias("exceedance") if c == "exceedance" else F.col(c) for c in FIELDS))
 
 
-def _event(block: str, name: str, r: dict, feature: Column, threshold: float, peak: Column, over: Column, said: Column) -> list[Column]:
-    lit = {"event_type": name, "label": r.get("label", name), "op": r["op"], "threshold": float(threshold), "stage": int(r.get("stage", 1)), "weight": float(r.get("weight", 1.0)), "gate": ""}
-    made = {"feature": feature, "duration_s": F.col("t_end") - F.col("t_start"), "peak_value": peak, "exceedance": over, "rule": said}
-    return [F.col(block), *(F.lit(lit[c]).alias(c) if c in lit else made[c].alias(c) if c in made else F.col(c) for c in FIELDS)]
+def _meta(rules: dict[str, dict], extra: dict[str, callable]) -> Column:
+    """An array with a struct for each rule: what its events say of it, and what `extra` makes of the rule."""
+    own = lambda n, r: {"event_type": n, "label": r.get("label", n), "op": r["op"], "stage": int(r.get("stage", 1)), "weight": float(r.get("weight", 1.0)), "gate": ""}
+    return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in own(n, r).items()), *(F.lit(f(r)).alias(k) for k, f in extra.items())) for n, r in rules.items()))
 
 
-def cooccurrence(events: DataFrame, name: str, r: dict, block: str, bucket: float) -> DataFrame:
-    """Base events that overlap at least min_count other types within +-window_s. The base event's own span is kept."""
-    k = int(r.get("min_count", 1))
-    a = events.filter(F.col("event_type") == r["base"]).select(block, F.col("t_start").alias("a_start"), F.col("t_end").alias("a_end"))
-    b = events.filter(F.col("event_type").isin(list(r.get("require_any") or []))).select(block, F.col("event_type").alias("b_type"), F.col("t_start").alias("b_start"), F.col("t_end").alias("b_end"))
-    hits = overlap_join(a, b, block, bucket, pad=float(r.get("window_s", 0.0))).groupBy(block, F.col("a_start").alias("t_start"), F.col("a_end").alias("t_end")).agg(F.array_sort(F.collect_set("b_type")).alias("types"))
-    hits = hits.withColumn("n", F.size("types").cast("double")).filter(F.col("n") >= k)
-    return hits.select(*_event(block, name, r, F.lit(r["base"]), k, F.col("n"), F.col("n") - k, F.concat(F.lit(f"{r['base']} with "), F.array_join("types", "/"))))
+def cooccurrence(events: DataFrame, rules: dict[str, dict], block: str, bucket: float) -> DataFrame:
+    """For each rule, base events that overlap at least min_count other types within +-window_s. The base event's own span is kept. One join serves all rules."""
+    wanted = {"base": lambda r: r["base"], "types": lambda r: list(r.get("require_any") or [""]), "window": lambda r: float(r.get("window_s", 0.0)), "least": lambda r: float(r.get("min_count", 1))}
+    spans = events.select(block, F.col("event_type").alias("type"), "t_start", "t_end")
+    a = spans.select(block, F.col("t_start").alias("a_start"), F.col("t_end").alias("a_end"), F.explode(F.filter(_meta(rules, wanted), lambda m: m["base"] == F.col("type"))).alias("m")).distinct()
+    b = spans.filter(F.col("type").isin(sorted({t for r in rules.values() for t in r.get("require_any") or []}))).select(block, F.col("type").alias("b_type"), F.col("t_start").alias("b_start"), F.col("t_end").alias("b_end"))
+    met = overlap_join(a, b, block, bucket, pad=F.col("m.window")).filter(F.array_contains("m.types", F.col("b_type")))
+    hits = met.groupBy(block, F.col("a_start").alias("t_start"), F.col("a_end").alias("t_end"), "m").agg(F.array_sort(F.collect_set("b_type")).alias("types")).withColumn("n", F.size("types").cast("double")).filter("n >= m.least")
+    made = {"feature": F.col("m.base"), "threshold": F.col("m.least"), "duration_s": F.col("t_end") - F.col("t_start"), "peak_value": F.col("n"), "exceedance": F.col("n") - F.col("m.least"), "rule": F.concat(F.col("m.base"), F.lit(" with "), F.array_join("types", "/"))}
+    return hits.select(block, *(made[c].alias(c) if c in made else F.col(c) if c in hits.columns else F.col(f"m.{c}") for c in FIELDS))
 
 
-def sequence(events: DataFrame, name: str, r: dict, block: str) -> DataFrame:
-    """A first event and the next unused then event whose start lies min_gap_s to max_gap_s after its end, greedily in order of time.
+def sequence(events: DataFrame, rules: dict[str, dict], block: str) -> DataFrame:
+    """For each rule, a first event and the next unused then event whose start lies min_gap_s to max_gap_s after its end, greedily in order of time.
 
     The fold runs inside stretches without a pause of more than max_gap_s, so a long block is never one array.
     """
-    lo, hi = float(r.get("min_gap_s", 0.0)), float(r.get("max_gap_s", 0.0))
-    own = events.filter(F.col("event_type").isin([*_list(r["first"]), *_list(r["then"])])).select(block, "event_type", "t_start", "t_end")
-    w = Window.partitionBy(block).orderBy("t_start", "t_end", "event_type")
+    wanted = {"first": lambda r: _list(r["first"]), "then": lambda r: _list(r["then"]), "lo": lambda r: float(r.get("min_gap_s", 0.0)), "hi": lambda r: float(r.get("max_gap_s", 0.0))}
+    own = events.select(block, F.col("event_type").alias("type"), "t_start", "t_end", F.explode(_meta(rules, wanted)).alias("m"))
+    own = own.filter(F.array_contains("m.first", F.col("type")) | F.array_contains("m.then", F.col("type")))
+    w = Window.partitionBy(block, "m.event_type").orderBy("t_start", "t_end", "type")
     latest = F.max("t_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    own = own.withColumn("__new", F.when(F.col("t_start") - latest <= hi, 0).otherwise(1)).withColumn("part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct("t_start", "t_end", "event_type")
-    pick = lambda types: F.array_sort(F.collect_list(F.when(F.col("event_type").isin(types), item)))
-    parts = own.groupBy(block, "part").agg(pick(_list(r["first"])).alias("a"), pick(_list(r["then"])).alias("b")).filter("size(a) > 0 and size(b) > 0")
-    parts = parts.withColumn("b", F.transform("b", lambda x, i: F.struct(i.alias("i"), x["t_start"].alias("s"), x["t_end"].alias("e"), x["event_type"].alias("k"))))
+    own = own.withColumn("__new", F.when(F.col("t_start") - latest <= F.col("m.hi"), 0).otherwise(1)).withColumn("part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct("t_start", "t_end", "type")
+    pick = lambda side: F.array_sort(F.collect_list(F.when(F.array_contains(f"m.{side}", F.col("type")), item)))
+    parts = own.groupBy(block, "m", "part").agg(pick("first").alias("a"), pick("then").alias("b")).filter("size(a) > 0 and size(b) > 0")
+    parts = parts.withColumn("b", F.transform("b", lambda x, i: F.struct(i.alias("i"), x["t_start"].alias("s"), x["t_end"].alias("e"), x["type"].alias("k"))))
     kind = "array<struct<t_start:double,a_end:double,a_type:string,b_start:double,t_end:double,b_type:string,i:int>>"
 
     def step(acc: Column, a: Column) -> Column:
-        free = F.filter("b", lambda b: (b["s"] - a["t_end"] >= lo) & (b["s"] - a["t_end"] <= hi) & ~F.exists(acc, lambda u: u["i"] == b["i"]))
+        gap = lambda b: b["s"] - a["t_end"]
+        free = F.filter("b", lambda b: (gap(b) >= F.col("m.lo")) & (gap(b) <= F.col("m.hi")) & ~F.exists(acc, lambda u: u["i"] == b["i"]))
         b = F.get(free, F.lit(0))
-        made = F.struct(a["t_start"].alias("t_start"), a["t_end"].alias("a_end"), a["event_type"].alias("a_type"), b["s"].alias("b_start"), b["e"].alias("t_end"), b["k"].alias("b_type"), b["i"].alias("i"))
+        made = F.struct(a["t_start"].alias("t_start"), a["t_end"].alias("a_end"), a["type"].alias("a_type"), b["s"].alias("b_start"), b["e"].alias("t_end"), b["k"].alias("b_type"), b["i"].alias("i"))
         return F.when(F.size(free) > 0, F.concat(acc, F.array(made))).otherwise(acc)
 
-    met = parts.select(block, F.inline(F.aggregate("a", F.array().cast(kind), step))).withColumn("gap", F.col("b_start") - F.col("a_end"))
-    return met.select(*_event(block, name, r, F.col("a_type"), hi, F.col("gap"), F.greatest(F.lit(hi) - F.col("gap"), F.lit(0.0)), F.concat_ws(" ", "b_type", F.lit("after"), "a_type")))
+    met = parts.select(block, "m", F.inline(F.aggregate("a", F.array().cast(kind), step))).withColumn("gap", F.col("b_start") - F.col("a_end"))
+    made = {"feature": F.col("a_type"), "threshold": F.col("m.hi"), "duration_s": F.col("t_end") - F.col("t_start"), "peak_value": F.col("gap"), "exceedance": F.greatest(F.col("m.hi") - F.col("gap"), F.lit(0.0)), "rule": F.concat_ws(" ", "b_type", F.lit("after"), "a_type")}
+    return met.select(block, *(made[c].alias(c) if c in made else F.col(c) if c in met.columns else F.col(f"m.{c}") for c in FIELDS))
+
+
+def _named(r: dict) -> list[str]:
+    """The event types that a deferred rule looks at."""
+    return [r["base"], *(r.get("require_any") or [])] if r["op"] == "cooccurrence" else [*_list(r["first"]), *_list(r["then"])]
+
+
+def levels(rules: dict[str, dict]) -> list[dict[str, dict]]:
+    """Deferred rules in rounds: a rule comes after those given before it whose events it looks at."""
+    at: dict[str, int] = {}
+    for n, r in rules.items():
+        at[n] = 1 + max((at[k] for k in _named(r) if k in at), default=-1)
+    return [{n: r for n, r in rules.items() if at[n] == k} for k in range(max(at.values(), default=-1) + 1)]
 
 
 def detect(df: DataFrame, rules: dict[str, dict], block: str = "drive", t: str = "t", step: float = 0.05, max_stage: int = 2, bucket: float = 60.0) -> DataFrame:
-    """All events (block, *FIELDS) of a rule set. Deferred rules run in the order they are given in and see earlier deferred ones' events; skipped() tells which rules can't be judged."""
+    """All events (block, *FIELDS) of a rule set. Deferred rules see the events of those given before them; skipped() tells which rules can't be judged.
+
+    Where there are deferred rules, the immediate events are found once and kept; each round of deferred rules is then one join, and one ordering, over the events so far. A rule set that
+    judges nothing gives an empty table of the same columns.
+    """
     left_out = {n for n, _ in skipped(df.columns, rules, max_stage)} | {n for n, r in rules.items() if not r.get("enabled", True)}
     live = {n: r for n, r in rules.items() if n not in left_out}
     events = _immediate(df, {n: r for n, r in live.items() if r["op"] not in DEFERRED}, block, t, step)
     if events is None:
-        return df.sparkSession.createDataFrame([], "block string")
-    for n, r in live.items():
-        if r["op"] == "cooccurrence":
-            events = events.unionByName(cooccurrence(events, n, r, block, bucket))
-        elif r["op"] == "sequence":
-            events = events.unionByName(sequence(events, n, r, block))
+        kinds = {"stage": "int"} | dict.fromkeys(("threshold", "t_start", "t_end", "duration_s", "peak_value", "exceedance", "weight"), "double")
+        return df.select(block, *(F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in FIELDS)).limit(0)
+    rounds = levels({n: r for n, r in live.items() if r["op"] in DEFERRED})
+    if rounds:
+        events = checkpointed(events)
+    for k, own in enumerate(rounds):
+        found = [f({n: r for n, r in own.items() if r["op"] == op}) for op, f in (("cooccurrence", lambda x: cooccurrence(events, x, block, bucket)), ("sequence", lambda x: sequence(events, x, block))) if any(r["op"] == op for r in own.values())]  # noqa: B023
+        events = reduce(DataFrame.unionByName, found, events)
+        if k + 1 < len(rounds):
+            events = checkpointed(events)
     return events
 
 

@@ -11,7 +11,7 @@ from drivespan.plans.detect import _BRAKE, _events
 
 
 def _brakes(spark, sf):
-    e = _events(spark, sf).filter("event_type = 'hard_brake'")
+    e = _events(spark, sf, "hard_brake")
     return e.select("drive", F.concat_ws(":", "drive", F.round(F.col("t_start") * 20).cast("long")).alias("id"), "t_start", "t_end")
 
 

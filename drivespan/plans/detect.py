@@ -73,8 +73,9 @@ RULES = {
 }
 
 
-def _events(spark, sf):
-    return ru.detect(ticks(spark, sf), RULES)
+def _events(spark, sf, *names):
+    """The events of the rule set, or of the named rules of it."""
+    return ru.detect(ticks(spark, sf), {n: RULES[n] for n in names or RULES})
 
 
 def _islands(name: str, mask: str, gap: float, least: float, peak: str, over: str) -> str:
@@ -94,13 +95,13 @@ def _rounded(df):
 
 @query(f"WITH {TICKS}, {_BRAKE}, {_LATERAL}, {_ACCEL} SELECT {_OUT} FROM (FROM hard_brake UNION ALL FROM side_pull UNION ALL FROM hard_accel)")
 def threshold_events(spark, sf):
-    return _rounded(_events(spark, sf).filter(F.col("event_type").isin("hard_brake", "side_pull", "hard_accel")))
+    return _rounded(_events(spark, sf, "hard_brake", "side_pull", "hard_accel"))
 
 
 @query(f"""WITH {TICKS}, e AS (SELECT *, abs_flag > 0.5 AS high, lag(abs_flag > 0.5) OVER (PARTITION BY drive ORDER BY tick) AS before FROM ticks), r AS (SELECT *, sum(CASE WHEN high AND before IS DISTINCT FROM true THEN 1 ELSE 0 END) OVER (PARTITION BY drive ORDER BY tick) AS run FROM e)
 SELECT drive, 'abs_active' AS event_type, round(min(t), 6) AS t_start, round(max(t), 6) AS t_end, 1.0 :: DOUBLE AS peak_value, 1.0 :: DOUBLE AS exceedance FROM r WHERE high GROUP BY drive, run HAVING min(tick) > 0""")
 def rising_events(spark, sf):
-    return _rounded(_events(spark, sf).filter("event_type = 'abs_active'"))
+    return _rounded(_events(spark, sf, "abs_active"))
 
 
 _AGREE = """ag_m AS (SELECT *, coalesce(bool_or(abs(steer_deg) > 60) OVER x, false) AND coalesce(bool_or(abs(yaw_dps) > 12) OVER x, false) AS m FROM ticks WINDOW x AS (PARTITION BY drive ORDER BY tick ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
@@ -110,20 +111,20 @@ agree AS (SELECT s.drive, 'agree' AS event_type, s.t_start, s.t_end, arg_max(k.s
 
 @query(f"WITH {TICKS}, {_AGREE} SELECT {_OUT} FROM agree")
 def agreement_events(spark, sf):
-    return _rounded(_events(spark, sf).filter("event_type = 'agree'"))
+    return _rounded(_events(spark, sf, "agree"))
 
 
 @query(f"""WITH {TICKS}, {_BRAKE}, {_LATERAL}, {_ACCEL}, {_AGREE}, o AS (SELECT drive, event_type AS b_type, t_start AS s, t_end AS e FROM hard_brake UNION ALL SELECT drive, event_type, t_start, t_end FROM hard_accel UNION ALL SELECT drive, event_type, t_start, t_end FROM agree),
 j AS (SELECT b.drive, b.t_start, b.t_end, count(DISTINCT o.b_type) AS n FROM side_pull b JOIN o ON o.drive = b.drive AND o.s <= b.t_end + 0.2 AND o.e >= b.t_start - 0.2 GROUP BY b.drive, b.t_start, b.t_end)
 SELECT drive, 'pull_and_more' AS event_type, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, n :: DOUBLE AS peak_value, n - 1.0 :: DOUBLE AS exceedance FROM j""")
 def cooccurrence_events(spark, sf):
-    return _rounded(_events(spark, sf).filter("event_type = 'pull_and_more'"))
+    return _rounded(_events(spark, sf, "hard_brake", "side_pull", "hard_accel", "agree", "pull_and_more").filter("event_type = 'pull_and_more'"))
 
 
 @query()
 def sequence_events(spark, sf):
     """The greedy matching of a first and a then event, compared by tests with a loop."""
-    return _rounded(_events(spark, sf).filter("event_type = 'turn_then_brake'"))
+    return _rounded(_events(spark, sf, "hard_brake", "side_pull", "agree", "turn_then_brake").filter("event_type = 'turn_then_brake'"))
 
 
 @query()
@@ -149,7 +150,7 @@ cand AS (SELECT drive, g, greatest(min(s), t0) AS t_start, least(max(e), t1) AS
 
 def _candidates(spark, sf):
     t = ticks(spark, sf)
-    ev = _events(spark, sf).filter(F.col("event_type").isin("hard_brake", "side_pull", "hard_accel"))
+    ev = _events(spark, sf, "hard_brake", "side_pull", "hard_accel")
     return cd.build(ev, t.groupBy("drive").agg(F.min("t").alias("t0"), F.max("t").alias("t1")), "drive", SCORING)
 
 
@@ -172,7 +173,7 @@ def candidate_priority(spark, sf):
 
 @query(f"WITH {TICKS}, {_BRAKE}, {_LATERAL}, {_ACCEL}, {_THREE} SELECT a.event_type AS a, b.event_type AS b, count(DISTINCT (a.drive, a.t_start, a.t_end)) AS n FROM ev a JOIN ev b ON a.drive = b.drive AND a.event_type <> b.event_type AND b.t_start <= a.t_end + 0.2 AND b.t_end >= a.t_start - 0.2 GROUP BY 1, 2")
 def event_pair_counts(spark, sf):
-    return cd.pair_counts(_events(spark, sf).filter(F.col("event_type").isin("hard_brake", "side_pull", "hard_accel")), "drive", 0.2, 1.0)
+    return cd.pair_counts(_events(spark, sf, "hard_brake", "side_pull", "hard_accel"), "drive", 0.2, 1.0)
 
 
 @query(f"""WITH {TICKS}, {_CAND}, h AS (SELECT *, severity > 3 AS big, n_events >= 2 AND (severity > 2 OR t_end - t_start > 1.2) AS many FROM cand)
@@ -204,7 +205,7 @@ def top_per_case(spark, sf):
 @query(f"""WITH {TICKS}, {_CAND}, rare AS (SELECT event_type, count(*) AS n FROM ev GROUP BY event_type), m AS (SELECT c.drive, c.t_start, min(ROW(r.n, e.t_start, e.event_type, (e.t_start + e.t_end) / 2)) AS b FROM cand c JOIN ev e ON e.drive = c.drive AND e.t_start <= c.t_end AND e.t_end >= c.t_start JOIN rare r ON r.event_type = e.event_type GROUP BY c.drive, c.g, c.t_start)
 SELECT drive, round(t_start, 6) AS t_start, round(b[4], 6) AS focus, b[3] AS focus_type FROM m""")
 def focus_points(spark, sf):
-    ev = _events(spark, sf).filter(F.col("event_type").isin("hard_brake", "side_pull", "hard_accel"))
+    ev = _events(spark, sf, "hard_brake", "side_pull", "hard_accel")
     c = _candidates(spark, sf)
     return cd.focus_points(ev, c, "drive", 1.0).join(c.select("drive", "group", "t_start"), ["drive", "group"]).select("drive", F.round("t_start", 6).alias("t_start"), F.round("focus", 6).alias("focus"), "focus_type")
 

@@ -83,7 +83,7 @@ def test_sequence_is_greedy_and_uses_each_second_once(spark):
                     want.append((d, round(a[2], 6), round(b[3], 6)))
                     break
     df = spark.createDataFrame(ev_, "drive long, event_type string, t_start double, t_end double")
-    got = ru.sequence(df, "s", rule, "drive").collect()
+    got = ru.sequence(df, {"s": rule}, "drive").collect()
     assert sorted((r.drive, round(r.t_start, 6), round(r.t_end, 6)) for r in got) == sorted(want)
 
 
