@@ -54,19 +54,6 @@ def thresholds_at(df: DataFrame, x: str, rates: list[float]) -> DataFrame:
     return got.select(F.posexplode("q").alias("i", "threshold")).select(F.element_at(F.array(*(F.lit(r) for r in rates)), F.col("i") + 1).alias("rate"), "threshold")
 
 
-def solve_for_rate(df: DataFrame, score: Column, rate: float, low: float, high: float, bins: int = 1000) -> float:
-    """The least threshold, on a grid of bins from low to high, at which at most `rate` of the rows pass. One histogram of `bins` rows comes to the driver."""
-    width = (high - low) / bins
-    hist = df.select(F.least(F.greatest(F.floor((score - low) / width), F.lit(0)), F.lit(bins - 1)).alias("b")).groupBy("b").count().collect()
-    count = {r.b: r["count"] for r in hist if r.b is not None}
-    total, above = sum(r["count"] for r in hist), 0
-    for b in reversed(range(bins)):
-        above += count.get(b, 0)
-        if above > rate * total:
-            return low + (b + 1) * width
-    return low
-
-
 def condition_grid(df: DataFrame, features: dict[str, list[float]], positive: Column) -> DataFrame:
     """(feature thresholds ..., n, hits): every combination of one threshold a feature, each feature >= its threshold. The grid is a small broadcast table."""
     names = list(features)

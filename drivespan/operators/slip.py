@@ -134,10 +134,10 @@ def direct_slip(df: DataFrame, block: str, t: str, dt: float, pad_rows: int = 5,
     return spans.select(block, "t_start", "t_end", grade.alias("grade"), "n_direct", evidence.alias("evidence"), F.array_join("pairs", "|").alias("corroboration"), F.array_join("mech", "|").alias("mechanisms"), "v_at_peak", "v_max")
 
 
-def by_grade(events: DataFrame, order: list[Column]) -> DataFrame:
-    """events in order of grade, best first."""
-    rank = F.array_position(F.lit(GRADES), F.col("grade"))
-    return events.orderBy(F.when(rank == 0, 99).otherwise(rank), *order)
+def grade_rank(grade: Column) -> Column:
+    """The grade's place from 1, best first; unknown grades come last."""
+    rank = F.array_position(F.lit(GRADES), grade)
+    return F.when(rank == 0, 99).otherwise(rank)
 
 
 def branch_overlap(a: DataFrame, b: DataFrame, key: str, bucket: float) -> DataFrame:
