@@ -16,8 +16,10 @@ from drivespan.sources.scratch import checkpointed
 
 def around(events: DataFrame, rows: DataFrame, key: str, t: str, peak: str, before: float, after: float, bucket: float) -> DataFrame:
     """rows within [peak - before, peak + after] of an event (key, id, peak), with id and dt, the seconds since the peak."""
-    spans = events.select(key, "id", F.col(peak).alias("__peak"), (F.col(peak) - before).alias("b_start"), (F.col(peak) + after).alias("b_end"))
-    return points_in(rows, spans, key, t, bucket).withColumn("dt", F.round(F.col(t) - F.col("__peak"), 9)).drop("b_start", "b_end", "__peak")
+    # dt is rounded, so that rows at the ends count whatever their times' last digits
+    spans = events.select(key, "id", F.col(peak).alias("__peak"), (F.col(peak) - before - 1e-6).alias("b_start"), (F.col(peak) + after + 1e-6).alias("b_end"))
+    near = points_in(rows, spans, key, t, bucket).withColumn("dt", F.round(F.col(t) - F.col("__peak"), 9)).drop("b_start", "b_end", "__peak")
+    return near.filter(F.col("dt").between(-before, after))
 
 
 def swings(near: DataFrame, x: str, frac: float) -> DataFrame:

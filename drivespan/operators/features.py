@@ -144,7 +144,7 @@ def lane_changes(df: DataFrame, block: str, t: str, dt: float, enter: float = 2.
 def chains(l: DataFrame, block: str, gap: float) -> DataFrame:
     """Lobes with `chain`: neighbours of opposite sign at most gap apart share one."""
     w = Window.partitionBy(block).orderBy("t_start")
-    new = F.when((F.signum("area") != F.signum(F.lag("area").over(w))) & (F.col("t_start") - F.lag("t_end").over(w) <= gap), 0).otherwise(1)
+    new = F.when((F.col("sign") != F.lag("sign").over(w)) & (F.col("t_start") - F.lag("t_end").over(w) <= gap), 0).otherwise(1)
     return l.withColumn("__new", new).withColumn("chain", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
