@@ -143,3 +143,11 @@ def stream_drives(spark, sf):
     s = _stream(spark, sf).withColumnRenamed("user_id", "drive")
     out = jobs.run_to_table(jobs.completed_drives(s, "drive", "ts", "12 hours", "1 hour"), "complete")
     return out.select("drive", F.round(F.unix_micros("start") / 1e6, 4).alias("t_start"), F.round(F.unix_micros("end") / 1e6, 4).alias("t_end"), "segments")
+
+
+@query("SELECT user_id AS device, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS drive, round(min(epoch_us(ts)) / 1e6, 4) AS t_start, round(max(epoch_us(ts)) / 1e6, 4) AS t_end, count(*) AS segments FROM events GROUP BY 1, 2")
+def stream_next_drives(spark, sf):
+    """A device's drives, each let go when the next one has begun, with a last flush: days stand for drives."""
+    s = _stream(spark, sf).withColumn("drive", F.floor(F.unix_micros("ts") / 86400e6))
+    out = jobs.run_all_drives(s, "user_id", "drive", "ts", "2 hours")
+    return out.select("device", "drive", F.round("t_start", 4).alias("t_start"), F.round("t_end", 4).alias("t_end"), "segments")

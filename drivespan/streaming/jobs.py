@@ -53,8 +53,59 @@ def completed_drives(stream: DataFrame, key: str, ts: str, pause: str, late: str
     return stream.withWatermark(ts, late).groupBy(key, s.alias("s")).agg(F.count("*").alias("segments")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "segments")
 
 
+#: What is kept of a device's drives that are not complete.
+PENDING = "drives array<long>, firsts array<double>, lasts array<double>, segments array<long>"
+DRIVES = "device long, drive long, t_start double, t_end double, segments long"
+
+
+def drives_by_next(stream: DataFrame, device: str, drive: str, ts: str, late: str) -> DataFrame:
+    """(device, drive, t_start, t_end, segments) of each drive once its device's next one has begun and rows from before that can no longer come.
+
+    A device's drives must not interleave. Rows may come in any order within `late` of the newest; their drives are kept as four numbers each until an event-time timer, set to
+    the next drive's begin, lets them go. A device's last drive has no next one: last_drives() gives what is left.
+    """
+
+    def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {int(d): [float(a), float(b), int(n)] for d, a, b, n in zip(*state.get, strict=True)} if state.exists else {}
+        for pdf in batches:
+            for d, g in pdf.groupby("drive")["t"]:
+                a, b, n = held.get(int(d), (float("inf"), float("-inf"), 0))
+                held[int(d)] = [min(a, float(g.min())), max(b, float(g.max())), n + len(g)]
+        now = state.getCurrentWatermarkMs() / 1000
+        starts = sorted(a for a, _, _ in held.values())
+        follows = {d: next((s for s in starts if s > b), None) for d, (_, b, _) in held.items()}
+        done = sorted(d for d, s in follows.items() if s is not None and s <= now)
+        out = pd.DataFrame([(who[0], d, *held.pop(d)) for d in done], columns=["device", "drive", "t_start", "t_end", "segments"])
+        state.update(tuple(list(x) for x in zip(*((d, *v) for d, v in sorted(held.items())), strict=True)) or ([], [], [], []))
+        waits = [s for d, s in follows.items() if d in held and s is not None]
+        if waits:
+            state.setTimeoutTimestamp(int(min(waits) * 1000) + 1)
+        yield out.astype({"device": "int64", "drive": "int64", "t_start": float, "t_end": float, "segments": "int64"})
+
+    rows = stream.withWatermark(ts, late).select(F.col(device).cast("long").alias("device"), F.col(drive).cast("long").alias("drive"), F.col(ts), (F.unix_micros(ts) / 1e6).alias("t"))
+    return rows.groupBy("device").applyInPandasWithState(step, DRIVES, PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def last_drives(spark: SparkSession, state: str) -> DataFrame:
+    """The drives that a stopped drives_by_next() still holds, from its state under the checkpoint folder."""
+    held = spark.read.format("statestore").load(state).select(F.col("key.device").alias("device"), "value.groupState.*")
+    each = F.arrays_zip(F.col("drives").alias("drive"), F.col("firsts").alias("t_start"), F.col("lasts").alias("t_end"), "segments")
+    return held.select("device", F.inline(each)).toDF("device", "drive", "t_start", "t_end", "segments")
+
+
+def run_all_drives(stream: DataFrame, device: str, drive: str, ts: str, late: str) -> DataFrame:
+    """drives_by_next() over what is there now, and a last flush of what it still holds."""
+    out, state = run_with_state(drives_by_next(stream, device, drive, ts, late), "append")
+    return out.unionByName(last_drives(stream.sparkSession, state))
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there now and gives its result table; complete results replace each other, appended ones add up."""
+    return run_with_state(stream, mode)[0]
+
+
+def run_with_state(stream: DataFrame, mode: str) -> tuple[DataFrame, str]:
+    """As run_to_table(), with the folder of the stream's state."""
     spark = stream.sparkSession
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     write = "overwrite" if mode == "complete" else "append"
@@ -64,4 +115,4 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out"), f"{base}/state"
