@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from drivespan.sources.scratch import checkpointed
+
+#: Cells with more pairs than this are taken in blocks of two slots of about SLOT points each.
+MANY_PAIRS, SLOT = 1 << 18, 1024
+
 
 def asof(left: DataFrame, right: DataFrame, key: str, t: str, value: str, direction: str = "backward", tolerance: float | None = None, out: str = "matched") -> DataFrame:
     """left with the value and time of right's row before (or nearest to) each time: columns out and out + "_t".
@@ -81,3 +89,41 @@ def near_pairs(a: DataFrame, b: DataFrame, x: str, y: str, radius: float) -> Dat
     q = b.select(F.inline(around), *(F.col(c).alias(f"b_{c}") for c in b.columns))
     dist = F.sqrt((F.col(x) - F.col(f"b_{x}")) ** 2 + (F.col(y) - F.col(f"b_{y}")) ** 2)
     return p.join(q, ["__cx", "__cy"]).withColumn("dist", dist).filter(F.col("dist") <= radius).drop("__cx", "__cy")
+
+
+def near_reduced(a: DataFrame, b: DataFrame, x: str, y: str, radius: float, native: Callable[[DataFrame], DataFrame], kernel: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, many: int | None = None, slot: int | None = None) -> DataFrame:
+    """What `native` makes of near_pairs(a, b), for cells whose points are too many to put in pairs by `kernel`; both give rows of `schema`, parts of one key among them, which the caller adds up.
+
+    In a cell of more than `many` pairs the points of either side are dealt to slots, and every two slots meet in one task, whose kernel(a's rows, b's rows, which are within the radius of which) gives what it finds. So no pair becomes a
+    row there, and a task holds two slots, however hot the cell.
+    """
+    many, slot = many or MANY_PAIRS, slot or SLOT
+    cell = lambda c: F.floor(c / radius)
+    p = a.withColumn("__cx", cell(F.col(x))).withColumn("__cy", cell(F.col(y)))
+    around = F.array(*(F.struct((cell(F.col(x)) + i).alias("__cx"), (cell(F.col(y)) + j).alias("__cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    q = b.select(F.inline(around), *b.columns)
+    at = ["__cx", "__cy"]
+    sizes = p.groupBy(*at).agg(F.count("*").alias("na")).join(q.groupBy(*at).agg(F.count("*").alias("nb")), at).filter(F.col("na") * F.col("nb") > many)
+    hot = checkpointed(sizes.select(*at, F.ceil(F.col("na") / slot).cast("int").alias("__ma"), F.ceil(F.col("nb") / slot).cast("int").alias("__mb")))
+    if hot.isEmpty():
+        return native(near_pairs(a, b, x, y, radius))
+    dist = F.sqrt((F.col(x) - F.col(f"b_{x}")) ** 2 + (F.col(y) - F.col(f"b_{y}")) ** 2)
+    cold = p.join(hot, at, "left_anti").join(q.select(*at, *(F.col(c).alias(f"b_{c}") for c in b.columns)), at).withColumn("dist", dist).filter(F.col("dist") <= radius).drop(*at)
+    own = lambda n, of: F.pmod(F.xxhash64(*(F.col(c) for c in of)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = p.join(hot, at).select(*at, own("__ma", a.columns).alias("__i"), every("__mb").alias("__j"), *a.columns)
+    right = q.join(hot, at).select(*at, every("__ma").alias("__i"), own("__mb", b.columns).alias("__j"), *(F.col(c).alias(c) for c in b.columns))  # columns of their own, where a and b are one table
+
+    def block(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        u, v = u.reset_index(drop=True), v.reset_index(drop=True)
+        near = (u[x].to_numpy()[:, None] - v[x].to_numpy()[None, :]) ** 2 + (u[y].to_numpy()[:, None] - v[y].to_numpy()[None, :]) ** 2 <= radius * radius
+        return kernel(u, v, near)
+
+    keys = [*at, "__i", "__j"]
+    return native(cold).unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, schema))
+
+
+def turned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """heading_difference() of every a and every b."""
+    d = np.abs(np.mod(a[:, None] - b[None, :], 360.0))
+    return np.minimum(d, 360.0 - d)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from drivespan.operators.joins import heading_difference, near_pairs
+from drivespan.operators.joins import heading_difference, near_pairs, near_reduced, turned
 from drivespan.sources.scratch import checkpointed
 
 
@@ -30,32 +32,61 @@ def baseline_ratio(df: DataFrame, base: DataFrame, v: str, x: str, width: float,
     return own.join(F.broadcast(full), "bin").withColumn("ratio", F.col(x) / F.nullif("__base", F.lit(0.0))).drop("bin", "__base")
 
 
+def _drive_rows(u: pd.DataFrame, v: pd.DataFrame, near: np.ndarray, drive: str, value: str | None = None) -> pd.DataFrame:
+    """(id, other) for each of u and each other drive of v that has a near row, and the greatest value of those rows."""
+    codes, names = pd.factorize(v[drive])
+    i, j = np.nonzero(near & (u[drive].to_numpy()[:, None] != v[drive].to_numpy()[None, :]))
+    key, place = np.unique(i * len(names) + codes[j], return_inverse=True)
+    out = pd.DataFrame({"id": u["id"].to_numpy()[key // max(len(names), 1)], "other": np.asarray(names)[key % max(len(names), 1)]})
+    if value:
+        best = np.full(len(key), -np.inf)
+        np.maximum.at(best, place, v[value].to_numpy(float)[j])
+        out["m"] = best
+    return out
+
+
 def repeats(events: DataFrame, x: str, y: str, heading: str, drive: str, radius: float, turn: float) -> DataFrame:
     """(id, drives): how many other drives have an event within the radius and about the same heading."""
-    near = near_pairs(events, events, x, y, radius).filter(F.col(drive) != F.col(f"b_{drive}")).filter(heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn)
-    n = near.groupBy("id").agg(F.count_distinct(f"b_{drive}").alias("drives"))
+    own = events.select("id", x, y, heading, drive)
+    kinds = dict(own.dtypes)
+    native = lambda pairs: pairs.filter(F.col(drive) != F.col(f"b_{drive}")).filter(heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn).select("id", F.col(f"b_{drive}").alias("other")).distinct()
+    kernel = lambda u, v, near: _drive_rows(u, v, near & (turned(u[heading].to_numpy(), v[heading].to_numpy()) <= turn), drive)
+    met = near_reduced(own, own, x, y, radius, native, kernel, f"id {kinds['id']}, other {kinds[drive]}")
+    n = met.groupBy("id").agg(F.count_distinct("other").alias("drives"))
     return events.select("id").join(n, "id", "left").select("id", F.coalesce("drives", F.lit(0)).alias("drives"))
 
 
-def assign_sites(points: DataFrame, x: str, y: str, heading: str, strength: str, radius: float, turn: float, most_rounds: int = 100) -> DataFrame:
+def assign_sites(points: DataFrame, x: str, y: str, heading: str, strength: str, radius: float, turn: float, most_rounds: int = 200) -> DataFrame:
     """(id, site): greedy strongest-first seeding. The strongest free point becomes a site and takes every free point within radius and heading; ties go to the smaller id.
 
-    The loop over points is replaced by rounds that fix all points at once whose place is certain: a seed has no stronger undecided neighbour
-    and is not covered by a seed; a covered point joins its strongest covering seed. Rounds are checkpointed; pairs come from cells.
+    The loop over points is replaced by rounds: every free point without a stronger free neighbour is a seed, and what lies near a seed is free no longer. At the end each point joins its strongest
+    covering seed. Rounds are checkpointed. Seeds lie apart, so few meet a point; free neighbours are only asked whether there is one.
     """
-    near = near_pairs(points, points, x, y, radius).filter(F.col("id") != F.col("b_id")).filter(heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn)
-    before = (F.col(f"b_{strength}") > F.col(strength)) | ((F.col(f"b_{strength}") == F.col(strength)) & (F.col("b_id") < F.col("id")))
-    stronger = checkpointed(near.filter(before).select("id", F.col("b_id").alias("other"), F.col(f"b_{strength}").alias("s")))
-    state = checkpointed(points.select("id", F.lit(None).cast("boolean").alias("seed")))
+    kinds = dict(points.dtypes)
+    rows = points.select("id", x, y, heading, strength)
+    alike = heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn
+    stronger = (F.col(f"b_{strength}") > F.col(strength)) | ((F.col(f"b_{strength}") == F.col(strength)) & (F.col("b_id") < F.col("id")))
+
+    def kernel(u: pd.DataFrame, v: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
+        s, t = u[strength].to_numpy()[:, None], v[strength].to_numpy()[None, :]
+        before = (t > s) | ((t == s) & (v["id"].to_numpy()[None, :] < u["id"].to_numpy()[:, None]))
+        hit = (near & before & (turned(u[heading].to_numpy(), v[heading].to_numpy()) <= turn)).any(axis=1)
+        return pd.DataFrame({"id": u["id"].to_numpy()[hit]})
+
+    free, seeds = checkpointed(rows), None
     for _ in range(most_rounds):
-        met = stronger.join(state.select(F.col("id").alias("other"), F.col("seed").alias("o_seed")), "other").groupBy("id").agg(F.max(F.coalesce(F.col("o_seed"), F.lit(False)).cast("int")).alias("covered"), F.max(F.col("o_seed").isNull().cast("int")).alias("waits"))
-        state = checkpointed(state.join(met, "id", "left").select("id", F.coalesce("seed", F.when(F.col("covered") == 1, False).when(F.coalesce("waits", F.lit(0)) == 0, True)).alias("seed")))
-        if state.filter("seed is null").isEmpty():
+        waits = near_reduced(free, free, x, y, radius, lambda pairs: pairs.filter(alike & stronger).select("id").distinct(), kernel, f"id {kinds['id']}").distinct()
+        new = checkpointed(free.join(waits, "id", "left_anti"))
+        seeds = new if seeds is None else seeds.unionByName(new)
+        covered = near_pairs(free, new, x, y, radius).filter(alike).select("id").distinct()
+        free = checkpointed(free.join(covered, "id", "left_anti"))
+        if free.isEmpty():
             break
     else:
         raise RuntimeError("sites did not settle")
-    cover = stronger.join(state.filter("seed").select(F.col("id").alias("other")), "other").groupBy("id").agg(F.max_by("other", F.struct("s", -F.col("other"))).alias("site"))
-    return state.join(cover, "id", "left").select("id", F.when(F.col("seed"), F.col("id")).otherwise(F.col("site")).alias("site"))
+    cover = near_pairs(rows, seeds, x, y, radius).filter(alike & (stronger | (F.col("id") == F.col("b_id")))).groupBy("id").agg(F.max_by("b_id", F.struct(F.col(f"b_{strength}"), -F.col("b_id"))).alias("site"))
+    own = seeds.select("id", F.col("id").alias("seed"))
+    return points.select("id").join(cover, "id", "left").join(own, "id", "left").select("id", F.coalesce("seed", "site").alias("site"))
 
 
 def site_passes(sites: DataFrame, ticks: DataFrame, x: str, y: str, radius: float, drive: str, t: str, gap: float) -> DataFrame:
@@ -66,13 +97,36 @@ def site_passes(sites: DataFrame, ticks: DataFrame, x: str, y: str, radius: floa
     return near.groupBy("site", drive, "pass").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.min_by("t", F.struct("dist", "t")).alias("t_near"), F.min("dist").alias("dist"))
 
 
+def _forest(u: pd.DataFrame, v: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
+    """(site, other): links that connect whatever of u and v hangs together by near, one fewer than the sites of each part."""
+    ids = np.concatenate([u["site"].to_numpy(), v["site"].to_numpy()])
+    n, left = len(u), np.ones(len(ids), bool)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], stack = False, [start]
+        while stack:
+            i = stack.pop()
+            found = np.flatnonzero(left[n:] & near[i]) + n if i < n else np.flatnonzero(left[:n] & near[:, i - n])
+            left[found] = False
+            stack.extend(found.tolist())
+            out.append((np.full(len(found), ids[i]), ids[found]))
+    a, b = (np.concatenate([o[k] for o in out]) if out else ids[:0] for k in (0, 1))
+    return pd.DataFrame({"site": a, "other": b})[a != b]
+
+
 def stretches(sites: DataFrame, x: str, y: str, heading: str, link: float, turn: float, most_rounds: int = 200) -> DataFrame:
     """(site, stretch): sites linked within `link` metres and about the same heading, as connected components; stretch is the least site.
 
-    Labels fall to the least neighbour's in rounds, each checkpointed, with a jump to the label's own label to halve the way.
+    Labels fall to the least neighbour's in rounds, each checkpointed, with a jump to the label's own label to halve the way. Of a hot cell only links that connect it are kept.
     """
-    near = near_pairs(sites, sites, x, y, link).filter(F.col("site") != F.col("b_site")).filter(heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn)
-    edges = checkpointed(near.select("site", F.col("b_site").alias("other")))
+    own = sites.select("site", x, y, heading)
+    native = lambda pairs: pairs.filter(F.col("site") != F.col("b_site")).filter(heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn).select("site", F.col("b_site").alias("other"))
+    kernel = lambda u, v, near: _forest(u, v, near & (turned(u[heading].to_numpy(), v[heading].to_numpy()) <= turn))
+    kind = dict(own.dtypes)["site"]
+    found = near_reduced(own, own, x, y, link, native, kernel, f"site {kind}, other {kind}")
+    edges = checkpointed(found.unionByName(found.select(F.col("other").alias("site"), F.col("site").alias("other"))).distinct())
     label = checkpointed(sites.select("site", F.col("site").alias("stretch")))
     for _ in range(most_rounds):
         got = edges.join(label.select(F.col("site").alias("other"), F.col("stretch").alias("s")), "other").groupBy("site").agg(F.min("s").alias("s"))
@@ -120,9 +174,12 @@ def road_match(points: DataFrame, ways: DataFrame, x: str, y: str, heading: str,
 
 def uniqueness(events: DataFrame, passes: DataFrame, x: str, y: str, drive: str, value: str, radius: float) -> DataFrame:
     """(id, others, share): of the other drives that pass within the radius, the share that reaches the event's value there."""
-    near = near_pairs(events, passes, x, y, radius).filter(F.col(drive) != F.col(f"b_{drive}"))
-    per = near.groupBy("id", value, f"b_{drive}").agg(F.max(f"b_{value}").alias("m"))
-    return per.groupBy("id").agg(F.count("*").alias("others"), F.avg((F.col("m") >= F.col(value)).cast("double")).alias("share"))
+    own, other = events.select("id", x, y, drive, value), passes.select(x, y, drive, value)
+    kinds = dict(own.dtypes)
+    native = lambda pairs: pairs.filter(F.col(drive) != F.col(f"b_{drive}")).groupBy("id", F.col(f"b_{drive}").alias("other")).agg(F.max(f"b_{value}").cast("double").alias("m"))
+    met = near_reduced(own, other, x, y, radius, native, lambda u, v, near: _drive_rows(u, v, near, drive, value), f"id {kinds['id']}, other {kinds[drive]}, m double")
+    per = met.groupBy("id", "other").agg(F.max("m").alias("m")).join(own.select("id", F.col(value).alias("own")), "id")
+    return per.groupBy("id").agg(F.count("*").alias("others"), F.avg((F.col("m") >= F.col("own")).cast("double")).alias("share"))
 
 
 def weather_near(points: DataFrame, stations: DataFrame, radius_m: float, k: int) -> DataFrame:
