@@ -28,6 +28,8 @@ MIN_DOCS = 3
 #: Lines of more words than this do not repeat by chance.
 LONG_WORDS = 50
 SIMILAR, CONSENSUS = 0.8, 0.5
+#: Share of the words of two texts from which, with near-dedup to follow, one is a copy of the other.
+COPIES = 0.8
 VARIABLE = r"[^ \t]*[0-9@/=][^ \t]*"
 LEAF = ["words", "leaf"]
 TEMPLATE = [*LEAF, "turn", "own"]
@@ -73,13 +75,13 @@ def _meeting(kinds: DataFrame, depth: int, similar: float) -> DataFrame:
 
 
 def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(words, leaf, own, turn) of the lines that take one of their leaf's templates, by its number. lines: (doc, at, words, leaf, own) of all lines of docs.
+    """(words, leaf, own, turn) of the lines that take one of their leaf's templates, by its number. lines: (doc_id, at, words, leaf, own) of all lines of docs.
 
     All joins are merge joins, as leaves with several kinds grow with the lines. What stands on the far side is a written table, so that a leaf with very
     many lines meets it straight from a shuffle, which the skew join can split.
     """
     # a leaf with one kind of line, or in too few documents, has nothing to generalise
-    wide = lines.groupBy(*LEAF).agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d"), F.count("*").alias("n")).filter("a <> b and c <> d").filter(F.col("n") >= _least(min_docs, long_words)).select(*LEAF)
+    wide = lines.groupBy(*LEAF).agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d"), F.count("*").alias("n")).filter("a <> b and c <> d").filter(F.col("n") >= _least(min_docs, long_words)).select(*LEAF)
     wide = written(wide, "line-leaves")
     kinds = _lines(docs, depth).select(*LEAF, "own", "masked").join(wide.hint("merge"), LEAF, "left_semi").groupBy(*LEAF, "own").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
     left = written(kinds.select(*LEAF, "own", "n", "masked"), "line-kinds")
@@ -102,30 +104,59 @@ def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_docs: i
             return reduce(DataFrame.unionByName, found)
 
 
-def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, same: DataFrame | None = None) -> DataFrame:
+def _copies(met: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
+    """(doc_id, text_hash, kin): texts that are a copy of an earlier document, and the first of the documents that such links reach.
+
+    met: (doc_id, text_hash, words, first, recurs) of lines whose template several documents have. A text is a copy if the words of its lines whose templates are first in that document are `share` of both, what either has of recurring lines
+    from elsewhere left out.
+    """
+    own = F.col("doc_id") == F.col("first.doc_id")
+    per = met.groupBy("doc_id", "text_hash", F.col("first.doc_id").alias("from")).agg(F.sum("words").alias("s"), F.sum(F.when(F.col("recurs") & ~own, F.col("words")).otherwise(0)).alias("r"))
+    per = written(per, "line-shares")
+    lost = per.groupBy("doc_id", "text_hash").agg(F.sum("r").alias("lost"), F.max_by(F.struct("from", "s", "r"), F.when(F.col("from") < F.col("doc_id"), F.struct("s", -F.col("from")))).alias("most"))
+    known = written(sizes.join(lost.hint("merge"), ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "most", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("left")), "line-sizes")
+    # of rows that repeat an id the largest stands for it
+    other = known.groupBy(F.col("doc_id").alias("from")).agg(F.max("left").alias("other"))
+    links = known.filter("most is not null").select("doc_id", "text_hash", F.col("most.from").alias("from"), F.col("most.s").alias("s"), (F.col("left") + F.col("most.r")).alias("left")).join(other.hint("merge"), "from")
+    at = links.filter(F.col("s") >= share * F.greatest("left", "other")).select("doc_id", "text_hash", F.col("from").alias("kin"))
+    while True:  # links go to lesser ids; each round doubles how far a text has gone
+        at = written(at, "line-kin")
+        on = at.groupBy(F.col("doc_id").alias("kin")).agg(F.min("kin").alias("further"))
+        met = written(at.join(on.hint("merge"), "kin", "left"), "line-kin-met")
+        at = met.select("doc_id", "text_hash", F.coalesce("further", "kin").alias("kin"))
+        if met.filter("further is not null").isEmpty():
+            return at
+
+
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, copies: float | None = None) -> DataFrame:
     """(doc_id, text_hash, at): the lines of recurring templates but for each template's first."""
-    parsed = _lines(docs, depth).drop("masked").withColumn("doc", F.col("doc_id"))
-    if same is not None:
-        named = same.select(F.col("id").alias("doc_id"), "text_hash", F.col("first.id").alias("first")).filter("doc_id <> first").distinct()
-        parsed = written(parsed, "lines-read").join(written(named, "lines-same").hint("merge"), ["doc_id", "text_hash"], "left").withColumn("doc", F.coalesce("first", "doc_id")).drop("first")
-    parsed = written(parsed, "lines")
+    parsed = written(_lines(docs, depth).drop("masked"), "lines")
     general = written(templates(docs, parsed, depth, min_docs, similar, consensus, long_words), "line-general")
     lines = parsed.join(general.hint("merge"), [*LEAF, "own"], "left")
-    lines = lines.select("doc", "doc_id", "text_hash", "at", *LEAF, F.coalesce("turn", F.lit(-1)).alias("turn"), F.when(F.col("turn").isNull(), F.col("own")).otherwise(0).alias("own"))
+    lines = lines.select("doc_id", "text_hash", "at", *LEAF, F.coalesce("turn", F.lit(-1)).alias("turn"), F.when(F.col("turn").isNull(), F.col("own")).otherwise(0).alias("own"))
     lines = written(lines, "line-templates")
-    text, first = F.struct("doc_id", "text_hash"), F.struct("doc", "doc_id", "text_hash", "at")
-    recurring = lines.groupBy(*TEMPLATE).agg(F.countDistinct("doc").alias("docs"), F.min(first).alias("first")).filter(F.col("docs") >= _least(min_docs, long_words)).select(*TEMPLATE, "first")
-    recurring = written(recurring, "line-recurring")
-    other = (F.col("doc") != F.col("first.doc")) if same is not None else (text != F.struct("first.doc_id", "first.text_hash"))
-    again = (text == F.struct("first.doc_id", "first.text_hash")) & (F.col("at") != F.col("first.at"))
-    return lines.join(recurring.hint("merge"), TEMPLATE).filter(other | again).select("doc_id", "text_hash", "at").distinct()
-
-
-def dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, same: DataFrame | None = None) -> DataFrame:
+    place = F.struct("doc_id", "text_hash", "at")
+    recurs = F.col("docs") >= _least(min_docs, long_words)
+    found = lines.groupBy(*TEMPLATE).agg(F.countDistinct("doc_id").alias("docs"), F.min(place).alias("first"))
+    if copies is None:
+        recurring = written(found.filter(recurs).select(*TEMPLATE, "first"), "line-recurring")
+        return lines.join(recurring.hint("merge"), TEMPLATE).filter(place != F.col("first")).select("doc_id", "text_hash", "at").distinct()
+    shared = written(found.filter("docs > 1").select(*TEMPLATE, "first", recurs.alias("recurs")), "line-shared")
+    met = written(lines.join(shared.hint("merge"), TEMPLATE).select("doc_id", "text_hash", "at", "words", "first", "recurs"), "line-met-again")
+    kin = written(_copies(met, lines.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("size")), copies), "line-copies")
+    gone = met.filter("recurs").filter(place != F.col("first")).select("doc_id", "text_hash", "at", "first")
+    whose = kin.groupBy(F.col("doc_id").alias("first_id")).agg(F.min("kin").alias("first_kin"))
+    gone = gone.withColumn("first_id", F.col("first.doc_id")).join(kin.hint("merge"), ["doc_id", "text_hash"], "left").join(whose.hint("merge"), "first_id", "left")
+    # a copy keeps what is first in its own group of copies; the first document itself keeps one of each
+    stays = F.col("kin").isNotNull() & (F.col("kin") == F.coalesce("first_kin", "first_id")) & (F.col("doc_id") != F.col("first_id"))
+    return gone.filter(~stays).select("doc_id", "text_hash", "at").distinct()
+
+
+def dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, consensus: float = CONSENSUS, long_words: int = LONG_WORDS, copies: float | None = None) -> DataFrame:
     """docs with the lines of recurring templates taken out of text, and n_lines and n_dropped.
 
-    same: (id, text_hash, first struct(id, ...)) of near copies, as simhash.similar_groups() gives them. Copies then count as one document, their first: what recurs only among
-    them stays in all of them, for near-dedup to judge, and what recurs beyond them goes from all of them alike.
+    With `copies`, a text that shares that much of its words, and of the other's, with one earlier document (what both have from third documents left out) is a copy of it as a whole: it keeps the lines that are first in
+    its group of copies, for near-dedup to judge, and loses what recurs from elsewhere, as the others of its group do.
 
     Columns of those two names are replaced. Null texts stay null with no lines, a text whose lines all go becomes
     empty, no row is dropped. Lines without words are never dropped. Rows with a null doc_id are left as they are; rows that repeat a doc_id
@@ -134,7 +165,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar
     """
     own = docs.drop("n_lines", "n_dropped")
     gone_at, id_, hash_, left_, n_lines, n_dropped = free([*own.columns, "n_lines", "n_dropped"], "gone", "id", "hash", "left", "lines_read", "lines_gone")
-    gone = dropped_lines(docs.select("doc_id", "text"), depth, min_docs, similar, consensus, long_words, same).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias(gone_at))
+    gone = dropped_lines(docs.select("doc_id", "text"), depth, min_docs, similar, consensus, long_words, copies).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias(gone_at))
     gone = gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), gone_at)
     kept = own.join(gone.hint("merge"), (own["doc_id"] == gone[id_]) & (F.xxhash64(own["text"]) == gone[hash_]), "left")
     lines = F.split("text", "\n")

@@ -4,8 +4,8 @@ Words are read as symbols: insult (learned terms with weights), threat (verbs an
 Small transducers are composed into one that reads a clause from the left and one that reads it from the right: the target transducers raise an insult
 that follows or precedes a person, the threat transducer needs a threat verb and then a target, negation lowers what it governs, and
 reported speech lowers its whole clause, on whichever side the report stands. An insult that meets no person counts for less. An arc's weight follows from both states and
-the symbol between them; a clause scores the sum of its arcs; documents add up their clauses, and a logistic curve fitted to labelled
-rows makes it a probability. Equal texts score equally, whatever their length, and repeated words count each time.
+the symbol between them; a clause scores the sum of its arcs; documents add up their clauses, and a logistic curve makes it a probability.
+Terms, the weights of the arcs and the curve are fitted to labelled rows; an arc that these say nothing about keeps the weight that it is given here. Equal texts score equally, whatever their length, and repeated words count each time.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ SYMBOLS = {
 #: Fixed word list: insults whose weight is PRIOR where labels say nothing about them.
 INSULTS = "idiot moron loser scum imbecile trottel dummkopf abschaum arschloch imbécile crétin connard idiota imbécil cabrón gilipollas".split()
 PRIOR = 3.0
-#: Weights of the transducers' arcs.
+#: What the weights of the transducers' arcs are made of, before labelled rows move them.
 TARGET_GAIN, ALONE, THREAT_WEIGHT, NEGATION_LOSS, REPORT_LOSS = 1.5, 0.8, 3.0, 0.4, 0.6
 #: Words that a target, threat or negation reaches; a report reaches over its clause.
 REACH = 3
@@ -69,30 +69,40 @@ def _product(kinds: tuple) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _composed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both products' next states, and for each left state, symbol and right state the factor of an insult's weight and the fixed weight it adds."""
+    """Both products' next states, and for each left state, symbol and right state the kind of arc: 0 to 7 for an insult (4 beside a target, 2 negated, 1 reported), 8 to 11 for a target behind a threat (2 negated, 1 reported), else -1."""
     (left, l), (right, r) = _product(FORWARD), _product(BACKWARD)
-    out = np.zeros((len(left), 6, len(right), 2))
-    target = l[:, None, 0] | r[None, :, 0]
-    tamed = np.where(l[:, None, 2], NEGATION_LOSS, 1.0) * np.where(l[:, None, 3] | r[None, :, 1], REPORT_LOSS, 1.0)
-    out[:, INSULT, :, 0] = tamed * np.where(target, TARGET_GAIN, ALONE)
-    out[:, TARGET, :, 1] = np.where(l[:, None, 1], THREAT_WEIGHT * tamed, 0.0)
+    out = np.full((len(left), 6, len(right)), -1)
+    tamed = 2 * l[:, None, 2] + 1 * (l[:, None, 3] | r[None, :, 1])
+    out[:, INSULT] = 4 * (l[:, None, 0] | r[None, :, 0]) + tamed
+    out[:, TARGET] = np.where(l[:, None, 1], 8 + tamed, -1)
     return left, right, out
 
 
 LEFT, RIGHT, OUT = (x.tolist() for x in _composed())
+_TAMED = [1.0, REPORT_LOSS, NEGATION_LOSS, NEGATION_LOSS * REPORT_LOSS]
+#: An arc's weight by its kind: a factor of the insult's weight, or what a threat adds.
+ARCS = np.array([w * t for w in (ALONE, TARGET_GAIN, THREAT_WEIGHT) for t in _TAMED])
+#: What a labelled row's likelihood must gain for an arc to move, and how far it may.
+ARC_PENALTY, ARC_STEPS = 2.0, (1.0, 0.0, 0.25, 0.5, 2.0)
 
 
-def clause_score(symbols: list[int], weights: list[float]) -> float:
-    """What the composed transducers give for one clause."""
+def clause_arcs(symbols: list[int], weights: list[float]) -> list[tuple[int, float]]:
+    """The arcs that the composed transducers take through one clause, as (kind, weight of the insult or 1)."""
     after, state = [0] * len(symbols), 0
     for i in range(len(symbols) - 1, 0, -1):
         after[i - 1] = state = RIGHT[state][symbols[i]]
-    state, total = 0, 0.0
+    state, taken = 0, []
     for s, w, b in zip(symbols, weights, after, strict=True):
-        factor, fixed = OUT[state][s][b]
-        total += factor * w + fixed
+        kind = OUT[state][s][b]
+        if kind >= 0:
+            taken.append((kind, w if s == INSULT else 1.0))
         state = LEFT[state][s]
-    return total
+    return taken
+
+
+def clause_score(symbols: list[int], weights: list[float], arcs: np.ndarray = ARCS) -> float:
+    """What the composed transducers give for one clause."""
+    return float(sum(arcs[k] * w for k, w in clause_arcs(symbols, weights)))
 
 
 def _bare(word: str) -> str:
@@ -105,8 +115,8 @@ def terms_of(word: str) -> list[str]:
 
 
 class Grammar:
-    def __init__(self, terms: dict[str, float], curve: tuple[float, float] = (0.0, 1.0)):
-        self.terms, self.curve = terms, curve
+    def __init__(self, terms: dict[str, float], curve: tuple[float, float] = (0.0, 1.0), arcs: np.ndarray = ARCS):
+        self.terms, self.curve, self.arcs = terms, curve, arcs
         self.fixed = {w: k for k, words in SYMBOLS.items() for w in words}
         bare = (w[:-2] if w.endswith(ENDINGS) and len(w) > 5 else w for w in SYMBOLS[THREAT])
         self.stems = {w for w in bare if len(w) >= 4}
@@ -123,7 +133,12 @@ class Grammar:
         return THREAT if found == OTHER and self._threat(bare) else found, 0.0
 
     def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's sum over its clauses, and its number of matched clauses. A clause ends at . ! ? ; : or a line break."""
+        """Each text's sum over its clauses, and its number of matched clauses."""
+        by_arc, hits = self.arc_sums(texts)
+        return by_arc @ self.arcs, hits
+
+    def arc_sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's weights by kind of arc, and its number of clauses with any. A clause ends at . ! ? ; : or a line break."""
         texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " . ")
         words, counts = word_lists(texts)
         kinds, at = coded(words)
@@ -132,7 +147,7 @@ class Grammar:
         weight = np.fromiter((w for _, w in read), float, len(read))[at]
         ends = np.fromiter((w[-1] in ".!?;:" for w in kinds), bool, len(kinds))[at]
         doc = np.repeat(np.arange(len(counts)), counts)
-        total, hits = np.zeros(len(counts)), np.zeros(len(counts), np.int64)
+        total, hits = np.zeros((len(counts), len(ARCS))), np.zeros(len(counts), np.int64)
         if not len(at):
             return total, hits
         new = np.ones(len(at), bool)
@@ -141,10 +156,10 @@ class Grammar:
         first = np.append(np.flatnonzero(new), len(at))
         for c in np.unique(clause[(symbol == INSULT) | (symbol == THREAT)]).tolist():  # no other clause can score
             a, b = first[c], first[c + 1]
-            got = clause_score(symbol[a:b].tolist(), weight[a:b].tolist())
-            if got > 0:
-                total[doc[a]] += got
-                hits[doc[a]] += 1
+            taken = clause_arcs(symbol[a:b].tolist(), weight[a:b].tolist())
+            for kind, w in taken:
+                total[doc[a], kind] += w
+            hits[doc[a]] += bool(taken)
         return total, hits
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -153,22 +168,46 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(a + b * np.log1p(total), -30, 30)))
 
 
-def _curve(total: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
-    """Intercept and slope of the logistic curve over log(1 + sum), by Newton steps with a little shrinkage, moved to the prior share of label 1."""
+def _logistic(total: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Intercept and slope of the logistic curve over log(1 + sum), by Newton steps with a little shrinkage, and what is lost of the likelihood (natural log)."""
     x = np.stack([np.ones(len(total)), np.log1p(total)], axis=1)
     w = np.array([-2.0, 1.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + 0.1 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
-        w = w - np.linalg.solve(hess, grad)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+
+
+def _curve(total: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """The curve of _logistic(), moved to the prior share of label 1."""
+    w, _ = _logistic(total, y)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     shift = math.log(prior / (1 - prior)) - math.log(share / (1 - share))
     return float(w[0] + shift), float(w[1])
 
 
+def _fitted_arcs(by_arc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the arcs that at least LEAST_DOCS rows take, each moved by the one of ARC_STEPS that makes the labels likeliest, twice through all; a move must gain ARC_PENALTY."""
+    arcs, steps = ARCS.copy(), np.ones(len(ARCS))
+    known = [k for k in range(len(ARCS)) if (by_arc[:, k] > 0).sum() >= LEAST_DOCS]
+    for _ in range(2):
+        for k in known:
+            lost = []
+            for f in ARC_STEPS:
+                arcs[k] = ARCS[k] * f
+                lost.append(_logistic(by_arc @ arcs, y)[1] + ARC_PENALTY * (f != 1.0))
+            steps[k] = ARC_STEPS[int(np.argmin(np.round(lost, 6)))]
+            arcs[k] = ARCS[k] * steps[k]
+    return arcs
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: str = "pmod(crc32(cast(doc_id as string)), 3) = 1", rows: int = SAMPLE_ROWS) -> Grammar:
-    """Learns the insult terms and the curve from at most `rows` documents of each class, those of least hash of their id. Without labels of both classes nothing is toxic."""
+    """Learns the insult terms, the weights of the arcs and the curve from at most `rows` documents of each class, those of least hash of their id. Without labels of both classes nothing is toxic."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(f"not ({held_out})").groupBy("doc_id").agg(F.max(label).alias("y"))
     n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
@@ -194,14 +233,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: str
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(grammar.sums(part.column("text"))[0]), part.column("y")], ["total", "y"])
+                by_arc, _ = grammar.arc_sums(part.column("text"))
+                yield pa.RecordBatch.from_arrays([pa.array(by_arc.tolist(), pa.list_(pa.float64())), part.column("y")], ["by_arc", "y"])
 
-    seen = picked.mapInArrow(total, "total double, y int").collect()
-    x, y = np.array([r.total for r in seen]), np.array([r.y for r in seen], float)
+    seen = picked.mapInArrow(total, "by_arc array<double>, y int").collect()
+    x, y = np.array([r.by_arc for r in seen]).reshape(-1, len(ARCS)), np.array([r.y for r in seen], float)
     if not len(y) or y.min() == y.max():
         return Grammar({}, (-5.0, 0.0))
-    order = np.lexsort((y, x))
-    grammar.curve = _curve(x[order], y[order], n[1] / (n[0] + n[1]))
+    order = np.lexsort((y, *x.T))
+    x, y = x[order], y[order]
+    grammar.arcs = _fitted_arcs(x, y)
+    grammar.curve = _curve(x @ grammar.arcs, y, n[1] / (n[0] + n[1]))
     return grammar
 
 

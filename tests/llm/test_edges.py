@@ -46,7 +46,7 @@ def test_clashing_columns_stay(spark):
     bench = spark.createDataFrame([(7, "another item of quite different words altogether")], "item_id long, text string")
     want = [tuple(range(len(names)))]
     for out in (
-        knn_quality.score(docs, knn_quality.fit(docs, labels)), toxicity.score(docs, toxicity.fit(docs, labels)), line_dedup.dedup(docs), line_dedup.dedup(docs, same=simhash.similar_groups(docs)),
+        knn_quality.score(docs, knn_quality.fit(docs, labels)), toxicity.score(docs, toxicity.fit(docs, labels)), line_dedup.dedup(docs), line_dedup.dedup(docs, copies=0.8),
         simhash.near_dedup(docs), simhash.similar_dedup(docs), decontam.clean(docs, bench), byte_bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
     ):
         assert out.select(*(f"`{c}`" for c in names)).distinct().collect() == want

@@ -274,7 +274,7 @@ def test_long_lines_recur_from_two_documents_on_in_the_pipeline(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, None).collect()}
     assert got == {0: texts[0], 1: f"second by itself\nthe same short line\n{alone[1]}", 2: f"third one\nthe same short line\n{alone[2]}", 3: texts[3], 4: texts[4]}
-    # near copies count as one document; line dedup by itself takes their lines
+    # copies keep what they share; line dedup by itself takes their lines
     copies = [f"{long}\n{other}", f"{long}\n{other}\nmore", f"{long}\n{other}"]
     more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(copies)], DOCS)
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, more, None).collect()} == dict(enumerate(copies))
@@ -322,9 +322,8 @@ def test_op10_components_on_the_table(spark, sf_dir):
     assert [got[d] for d in docs.doc_id] == [docs.doc_id[c] for c in comp]
 
 
-def brute_lines(docs, min_docs=3, long_words=50, same=None):
-    """Line dedup of (doc_id, text) pairs in plain Python. same: the first of each document's near copies, by doc_id."""
-    as_one = (lambda d: same[d]) if same else (lambda d: d)
+def brute_lines(docs, min_docs=3, long_words=50, copies=None):
+    """Line dedup of (doc_id, text) pairs in plain Python."""
     rows, leaves = [], {}
     for d, text in docs:
         for at, line in enumerate((text or "").split("\n")):
@@ -332,7 +331,7 @@ def brute_lines(docs, min_docs=3, long_words=50, same=None):
             if tokens:
                 leaf = (len(tokens), tuple(tokens[:4]))
                 rows.append((d, at, leaf, " ".join(tokens)))
-                leaves.setdefault(leaf, []).append((as_one(d), " ".join(tokens)))
+                leaves.setdefault(leaf, []).append((d, " ".join(tokens)))
     template = {}
     for leaf, found in leaves.items():
         n = {}
@@ -365,11 +364,31 @@ def brute_lines(docs, min_docs=3, long_words=50, same=None):
     groups = {}
     for d, at, leaf, own in rows:
         groups.setdefault((leaf, template[leaf, own]) if (leaf, own) in template else (leaf, own), []).append((d, at))
-    gone = set()
-    for (leaf, _), places in groups.items():
-        if len({as_one(d) for d, _ in places}) >= (min(2, min_docs) if leaf[0] > long_words else min_docs):
-            first = min((as_one(d), d, at) for d, at in places)
-            gone |= {(d, at) for d, at in places if as_one(d) != first[0] or d == first[1] and at != first[2]}
+    first, recurs, words = {}, set(), {}
+    for (leaf, t), places in groups.items():
+        many = len({d for d, _ in places})
+        for p in places if many > 1 else ():
+            first[p], words[p] = min(places), leaf[0]
+            if many >= (min(2, min_docs) if leaf[0] > long_words else min_docs):
+                recurs.add(p)
+    kin = {}
+    if copies is not None:
+        size, part, lost = {}, {}, {}
+        for d, _, leaf, _ in rows:
+            size[d] = size.get(d, 0) + leaf[0]
+        for p, f in first.items():
+            s = part.setdefault(p[0], {}).setdefault(f[0], [0, 0])
+            s[0] += words[p]
+            if p in recurs and f[0] != p[0]:
+                s[1] += words[p]
+                lost[p[0]] = lost.get(p[0], 0) + words[p]
+        for d, of in sorted(part.items()):
+            got = [(s, -f, r) for f, (s, r) in of.items() if f < d]
+            if got:
+                s, f, r = max(got)
+                if s >= copies * max(size[d] - lost.get(d, 0) + r, size[-f] - lost.get(-f, 0)):
+                    kin[d] = kin.get(-f, -f)
+    gone = {p for p in recurs if p != first[p] and not (p[0] in kin and first[p][0] != p[0] and kin[p[0]] == kin.get(first[p][0], first[p][0]))}
     return {d: text and "\n".join(x for at, x in enumerate(text.split("\n")) if (d, at) not in gone) for d, text in docs}
 
 
@@ -384,7 +403,7 @@ def test_line_dedup_against_plain_python(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == brute_lines(docs)
-    assert {r.doc_id: r.text for r in line_dedup.dedup(df, same=simhash.similar_groups(df)).collect()} == brute_lines(docs, same=near_copies(sorted(docs)))
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df, copies=0.8).collect()} == brute_lines(docs, copies=0.8)
 
 
 def test_pipeline_run_against_brute_force(spark, sf_dir, tmp_path):
@@ -399,7 +418,7 @@ def test_pipeline_run_against_brute_force(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = knn_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     left = sorted((r.doc_id, r.text) for r in docs.collect() if model.scores(pa.array([r.text], pa.string()))[0] >= knn_quality.THRESHOLD)
-    left = sorted(brute_lines(left, same=near_copies(left)).items())
+    left = sorted(brute_lines(left, copies=line_dedup.COPIES).items())
     first = near_copies(left)
     left = [(d, t) for d, t in left if first[d] == d]
     items = [[w.decode() for w in words(r.text)] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
