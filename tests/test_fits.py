@@ -51,6 +51,23 @@ def test_two_way_bootstrap(spark):
     assert np.allclose([got.low, got.high], np.percentile(slopes, [2.5, 97.5]), atol=1e-6)
 
 
+def test_queries_over_whole_tables(spark, sf_dir):
+    """The interval's every replicate by dummies, and the offsets of every drive by the operator on its rows one drive at a time."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", F.col("l_partkey") % 40, "l_quantity", "l_extendedprice").toPandas().to_numpy(float)
+    a, b, x, y = rows.T
+    a, b = a.astype(int), b.astype(int)
+    got = registry.QUERIES["two_way_interval"](spark, sf_dir).first()
+    slopes = [dummies(a, b, x, y, np.array([poisson(drawn(7, r, k)) for k in a], float)) for r in range(1, 13)]
+    assert np.allclose([got.slope, got.low, got.high], [dummies(a, b, x, y), *np.percentile(slopes, [2.5, 97.5])], rtol=1e-6) and got.n == len(a)
+    from drivespan.plans.base import ticks
+
+    w = ticks(spark, sf_dir).groupBy("drive", F.floor(F.col("tick") / 10).alias("win")).agg(F.avg("yaw_dps").alias("off"), (F.sum("yaw_dps") * 3.0).alias("heading"))
+    out = {r.drive: r for r in registry.QUERIES["direction_offsets"](spark, sf_dir).collect()}
+    for d, r in list(out.items())[:2]:
+        one = pn.direction_offsets(w.filter(F.col("drive") == d), "drive", ["win"], "off", "heading", 40, 11).first()
+        assert np.allclose([one[c] for c in ("offset", "low", "high", "amplitude", "p")], [r[c] for c in ("offset", "low", "high", "amplitude", "p")])
+
+
 def sequential(f, x):
     s, out = np.zeros(len(f.b)), []
     for v in x:

@@ -44,6 +44,30 @@ def test_blocks_give_what_pairs_give(spark, monkeypatch, many):
     assert {r.site: r.stretch for r in st.stretches(df.withColumnRenamed("id", "site"), "x", "y", "hdg", 4.0, 30.0).collect()} == {k: find(k) for k in range(len(up))}
 
 
+def test_queries_over_whole_tables(spark, sf_dir):
+    from drivespan import registry
+    from drivespan.plans.places import _points
+
+    rows = sorted(((r.id, r.x, r.y, r.hdg, r.strength) for r in _points(spark, sf_dir).collect()), key=lambda p: (-p[4], p[0]))
+    turn = lambda a, b: min((a - b) % 360, (b - a) % 360)
+    near = lambda p, q, r: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= r * r
+    site = {}
+    for p in rows:
+        for q in rows if p[0] not in site else ():
+            if q[0] not in site and near(p, q, 20.0) and turn(p[3], q[3]) <= 60.0:
+                site[q[0]] = p[0]
+    assert {r.id: r.site for r in registry.QUERIES["greedy_sites"](spark, sf_dir).collect()} == site
+    up = {p[0]: p[0] for p in rows}
+    find = lambda i: i if up[i] == i else find(up[i])
+    link, bend = 10.0, 60.0
+    for p in rows:
+        for q in rows:
+            if near(p, q, link) and turn(p[3], q[3]) <= bend:
+                a, b = find(p[0]), find(q[0])
+                up[max(a, b)] = min(a, b)
+    assert {r.site: r.stretch for r in registry.QUERIES["site_stretches"](spark, sf_dir).collect()} == {k: find(k) for k in up}
+
+
 def test_twenty_thousand_points_in_a_cell(spark):
     df, rows = cloud(spark, 20000, 5.0, seed=2)
     got = {r.id: r.drives for r in st.repeats(df, "x", "y", "hdg", "drive", 8.0, 20.0).collect()}

@@ -278,3 +278,52 @@ def test_rules_that_judge_nothing(spark):
     out = ru.detect(df, {"no": {"feature": "gone", "op": "gt", "threshold": 0.0}}, block="car")
     full = ru.detect(df, {"yes": {"feature": "x", "op": "gt", "threshold": 0.0}}, block="car")
     assert out.columns == ["car", *ru.FIELDS] and out.count() == 0 and [f.dataType for f in out.schema] == [f.dataType for f in full.schema]
+
+
+def test_rule_sets_over_whole_tables(spark, sf_dir):
+    """Every deferred event of the two rule sets from the immediate ones, which have SQL twins or loops of their own."""
+    from drivespan.plans.detect import RULES
+
+    def deferred(events, rules):
+        want = list(events)
+        for n, r in rules.items():
+            if r["op"] == "cooccurrence":
+                want += [(d, n, a, b) for d, k, a, b in list(want) if k == r["base"] and len({o[1] for o in want if o[0] == d and o[1] in r["require_any"] and o[2] <= b + r["window_s"] and o[3] >= a - r["window_s"]}) >= r.get("min_count", 1)]
+            if r["op"] == "sequence":
+                firsts, thens = ([r[k]] if isinstance(r[k], str) else r[k] for k in ("first", "then"))
+                for d in {e[0] for e in want}:
+                    used, later = set(), sorted((o for o in want if o[0] == d and o[1] in thens), key=lambda o: (o[2], o[3], o[1]))
+                    for e in sorted((o for o in want if o[0] == d and o[1] in firsts), key=lambda o: (o[2], o[3], o[1])):
+                        for k, o in enumerate(later):
+                            if k not in used and r["min_gap_s"] <= o[2] - e[3] <= r["max_gap_s"]:
+                                used.add(k)
+                                want.append((d, n, e[2], o[3]))
+                                break
+        return want
+
+    own = {n: r for n, r in RULES.items() if r["op"] not in ru.DEFERRED}
+    rest = {n: r for n, r in RULES.items() if r["op"] in ru.DEFERRED}
+    told = lambda df: [(r.drive, r.event_type, r.t_start, r.t_end) for r in df.collect()]
+    want = sorted(set(deferred(told(ru.detect(ticks(spark, sf_dir), own)), rest)))
+    assert sorted(set(told(registry.QUERIES["all_events"](spark, sf_dir)))) == want
+    assert registry.QUERIES["sequence_events"](spark, sf_dir).count() == sum(e[1] == "turn_then_brake" for e in want)
+    shipped = {r.event_type: r.n for r in registry.QUERIES["shipped_rules"](spark, sf_dir).collect()}
+    assert shipped and set(shipped) <= set(ru.SHIPPED) and min(shipped.values()) > 0
+
+
+def test_lobe_rebounds(spark, sf_dir):
+    got = {r.drive: r for r in registry.QUERIES["lobe_rebounds"](spark, sf_dir).collect()}
+    for d, rows in by_drive(ticks(spark, sf_dir).select("drive", "t", "yaw_dps"), "t").items():
+        found = [abs(x[3]) for x in lobes(rows, "yaw_dps", 3.0, 0.15)]
+        if not found:
+            assert d not in got
+            continue
+        areas = [(x[1], x[3]) for x in lobes(rows, "yaw_dps", 3.0, 0.15)]
+        start, last = max(areas, key=lambda x: (abs(x[1]), -x[0]))
+        n = 0
+        for t, area in areas:
+            if t > start:
+                if np.sign(area) == np.sign(last) or abs(area) >= abs(last):
+                    break
+                n, last = n + 1, area
+        assert (got[d].lobes, got[d].rebounds) == (len(areas), n) and near(got[d].largest, max(areas, key=lambda x: (abs(x[1]), -x[0]))[1])
