@@ -27,7 +27,7 @@ GROUPS, MEMBERS = 16, 16
 SINGLES = 64
 #: Commonest words whose counts every executor holds: 12 bytes each.
 HEAD = 1 << 16
-#: Rows of the hashed table: one for every WORDS_A_ROW distinct words, a power of two within these bounds; the upper one keeps a task's tables within 9 MB each.
+#: Rows of the hashed table: one for every WORDS_A_ROW distinct words, a power of two within these bounds. The upper one keeps a task's tables within 9 MB each; twice as many scored better (README), but took too much time.
 BUCKETS, WORDS_A_ROW = (1 << 12, 1 << 13), 64
 FEATURES = 5
 #: Text bytes that a task turns into tokens at once.
