@@ -134,8 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: st
 def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
     """docs with score_col (double, 0 to 1). Null texts are empty texts; a column of that name is replaced, all others stay."""
     rest = [c for c in docs.columns if c != score_col]
-    (text,) = free(rest, "text_read")
-    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.col("text").cast("string").alias(text))
+    # texts that are strings already cross to Python once, with the other columns
+    whole = dict(docs.dtypes)["text"] == "string" and "text" in rest
+    text = "text" if whole else free(rest, "text_read")[0]
+    kept = docs.select(*(F.col(f"`{c}`") for c in rest), *([] if whole else [F.col("text").cast("string").alias(text)]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
