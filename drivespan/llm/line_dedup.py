@@ -92,6 +92,8 @@ def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_docs: i
     found, turn = [], 0
     while True:
         shape = written(shape, "line-shapes")
+        if turn and not shape.head(1):
+            return reduce(DataFrame.unionByName, found)
         same = F.size(F.filter(F.zip_with(F.split("masked", " "), "shape", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
         met = written(left.join(shape.hint("merge"), LEAF).withColumn("fits", F.col("words") - same <= _allowed(F.col("words"), similar)).drop("shape"), "line-met")
         found.append(met.filter("fits").select(*LEAF, "own", F.lit(turn).alias("turn")))
@@ -100,8 +102,6 @@ def templates(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_docs: i
             left = written(_meeting(left, depth, similar), "line-left")
         shape = left.groupBy(*LEAF).agg(F.max(F.struct("n", "masked")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").select(*LEAF, F.split("top.masked", " ").alias("shape"))
         turn += 1
-        if not shape.head(1):
-            return reduce(DataFrame.unionByName, found)
 
 
 def _copies(met: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
