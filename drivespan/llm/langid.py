@@ -37,10 +37,10 @@ HELD_OUT = "pmod(crc32(cast(doc_id as string)), 3) = 1"
 
 
 def reduced(texts: pa.Array) -> list[list[str]]:
-    """Each text's distinct words of letters, lower-cased, in order of their first place. Null texts have none."""
+    """Each text's distinct words of letters and their marks, lower-cased, in order of their first place. Null texts have none, and marks alone are no word."""
     lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     letters = pc.replace_substring_regex(lower, r"[^\pL\pM]+", " ")
-    return [list(dict.fromkeys(t.split(" "))) if t else [] for t in pc.utf8_trim(letters, " ").to_pylist()]
+    return [[w for w in dict.fromkeys(t.split(" ")) if w[:1].isalpha() or any(map(str.isalpha, w))] for t in pc.utf8_trim(letters, " ").to_pylist()]
 
 
 def blocks(words: list[str]) -> list[bytes]:

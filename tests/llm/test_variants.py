@@ -150,4 +150,5 @@ def test_language_edges(spark):
 def test_blocks_hold_whole_texts():
     words = langid.reduced(pa.array(["Ein Éin EIN ein2zwei", None, "x" * 10000]))
     assert words[0] == ["ein", "éin", "zwei"] and words[1] == []
+    assert langid.reduced(pa.array(["\u0301 12 \u0300", "e\u0301 \u0301a", "", " "])) == [[], ["e\u0301", "\u0301a"], [], []]
     assert b"".join(b.removesuffix(langid.FILLER) for b in langid.blocks(words[2])) == b" " + b"x" * 10000 + b" "
