@@ -117,3 +117,12 @@ def record(dataset: str, detector: str, columns: dict[str, Column]) -> Column:
     rest = [F.struct(F.lit(k).alias("k"), c.cast("string").alias("v")) for k, c in columns.items() if k not in ("drive", "segment", "t_start", "t_end", "event_type", "peak")]
     attributes = F.map_from_entries(F.filter(F.array(*rest), lambda e: e["v"].isNotNull())) if rest else F.create_map().cast("map<string,string>")
     return F.struct(source.alias("source"), time.alias("time"), detection.alias("detection"), attributes.alias("attributes"))
+
+
+def retention(df: DataFrame, sets: dict, platform: str, grade: str) -> DataFrame:
+    """(platform, grade, n, n_kept, share): rows that the condition of their platform keeps, by platform and grade, with totals where these are null. A condition that is null keeps nothing; platforms without one are left out."""
+    kept = F.lit(None).cast("boolean")
+    for p, c in sets.items():
+        kept = F.when(F.col(platform) == p, F.coalesce(c, F.lit(False))).otherwise(kept)
+    rows = df.select(platform, grade, kept.alias("__kept")).filter("__kept is not null")
+    return rows.rollup(platform, grade).agg(F.count("*").alias("n"), F.count_if("__kept").alias("n_kept")).withColumn("share", F.col("n_kept") / F.col("n"))

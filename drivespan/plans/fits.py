@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from drivespan.operators import panels as pn, recursive as rc
-from drivespan.plans.base import RATE, TICKS, query, table, ticks
+from drivespan.operators import drive_checks as ck, panels as pn, recursive as rc, stats as ss, timegrid as tg
+from drivespan.plans.base import DT, RATE, SIG, TICKS, fir_sql, query, signals, table, ticks
 
 
 def _two_way_sql(keys: str) -> str:
@@ -108,3 +108,45 @@ def direction_offsets(spark, sf):
     """Offsets of windows of ten ticks, their interval, and the harmonic in a heading with its permutation p; tests compare with a loop that draws the same."""
     w = ticks(spark, sf).groupBy("drive", F.floor(F.col("tick") / 10).alias("win")).agg(F.avg("yaw_dps").alias("off"), (F.sum("yaw_dps") * 3.0).alias("heading"))
     return pn.direction_offsets(w, "drive", ["win"], "off", "heading", 40, 11)
+
+
+_TAPS = [0.25, 0.5, 0.25]
+
+
+@query(f"""WITH {TICKS}, f AS (SELECT drive, regr_slope(ay_mps2, v_mps * radians(yaw_dps)) AS b, regr_intercept(ay_mps2, v_mps * radians(yaw_dps)) AS a FROM ticks GROUP BY drive), e AS (SELECT t.drive, tick, ay_mps2 IS NULL AS gap, a + b * v_mps * radians(yaw_dps) AS pred, ay_mps2 - (a + b * v_mps * radians(yaw_dps)) AS r FROM ticks t JOIN f ON f.drive = t.drive)
+SELECT drive, tick, round(pred, 6) AS predicted, round(CASE WHEN NOT bool_or(gap) OVER (PARTITION BY drive ORDER BY tick ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) THEN {fir_sql('r', _TAPS)} END, 6) AS residual FROM e WINDOW w AS (PARTITION BY drive ORDER BY tick)""")
+def lateral_residuals(spark, sf):
+    """Lateral acceleration by a model fitted to each drive, and the band of what is left, null near gaps."""
+    t = ticks(spark, sf).withColumns({"x": F.col("v_mps") * F.radians("yaw_dps"), "one": F.lit(1.0)})
+    fit = ss.fit_with_r2(t, ["drive"], ["one", "x"], "ay_mps2").select("drive", "b_0", "b_1")
+    d = t.join(fit, "drive").withColumn("predicted", F.col("b_0") + F.col("b_1") * F.col("x"))
+    near = tg.dilate(F.col("ay_mps2").isNull(), "drive", "tick", 3)
+    band = tg.fir(F.col("ay_mps2") - F.col("predicted"), "drive", "tick", _TAPS)
+    return d.select("drive", "tick", F.round("predicted", 6).alias("predicted"), F.round(F.when(~near, band), 6).alias("residual"))
+
+
+@query(f"""WITH {TICKS}, d AS (SELECT drive, (lead(v_mps) OVER w - lag(v_mps) OVER w) / 0.1 AS dv, ax_mps2 AS ax FROM ticks WINDOW w AS (PARTITION BY drive ORDER BY tick)), k AS (SELECT * FROM d WHERE dv IS NOT NULL AND ax IS NOT NULL)
+SELECT drive, count(*) AS n, round(sqrt(avg((dv - ax) ** 2)) / nullif(sqrt(avg(ax ** 2)), 0), 6) AS norm, round(regr_r2(dv, ax), 6) AS r2 FROM k GROUP BY drive""")
+def signal_relations(spark, sf):
+    """How far a signal's derivative is from the signal that should be it: the residual's norm over the signal's, and R^2, by drive."""
+    t = ticks(spark, sf).select("drive", tg.derivative(F.col("v_mps"), "drive", "tick", DT).alias("dv"), F.col("ax_mps2").alias("ax")).filter("dv is not null and ax is not null")
+    rms = lambda c: F.sqrt(F.avg(c**2))
+    return t.groupBy("drive").agg(F.count("*").alias("n"), F.round(rms(F.col("dv") - F.col("ax")) / F.nullif(rms(F.col("ax")), F.lit(0.0)), 6).alias("norm"), F.round(F.corr("dv", "ax") ** 2, 6).alias("r2"))
+
+
+@query(f"""WITH {TICKS}, l AS (SELECT unnest(range(-3, 4)) AS lag), m AS (SELECT a.drive, l.lag, corr(a.yaw_dps, b.steer_deg) AS r FROM ticks a CROSS JOIN l JOIN ticks b ON b.drive = a.drive AND b.tick = a.tick + l.lag GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY r DESC, abs(lag), lag DESC) AS n FROM m)
+SELECT a.drive, a.tick, a.yaw_dps, b.steer_deg FROM ticks a JOIN k ON k.drive = a.drive AND k.n = 1 JOIN ticks b ON b.drive = a.drive AND b.tick = a.tick + k.lag""")
+def clocks_by_correlation(spark, sf):
+    """One signal moved by the lag at which it agrees best with another in its drive."""
+    t = ticks(spark, sf)
+    lags = ck.drive_lags(t, "yaw_dps", "steer_deg", "drive", "tick", list(range(-3, 4))).select("drive", "lag")
+    return ck.synchronised(t.select("drive", "tick", "yaw_dps"), t.select("drive", "tick", "steer_deg"), lags, "drive", "tick")
+
+
+@query(f"""WITH {SIG}, c AS (SELECT drive % 3 AS platform, channel AS grade, CASE WHEN drive % 3 = 0 THEN v > 60 WHEN drive % 3 = 1 THEN v > 90 OR channel = 'error' END AS kept FROM sig)
+SELECT platform, grade, count(*) AS n, count(*) FILTER (WHERE kept) AS n_kept, round(count(*) FILTER (WHERE kept) / count(*), 6) AS share FROM c WHERE kept IS NOT NULL GROUP BY ROLLUP (platform, grade)""")
+def retention_by_platform(spark, sf):
+    """What fixed conditions of each platform keep, by platform and grade with totals; platforms without conditions are left out."""
+    sets = {0: F.col("v") > 60, 1: (F.col("v") > 90) | (F.col("channel") == "error")}
+    out = ck.retention(signals(spark, sf).withColumn("platform", F.col("drive") % 3), sets, "platform", "channel")
+    return out.select("platform", F.col("channel").alias("grade"), "n", "n_kept", F.round("share", 6).alias("share"))
