@@ -7,6 +7,7 @@ computed from their ids. Each view has its DuckDB text beside it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -82,8 +83,13 @@ TICKS = (
 )
 
 
+def _spark_text(e: str) -> str:
+    """A wave's text for Spark: what the SQL divides are doubles there, so they are here; as decimals the last bit would be another, which moves maxima and thresholds."""
+    return re.sub(r"/ (\d+\.\d+)", r"/ \1D", e.replace(" // 17", " div 17"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     base = table(spark, sf_dir, "events").select(F.col("user_id").alias("drive"), (F.row_number().over(w) - 1).cast("long").alias("tick"), F.col("event_id").alias("k"), "event_type")
-    waves = (F.expr(e.replace(" // 17", " div 17")).cast("long" if c == "lead_id" else "double").alias(c) for c, e in _WAVE.items())
+    waves = (F.expr(_spark_text(e)).cast("long" if c == "lead_id" else "double").alias(c) for c, e in _WAVE.items())
     return base.select("drive", "tick", (F.col("tick") * F.lit(DT)).alias("t"), "k", *waves)
