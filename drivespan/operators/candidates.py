@@ -44,7 +44,10 @@ def context(candidates: DataFrame, rows: DataFrame, block: str, t: str, wanted:
     wanted = [(c, h) for c, h in wanted if c in rows.columns]
     spans = candidates.select(block, "group", F.col("t_start").alias("b_start"), F.col("t_end").alias("b_end"))
     met = points_in(rows.select(block, t, *dict.fromkeys(c for c, _ in wanted)), spans, block, t, bucket)
-    how = {"mean": F.avg, "min": F.min, "max": F.max, "absmax": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)), -F.col(t))))}
+    # a mean's sum runs in the order of time: it is the same, to the last bit, on every run
+    order = Window.partitionBy(block, "group").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumns({f"__sum_{c}": F.sum(c).over(order) for c, h in wanted if h == "mean"})
+    how = {"mean": lambda c: F.try_divide(F.max_by(f"__sum_{c}", t), F.count(c)), "min": F.min, "max": F.max, "absmax": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)), -F.col(t))))}
     return met.groupBy(block, "group").agg(*(how[h](c).alias(f"{c}_{h}") for c, h in wanted))
 
 

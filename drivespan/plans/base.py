@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def seconds(c: str) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
 
+def rounded(c: str | Column, digits: int) -> Column:
+    """A double rounded as the SQL rounds it: scaled, then to a whole number. F.round goes by the shortest decimal text instead, which differs where a double lies just beside a half."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 10.0**digits) / 10.0**digits
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("drive"), F.col("event_type").alias("channel"), seconds("ts").alias("t"), F.col("value").alias("v"), F.col("event_id"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivespan.operators import candidates as cd, rules as ru, windows as wf
-from drivespan.plans.base import DT, SIG, TICKS, query, signals, ticks
+from drivespan.plans.base import DT, SIG, TICKS, query, rounded, signals, ticks
 
 DAY = 86400.0
 _WIN = """w AS (SELECT drive, CAST(floor((t - t0) / 86400.0) AS BIGINT) AS win, min(v) FILTER (WHERE channel = 'click') AS lo_click, max(v) FILTER (WHERE channel = 'click') AS hi_click, min(v) FILTER (WHERE channel = 'view') AS lo_view, max(v) FILTER (WHERE channel = 'view') AS hi_view,
@@ -156,19 +156,19 @@ def _candidates(spark, sf):
 
 @query(f"WITH {TICKS}, {_CAND} SELECT drive, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, round(severity, 6) AS severity, n_events :: BIGINT AS n_events, array_to_string(types, '|') AS event_types, round(best[3], 6) AS t_peak FROM cand")
 def candidate_intervals(spark, sf):
-    return _candidates(spark, sf).select("drive", *(F.round(c, 6).alias(c) for c in ("t_start", "t_end", "severity")), "n_events", F.array_join("event_types", "|").alias("event_types"), F.round("t_peak", 6).alias("t_peak"))
+    return _candidates(spark, sf).select("drive", *(rounded(c, 6).alias(c) for c in ("t_start", "t_end", "severity")), "n_events", F.array_join("event_types", "|").alias("event_types"), rounded("t_peak", 6).alias("t_peak"))
 
 
 @query(f"""WITH {TICKS}, {_CAND} SELECT c.drive, round(c.t_start, 6) AS t_start, round(avg(v_mps), 6) AS v_mps_mean, min(ax_mps2) AS ax_mps2_min, round(arg_max(yaw_dps, (abs(yaw_dps), -t)) FILTER (WHERE yaw_dps IS NOT NULL), 6) AS yaw_dps_absmax FROM cand c JOIN ticks k ON k.drive = c.drive AND k.t BETWEEN c.t_start AND c.t_end GROUP BY c.drive, c.g, c.t_start""")
 def candidate_context(spark, sf):
     c = _candidates(spark, sf)
     x = cd.context(c, ticks(spark, sf), "drive", "t", [("v_mps", "mean"), ("ax_mps2", "min"), ("yaw_dps", "absmax"), ("not_there", "max")], 1.0)
-    return x.join(c.select("drive", "group", "t_start"), ["drive", "group"]).select("drive", F.round("t_start", 6).alias("t_start"), F.round("v_mps_mean", 6).alias("v_mps_mean"), "ax_mps2_min", F.round("yaw_dps_absmax", 6).alias("yaw_dps_absmax"))
+    return x.join(c.select("drive", "group", "t_start"), ["drive", "group"]).select("drive", rounded("t_start", 6).alias("t_start"), rounded("v_mps_mean", 6).alias("v_mps_mean"), "ax_mps2_min", rounded("yaw_dps_absmax", 6).alias("yaw_dps_absmax"))
 
 
 @query(f"""WITH {TICKS}, {_CAND} SELECT drive, round(t_start, 6) AS t_start, CASE WHEN list_contains(types, 'hard_brake') THEN 0 WHEN len(list_filter(types, lambda x: x <> 'hard_accel')) = 0 THEN 3 WHEN len(types) > 1 THEN 1 ELSE 2 END AS tier, len(types) * (len(types) - 1) // 2 AS n_pairs FROM cand""")
 def candidate_priority(spark, sf):
-    return cd.priority(_candidates(spark, sf), ["hard_brake"], ["hard_accel"]).select("drive", F.round("t_start", 6).alias("t_start"), "tier", F.size("pairs").cast("long").alias("n_pairs"))
+    return cd.priority(_candidates(spark, sf), ["hard_brake"], ["hard_accel"]).select("drive", rounded("t_start", 6).alias("t_start"), "tier", F.size("pairs").cast("long").alias("n_pairs"))
 
 
 @query(f"WITH {TICKS}, {_BRAKE}, {_LATERAL}, {_ACCEL}, {_THREE} SELECT a.event_type AS a, b.event_type AS b, count(DISTINCT (a.drive, a.t_start, a.t_end)) AS n FROM ev a JOIN ev b ON a.drive = b.drive AND a.event_type <> b.event_type AND b.t_start <= a.t_end + 0.2 AND b.t_end >= a.t_start - 0.2 GROUP BY 1, 2")
@@ -181,7 +181,7 @@ SELECT drive, round(t_start, 6) AS t_start, concat_ws('|', CASE WHEN big THEN 's
 def priority_rules(spark, sf):
     c = _candidates(spark, sf).withColumn("strong", (F.col("severity") > 3).cast("double")).withColumn("length", F.col("t_end") - F.col("t_start"))
     r = [{"name": "busy", "all_of": [{"feature": "n_events", "op": "ge", "threshold": 2}], "any_of": [{"feature": "severity", "op": "gt", "threshold": 2}, {"feature": "length", "op": "gt", "threshold": 1.2}]}]
-    return cd.apply_rules(c, ["strong"], r, ["side_pull"]).select("drive", F.round("t_start", 6).alias("t_start"), "reasons", "keep")
+    return cd.apply_rules(c, ["strong"], r, ["side_pull"]).select("drive", rounded("t_start", 6).alias("t_start"), "reasons", "keep")
 
 
 _CODES = "r AS (SELECT value > 250 AS a, event_type = 'click' AS b, event_id % 3 = 0 AS c, event_id % 7 = 0 AS y FROM events), x AS (SELECT 'big' AS rule, a AS m, y FROM r UNION ALL SELECT 'click', b, y FROM r UNION ALL SELECT 'third', c, y FROM r UNION ALL SELECT 'big & click', a AND b, y FROM r UNION ALL SELECT 'big & third', a AND c, y FROM r UNION ALL SELECT 'click & third', b AND c, y FROM r UNION ALL SELECT 'big & click & third', a AND b AND c, y FROM r)"
@@ -207,7 +207,7 @@ SELECT drive, round(t_start, 6) AS t_start, round(b[4], 6) AS focus, b[3] AS foc
 def focus_points(spark, sf):
     ev = _events(spark, sf, "hard_brake", "side_pull", "hard_accel")
     c = _candidates(spark, sf)
-    return cd.focus_points(ev, c, "drive", 1.0).join(c.select("drive", "group", "t_start"), ["drive", "group"]).select("drive", F.round("t_start", 6).alias("t_start"), F.round("focus", 6).alias("focus"), "focus_type")
+    return cd.focus_points(ev, c, "drive", 1.0).join(c.select("drive", "group", "t_start"), ["drive", "group"]).select("drive", rounded("t_start", 6).alias("t_start"), rounded("focus", 6).alias("focus"), "focus_type")
 
 
 @query("""WITH a AS (SELECT event_type, count(*) AS n_a FROM events WHERE event_id % 2 = 0 AND event_type <> 'view' GROUP BY 1), b AS (SELECT event_type, count(*) AS n_b FROM events WHERE event_id % 3 = 0 GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from drivespan.operators import candidates as cd, passages as ps
 from drivespan.plans.align import _PLACES
-from drivespan.plans.base import DRAW, DT, TICKS, query, ticks
+from drivespan.plans.base import DRAW, DT, TICKS, query, rounded, ticks
 from drivespan.plans.chains import _EVENTS, _brakes
 from drivespan.plans.places import _points
 
@@ -86,4 +86,4 @@ def label_features(spark, sf):
     t = ticks(spark, sf)
     labels = t.filter("drive % 2 = 0").groupBy("drive", F.floor(F.col("tick") / 25).alias("group")).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
     out = cd.context(labels, t, "drive", "t", [("v_mps", "mean"), ("ax_mps2", "min"), ("yaw_dps", "absmax")], 5.0)
-    return out.select("drive", "group", F.round("v_mps_mean", 6).alias("v_mps_mean"), "ax_mps2_min", F.round("yaw_dps_absmax", 6).alias("yaw_dps_absmax"))
+    return out.select("drive", "group", rounded("v_mps_mean", 6).alias("v_mps_mean"), "ax_mps2_min", rounded("yaw_dps_absmax", 6).alias("yaw_dps_absmax"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from drivespan.operators import islands, scoring as sc
 from drivespan.plans.align import _PLACES
-from drivespan.plans.base import DT, SIG, TICKS, query, signals, ticks
+from drivespan.plans.base import DT, SIG, TICKS, query, rounded, signals, ticks
 from drivespan.plans.chains import _EVENTS, _brakes
 from drivespan.plans.places import _points
 
@@ -46,7 +46,7 @@ def gust_peaks(spark, sf):
     t = ticks(spark, sf).withColumns({"z1": F.col("ay_mps2") / 2, "z2": F.col("yaw_dps") / 8})
     fast = F.col("v_mps") > 10
     out = sc.gust_peaks(t, "drive", "t", "z1", "z2", {"along": (fast, F.lit(1)), "against": (fast, F.lit(-1))}, 0.6, 1.0, DT)
-    return out.select("set", "drive", *(F.round(c, 5).alias(c) for c in ("t_start", "t_peak", "t_end", "z")))
+    return out.select("set", "drive", *(rounded(c, 5).alias(c) for c in ("t_start", "t_peak", "t_end", "z")))
 
 
 @query(f"""WITH {TICKS}, {_EVENTS}, g AS (SELECT *, sum(CASE WHEN tick - p = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY drive ORDER BY tick) AS run FROM (SELECT *, lag(tick) OVER (PARTITION BY drive ORDER BY tick) AS p FROM ticks WHERE ax_mps2 < 1 AND abs(ay_mps2) - abs(v_mps * radians(yaw_dps)) >= 0.5)),

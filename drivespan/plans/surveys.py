@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from drivespan.functions.vehicle import unit_scale
 from drivespan.operators import candidates as cd, decode, surveys as sv
 from drivespan.plans.align import _PLACES
-from drivespan.plans.base import DT, SIG, TICKS, query, signals, table, ticks
+from drivespan.plans.base import DT, SIG, TICKS, query, rounded, signals, table, ticks
 from drivespan.plans.chains import _EVENTS, _brakes
 from drivespan.plans.places import _points
 from drivespan.sources import tables as src
@@ -89,14 +89,14 @@ SELECT g.id, coalesce((SELECT sign(x) FROM h WHERE h.id = g.id AND h.d = g.fd),
 def impact_metrics(spark, sf):
     hits = _brakes(spark, sf).select("drive", "id", F.col("t_start").alias("t_hit"))
     out = sv.impact_metrics(ticks(spark, sf), hits, "drive", "t", "yaw_dps", "steer_deg", (-0.3, 0.5), 0.5, (-0.5, 0.8), (-1.0, -0.4), [-1, 0, 1], DT, 2.0)
-    return out.select("id", "first_sign", F.round("first_dt", 5).alias("first_dt"), F.round("r0", 6).alias("r0"), F.round("r_best", 6).alias("r_best"), F.round("lag", 4).alias("lag"), F.round("precursor", 6).alias("precursor"))
+    return out.select("id", "first_sign", rounded("first_dt", 5).alias("first_dt"), rounded("r0", 6).alias("r0"), rounded("r_best", 6).alias("r_best"), rounded("lag", 4).alias("lag"), rounded("precursor", 6).alias("precursor"))
 
 
 @query(f"""WITH {TICKS}, {_EVENTS}, g AS (SELECT e.id, sqrt(avg(ws_fl ** 2)) AS fl, sqrt(avg(ws_fr ** 2)) AS fr, sqrt(avg(ws_rl ** 2)) AS rl, sqrt(avg(ws_rr ** 2)) AS rr, arg_max(t, (ws_fl, -t)) AS tfl, arg_max(t, (ws_fr, -t)) AS tfr, arg_max(t, (ws_rl, -t)) AS trl, arg_max(t, (ws_rr, -t)) AS trr FROM ev e JOIN ticks k ON k.drive = e.drive AND k.t BETWEEN e.t_start AND e.t_end GROUP BY e.id)
 SELECT id, round((fr + rr) / (fl + rl), 6) AS ratio, CASE WHEN fr + rr > fl + rl THEN 'right' ELSE 'left' END AS side, round(CASE WHEN fr + rr > fl + rl THEN trr - tfr ELSE trl - tfl END, 4) AS lag FROM g""")
 def wheel_side(spark, sf):
     out = sv.wheel_side(ticks(spark, sf), _brakes(spark, sf), "drive", "t", {w: f"ws_{w}" for w in ("fl", "fr", "rl", "rr")}, 1.0)
-    return out.select("id", F.round("ratio", 6).alias("ratio"), "side", F.round("lag", 4).alias("lag"))
+    return out.select("id", rounded("ratio", 6).alias("ratio"), "side", rounded("lag", 4).alias("lag"))
 
 
 _SCREEN = f"{TICKS}, sm AS (SELECT *, coalesce(v_mps >= 8 AND abs(avg(yaw_dps) OVER (PARTITION BY drive ORDER BY tick ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) < 14 AND NOT coalesce(bool_or(vsc_flag > 0.5) OVER (PARTITION BY drive ORDER BY tick ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), false) AND row_number() OVER (PARTITION BY drive ORDER BY tick) > 3 AND row_number() OVER (PARTITION BY drive ORDER BY tick) <= count(*) OVER (PARTITION BY drive) - 3, false) AS screened FROM ticks)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivespan.operators import decode as dc, geo
-from drivespan.plans.base import DT, SIG, TICKS, query, signals, table, ticks
+from drivespan.plans.base import DT, SIG, TICKS, query, rounded, signals, table, ticks
 
 _LL = "p AS (SELECT vec_id AS id, 50 + embedding[1]::DOUBLE * 10 AS lat, 10 + embedding[2]::DOUBLE * 10 AS lon FROM embeddings)"
 
@@ -56,7 +56,7 @@ def distance_driven(spark, sf):
 @query(f"WITH {TICKS}, r AS (SELECT drive, tick - 25.0 AS o, abs(ay_mps2) AS m FROM ticks), g AS (SELECT drive, max(m) FILTER (WHERE abs(o) <= 5) AS peak, arg_max(o, (m, -abs(o), o)) FILTER (WHERE abs(o) <= 5 AND m IS NOT NULL) AS at_, median(m) FILTER (WHERE abs(o) > 5 AND abs(o) <= 20) AS f FROM r GROUP BY drive) SELECT drive, peak, at_ AS peak_at, round(peak / nullif(f, 0), 5) AS contrast FROM g")
 def pass_metrics(spark, sf):
     r = ticks(spark, sf).withColumn("o", F.col("tick") - 25.0)
-    return geo.pass_metrics(r, ["drive"], "o", "ay_mps2", 5.0, 20.0).withColumn("contrast", F.round("contrast", 5))
+    return geo.pass_metrics(r, ["drive"], "o", "ay_mps2", 5.0, 20.0).withColumn("contrast", rounded("contrast", 5))
 
 
 @query("""WITH r AS (SELECT event_type || ':' || user_id AS site, (value > 100)::INT AS h, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC) AS r FROM events), g AS (SELECT site, count(*) :: INT AS n, sum(h) :: INT AS hits FROM r WHERE r > 1 GROUP BY site), t AS (SELECT g.*, unnest(range(hits, n + 1)) AS i FROM g),
@@ -70,7 +70,7 @@ def repeat_surprise(spark, sf):
 
 @query(f"WITH {TICKS}, w AS (SELECT drive, tick, avg((v_mps > 8)::INT) OVER x AS e, avg(ay_mps2) OVER x AS m, count(*) OVER x AS n FROM ticks WINDOW x AS (PARTITION BY drive ORDER BY tick ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)), k AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY m DESC, tick) AS r FROM w WHERE n = 8 AND e = 1 AND m IS NOT NULL) SELECT drive, tick, e :: DOUBLE AS exposed_share, round(m, 5) AS mean FROM k WHERE r = 1")
 def exposed_scan(spark, sf):
-    return geo.exposed_scan(ticks(spark, sf), "drive", "tick", F.col("v_mps") > 8, "ay_mps2", 8).withColumn("mean", F.round("mean", 5))
+    return geo.exposed_scan(ticks(spark, sf), "drive", "tick", F.col("v_mps") > 8, "ay_mps2", 8).withColumn("mean", rounded("mean", 5))
 
 
 @query(f"WITH {TICKS}, b AS (SELECT drive, floor(t / 0.5) AS b, avg(ax_mps2) AS x, avg(steer_deg) AS y FROM ticks GROUP BY 1, 2) SELECT drive, count(*) AS blocks, round(corr(x, y), 5) AS r FROM b GROUP BY drive")
