@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivespan.functions.draws import draw
@@ -70,19 +72,58 @@ def within_slope(df: DataFrame, site: str, x: str, y: str) -> DataFrame:
     return m.select(site, "n", "slope", (F.col("slope") / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0))).alias("t"))
 
 
-def pooled_permutation(df: DataFrame, site: str, drive: str, x: str, y: str, replicates: int, seed: int) -> DataFrame:
+#: Drives of a site whose products with those that a replicate maps to them are summed at once.
+BLOCK = 1 << 17
+
+
+def _moved_products(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """(r, xy): the part of each replicate's sum of x * y for which y stands in a's block and the x that its shift brings there in b's."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"r": np.empty(0, np.int32), "xy": np.empty(0)})
+    a, b = a.sort_values("k"), b.sort_values("k")
+    m, shifts = int(a["m"].iloc[0]), a["shifts"].dropna().iloc[0]
+    y, x, at, to = a["y"].to_numpy(), b["x"].to_numpy(), int(a["k"].iloc[0]), int(b["k"].iloc[0])
+    out = np.zeros(len(shifts))
+    for r, shift in enumerate(np.asarray(shifts, np.int64).tolist()):
+        for turn in (0, m):  # places beyond the last drive begin again
+            first = at + shift - turn
+            lo, hi = max(first, to), min(first + len(y), to + len(x))
+            if lo < hi:
+                out[r] += y[lo - first : hi - first] @ x[lo - to : hi - to]
+    return pd.DataFrame({"r": np.arange(len(shifts), dtype=np.int32), "xy": out})
+
+
+def pooled_permutation(df: DataFrame, site: str, drive: str, x: str, y: str, replicates: int, seed: int, block: int | None = None) -> DataFrame:
     """(slope, p): pooled within-site slope, and how often it is reached when each drive's x comes from another drive's, mapped anew in every replicate.
 
-    Drives enter as their means within sites. A replicate maps drive k of a site's n to drive (k + shift) mod n, the shift drawn by hash.
+    Drives enter as their means within sites. A replicate maps drive k of a site's n to drive (k + shift) mod n, the shift drawn by hash. Drives in order stand in blocks; a block meets those that some
+    shift maps it to, once for all replicates, so no drive becomes a row of each replicate. The sum of x * x is the same in all of them.
     """
+    block = block or BLOCK
     per = df.groupBy(site, drive).agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
     per = demeaned(per, [site], ["x", "y"])
     w = Window.partitionBy(site)
-    per = per.withColumn("k", F.row_number().over(w.orderBy(drive)) - 1).withColumn("m", F.count(F.lit(1)).over(w))
-    own = per.agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0))).alias("slope"))
-    moved = per.select(site, "k", "m", "y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("k", F.pmod(F.col("k") + F.floor(draw(seed, F.col("r"), F.col(site)) * F.col("m")), F.col("m")))
-    slopes = moved.join(per.select(site, "k", "x"), [site, "k"]).groupBy("r").agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0))).alias("s"))
-    return slopes.join(F.broadcast(own), F.lit(True)).agg(F.first("slope").alias("slope"), ((F.sum((F.abs("s") >= F.abs("slope")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
+    per = per.select(F.col(site).alias("site"), F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), (F.row_number().over(w.orderBy(drive)) - 1).cast("long").alias("k"), F.count(F.lit(1)).over(w).alias("m"))
+    per = checkpointed(per.withColumn("i", F.floor(F.col("k") / block)))
+    own = per.agg(F.nullif(F.sum(F.col("x") ** 2), F.lit(0.0)).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("own"))
+    shifts = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.floor(draw(seed, r, F.col("site")) * F.col("m")))
+    first = per.filter(F.col("k") == F.col("i") * block).select("site", "i", "k", "m", shifts.alias("shifts"))
+    place = lambda k: F.floor(k / block)
+
+    def met(s: Column) -> Column:
+        a, b = F.pmod(F.col("k") + s, F.col("m")), F.pmod(F.least(F.col("k") + block, F.col("m")) - 1 + s, F.col("m"))
+        last = place(F.col("m") - 1)
+        full = F.least(F.lit(block), F.col("m") - F.col("k")) == F.col("m")
+        return F.when(full, F.sequence(F.lit(0).cast("long"), last)).when(a <= b, F.sequence(place(a), place(b))).otherwise(F.concat(F.sequence(place(a), last), F.sequence(F.lit(0).cast("long"), place(b))))
+
+    pairs = first.select("site", "i", F.explode(F.array_distinct(F.flatten(F.transform("shifts", met)))).alias("j"))
+    left = per.select("site", "i", "k", "m", "y").join(first.select("site", "k", "shifts"), ["site", "k"], "left").join(pairs, ["site", "i"]).select(*(F.col(c).alias(c) for c in ("site", "i", "j", "k", "m", "y", "shifts")))  # columns of their own, as both come of one table
+    right = per.select("site", F.col("i").alias("j"), "k", "x").join(pairs, ["site", "j"]).select(*(F.col(c).alias(c) for c in ("site", "i", "j", "k", "x")))
+    keys = ["site", "i", "j"]
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_moved_products, "r int, xy double")
+    slopes = sums.groupBy("r").agg(F.sum("xy").alias("s"))
+    reached = F.abs(F.col("s") / F.col("xx")) >= F.abs(F.col("own") / F.col("xx"))
+    return slopes.join(F.broadcast(own), F.lit(True)).agg(F.first(F.col("own") / F.col("xx")).alias("slope"), ((F.sum(reached.cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def reversal(df: DataFrame, drive: str, sign: str, y: str) -> DataFrame:
