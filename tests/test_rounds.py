@@ -1,10 +1,13 @@
 """Loops and replicates whose cost must not grow faster than their rows."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 
 from drivespan import registry
-from drivespan.operators import sites as st, stats as ss
+from drivespan.operators import comparisons as cm, sites as st, stats as ss
 from drivespan.plans.base import signals
 from drivespan.sources.scratch import checkpointed
 from pyspark.sql import functions as F
@@ -33,3 +36,23 @@ def test_permutation_in_blocks_is_the_sqls(spark, sf_dir, block):
     (slope, p), = duck.execute(registry.ORACLES["pooled_permutation"]).fetchall()
     got = ss.pooled_permutation(df, "site", "drive", "x", "y", 99, 3, block).first()
     assert (round(got.slope, 8), round(got.p, 8)) == (slope, p)
+
+
+def test_bands_need_no_row_for_a_pair(spark, monkeypatch):
+    """Moments by band against all pairs, in slots of few observations."""
+    monkeypatch.setattr(cm, "SLOT", 8)
+    rng = np.random.default_rng(3)
+    places = [(k, *map(float, rng.uniform(0, 100, 2))) for k in range(60)]
+    obs = [(k, kind, day, float(rng.normal())) for k in range(60) for kind in "ab" for day in range(3) if rng.random() < 0.7]
+    _, bands = cm.station_agreement(spark.createDataFrame(obs, "station long, kind string, day long, v double"), spark.createDataFrame(places, "station long, x double, y double"), [20.0, 50.0], "kind", "day", "v")
+    want = {}
+    for a, kind, day, u in obs:
+        for b, other, when, v in obs:
+            d = math.dist(places[a][1:], places[b][1:])
+            if a < b and kind == other and day == when and d <= 50:
+                want.setdefault((kind, int(d > 20)), []).append((u, v))
+    got = {(r.kind, r.band): r for r in bands.collect()}
+    assert got.keys() == want.keys()
+    for k, uv in want.items():
+        u, v = np.array(uv).T
+        assert got[k].n == len(uv) and abs(got[k].r - np.corrcoef(u, v)[0, 1]) < 1e-9 and abs(got[k].mean_abs_diff - np.abs(u - v).mean()) < 1e-9
