@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +14,8 @@ from drivespan.sources.scratch import checkpointed
 
 #: Cells with more pairs than this are taken in blocks of two slots of about SLOT points each.
 MANY_PAIRS, SLOT = 1 << 18, 1024
+#: How often a search for the nearest halves its radius at most.
+HALVES = 12
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, t: str, value: str, direction: str = "backward", tolerance: float | None = None, out: str = "matched") -> DataFrame:
@@ -123,6 +126,28 @@ def near_reduced(a: DataFrame, b: DataFrame, x: str, y: str, radius: float, nati
     return native(cold).unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, schema))
 
 
+def nearest_pairs(a: DataFrame, b: DataFrame, at: list[str], radius: float, least: int, kinds: list[str] | None = None) -> DataFrame:
+    """a's columns and b's (prefixed b_): pairs among which are, for each row of a, all rows of b within the radius, or, where b is dense, within a half, quarter, ... of it that holds `least` rows of the same kinds for sure.
+
+    at: coordinates, the same names on both sides; kinds: columns of both that must be equal for a row of b to count. A cell of half the width lies within the width of each of its points, so a row of a
+    takes the narrowest width at which its own such cell holds enough, and meets the cells of that width around it. The pairs grow with the rows of a, not with the density of b, unless a neighbour cell is much denser.
+    """
+    kinds = kinds or []
+    width = F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("__l"))
+    cells = [f"__c{i}" for i in range(len(at))]
+    every = F.explode(F.sequence(F.lit(0), F.lit(HALVES))).alias("__l")
+    fine = lambda d: d.select(*at, *kinds, every).select(*at, *kinds, "__l", *(F.floor(F.col(c) / (width / 2)).alias(n) for c, n in zip(at, cells, strict=True)))
+    enough = fine(b).groupBy("__l", *cells, *kinds).count().filter(F.col("count") >= least).drop("count")
+    level = fine(a.select(*at, *kinds).distinct()).join(enough, ["__l", *cells, *kinds]).groupBy(*at, *kinds).agg(F.max("__l").alias("__l"))
+    p = a.join(level, [*at, *kinds], "left").select(*a.columns, F.coalesce("__l", F.lit(0)).alias("__l"))
+    moves = F.inline(F.array(*(F.struct(*(F.lit(i).alias(f"__m{k}") for k, i in enumerate(move))) for move in itertools.product((-1, 0, 1), repeat=len(at)))))
+    p = p.select("*", moves).select(*p.columns, *((F.floor(F.col(c) / width) + F.col(f"__m{k}")).alias(n) for k, (c, n) in enumerate(zip(at, cells, strict=True))))
+    q = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns), every).select("*", *(F.floor(F.col(f"b_{c}") / width).alias(n) for c, n in zip(at, cells, strict=True)))
+    # a number of its own, as few bytes meet in many pairs, which one task would have to make
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return p.repartition(parts, "__l", *cells).join(q.repartition(parts, "__l", *cells).hint("merge"), ["__l", *cells]).drop("__l", *cells)
+
+
 def turned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """heading_difference() of every a and every b."""
     d = np.abs(np.mod(a[:, None] - b[None, :], 360.0))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from drivespan.operators.joins import heading_difference, near_pairs, near_reduced, turned
+from drivespan.operators.joins import heading_difference, near_pairs, near_reduced, nearest_pairs, turned
 from drivespan.sources.scratch import checkpointed
 
 
@@ -185,18 +185,18 @@ def uniqueness(events: DataFrame, passes: DataFrame, x: str, y: str, drive: str,
 def weather_near(points: DataFrame, stations: DataFrame, radius_m: float, k: int) -> DataFrame:
     """(id, station, dist_m, rank): up to k stations within the radius, nearest first.
 
-    Places on the sphere meet on cubes as wide as the radius: stations are dealt to their own cube and its neighbours, so poles and
-    the date line need no care and no list is too long.
+    Places on the sphere meet on cubes as wide as the radius, or as a half, quarter, ... of it where stations are so dense that k lie within it; poles and
+    the date line need no care. Of stations at one place the k least are enough.
     """
     from drivespan.functions.vehicle import EARTH_M, haversine_m
 
     lat, lon = F.radians("lat"), F.radians("lon")
-    cube = [F.floor(c * (EARTH_M / radius_m)).cast("int") for c in (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))]
-    names = ["__cx", "__cy", "__cz"]
-    near = F.array(*(F.struct(*((c + i).alias(n) for c, i, n in zip(cube, move, names, strict=True))) for move in itertools.product((-1, 0, 1), repeat=3)))
-    s = stations.select("station", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.inline(near))
-    met = points.withColumns(dict(zip(names, cube, strict=True))).join(s, names).withColumn("dist_m", haversine_m(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))).filter(F.col("dist_m") <= radius_m)
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist_m", "station"))).filter(F.col("rank") <= k).select("id", "station", "dist_m", "rank")
+    unit = {"__ux": F.cos(lat) * F.cos(lon), "__uy": F.cos(lat) * F.sin(lon), "__uz": F.sin(lat)}
+    first = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("station"))
+    s = stations.select("station", "lat", "lon", first.alias("__r")).filter(F.col("__r") <= k).select("station", "lat", "lon", *(c.alias(n) for n, c in unit.items()))
+    met = nearest_pairs(points.select("id", "lat", "lon", *(c.alias(n) for n, c in unit.items())), s, list(unit), radius_m / EARTH_M, k)
+    met = met.withColumn("dist_m", haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))).filter(F.col("dist_m") <= radius_m)
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist_m", "b_station"))).filter(F.col("rank") <= k).select("id", F.col("b_station").alias("station"), "dist_m", "rank")
 
 
 def idw(obs: DataFrame, key: str, value: str, dist: str) -> DataFrame:
