@@ -165,8 +165,16 @@ def priority_class(hits: list[Column]) -> Column:
 
 
 def road_match(points: DataFrame, ways: DataFrame, x: str, y: str, heading: str, radius: float, turn: float) -> DataFrame:
-    """(id, way, dist): the nearest way point (way, x, y, bearing, oneway) that agrees in bearing, either way round on two-way roads."""
-    near = near_pairs(points, ways, x, y, radius)
+    """(id, way, dist): the nearest way point (way, x, y, bearing, oneway) that agrees in bearing, either way round on two-way roads.
+
+    Where ways are dense a narrower radius that holds one of the point's sector of headings suffices. Of way points alike in all the least is enough.
+    """
+    sectors = math.ceil(360.0 / turn) if turn > 0 else 0
+    sector = lambda c: F.floor(F.pmod(F.col(c), F.lit(360.0)) * (sectors / 360.0))
+    kind = sector if 0 < turn else lambda c: F.col(c)
+    w = ways.groupBy(x, y, "bearing", "oneway").agg(F.min("way").alias("way")).withColumn("__kind", kind("bearing"))
+    near = nearest_pairs(points.select("id", x, y, heading, kind(heading).alias("__kind")), w, [x, y], radius, 1, ["__kind"])
+    near = near.withColumn("dist", F.sqrt((F.col(x) - F.col(f"b_{x}")) ** 2 + (F.col(y) - F.col(f"b_{y}")) ** 2)).filter(F.col("dist") <= radius)
     d = heading_difference(F.col(heading), F.col("b_bearing"))
     agree = (d <= turn) | (~F.col("b_oneway") & (180.0 - d <= turn))
     return near.filter(agree).groupBy("id").agg(F.min_by("b_way", F.struct("dist", "b_way")).alias("way"), F.min("dist").alias("dist"))

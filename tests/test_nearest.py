@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from drivespan.operators import joins, sites as st
 
@@ -30,3 +31,17 @@ def test_stations_of_dense_places(spark, monkeypatch, spread):
         d = 2 * 6371008.8 * np.arcsin(np.sqrt(np.sin((lat - lat[k]) / 2) ** 2 + math.cos(lat[k]) * np.cos(lat) * np.sin((lon - lon[k]) / 2) ** 2))
         assert [got[k][i] for i in sorted(got[k])] == [int(i) for i in np.lexsort((np.arange(len(d)), d)) if d[i] <= 60000.0][:3]
     assert found[0].count() <= 400 * len(rows)
+
+
+def test_ways_of_dense_places(spark, monkeypatch):
+    found = counted(monkeypatch)
+    rng = np.random.default_rng(5)
+    rows = [(k, float(x), float(y), float(h), bool(o)) for k, (x, y, h, o) in enumerate(zip(rng.uniform(0, 30, 1200), rng.uniform(0, 30, 1200), rng.uniform(-180, 180, 1200), rng.integers(0, 2, 1200), strict=True))] + [(2000 + k, 5.0, 5.0, 9.0, False) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, hdg double, oneway boolean")
+    ways = df.filter(F.col("id") % 3 > 0).withColumnsRenamed({"id": "way", "hdg": "bearing"})
+    got = {r.id: r.way for r in st.road_match(df, ways, "x", "y", "hdg", 40.0, 25.0).collect()}
+    turn = lambda a, b: min((a - b) % 360, (b - a) % 360)
+    for p in rows[::9]:
+        agree = [(math.dist(p[1:3], q[1:3]), q[0]) for q in rows if q[0] % 3 and math.dist(p[1:3], q[1:3]) <= 40 and (turn(p[3], q[3]) <= 25 or (not q[4] and 180 - turn(p[3], q[3]) <= 25))]
+        assert got.get(p[0]) == (min(agree)[1] if agree else None)
+    assert found[0].count() <= 400 * len(rows)
