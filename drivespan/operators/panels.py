@@ -1,20 +1,27 @@
 """Fits with effects of drives and places: two-way effects by conjugate gradients, folds over delays, offsets by direction.
 
 Rows are reduced to moments of (drive, place) cells first. The effects of two sides are the solution of sparse normal equations; one side is
-eliminated, and what is left is solved by conjugate gradients whose matrix products are joins of the cells with the two sides. Several
-systems (a bootstrap's replicates) are solved side by side, each with steps of its own.
+eliminated, and what is left is solved by conjugate gradients whose matrix products are joins of the cells with the two sides; where the side that
+is left has few levels, its equations are summed up in one pass and solved at once. Several systems (a bootstrap's replicates) are solved side by side, each with steps of its own.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivespan.functions.draws import draw
 from drivespan.operators.evaluation import poisson
 from drivespan.sources.scratch import checkpointed
 
+#: So many levels are solved for at once at most, and so many numbers of all systems' equations come to the driver.
+FEW_LEVELS, FEW_NUMBERS = 64, 1 << 17
+
 
 def cells(df: DataFrame, a: str, b: str, columns: list[str]) -> DataFrame:
     """(part 0, a, b, n, s_<c>, s_<c>_<d>): moment sums of the columns by cell, over rows that have all of them."""
@@ -28,12 +35,56 @@ def _by_part(values: dict[int, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in sorted(values.items()) for x in pair))[F.col("part")]
 
 
+def _solved(table: DataFrame, columns: list[str], levels: list) -> DataFrame:
+    """(part, b, x_<c>): what the effects of the few levels of b are when those of a are eliminated. The equations are sums over a's levels, which add up whatever task holds them."""
+    spark, m = table.sparkSession, len(levels)
+    kind = dict(table.dtypes)["b"]
+    codes = spark.createDataFrame([(v, i) for i, v in enumerate(levels)], f"b {kind}, code int")
+    rows = table.join(F.broadcast(codes), "b").groupBy("part", "a").agg(F.collect_list(F.struct("code", "n", *(f"s_{c}" for c in columns))).alias("cells"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cells, parts = batch.column("cells"), batch.column("part").to_numpy()
+            owner, flat = np.repeat(np.arange(len(parts)), pc.list_value_length(cells).to_numpy()), cells.flatten()
+            code, n, *sizes = (np.asarray(v) for v in flat.flatten())
+            held = np.zeros((len(parts), m))
+            held[owner, code] = n
+            mean = held / held.sum(axis=1, keepdims=True)
+            for k in np.unique(parts).tolist():
+                own = parts[owner] == k
+                left = [np.bincount(code[own], s[own], m) - mean[parts == k].T @ np.bincount(owner[own], s[own], len(parts))[parts == k] for s in sizes]
+                new = np.column_stack([np.diag(held[parts == k].sum(axis=0)) - mean[parts == k].T @ held[parts == k], held[parts == k].sum(axis=0), *left])
+                total[k] = total[k] + new if k in total else new
+        for k, v in total.items():
+            i, j = np.indices(v.shape).reshape(2, -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(v.size, k, np.int32)), pa.array(i), pa.array(j), pa.array(v.ravel())], ["part", "i", "j", "v"])
+
+    got: dict[int, np.ndarray] = {}
+    for r in rows.select("part", "cells").mapInArrow(sums, "part int, i int, j int, v double").groupBy("part", "i", "j").agg(F.sum("v").alias("v")).collect():
+        got.setdefault(r.part, np.zeros((m, m + 1 + len(columns))))[r.i, r.j] = r.v
+    out = []
+    for k, v in got.items():
+        left, all_, right = v[:, :m], v[:, m], v[:, m + 1 :]
+        some = np.diag(left) > 1e-12 * all_  # a level that shares no a with another has nothing to solve
+        scale = np.where(some, 1 / np.sqrt(np.where(some, np.diag(left), 1.0)), 0.0)
+        x = scale[:, None] * np.linalg.lstsq(scale[:, None] * left * scale, scale[:, None] * right, rcond=1e-10)[0]
+        out += [(k, level, *map(float, x[i])) for i, level in enumerate(levels)]
+    return spark.createDataFrame(out, f"part int, b {kind}, " + ", ".join(f"x_{c} double" for c in columns))
+
+
 def effects(table: DataFrame, columns: list[str], tolerance: float = 1e-10, most_rounds: int = 1000) -> DataFrame:
     """table (part, a, b, n, s_<c>, ...; a checkpointed one) with f_<c>: what the effects of a and b together make of c in the cell, by least squares.
 
     Conjugate gradients with the diagonal as preconditioner run until each system's residual is `tolerance` of its start; components that are not linked are solved alike. A round is one
-    checkpointed table of the b side. Raises if most_rounds do not suffice: they are needed as long as the longest chain of cells that hang together.
+    checkpointed table of the b side. Raises if most_rounds do not suffice: they are needed as long as the longest chain of cells that hang together. If b has at most FEW_LEVELS levels there are no rounds.
     """
+    levels = [r.b for r in table.select("b").distinct().limit(FEW_LEVELS + 1).collect()]
+    parts = (table.agg(F.max("part")).first()[0] or 0) + 1
+    if 0 < len(levels) <= FEW_LEVELS and parts * len(levels) * (len(levels) + 1 + len(columns)) <= FEW_NUMBERS:
+        n, own = F.col("n"), Window.partitionBy("part", "a")
+        with_b = table.join(F.broadcast(_solved(table, columns, levels)), ["part", "b"])
+        return with_b.select(*table.columns, *((F.col(f"x_{c}") + F.sum(F.col(f"s_{c}") - n * F.col(f"x_{c}")).over(own) / F.sum(n).over(own)).alias(f"f_{c}") for c in columns))
     side = table.groupBy("part", "a").agg(F.sum("n").alias("na"), *((F.sum(f"s_{c}") / F.sum("n")).alias(f"m_{c}") for c in columns))
     side = checkpointed(side)
     n = F.col("n")
@@ -142,8 +193,6 @@ def direction_offsets(windows: DataFrame, drive: str, order: list[str], off: str
     In a replicate of the bootstrap a window counts a Poisson number of times; in one of the permutation the offsets are moved on by a drawn number of windows, cyclically, which keeps what neighbours share.
     Drives with fewer than `least` windows have no row. Windows stand for minutes, so a drive's are numbered in one window.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(drive)
     rows = windows.filter(F.col(off).isNotNull() & F.col(heading).isNotNull()).select(F.col(drive).alias("drive"), *order, F.col(off).cast("double").alias("off"), F.radians(F.col(heading)).alias("h"))
     w = Window.partitionBy("drive")

@@ -51,6 +51,23 @@ def test_two_way_bootstrap(spark):
     assert np.allclose([got.low, got.high], np.percentile(slopes, [2.5, 97.5]), atol=1e-6)
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_few_levels_need_no_rounds(spark, monkeypatch, few):
+    """Levels that hang together in two groups, and one level by itself, solved at once and in rounds: the same fitted values."""
+    rng = np.random.default_rng(9)
+    rows = [(int(a), f"p{a % 2 * 4 + rng.integers(0, 4)}", float(rng.normal()), float(rng.normal())) for a in rng.integers(0, 30, 300)] + [(99, "alone", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "a long, b string, x double, y double")
+    table = pn.checkpointed(pn.cells(df, "a", "b", ["x", "y"]).unionByName(pn.cells(df.filter("a % 3 > 0"), "a", "b", ["x", "y"]).withColumn("part", F.lit(1))))
+    monkeypatch.setattr(pn, "FEW_LEVELS", few)
+    got = pn.effects(table, ["x", "y"], most_rounds=0 if few else 1000).collect()
+    for part, mine in ((0, rows), (1, [r for r in rows if r[0] % 3])):
+        levels = [sorted({r[k] for r in mine}) for k in (0, 1)]
+        d = np.array([[r[0] == v for v in levels[0]] + [r[1] == v for v in levels[1]] for r in mine], float)
+        fit = d @ np.linalg.lstsq(d, np.array([r[2:] for r in mine]), rcond=None)[0]
+        want = {r[:2]: f for r, f in zip(mine, fit, strict=True)}
+        assert all(np.allclose([r.f_x, r.f_y], want[r.a, r.b], atol=1e-7) for r in got if r.part == part) and sum(r.part == part for r in got) == len(want)
+
+
 def test_queries_over_whole_tables(spark, sf_dir):
     """The interval's every replicate by dummies, and the offsets of every drive by the operator on its rows one drive at a time."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", F.col("l_partkey") % 40, "l_quantity", "l_extendedprice").toPandas().to_numpy(float)
