@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivespan.operators import review as rv
-from drivespan.plans.base import DRAW, SIG, TICKS, query, signals, table, ticks
+from drivespan.plans.base import DRAW, SIG, TICKS, query, rounded, signals, table, ticks
 from drivespan.streaming import jobs
 
 _EP = "ep AS (SELECT *, CASE WHEN risky THEN 'P' ELSE 'N' END || CASE WHEN n < 10 THEN '0' || n ELSE '' || n END AS eid FROM (SELECT *, row_number() OVER (PARTITION BY risky ORDER BY drive, t) AS n FROM (SELECT drive, t, v > 250 AS risky FROM sig WHERE channel = 'error' AND event_id % 3 <> 0)))"
@@ -150,4 +150,4 @@ def stream_next_drives(spark, sf):
     """A device's drives, each let go when the next one has begun, with a last flush: days stand for drives."""
     s = _stream(spark, sf).withColumn("drive", F.floor(F.unix_micros("ts") / 86400e6))
     out = jobs.run_all_drives(s, "user_id", "drive", "ts", "2 hours")
-    return out.select("device", "drive", F.round("t_start", 4).alias("t_start"), F.round("t_end", 4).alias("t_end"), "segments")
+    return out.select("device", "drive", rounded("t_start", 4).alias("t_start"), rounded("t_end", 4).alias("t_end"), "segments")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -58,29 +60,41 @@ PENDING = "drives array<long>, firsts array<double>, lasts array<double>, segmen
 DRIVES = "device long, drive long, t_start double, t_end double, segments long"
 
 
+def _complete(held: dict[int, list], now: float) -> tuple[list[int], float | None]:
+    """The drives (first, last, segments by drive) whose next one has begun by `now`, and when the earliest next one of the others begins."""
+    starts = sorted(a for a, _, _ in held.values())
+    at = {d: bisect.bisect_right(starts, b) for d, (_, b, _) in held.items()}
+    follows = {d: starts[k] for d, k in at.items() if k < len(starts)}
+    return sorted(d for d, s in follows.items() if s <= now), min((s for s in follows.values() if s > now), default=None)
+
+
 def drives_by_next(stream: DataFrame, device: str, drive: str, ts: str, late: str) -> DataFrame:
     """(device, drive, t_start, t_end, segments) of each drive once its device's next one has begun and rows from before that can no longer come.
 
     A device's drives must not interleave. Rows may come in any order within `late` of the newest; their drives are kept as four numbers each until an event-time timer, set to
-    the next drive's begin, lets them go. A device's last drive has no next one: last_drives() gives what is left.
+    the next drive's begin, lets them go. A device's last drive has no next one: last_drives() gives what is left. A device costs few frames, as there may be very many with few rows.
     """
 
     def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {int(d): [float(a), float(b), int(n)] for d, a, b, n in zip(*state.get, strict=True)} if state.exists else {}
+        held = {d: [a, b, n] for d, a, b, n in zip(*state.get, strict=True)} if state.exists else {}
         for pdf in batches:
-            for d, g in pdf.groupby("drive")["t"]:
-                a, b, n = held.get(int(d), (float("inf"), float("-inf"), 0))
-                held[int(d)] = [min(a, float(g.min())), max(b, float(g.max())), n + len(g)]
-        now = state.getCurrentWatermarkMs() / 1000
-        starts = sorted(a for a, _, _ in held.values())
-        follows = {d: next((s for s in starts if s > b), None) for d, (_, b, _) in held.items()}
-        done = sorted(d for d, s in follows.items() if s is not None and s <= now)
-        out = pd.DataFrame([(who[0], d, *held.pop(d)) for d in done], columns=["device", "drive", "t_start", "t_end", "segments"])
+            if not len(pdf):
+                continue
+            drives, t = pdf["drive"].to_numpy(), pdf["t"].to_numpy()
+            order = np.argsort(drives, kind="stable")
+            drives, t = drives[order], t[order]
+            at = np.flatnonzero(np.r_[True, drives[1:] != drives[:-1]])
+            for d, lo, hi, k in zip(drives[at].tolist(), np.minimum.reduceat(t, at).tolist(), np.maximum.reduceat(t, at).tolist(), np.diff(np.r_[at, len(t)]).tolist(), strict=True):
+                a, b, n = held.get(d, (lo, hi, 0))
+                held[d] = [min(a, lo), max(b, hi), n + k]
+        done, wait = _complete(held, state.getCurrentWatermarkMs() / 1000)
+        gone = [(d, *held.pop(d)) for d in done]
         state.update(tuple(list(x) for x in zip(*((d, *v) for d, v in sorted(held.items())), strict=True)) or ([], [], [], []))
-        waits = [s for d, s in follows.items() if d in held and s is not None]
-        if waits:
-            state.setTimeoutTimestamp(int(min(waits) * 1000) + 1)
-        yield out.astype({"device": "int64", "drive": "int64", "t_start": float, "t_end": float, "segments": "int64"})
+        if wait is not None:
+            state.setTimeoutTimestamp(int(wait * 1000) + 1)
+        if gone:
+            d, a, b, n = (np.array(x) for x in zip(*gone, strict=True))
+            yield pd.DataFrame({"device": np.full(len(d), who[0], np.int64), "drive": d.astype(np.int64), "t_start": a, "t_end": b, "segments": n.astype(np.int64)})
 
     rows = stream.withWatermark(ts, late).select(F.col(device).cast("long").alias("device"), F.col(drive).cast("long").alias("drive"), F.col(ts), (F.unix_micros(ts) / 1e6).alias("t"))
     return rows.groupBy("device").applyInPandasWithState(step, DRIVES, PENDING, "append", GroupStateTimeout.EventTimeTimeout)

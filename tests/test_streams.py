@@ -37,3 +37,15 @@ def test_last_drives_of_nothing(spark, tmp_path):
     stream = files(spark, tmp_path / "in", [[(1, 1, 0)], [(1, 1, 60)]])
     got = jobs.run_all_drives(stream, "device", "drive", "ts", "1 minute").select("device", "drive", "segments", F.round(F.col("t_end") - F.col("t_start")).alias("s")).collect()
     assert [tuple(r) for r in got] == [(1, 1, 2, 60.0)]
+
+
+def test_a_device_with_very_many_drives_waiting():
+    """What is complete takes one search for each drive, not one look at each pair."""
+    import time
+
+    from drivespan.streaming.jobs import _complete
+
+    n, began = 100_000, time.time()
+    done, wait = _complete({k: [10.0 * k, 10.0 * k + 5, 1] for k in range(n)}, 10.0 * (n - 5))
+    assert done == list(range(n - 5)) and wait == 10.0 * (n - 4) and time.time() - began < 10
+    assert _complete({7: [0.0, 5.0, 2]}, 100.0) == ([], None) and _complete({}, 0.0) == ([], None)
