@@ -4,9 +4,9 @@ A 64-bit fingerprint is split into blocks. Two fingerprints that differ in at mo
 bits agree on all but `radius` of the blocks, so a key for every choice of `agree` =
 blocks - radius blocks puts each such pair under at least one common key.
 
-similar_dedup() finds texts by the similarity of their five-word shingles instead. At 0.8 two fingerprints of 64 bits
-differ in 9.7 bits on average, too many for blocks of their bits, so its blocks are bands of least shingle hashes; the
-Hamming radius only sorts out chance meetings, and every link is verified by exact similarity.
+similar_dedup() takes fingerprints of five-word shingles through the same blocks and links, and verifies the texts of each group by exact
+similarity. At 0.8 two fingerprints of 64 bits differ in 9.7 bits on average, too many for blocks of their bits, so what lies beyond
+the blocks' radius is found by bands of least shingle hashes besides; there a wide Hamming radius sorts out chance meetings, and every link is verified alike.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ BUCKET = 8
 WIDTH, SIMILAR = 5, 0.8
 #: Bands of ROWS least hashes each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996.
 BANDS, ROWS = 20, 5
+#: Bits within which the blocks of fingerprints link texts, as in groups().
+LINKED = 3
 #: At similarity 0.8 a bit differs with probability acos(1.6 / 1.8) / pi = 0.15, so more than 24 of 64 do in a few of a million pairs.
 RADIUS = 24
 #: A bucket with more texts than SMALL_BAND is cut into slots of about SLOT texts and SLOT_SHINGLES shingles.
@@ -296,14 +298,14 @@ def _similar_forest(sig: np.ndarray, fp: np.ndarray, flat: np.ndarray, per: np.n
 def similar_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """(u, v): links between the signatures of reps (sig, first, fp, n, keys) that connect the texts whose shingle sets are similar enough.
 
-    Of buckets with the same members one is kept. The members of small ones are paired, each pair is met once and verified;
+    Buckets are the groups of linked fingerprints and the bands. Of buckets with the same members one is kept. The members of small ones are paired, each pair is met once and verified;
     in larger ones every two slots meet in a task of bounded size that gives a spanning forest of the verified links.
     """
-    keyed = reps.select("sig", "n", F.explode("keys").alias("key"))
+    keyed = reps.select("sig", "first", "fp", "n", F.explode("keys").alias("key")).unionByName(fingerprint_groups(reps))
     same = F.struct(F.min("sig"), F.max("sig"), F.bit_xor(F.xxhash64("sig")), F.count("*"))
     sizes = keyed.groupBy("key").agg(same.alias("same"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
     buckets = sizes.groupBy("same").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("shingles").alias("shingles")).drop("same")
-    members = reps.select("sig", "first", "fp", F.explode("keys").alias("key")).join(written(buckets, "similar-sizes").hint("merge"), "key")
+    members = keyed.drop("n").join(written(buckets, "similar-sizes").hint("merge"), "key")
     members = written(members, "similar-buckets")
     firsts = members.select(F.col("first.id").alias("doc_id"), F.col("first.text_hash").alias("__hash")).distinct()
     sets = written(_shingle_sets(docs.select("doc_id", "text", F.xxhash64("text").alias("__hash")).join(firsts.hint("merge"), ["doc_id", "__hash"], "left_semi"), width), "similar-sets")
@@ -332,6 +334,15 @@ def similar_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, similar:
     return pairs.unionByName(forests)
 
 
+def fingerprint_groups(reps: DataFrame, radius: int = LINKED) -> DataFrame:
+    """(sig, first, fp, n, key) of the texts of reps that have words: key names the group that links of up to `radius` bits between fingerprints reach, as in groups()."""
+    rows = reps.filter("n > 0").select("sig", "first", "fp", "n")
+    fps = written(rows.select("fp").distinct(), "similar-fingerprints")
+    kin = connected_components(links(fps, radius, agreeing(fps.count(), radius))).withColumnRenamed("node", "fp")
+    key = F.xxhash64(F.lit("fingerprints"), F.coalesce("component", "fp"))
+    return written(rows.join(kin.hint("merge"), "fp", "left").select(*rows.columns, key.alias("key")), "similar-kin")
+
+
 def similar_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """(id, text_hash, first) of every row with a doc_id: first is the least (id, text_hash) that links of exact shingle similarity, from `similar` up, reach.
 

@@ -205,6 +205,21 @@ def test_op10_rows(spark, sf_dir):
         assert got.loc[r.doc_id, "fingerprint"] == f"{brute_print(r.text):016x}"
 
 
+def test_similar_dedup_links_by_blocks_of_fingerprints(spark, monkeypatch):
+    """Without any band in common, near copies whose fingerprints lie within the blocks' radius still meet, and only those of exact similarity go."""
+    rng = np.random.default_rng(6)
+    bases = [[f"w{i}" for i in rng.integers(0, 3000, 400)] for _ in range(12)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(bases)] + [(100 + k, " ".join([*b, f"z{k}"])) for k, b in enumerate(bases)]
+    docs = spark.createDataFrame([*rows, (300, ""), (301, "far away")], "doc_id long, text string")
+    near = {r.id: r.fp for r in simhash.shingle_prints(docs).collect()}
+    want = {k for k in range(12) if (near[k] ^ near[100 + k]).bit_count() <= simhash.LINKED}
+    assert len(want) > 8
+    prints = simhash.shingle_prints
+    monkeypatch.setattr(simhash, "shingle_prints", lambda *a: prints(*a).withColumn("keys", F.when(F.col("n") > 0, F.array(F.xxhash64("id"))).otherwise(F.col("keys"))))
+    gone = {100 + k for k in want}
+    assert {r.doc_id for r in simhash.similar_dedup(docs).collect()} == {k for k, _ in rows} - gone | {300, 301}
+
+
 def test_similar_dedup_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     say = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
