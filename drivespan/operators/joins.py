@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivespan.sources.scratch import checkpointed
 
 #: Cells with more pairs than this are taken in blocks of two slots of about SLOT points each.
 MANY_PAIRS, SLOT = 1 << 18, 1024
+#: Points of a cell that one stream of those around it passes by, and how many distances are held at once.
+STREAM_SLOT, TILE = 2048, 1 << 20
 #: How often a search for the nearest halves its radius at most.
 HALVES = 12
 
@@ -126,6 +129,73 @@ def near_reduced(a: DataFrame, b: DataFrame, x: str, y: str, radius: float, nati
     return native(cold).unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, schema))
 
 
+def near_streamed(a: DataFrame, b: DataFrame, x: str, y: str, radius: float, order: list[str], begin: Callable[[], object], schema: str, slot: int | None = None) -> DataFrame:
+    """Rows of `schema` that workers make of a's points and the points of b within the radius of each; no pair of points is shuffled, sorted or spilled.
+
+    a's points lie in slots of their cell. All of b around a cell passes by each of its slots once, in the order given: a worker (made by begin()) first takes its slot's points by own(), then gives rows by met() of one stretch
+    of the stream after the other, and what is left by end(). So a task holds a slot and a batch, however hot the cell. Columns of one name on both sides must be of one type.
+    """
+    slot = slot or STREAM_SLOT
+    at = ["__cx", "__cy"]
+    cell = lambda c: F.floor(c / radius)
+    p = a.withColumn("__cx", cell(F.col(x))).withColumn("__cy", cell(F.col(y)))
+    around = F.array(*(F.struct((cell(F.col(x)) + i).alias("__cx"), (cell(F.col(y)) + j).alias("__cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    slots = p.groupBy(*at).agg(F.ceil(F.count("*") / slot).cast("int").alias("__n"))
+    own = p.join(slots, at).select(*at, F.pmod(F.xxhash64(*(F.col(c) for c in a.columns)), F.col("__n")).cast("int").alias("__slot"), F.lit(0).alias("__kind"), *a.columns)
+    met = b.select(F.inline(around), *b.columns).join(slots, at).select(*at, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__slot"), F.lit(1).alias("__kind"), *b.columns)
+    keys = [*at, "__slot", "__kind"]
+    # a number of its own, as few bytes meet in many pairs, which one task would have to make
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = own.unionByName(met, allowMissingColumns=True).repartition(parts, *keys[:3]).sortWithinPartitions(*keys, *order)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, work = None, None
+        for batch in batches:
+            k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in itertools.pairwise(cuts):
+                if lo == hi:
+                    continue
+                key = tuple(k[:3, lo].tolist())
+                if key != here:
+                    if work is not None:
+                        yield from work.end()
+                    here, work = key, begin()
+                piece = batch.slice(lo, hi - lo)
+                if k[3, lo] == 0:
+                    work.own(piece)
+                else:
+                    yield from work.met(piece)
+        if work is not None:
+            yield from work.end()
+
+    return rows.mapInArrow(passing, schema)
+
+
+def told_apart(a: DataFrame, key: str, once: Callable[[DataFrame], DataFrame], often: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """once() of a's rows whose key no other has, and often() of the rest, where there is any."""
+    many = checkpointed(a.groupBy(key).count().filter("count > 1").select(F.col(key).alias("__many")))
+    if many.isEmpty():
+        return once(a)
+    alike = F.col(key).eqNullSafe(F.col("__many"))
+    return once(a.join(many, alike, "left_anti")).unionByName(often(a.join(many, alike, "left_semi")))
+
+
+def farthest(radius: float) -> float:
+    """The greatest double whose root is within the radius."""
+    z = float(radius) * float(radius)
+    while np.sqrt(z) <= radius:
+        z = np.nextafter(z, np.inf)
+    while np.sqrt(z) > radius:
+        z = np.nextafter(z, -np.inf)
+    return float(z)
+
+
+def numbers(piece: pa.RecordBatch, column: str) -> np.ndarray:
+    """A column as doubles, null as NaN."""
+    return piece.column(column).to_numpy(zero_copy_only=False).astype(float)
+
+
 def nearest_pairs(a: DataFrame, b: DataFrame, at: list[str], radius: float, least: int, kinds: list[str] | None = None) -> DataFrame:
     """a's columns and b's (prefixed b_): pairs among which are, for each row of a, all rows of b within the radius, or, where b is dense, within a half, quarter, ... of it that holds `least` rows of the same kinds for sure.
 

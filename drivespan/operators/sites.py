@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from drivespan.operators.joins import heading_difference, near_pairs, near_reduced, nearest_pairs, turned
+from drivespan.operators.joins import TILE, farthest, heading_difference, near_pairs, near_reduced, near_streamed, nearest_pairs, numbers, told_apart, turned
 from drivespan.sources.scratch import checkpointed
 
 
@@ -89,12 +91,120 @@ def assign_sites(points: DataFrame, x: str, y: str, heading: str, strength: str,
     return points.select("id").join(cover, "id", "left").join(own, "id", "left").select("id", F.coalesce("seed", "site").alias("site"))
 
 
-def site_passes(sites: DataFrame, ticks: DataFrame, x: str, y: str, radius: float, drive: str, t: str, gap: float) -> DataFrame:
-    """(site, drive, pass, t_start, t_end, t_near, dist): every stretch of a drive within the radius of a site, whether or not anything happened; a pause longer than gap begins another pass."""
-    near = near_pairs(ticks, sites, x, y, radius).select(F.col("b_site").alias("site"), drive, F.col(t).alias("t"), "dist")
-    w = Window.partitionBy("site", drive).orderBy("t")
-    near = near.withColumn("__new", F.when(F.col("t") - F.lag("t").over(w) > gap, 1).otherwise(0)).withColumn("pass", F.sum("__new").over(w))
-    return near.groupBy("site", drive, "pass").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.min_by("t", F.struct("dist", "t")).alias("t_near"), F.min("dist").alias("dist"))
+class _Passes:
+    """The passes over the sites of a slot, from ticks that come by drive and time; of each site only the pass under way is kept."""
+
+    fields = ("pass", "t_start", "t_end", "t_near", "dist")
+
+    def __init__(self, x: str, y: str, radius: float, drive: str, t: str, gap: float, tile: int):
+        self.x, self.y, self.most, self.drive, self.t, self.gap, self.tile = x, y, farthest(radius), drive, t, gap, tile
+        self.parts: list[pa.RecordBatch] = []
+        self.site, self.last_drive = None, None
+
+    def own(self, piece: pa.RecordBatch) -> None:
+        self.parts.append(piece)
+
+    def _rows(self, i: np.ndarray, drives: pa.Array, code: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        cols = [self.site.take(pa.array(i)), drives.take(pa.array(code)), pa.array(values[0])]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array(v, from_pandas=True) for v in values[1:])], names=["site", self.drive, *self.fields])
+
+    def _open_rows(self, i: np.ndarray) -> list[np.ndarray]:
+        return [self.number[i], *(s[i] for s in (self.start, self.stop, self.near, self.best))]
+
+    def met(self, piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if self.site is None and self.parts:
+            self.site = pa.concat_arrays([p.column("site") for p in self.parts])
+            self.sx, self.sy = (np.concatenate([numbers(p, c) for p in self.parts]) for c in (self.x, self.y))
+            n = len(self.sx)
+            self.open, self.number = np.zeros(n, bool), np.zeros(n, np.int64)
+            self.start, self.stop, self.near, self.best, self.before = np.zeros((5, n))
+        if self.site is None:
+            return
+        coded = piece.column(self.drive).dictionary_encode(null_encoding="encode")
+        code = coded.indices.to_numpy()
+        run = np.concatenate([[0], np.cumsum(code[1:] != code[:-1])])
+        first = coded.dictionary.slice(int(code[0]), 1)
+        same = self.last_drive is not None and first.equals(self.last_drive)
+        drives = pa.concat_arrays([coded.dictionary, first if self.last_drive is None else self.last_drive])
+        tick = (*(numbers(piece, c) for c in (self.x, self.y, self.t)), run, code)
+        step = max(1, self.tile // len(run))
+        for lo in range(0, len(self.sx), step):
+            i, c, values = self._tile(lo, lo + step, *tick, same, len(drives) - 1)
+            if len(i):
+                yield self._rows(i, drives, c, values)
+        self.last_drive = coded.dictionary.slice(int(code[-1]), 1)
+
+    def _tile(self, lo: int, hi: int, tx: np.ndarray, ty: np.ndarray, tt: np.ndarray, runs: np.ndarray, codes: np.ndarray, same: bool, old: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(sites, drives' codes, values) of the passes that end; `old` is the code of the drive whose passes were under way, `same` whether these ticks go on with it."""
+        d = (self.sx[lo:hi, None] - tx) ** 2
+        d += (self.sy[lo:hi, None] - ty) ** 2
+        i, j = np.nonzero(d <= self.most)
+        d, i, t, run = np.sqrt(d[i, j]), i + lo, tt[j], runs[j]
+        head = np.ones(len(i), bool)
+        head[1:] = (i[1:] != i[:-1]) | (run[1:] != run[:-1])
+        held = head & (run == 0) & self.open[i] & same
+        prev = np.concatenate([t[:0], [np.nan] * min(1, len(t)), t[:-1]])
+        prev[head] = np.nan
+        prev[held] = self.before[i[held]]
+        new = t - prev > self.gap
+        begins = head | new
+        p, group = np.flatnonzero(begins), np.cumsum(begins) - 1
+        out: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        g, stays = i[p], np.zeros(len(p), bool)
+        if len(p):
+            heads, counted = np.flatnonzero(head), np.cumsum(new)
+            base = np.where(held[heads], self.number[i[heads]], 0) - counted[heads] + new[heads]
+            number = base[(np.cumsum(head) - 1)[p]] + counted[p]
+            final = np.concatenate([p[1:], [len(i)]]) - 1
+            start, stop, best = np.fmin.reduceat(t, p), np.fmax.reduceat(t, p), np.minimum.reduceat(d, p)
+            hit = np.flatnonzero(d == best[group])
+            near = t[hit[np.concatenate([[True], group[hit[1:]] != group[hit[:-1]]])]]
+            on, closed = held[p] & ~new[p], g[held[p] & new[p]]
+            out.append((closed, np.full(len(closed), old), self._open_rows(closed)))
+            k = g[on]
+            near[on] = np.where(self.best[k] <= best[on], self.near[k], near[on])
+            start[on], stop[on], best[on] = np.fmin(self.start[k], start[on]), np.fmax(self.stop[k], stop[on]), np.minimum(self.best[k], best[on])
+            self.open[g[held[p]]] = False
+            stays = (run[p] == runs[-1]) & np.concatenate([g[1:] != g[:-1], [True]])
+            out.append((g[~stays], codes[j[p[~stays]]], [v[~stays] for v in (number, start, stop, near, best)]))
+        if not same or runs[-1] > 0:
+            left = np.flatnonzero(self.open[lo:hi]) + lo
+            out.append((left, np.full(len(left), old), self._open_rows(left)))
+            self.open[lo:hi] = False
+        if len(p):
+            k = g[stays]
+            self.open[k] = True
+            for state, v in zip((self.number, self.start, self.stop, self.near, self.best, self.before), (number, start, stop, near, best, t[final]), strict=True):
+                state[k] = v[stays]
+        if not out:
+            return i, i, []
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), [np.concatenate(v) for v in zip(*(o[2] for o in out), strict=True)]
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.last_drive is not None and self.open.any():
+            left = np.flatnonzero(self.open)
+            yield self._rows(left, self.last_drive, np.zeros(len(left), int), self._open_rows(left))
+
+
+def site_passes(sites: DataFrame, ticks: DataFrame, x: str, y: str, radius: float, drive: str, t: str, gap: float, tile: int = TILE) -> DataFrame:
+    """(site, drive, pass, t_start, t_end, t_near, dist): every stretch of a drive within the radius of a site, whether or not anything happened; a pause longer than gap begins another pass.
+
+    Ticks pass by the sites in the order of drive and time and passes are told where they meet, so what is shuffled grows with the points and not with their pairs; what is given grows with the pairs all the same. Sites of several places go by pairs.
+    """
+    times, kinds = dict(ticks.dtypes)[t], dict(ticks.dtypes) | dict(sites.dtypes)
+
+    def streamed(own: DataFrame) -> DataFrame:
+        schema = f"site {kinds['site']}, `{drive}` {kinds[drive]}, pass long, t_start double, t_end double, t_near double, dist double"
+        rows = near_streamed(own.select("site", x, y), ticks.select(drive, t, x, y), x, y, radius, [drive, t], lambda: _Passes(x, y, radius, drive, t, gap, tile), schema)
+        return rows.withColumns({c: F.col(c).cast(times) for c in ("t_start", "t_end", "t_near")})
+
+    def paired(own: DataFrame) -> DataFrame:
+        near = near_pairs(ticks, own, x, y, radius).select(F.col("b_site").alias("site"), drive, F.col(t).alias("t"), "dist")
+        w = Window.partitionBy("site", drive).orderBy("t")
+        near = near.withColumn("__new", F.when(F.col("t") - F.lag("t").over(w) > gap, 1).otherwise(0)).withColumn("pass", F.sum("__new").over(w))
+        return near.groupBy("site", drive, "pass").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.min_by("t", F.struct("dist", "t")).alias("t_near"), F.min("dist").alias("dist"))
+
+    return told_apart(sites, "site", streamed, paired)
 
 
 def _forest(u: pd.DataFrame, v: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
