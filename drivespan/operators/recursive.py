@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Ticks that one task filters at once.
 CHUNK = 4096
+#: Ticks of several stretches that are laid out at once, about.
+HELD = 1 << 18
 #: The weightings of ISO 2631-1, annex A, table A.2 (Hz; Q without unit). f2 is the band limit above.
 WEIGHTINGS = {
     "Wk": {"f1": 0.4, "f2": 100.0, "f3": 12.5, "f4": 12.5, "Q4": 0.63, "f5": 2.37, "Q5": 0.91, "f6": 3.35, "Q6": 0.91},
@@ -88,56 +91,166 @@ def gain(f: Filter, hz: float, rate_hz: float) -> float:
     return float(abs(f.c @ np.linalg.solve(z * np.eye(len(f.b)) - f.a, f.b) + f.d))
 
 
-def _dense(pdf: pd.DataFrame, tick: str, x: str) -> tuple[np.ndarray, np.ndarray]:
-    """The stretch's ticks from its first to its last, and x there with null as zero."""
-    at = pdf[tick].to_numpy(np.int64)
-    own = np.zeros(int(at.max() - at.min()) + 1)
-    own[at - at.min()] = np.nan_to_num(pdf[x].to_numpy(float))
-    return at - at.min(), own
+def _heads(block: pa.Array, chunk: np.ndarray, last: tuple | None) -> tuple[np.ndarray, bool, tuple]:
+    """(the rows at which a stretch begins, whether the first goes on from the last batch, the last stretch's block and number)."""
+    coded = block.dictionary_encode(null_encoding="encode")
+    code = coded.indices.to_numpy()
+    heads = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])) + 1])
+    on = last is not None and int(chunk[0]) == last[1] and block.slice(0, 1).equals(last[0])
+    return heads, on, (block.slice(len(block) - 1, 1), int(chunk[-1]))
 
 
-def filtered(df: DataFrame, f: Filter, block: str, tick: str, x: str, out: str, settled: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """(block, tick, out): x through the filter, over each block's ticks (whole numbers, a row each at most) in order.
+def _side_by_side(f: Filter, at: np.ndarray, x: np.ndarray, heads: np.ndarray, first: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the state before each row, the state after each stretch's last row) of stretches that begin at the rows `heads` with the ticks `first` and the states `start`; missing ticks count as zeros.
 
-    A null x counts as zero and has a null output, missing ticks count as zeros. The filter starts at rest, or, if `settled`, in the state that the block's first row, had it always been
-    there, leaves (for a lag: its output begins with the first x). Repeated ticks keep the greatest x.
+    The steps of Filter.states() for all of them at once; what would reach over a stretch's begin is left out. So many ticks as HELD are laid out at a time.
     """
-    rows = df.groupBy(block, tick).agg(F.max(F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))).alias(x)).withColumn("__chunk", F.floor(F.col(tick) / chunk))
-    n = len(f.b)
-    kind = dict(df.dtypes)[block]
+    stop = np.concatenate([heads[1:], [len(at)]])
+    length = at[stop - 1] - first + 1
+    before, after = np.empty((len(at), len(f.b))), np.empty((len(heads), len(f.b)))
+    group = np.cumsum(length + 1) // HELD
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        lo, hi = heads[own[0]], stop[own[-1]]
+        n = length[own] + 1
+        off = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(own)), stop[own] - heads[own])
+        place = off[of] + at[lo:hi] - first[own][of]
+        out, step, reach = np.zeros((int(n.sum()), len(f.b))), f.a.T.copy(), 1
+        out[place + 1] = x[lo:hi, None] * f.b
+        out[off] = start[own]
+        pos = np.arange(len(out)) - np.repeat(off, n)
+        while reach < n.max():
+            more = out[:-reach] @ step
+            more[pos[reach:] < reach] = 0.0
+            out[reach:] += more
+            step, reach = step @ step, 2 * reach
+        before[lo:hi], after[own] = out[place], out[off + n - 1]
+    return before, after
+
 
-    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, own = _dense(pdf, tick, x)
-        first = int(pdf[tick].min())
-        first_x = own[0]
-        return pd.DataFrame({block: [key[0]], "__chunk": [key[1]], "first": [first], "n": [len(own)], "x": [first_x], "state": [f.run(own)[1].tolist()]})
+def filtered_by(df: DataFrame, filters: dict[str, Filter], block: str, tick: str, x: str, settled: bool = False, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(block, tick, *keep, *filters): x through each filter, over each block's ticks (whole numbers, a row each at most) in order.
 
-    parts = rows.groupBy(block, "__chunk").applyInPandas(ends, f"`{block}` {kind}, __chunk long, first long, n long, x double, state array<double>")
-    rest = np.linalg.solve(np.eye(n) - f.a, f.b) if settled else np.zeros(n)
+    A null x counts as zero and has a null output, missing ticks count as zeros. The filter starts at rest, or, if `settled`, in the state that the block's first row, had it always been
+    there, leaves (for a lag: its output begins with the first x). Repeated ticks keep the greatest x, and what stands beside it. Short blocks are filtered side by side, a batch of rows at a time.
+    """
+    value = F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double")).alias("__x")
+    rows = df.filter(F.col(block).isNotNull()).select(block, F.floor(F.col(tick) / chunk).alias("__chunk"), F.col(tick).cast("long").alias(tick), value, *keep)
+    kinds = dict(df.dtypes)
+    states = [len(f.b) for f in filters.values()]
+    parts = list(zip(filters.values(), (slice(sum(states[:k]), sum(states[: k + 1])) for k in range(len(states))), strict=True))
+    n = sum(states)
+    whole_a = np.zeros((n, n))
+    for f, at in parts:
+        whole_a[at, at] = f.a
+    rest = np.concatenate([np.linalg.solve(np.eye(len(f.b)) - f.a, f.b) if settled else np.zeros(len(f.b)) for f in filters.values()])
+    head = f"`{block}` {kinds[block]}, __chunk long"
+
+    def fresh(batch: pa.RecordBatch, heads: np.ndarray, on: bool, before: int | None) -> np.ndarray:
+        """Which rows are not the last row's tick again."""
+        at = batch.column(tick).to_numpy(zero_copy_only=False)
+        out = np.concatenate([[not on or int(at[0]) != before], at[1:] != at[:-1]])
+        out[heads[int(on) :]] = True
+        return out
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = batch.column("__x").to_numpy(zero_copy_only=False).astype(float)
+        return batch.column(tick).to_numpy(zero_copy_only=False), raw, np.nan_to_num(raw)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+
+        def closed(b: pa.Array, c: np.ndarray, first: np.ndarray, m: np.ndarray, x0: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b, *(pa.array(v) for v in (c, first, m, x0)), pa.array(state.tolist(), pa.list_(pa.float64()))], names=[block, "__chunk", "first", "n", "x", "state"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads, on, here = _heads(batch.column(block), batch.column("__chunk").to_numpy(zero_copy_only=False), last)
+            new = fresh(batch, heads, on, None if last is None else int(held[1][0] + held[2][0]) - 1)
+            if not new.all():
+                batch = batch.filter(pa.array(new))
+                if not batch.num_rows:
+                    continue
+                heads, on, here = _heads(batch.column(block), batch.column("__chunk").to_numpy(zero_copy_only=False), last)
+            at, _, own = read(batch)
+            c, b = batch.column("__chunk").to_numpy(zero_copy_only=False), batch.column(block)
+            if last is not None and not on:
+                yield closed(last[0], *held)
+            first, x0, start = at[heads].copy(), own[heads].copy(), np.zeros((len(heads), n))
+            begun = first.copy()
+            if on:
+                begun[0], x0[0], start[0] = held[1][0], held[3][0], held[4][0]
+                first[0] = held[1][0] + held[2][0]
+            state = np.hstack([_side_by_side(f, at, own, heads, first, start[:, part])[1] for f, part in parts])
+            m = at[np.concatenate([heads[1:], [len(at)]]) - 1] - begun + 1
+            if len(heads) > 1:
+                yield closed(b.take(pa.array(heads[:-1])), c[heads[:-1]], begun[:-1], m[:-1], x0[:-1], state[:-1])
+            last, held = here, (c[heads[-1:]], begun[-1:], m[-1:], x0[-1:], state[-1:])
+        if last is not None:
+            yield closed(last[0], *held)
+
+    order = [tick, F.desc_nulls_last("__x"), *(F.desc_nulls_last(c) for c in keep)]
+    stretches = rows.repartition(block, "__chunk").sortWithinPartitions(block, "__chunk", *order).mapInArrow(ends, f"{head}, first long, n long, x double, state array<double>")
 
     def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come by block in order; one state is carried from each to the next, and over what lies between them."""
-        here, state, end, any_row = None, np.zeros(n), 0, False
+        here, begun, any_row = None, None, False
         for pdf in frames:
             starts = []
             for b, first, m, x0, s in zip(pdf[block], pdf["first"], pdf["n"], pdf["x"], pdf["state"], strict=True):
                 if not any_row or b != here:
-                    here, state, end, any_row = b, rest * x0, first, True
-                state = np.linalg.matrix_power(f.a, int(first - end)) @ state
+                    here, state, any_row = b, rest * x0, True
+                else:
+                    since, length, before, left = begun
+                    state = np.linalg.matrix_power(whole_a, int(length)) @ before + left
+                    state = np.linalg.matrix_power(whole_a, int(first - since - length)) @ state
                 starts.append(state.tolist())
-                state, end = np.linalg.matrix_power(f.a, int(m)) @ state + np.asarray(s), first + m
+                begun = (first, m, state, np.asarray(s))
             yield pd.DataFrame({block: pdf[block], "__chunk": pdf["__chunk"], "start": starts})
 
     # a row a stretch: a few hundred for a block of a million ticks
-    starts = parts.repartition(block).sortWithinPartitions(block, "__chunk").mapInPandas(follow, f"`{block}` {kind}, __chunk long, start array<double>")
+    starts = stretches.repartition(block).sortWithinPartitions(block, "__chunk").mapInPandas(follow, f"{head}, start array<double>")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A stretch's start comes before its rows; after a batch its last stretch goes on from `left`, at the tick `end` if any of its rows were there."""
+        last, end, left = None, None, np.zeros(n)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads, on, last = _heads(batch.column(block), batch.column("__chunk").to_numpy(zero_copy_only=False), last)
+            given = np.array(batch.column("start").take(pa.array(heads[int(on) :])).to_pylist(), float).reshape(-1, n)
+            start = np.concatenate([left[None], given]) if on else given
+            since = end if on else None
+            is_row = batch.column("__kind").to_numpy(zero_copy_only=False) == 1
+            new = is_row & (fresh(batch, heads, on, None if since is None else since - 1) | np.concatenate([[False], ~is_row[:-1]]))
+            of = (np.cumsum(np.isin(np.arange(batch.num_rows), heads)) - 1)[new]
+            end, left = (since if on and len(heads) == 1 else None), start[-1]
+            if not len(of):
+                continue
+            rows_here = batch.filter(pa.array(new))
+            at, raw, own = read(rows_here)
+            begun = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
+            start, first = start[of[begun]], at[begun].copy()
+            if of[0] == 0 and since is not None:
+                first[0] = since
+            outs, after = [], np.empty((len(begun), n))
+            for f, part in parts:
+                before, after[:, part] = _side_by_side(f, at, own, begun, first, start[:, part])
+                outs.append(pa.array(np.where(np.isnan(raw), np.nan, before @ f.c + f.d * own), from_pandas=True))
+            if of[-1] == len(heads) - 1:
+                end, left = int(at[-1]) + 1, after[-1]
+            yield pa.RecordBatch.from_arrays([*(rows_here.column(c) for c in (block, tick, *keep)), *outs], names=[block, tick, *keep, *filters])
+
+    schema = ", ".join([f"`{block}` {kinds[block]}", f"`{tick}` long", *(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` double" for c in filters)])
+    met = starts.select(block, "__chunk", F.lit(0).alias("__kind"), F.lit(0).cast("long").alias(tick), "start").unionByName(rows.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    return met.repartition(block, "__chunk").sortWithinPartitions(block, "__chunk", "__kind", *order).mapInArrow(whole, schema)
 
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, own = _dense(pdf, tick, x)
-        y = f.run(own, np.asarray(pdf["start"].iloc[0]))[0][at]
-        return pd.DataFrame({block: pdf[block], tick: pdf[tick], out: np.where(pdf[x].isna(), np.nan, y)})
 
-    done = rows.join(starts, [block, "__chunk"]).groupBy(block, "__chunk").applyInPandas(whole, f"`{block}` {kind}, `{tick}` long, `{out}` double")
-    return done.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+def filtered(df: DataFrame, f: Filter, block: str, tick: str, x: str, out: str, settled: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(block, tick, out): x through one filter, as filtered_by() has it."""
+    return filtered_by(df, {out: f}, block, tick, x, settled, chunk)
 
 
 def spectra(df: DataFrame, block: str, tick: str, x: str, y: str, length: int, rate_hz: float, windows: int = 64) -> DataFrame:

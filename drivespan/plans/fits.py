@@ -70,13 +70,11 @@ def recursive_lag(spark, sf):
 s AS (SELECT y.drive, tau, stddev_pop(t.yaw_dps - y.y / 5) AS sigma FROM y JOIN ticks t ON t.drive = y.drive AND t.tick = y.tick GROUP BY 1, 2) SELECT drive, round(arg_min(tau, (sigma, tau)), 6) AS tau, round(min(sigma), 5) AS sigma FROM s GROUP BY drive""")
 def lag_constants(spark, sf):
     """For each drive the time constant, of a grid, at which the lagged steering leaves the least deviation of yaw."""
-    t = ticks(spark, sf)
-    rows = None
-    for tau in (0.0, 0.1, 0.3):
-        own = rc.filtered(t, rc.first_order(tau, RATE), "drive", "tick", "steer_deg", "lagged", settled=True).withColumn("tau", F.lit(tau))
-        rows = own if rows is None else rows.unionByName(own)
-    s = rows.join(t.select("drive", "tick", "yaw_dps"), ["drive", "tick"]).groupBy("drive", "tau").agg(F.stddev_pop(F.col("yaw_dps") - F.col("lagged") / 5).alias("sigma"))
-    return s.groupBy("drive").agg(F.round(F.min_by("tau", F.struct("sigma", "tau")), 6).alias("tau"), F.round(F.min("sigma"), 5).alias("sigma"))
+    taus = {"lag0": 0.0, "lag1": 0.1, "lag2": 0.3}
+    rows = rc.filtered_by(ticks(spark, sf), {c: rc.first_order(tau, RATE) for c, tau in taus.items()}, "drive", "tick", "steer_deg", settled=True, keep=("yaw_dps",))
+    s = rows.groupBy("drive").agg(*(F.stddev_pop(F.col("yaw_dps") - F.col(c) / 5).alias(c) for c in taus))
+    best = F.array_min(F.array(*(F.struct(F.col(c).alias("sigma"), F.lit(tau).alias("tau")) for c, tau in taus.items())))
+    return s.select("drive", F.round(best["tau"], 6).alias("tau"), F.round(best["sigma"], 5).alias("sigma"))
 
 
 @query()
