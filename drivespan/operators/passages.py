@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivespan.functions.draws import draw
 from drivespan.operators.islands import intervals
-from drivespan.operators.joins import asof, heading_difference, near_pairs, overlap_join, points_in
+from drivespan.operators.joins import TILE, asof, farthest, heading_difference, near_pairs, near_streamed, numbers, overlap_join, points_in, told_apart
 from drivespan.operators.stats import before_range, ranged
 
 
@@ -48,11 +53,103 @@ def quiet_sample(windows: DataFrame, events: DataFrame, key: str, quiet: Column,
     return free.withColumn("__pick", F.row_number().over(order)).filter(F.col("__pick") <= n).drop("__pick")
 
 
-def same_place_baseline(points: DataFrame, x: str, y: str, heading: str, drive: str, value: str, radius: float, turn: float, least: int = 3) -> DataFrame:
-    """(id, drives, baseline): the median of the other drives' medians of value within the radius and about the same heading, if at least `least` of them are there."""
-    near = near_pairs(points.select("id", x, y, heading, drive), points.filter(F.col(value).isNotNull()).select(x, y, heading, drive, value), x, y, radius)
-    near = near.filter((F.col(drive) != F.col(f"b_{drive}")) & (heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn))
-    per = near.groupBy("id", f"b_{drive}").agg(F.percentile(f"b_{value}", 0.5).alias("m"))
+class _Medians:
+    """The medians of other drives' values about the points of a slot. Rows come by drive, each drive's twice, by value: they are counted first, and the middle ones are taken as they pass by again."""
+
+    def __init__(self, x: str, y: str, heading: str, drive: str, value: str, radius: float, turn: float, tile: int):
+        self.names, self.drive, self.value, self.most, self.turn, self.tile = (x, y, heading), drive, value, farthest(radius), turn, tile
+        self.parts: list[pa.RecordBatch] = []
+        self.id, self.last = None, None
+
+    def own(self, piece: pa.RecordBatch) -> None:
+        self.parts.append(piece)
+
+    def _alike(self, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """near, and of about the same heading. Where the angle is all but the greatest it is found as heading_difference() finds it."""
+        d = np.abs(np.mod(a, 360.0)[:, None] - np.mod(b, 360.0))
+        d = 180.0 - np.abs(180.0 - d)
+        out = near & (d <= self.turn)
+        i, j = np.nonzero(near & (np.abs(d - self.turn) < 1e-6))
+        if len(i):
+            exact = np.mod(a[i] - b[j], 360.0)
+            out[i, j] = np.minimum(exact, 360.0 - exact) <= self.turn
+        return out
+
+    def met(self, piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if self.id is None and self.parts:
+            self.id, self.own_drive = (pa.concat_arrays([p.column(c) for p in self.parts]) for c in ("id", self.drive))
+            self.at = [np.concatenate([numbers(p, c) for p in self.parts]) for c in self.names]
+            n = len(self.at[0])
+            self.total, self.seen, self.low = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        if self.id is None:
+            return
+        coded = piece.column(self.drive).dictionary_encode()
+        code, again = coded.indices.to_numpy(), piece.column("__again").to_numpy(zero_copy_only=False)
+        begins = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (again[1:] != again[:-1])) + 1])
+        run = np.repeat(np.arange(len(begins)), np.diff([*begins, len(code)]))
+        first, phase = coded.dictionary.slice(int(code[0]), 1), again[begins]
+        same = self.last is not None and first.equals(self.last[0])
+        goes_on = same and int(phase[0]) == self.last[1]
+        mine = pc.fill_null(pc.index_in(self.own_drive, coded.dictionary), -1).to_numpy(zero_copy_only=False)
+        bx, by, bh = (numbers(piece, c) for c in self.names)
+        v = numbers(piece, self.value)
+        step = max(1, self.tile // len(run))
+        for lo in range(0, len(self.at[0]), step):
+            x, y, h = (c[lo : lo + step] for c in self.at)
+            d = (x[:, None] - bx) ** 2
+            d += (y[:, None] - by) ** 2
+            i, j = np.nonzero(self._alike(h, bh, d <= self.most))
+            k = len(begins)
+            n = np.bincount(i * k + run[j], minlength=len(x) * k)
+            before = (np.cumsum(n) - n).reshape(-1, k)
+            n = n.reshape(-1, k)
+            total, base = n.copy(), np.zeros_like(n)
+            if phase[0] == 0:
+                total[:, 0] += self.total[lo : lo + step] if goes_on else 0
+            else:
+                total[:, 0] = self.total[lo : lo + step]
+                base[:, 0] = self.seen[lo : lo + step] if goes_on else 0
+            total[:, 1:] = np.where(phase[1:] == 1, total[:, :-1], total[:, 1:])
+            low = np.zeros(n.shape)
+            if phase[0] == 1 and goes_on:
+                low[:, 0] = self.low[lo : lo + step]
+            half = (total - 1) // 2
+            here = (phase == 1) & (half >= base) & (half < base + n)
+            low[here] = v[j[(before + half - base)[here]]]
+            half = total // 2
+            here = (phase == 1) & (half >= base) & (half < base + n)
+            high = v[j[(before + half - base)[here]]]
+            at, r = np.nonzero(here)
+            other = mine[lo + at] != code[begins[r]]
+            if other.any():
+                yield pa.RecordBatch.from_arrays([self.id.take(pa.array(lo + at[other])), pa.array((0.5 * low[here] + 0.5 * high)[other])], names=["id", "m"])
+            self.total[lo : lo + step], self.low[lo : lo + step] = total[:, -1], low[:, -1]
+            self.seen[lo : lo + step] = base[:, -1] + n[:, -1] if phase[-1] == 1 else 0
+        self.last = (coded.dictionary.slice(int(code[-1]), 1), int(phase[-1]))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def same_place_baseline(points: DataFrame, x: str, y: str, heading: str, drive: str, value: str, radius: float, turn: float, least: int = 3, tile: int = TILE) -> DataFrame:
+    """(id, drives, baseline): the median of the other drives' medians of value within the radius and about the same heading, if at least `least` of them are there.
+
+    Values pass by the points of a cell in order, so a row is shuffled for each point and drive and none for a pair of points. Ids of several points go by pairs.
+    """
+    others = points.filter(F.col(value).isNotNull() & F.col(drive).isNotNull()).select(x, y, heading, drive, value)
+    kinds = dict(points.dtypes)
+
+    def streamed(own: DataFrame) -> DataFrame:
+        twice = others.withColumn(value, F.col(value).cast("double")).withColumn("__again", F.explode(F.array(F.lit(0), F.lit(1))))
+        mine = own.filter(F.col(drive).isNotNull()).select("id", x, y, heading, drive)
+        return near_streamed(mine, twice, x, y, radius, [drive, "__again", value], lambda: _Medians(x, y, heading, drive, value, radius, turn, tile), f"id {kinds['id']}, m double")
+
+    def paired(own: DataFrame) -> DataFrame:
+        near = near_pairs(own.select("id", x, y, heading, drive), others, x, y, radius)
+        near = near.filter((F.col(drive) != F.col(f"b_{drive}")) & (heading_difference(F.col(heading), F.col(f"b_{heading}")) <= turn))
+        return near.groupBy("id", f"b_{drive}").agg(F.percentile(f"b_{value}", 0.5).alias("m")).select("id", "m")
+
+    per = told_apart(points, "id", streamed, paired)
     return per.groupBy("id").agg(F.count("*").alias("drives"), F.percentile("m", 0.5).alias("baseline")).filter(F.col("drives") >= least)
 
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from drivespan.operators import joins, sites as st
+from drivespan.operators import joins, passages as ps, sites as st
 
 
 def shuffled(spark, job):
@@ -61,3 +61,36 @@ def test_passes_shuffle_points_and_no_pairs(spark):
     p = spark.createDataFrame(rows, "site long, drive int, t double, x double, y double")
     count, records = shuffled(spark, lambda: st.site_passes(p.select("site", "x", "y"), p.select("drive", "t", "x", "y"), "x", "y", 30.0, "drive", "t", 0.0).count())
     assert count > 500 * n and records < 60 * n
+
+
+@pytest.mark.parametrize(("slot", "tile", "batch"), [(2048, 1 << 20, 10000), (7, 60, 13), (3, 1, 1)])
+def test_medians_of_other_drives(spark, monkeypatch, slot, tile, batch):
+    monkeypatch.setattr(joins, "STREAM_SLOT", slot)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rng = np.random.default_rng(5)
+    rows = [(k, None if d == 6 else f"d{d}", float(x), float(y), None if h < 5 else float(h), None if v == 3 else float(v)) for k, (d, x, y, h, v) in enumerate(zip(rng.integers(0, 7, 160), rng.integers(0, 40, 160), rng.integers(0, 40, 160), 10 * rng.integers(0, 36, 160), rng.integers(0, 60, 160), strict=True))]
+    rows += [(200, "d1", 5.0, 5.0, 40.0, 8.0), (200, "d1", 30.0, 30.0, 40.0, 9.0)]  # an id of two places has what lies about either
+    try:
+        df = spark.createDataFrame(rows, "id long, drive string, x double, y double, hdg double, v double")
+        got = {r.id: (r.drives, r.baseline) for r in ps.same_place_baseline(df, "x", "y", "hdg", "drive", "v", 10.0, 50.0, 2, tile).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for p in {r[0] for r in rows}:
+        by = {}
+        for a in (r for r in rows if r[0] == p):
+            for b in rows:
+                if None not in (a[1], b[1], a[4], b[4], b[5]) and a[1] != b[1] and math.dist(a[2:4], b[2:4]) <= 10 and min((a[4] - b[4]) % 360, (b[4] - a[4]) % 360) <= 50:
+                    by.setdefault(b[1], []).append(b[5])
+        if len(by) >= 2:
+            want[p] = (len(by), float(np.median([np.median(v) for v in by.values()])))
+    assert got == want and len(want) > 80
+
+
+def test_medians_shuffle_points_and_no_pairs(spark):
+    rng = np.random.default_rng(7)
+    n = 1500
+    rows = [(k, k % 400, float(x), float(y), 10.0, float(v)) for k, (x, y, v) in enumerate(zip(rng.uniform(0, 20, n), rng.uniform(0, 20, n), rng.integers(0, 9, n), strict=True))]
+    df = spark.createDataFrame(rows, "id long, drive long, x double, y double, hdg double, v double")
+    count, records = shuffled(spark, lambda: ps.same_place_baseline(df, "x", "y", "hdg", "drive", "v", 30.0, 50.0).count())
+    assert count == n and records < 60 * n
