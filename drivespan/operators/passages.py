@@ -69,16 +69,27 @@ class _Medians:
         d = np.abs(np.mod(a, 360.0)[:, None] - np.mod(b, 360.0))
         d = 180.0 - np.abs(180.0 - d)
         out = near & (d <= self.turn)
-        i, j = np.nonzero(near & (np.abs(d - self.turn) < 1e-6))
+        i, j = np.nonzero(np.abs(d - self.turn) < 1e-6)
+        i, j = i[near[i, j]], j[near[i, j]]
         if len(i):
             exact = np.mod(a[i] - b[j], 360.0)
             out[i, j] = np.minimum(exact, 360.0 - exact) <= self.turn
         return out
 
+    def _turned_alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of b's headings may agree with some of a's, which are in order."""
+        a = np.mod(a, 360.0)
+        half = (a[-1] - a[0]) / 2
+        return np.flatnonzero(~(180.0 - np.abs(180.0 - np.abs(np.mod(b, 360.0) - a[0] - half)) > self.turn + half + 1e-3))
+
     def met(self, piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if self.id is None and self.parts:
             self.id, self.own_drive = (pa.concat_arrays([p.column(c) for p in self.parts]) for c in ("id", self.drive))
             self.at = [np.concatenate([numbers(p, c) for p in self.parts]) for c in self.names]
+            # by heading, so that few of those that pass by turn out alike to none of a tile
+            order = np.argsort(np.mod(self.at[2], 360.0))
+            self.at = [c[order] for c in self.at]
+            self.id, self.own_drive = self.id.take(pa.array(order)), self.own_drive.take(pa.array(order))
             n = len(self.at[0])
             self.total, self.seen, self.low = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
         if self.id is None:
@@ -96,9 +107,11 @@ class _Medians:
         step = max(1, self.tile // len(run))
         for lo in range(0, len(self.at[0]), step):
             x, y, h = (c[lo : lo + step] for c in self.at)
-            d = (x[:, None] - bx) ** 2
-            d += (y[:, None] - by) ** 2
-            i, j = np.nonzero(self._alike(h, bh, d <= self.most))
+            may = self._turned_alike(h, bh)
+            d = (x[:, None] - bx[may]) ** 2
+            d += (y[:, None] - by[may]) ** 2
+            i, j = np.nonzero(self._alike(h, bh[may], d <= self.most))
+            j = may[j]
             k = len(begins)
             n = np.bincount(i * k + run[j], minlength=len(x) * k)
             before = (np.cumsum(n) - n).reshape(-1, k)
