@@ -33,14 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: the lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Each query that is made and run inside removes its shuffle files as it ends; otherwise they stay until the driver happens to collect its garbage. A frame of it that runs again deals its rows anew."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes with the tables of written()."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     for paths in _OPEN[-1:]:
         paths.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def put(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table at path, read again. The shuffles on the way go."""
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: the lineage ends there and lost executors cost nothing."""
+    return put(df, shared_path(df.sparkSession, name))
 
 
 def remove(spark: SparkSession, path: str) -> None:
