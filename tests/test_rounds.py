@@ -56,3 +56,47 @@ def test_bands_need_no_row_for_a_pair(spark, monkeypatch):
     for k, uv in want.items():
         u, v = np.array(uv).T
         assert got[k].n == len(uv) and abs(got[k].r - np.corrcoef(u, v)[0, 1]) < 1e-9 and abs(got[k].mean_abs_diff - np.abs(u - v).mean()) < 1e-9
+
+
+@pytest.mark.parametrize("slot", [3, 64])
+def test_station_pairs_are_met_in_blocks(spark, monkeypatch, slot):
+    """Pairs against a loop: values that vary little about a large one, stations with two places, in slots and strips of few; no pair is shuffled."""
+    monkeypatch.setattr(cm, "SLOT", slot)
+    monkeypatch.setattr(cm, "PAIRS", 40, raising=False)
+    rng = np.random.default_rng(5)
+    places = [(k, *map(float, rng.uniform(-60, 60, 2))) for k in range(30)]
+    obs = [(k, kind, day, 1e6 * (kind == "a") + float(rng.normal()) * (0.02 if k % 3 else 0.0005)) for k in range(30) for kind in "ab" for day in range(6) if rng.random() < 0.7]
+    obs += [(99, "a", 0, 1.0)]
+    twice = [*places, (4, places[4][1] + 1, places[4][2])]
+    for at in (places, twice):
+        args = (spark.createDataFrame(obs, "station long, kind string, day long, v double"), spark.createDataFrame(at, "station long, x double, y double"))
+        pairs, _ = cm.station_agreement(*args, [20.0, 50.0], "kind", "day", "v")
+        if at is places:
+            assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsIn")[0]
+        value, want = {(s, kind, day): v for s, kind, day, v in obs}, {}
+        for a, ax, ay in at:
+            for b, bx, by in at:
+                d = math.dist((ax, ay), (bx, by))
+                for kind in "ab" if a < b and d <= 50 else ():
+                    uv = [(value[a, kind, day], value[b, kind, day]) for day in range(6) if (a, kind, day) in value and (b, kind, day) in value]
+                    if uv:
+                        want.setdefault((kind, a, b, int(d > 20)), []).extend(uv)
+        rows = pairs.collect()
+        got = {(r.kind, r.a, r.b, r.band): r for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        for k, uv in want.items():
+            u, v = np.array(uv).T
+            varies = min(u.var(), v.var()) > 1e-6
+            assert got[k].n == len(uv) and (got[k].r is not None) == varies and abs(got[k].mean_abs_diff - np.abs(u - v).mean()) < 1e-9
+            assert not varies or abs(got[k].r - np.corrcoef(u, v)[0, 1]) < 1e-6
+        assert {r.r is None for r in rows if r.n > 1} == {True, False}
+
+
+def test_bands_of_values_that_vary_little(spark):
+    """Pooled moments where sums of squares would lose the variance."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(2, 200)) * 0.01 + 1e6
+    obs = [(s, "a", day, float(v[s, day])) for s in (0, 1) for day in range(200)]
+    _, bands = cm.station_agreement(spark.createDataFrame(obs, "station long, kind string, day long, v double"), spark.createDataFrame([(0, 0.0, 0.0), (1, 5.0, 0.0)], "station long, x double, y double"), [20.0, 50.0], "kind", "day", "v")
+    (row,) = bands.collect()
+    assert (row.band, row.n) == (0, 200) and abs(row.r - np.corrcoef(*v)[0, 1]) < 1e-6
