@@ -100,3 +100,21 @@ def test_bands_of_values_that_vary_little(spark):
     _, bands = cm.station_agreement(spark.createDataFrame(obs, "station long, kind string, day long, v double"), spark.createDataFrame([(0, 0.0, 0.0), (1, 5.0, 0.0)], "station long, x double, y double"), [20.0, 50.0], "kind", "day", "v")
     (row,) = bands.collect()
     assert (row.band, row.n) == (0, 200) and abs(row.r - np.corrcoef(*v)[0, 1]) < 1e-6
+
+
+def test_station_pairs_are_the_sqls(spark, sf_dir, tmp_path):
+    """Pairs whose values vary little about a large one have a coefficient wherever the SQL gives one, and means just beside a half are rounded as the SQL rounds them."""
+    us, vs = [43.94, 215.65, 48.07, 211.38, 203.45, 163.41, 66.18, 292.68], [79.7825, 22.32, 39.4925, 65.9825, 5.8825, 12.57, 87.5525, 7.07]
+    seen = [(s, "click", day, x) for s, xs in ((0, us), (1, vs)) for day, x in enumerate(xs)]
+    seen += [(s, "view", day, 400.0 + c * day) for s, c in ((0, 0.004), (1, -0.002)) for day in range(2)]
+    duck = duckdb.connect()
+    duck.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    duck.executemany("insert into events values (?, timestamp '2024-01-01' + to_days(cast(? as integer)), ?, ?, ?, null)", [(k, day, s, kind, x) for k, (s, kind, day, x) in enumerate(seen)])
+    duck.execute("create table embeddings as select * from (values (0 :: bigint, [0, 0, 0.1, 0.1] :: float[], 0), (1, [0.02, 0, 0.1, 0.1] :: float[], 0)) as t(vec_id, embedding, label)")
+    for t in ("events", "embeddings"):
+        duck.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    duck.execute("set threads = 1")
+    for name in ("station_pairs", "station_bands"):
+        want = duck.execute(registry.ORACLES[name]).df()
+        got = registry.QUERIES[name](spark, str(tmp_path)).select(*want.columns).toPandas()
+        assert sorted(got.itertuples(index=False, name=None), key=str) == sorted(want.itertuples(index=False, name=None), key=str) and want["r"].notna().all()
