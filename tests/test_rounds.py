@@ -58,10 +58,11 @@ def test_bands_need_no_row_for_a_pair(spark, monkeypatch):
         assert got[k].n == len(uv) and abs(got[k].r - np.corrcoef(u, v)[0, 1]) < 1e-9 and abs(got[k].mean_abs_diff - np.abs(u - v).mean()) < 1e-9
 
 
-@pytest.mark.parametrize("slot", [3, 64])
-def test_station_pairs_are_met_in_blocks(spark, monkeypatch, slot):
+@pytest.mark.parametrize(("slot", "readings"), [(3, 1000), (64, 20), (64, 1000)])
+def test_station_pairs_are_met_in_blocks(spark, monkeypatch, slot, readings):
     """Pairs against a loop: values that vary little about a large one, stations with two places, in slots and strips of few; no pair is shuffled."""
     monkeypatch.setattr(cm, "SLOT", slot)
+    monkeypatch.setattr(cm, "READINGS", readings, raising=False)
     monkeypatch.setattr(cm, "PAIRS", 40, raising=False)
     rng = np.random.default_rng(5)
     places = [(k, *map(float, rng.uniform(-60, 60, 2))) for k in range(30)]
